@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from granary.llm import byte_bpe, quality_rules, warc
+from granary.llm import byte_bpe, ppm_language, quality_rules, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.query,
         "op4_quality_rules": quality_rules.query,
+        "op7_ppm_language": ppm_language.query,
+        "op8_url_filter": url_filter.query,
         "op9_byte_bpe": byte_bpe.query,
         "op10_warc": warc.query,
     }
