@@ -150,12 +150,18 @@ def train_dictionary(pages: DataFrame, n_pages: int = DICTIONARY_PAGES, size: in
     return b"".join(r.h.encode("utf-8") for r in sample.select("h").collect())[:size]
 
 
-def refer(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, hex digest, size and refers_to: the largest page_id of equal payloads, null for itself."""
+def refer(pages: DataFrame, parts: int, min_bytes: int = 0) -> DataFrame:
+    """page_id, url, html (null for revisits), digest (hexadecimal) and refers_to, dealt by page_id to so many partitions.
+
+    What refers to what is worked out on ids and digests; the html itself is shuffled once.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    first = pages.select(F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"), "page_id").groupBy("digest", "size").agg(F.max("page_id").alias("kept_id"))
-    return own.join(first, ["digest", "size"], "left").withColumn("refers_to", F.when((F.col("size") >= min_bytes) & (F.col("page_id") != F.col("kept_id")), F.col("kept_id")))
+    light = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
+    kept = light.groupBy("digest", "size").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n")).where("n > 1")
+    refs = light.join(kept, ["digest", "size"]).where((F.col("size") >= min_bytes) & (F.col("page_id") != F.col("kept_id"))).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "kept_id").distinct()
+    own = pages.select("page_id", "url", "html").repartition(parts, "page_id").withColumn("digest", F.sha1(payload))
+    joined = own.join(refs.repartition(parts, "r_id"), (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    return joined.select("page_id", "url", F.when(F.col("kept_id").isNull(), F.col("html")).alias("html"), F.col("kept_id").alias("refers_to"), "digest")
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -163,7 +169,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     raw = train_dictionary(pages)
     leading = dictionary_frame(raw)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    rows = refer(pages, min_bytes).repartition(max(1, -(-total // archive_bytes)), F.xxhash64("page_id"))
+    rows = refer(pages, max(1, -(-total // archive_bytes)), min_bytes)
 
     def frames_of(batches):
         packer, first = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True), True
@@ -176,8 +182,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
                 made.append(packer.compress(record))
             yield type(pdf)({"frame": made})
 
-    columns = rows.select("page_id", F.col("url"), F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), F.col("refers_to"), "digest")
-    out = columns.mapInPandas(frames_of, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    out = rows.mapInPandas(frames_of, "frame binary").select(F.col("frame").cast("string").alias("value"))
     out.write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
 
