@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from granary.llm import byte_bpe, lattice_lm, ppm_language, quality_rules, toxicity, url_filter, warc
+from granary.llm import byte_bpe, lattice_lm, minhash, ppm_language, quality_rules, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.query,
         "op2_lattice_lm": lattice_lm.query,
+        "op3_minhash": minhash.query,
         "op4_quality_rules": quality_rules.query,
         "op7_ppm_language": ppm_language.query,
         "op8_url_filter": url_filter.query,

@@ -37,10 +37,19 @@ class WindowHasher:
         n = len(data) - length + 1
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
+        total = self.sums(data)
+        return mix((total[length:] - total[:n]) * self._down[:n])
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Running sums, of which `of` makes the hashes of any windows."""
         self._grow(len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(BYTE_CODE[data] * self._up[: len(data)], out=total[1:])
-        return mix((total[length:] - total[:n]) * self._down[:n])
+        return total
+
+    def of(self, sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """The hashes of the windows of one length that begin at the given places."""
+        return mix((sums[starts + length] - sums[starts]) * self._down[starts])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
