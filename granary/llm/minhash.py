@@ -35,7 +35,7 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 25, 5
 PERMUTATIONS, PLANES = BANDS * ROWS, 2
 #: Standard deviations of the estimate that a pair may lie below the bound and still be confirmed exactly.
-MARGIN = 6
+MARGIN = 4
 _RNG = np.random.default_rng(5)
 _FACTOR = _RNG.integers(1, 2**63 - 1, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 2**63 - 1, size=PERMUTATIONS, dtype=np.uint64)

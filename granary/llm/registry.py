@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from granary.llm import byte_bpe, lattice_lm, minhash, ppm_language, quality_rules, toxicity, url_filter, warc
+import corpus_pipeline
+from granary.llm import byte_bpe, decontaminate, lattice_lm, minhash, ppm_language, quality_rules, suffix_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,10 +12,13 @@ def queries() -> dict:
         "op2_lattice_lm": lattice_lm.query,
         "op3_minhash": minhash.query,
         "op4_quality_rules": quality_rules.query,
+        "op5_decontaminate": decontaminate.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op7_ppm_language": ppm_language.query,
         "op8_url_filter": url_filter.query,
         "op9_byte_bpe": byte_bpe.query,
         "op10_warc": warc.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -47,6 +47,11 @@ class WindowHasher:
         np.cumsum(BYTE_CODE[data] * self._up[: len(data)], out=total[1:])
         return total
 
+    def scale(self, n: int) -> np.ndarray:
+        """What shifts differences of running sums that begin at places 0 .. n - 1 to exponent 0."""
+        self._grow(n + 1)
+        return self._down[:n]
+
     def of(self, sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         """The hashes of the windows of one length that begin at the given places."""
         return mix((sums[starts + length] - sums[starts]) * self._down[starts])
