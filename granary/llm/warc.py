@@ -159,8 +159,8 @@ def refer(pages: DataFrame, parts: int, min_bytes: int = 0) -> DataFrame:
     light = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     kept = light.groupBy("digest", "size").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n")).where("n > 1")
     refs = light.join(kept, ["digest", "size"]).where((F.col("size") >= min_bytes) & (F.col("page_id") != F.col("kept_id"))).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "kept_id").distinct()
-    own = pages.select("page_id", "url", "html").repartition(parts, "page_id").withColumn("digest", F.sha1(payload))
-    joined = own.join(refs.repartition(parts, "r_id"), (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    own = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest")).repartition(parts, "page_id", "digest")
+    joined = own.join(refs.repartition(parts, "r_id", "r_digest"), (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     return joined.select("page_id", "url", F.when(F.col("kept_id").isNull(), F.col("html")).alias("html"), F.col("kept_id").alias("refers_to"), "digest")
 
 
