@@ -9,10 +9,9 @@
 4. Links are joined to components by label propagation.
 
 Buckets may hold a third of all texts, so their pairs are never listed. In a first round every member is only paired
-with the bucket's smallest member and two pivots, which joins a group of copies in a few components; in later rounds
-only members of different components are compared inside the join, and only pairs whose estimate reaches the bound
-come out. No member is dropped: when a round finds no new link, no pair of two components in any bucket is left that
-passes the estimate.
+with three pivots of its bucket, which joins a group of copies in a few components. In a second round the members of
+buckets that still hold several components are compared block against block; only links come out, and no member is
+dropped.
 
 A pair of similarity 0.85 shares a bucket with probability 1 - (1 - 0.85^5)^25 > 0.9999995.
 
@@ -35,7 +34,9 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 25, 5
 PERMUTATIONS, PLANES = BANDS * ROWS, 2
 #: Standard deviations of the estimate that a pair may lie below the bound and still be confirmed exactly.
-MARGIN = 4
+MARGIN = 5
+#: Blocks of 2**BLOCK_BITS sets are compared with each other.
+BLOCK_BITS = 8
 _RNG = np.random.default_rng(5)
 _FACTOR = _RNG.integers(1, 2**63 - 1, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 2**63 - 1, size=PERMUTATIONS, dtype=np.uint64)
@@ -170,18 +171,58 @@ def links_and_labels(reps: DataFrame, texts: DataFrame, percent: int = PERCENT)
     pivots = buckets.where((F.col("doc_id") == F.col("first")) | (F.col("doc_id") == F.col("last")) | (F.col("doc_id") == F.col("any"))).select("key", "doc_id", *SIGNATURE)
     tried = stored(pairs_with(members, pivots).distinct(), "pairs")
     links = stored(confirm(tried, texts, percent), "links")
-    while True:
-        labels = connected(links)
-        own = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        # the largest component of a bucket needn't meet itself: pairs are of two components
-        open_ = own.join(mixed, "key", "left_semi")
-        met = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & (agreements("x", "y") >= agreement_bound(percent)))
-        fresh = stored(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = stored(confirm(fresh, texts, percent), "links")
-        if not more.limit(1).count():
-            return labels
-        links, tried = links.union(more), tried.union(fresh)
+    labels = connected(links).select(F.col("node").alias("doc_id"), "label")
+    own = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("m")).where("lo < hi").select("key", "m")
+    left_open = stored(own.join(mixed, "key").select("doc_id", "label", "m", *SIGNATURE), "open")
+    more = across_components(left_open, texts, percent)
+    return connected(links.union(more)).select("node", "label")
+
+
+def across_components(left_open: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The links between members of different components that share buckets, directly or over others.
+
+    Buckets that hold several components form clusters. A cluster's members, ordered by component, are cut into blocks
+    of 2**BLOCK_BITS; every two blocks meet in one cell, unless both hold the same component alone. A cell is a task of its own
+    with at most two blocks' sets, whatever the size of the cluster, and returns links only, never pairs.
+    """
+    clusters = connected(left_open.select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct(), "clusters").withColumnRenamed("label", "cluster")
+    once = left_open.drop("m").distinct().join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
+    dealt = once.repartitionByRange("cluster", "label", "doc_id").sortWithinPartitions("cluster", "label", "doc_id")
+    # the id counts up in each partition from a multiple of 2**33, so its upper bits name a block
+    blocks = stored(dealt.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "blocks")
+    ends = blocks.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = ends.alias("x"), ends.alias("y")
+    same = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
+    cells = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~same).select(F.col("x.cluster").alias("cluster"), F.col("x.block").alias("b1"), F.col("y.block").alias("b2"))
+    sides = cells.select("cluster", "b1", "b2", F.col("b1").alias("block")).union(cells.where("b1 < b2").select("cluster", "b1", "b2", F.col("b2").alias("block")))
+    sets = with_shingles(texts.join(blocks.select("doc_id"), "doc_id", "left_semi")).select("doc_id", F.sort_array("sh").alias("sh"))
+    full = blocks.join(sets, "doc_id")
+    bound = agreement_bound(percent)
+
+    def compare(pdf):
+        found = []
+        label, block = pdf["label"].to_numpy(), pdf["block"].to_numpy()
+        sig = pdf[SIGNATURE].to_numpy().astype(np.int64).view(np.uint64)
+        sh, ids = [np.asarray(v) for v in pdf["sh"]], pdf["doc_id"].to_numpy()
+        size = np.array([len(v) for v in sh])
+        other = (block != block[0]).any()
+        for i in range(len(ids)):
+            apart = (label != label[i]) & (np.arange(len(ids)) > i)
+            if other:
+                apart &= block != block[i]
+            apart &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            js = np.flatnonzero(apart)
+            if not len(js):
+                continue
+            differs = sum(np.bitwise_count((sig[js, h] ^ sig[i, h]) | (sig[js, 2 + h] ^ sig[i, 2 + h])).astype(int) for h in (0, 1))
+            for j in js[PERMUTATIONS - differs >= bound]:
+                common = len(np.intersect1d(sh[i], sh[j], assume_unique=True))
+                if 100 * common >= percent * (size[i] + size[j] - common):
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return type(pdf)(found, columns=["a", "b"])
+
+    return full.join(sides, ["cluster", "block"]).groupBy("cluster", "b1", "b2").applyInPandas(compare, "a long, b long")
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
