@@ -44,18 +44,22 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """h (hash of the leading bytes), ctx (hash of the whole context), doc_id, pos of every anchor."""
+    """h (hash of the leading bytes), ctx (hash of the whole context), doc_id, pos, own of every anchor.
+
+    own: the context occurred before in the same document. That settles the anchor, so it needn't meet its lead; its h
+    is then one of the document, which keeps lines that fill whole documents from landing in one task.
+    """
 
     def run(batches):
         hasher = WindowHasher()
         for batch in batches:
-            hs, cs, ids, ps = [], [], [], []
+            hs, cs, ids, ps, own = [], [], [], [], []
 
             def flush():
-                out = [np.concatenate(x) for x in (hs, cs, ids, ps)]
-                for x in (hs, cs, ids, ps):
+                out = [np.concatenate(x) for x in (hs, cs, ids, ps, own)]
+                for x in (hs, cs, ids, ps, own):
                     x.clear()
-                return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), pa.array(out[2]), pa.array(out[3].astype(np.int32))], names=["h", "ctx", "doc_id", "pos"])
+                return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), pa.array(out[2]), pa.array(out[3].astype(np.int32)), pa.array(out[4])], names=["h", "ctx", "doc_id", "pos", "own"])
 
             rows = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -68,8 +72,12 @@ def scan(docs: DataFrame) -> DataFrame:
                 at = anchors(lead, BEFORE + 1)
                 start, end = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, len(data))
                 context = mix((sums[end] - sums[start]) * hasher.scale(len(data))[start])
-                hs.append(lead[at])
-                cs.append(mix(context ^ ((at - start) * 1000 + (end - at)).astype(np.uint64)))
+                context = mix(context ^ ((at - start) * 1000 + (end - at)).astype(np.uint64))
+                again = np.ones(len(at), dtype=bool)
+                again[np.unique(context, return_index=True)[1]] = False
+                hs.append(np.where(again, mix(np.array([doc_id], dtype=np.int64).view(np.uint64)), lead[at]))
+                cs.append(context)
+                own.append(again)
                 ids.append(np.full(len(at), doc_id, dtype=np.int64))
                 ps.append(at)
                 rows += len(at)
@@ -79,15 +87,15 @@ def scan(docs: DataFrame) -> DataFrame:
             if rows:
                 yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, ctx long, doc_id long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, ctx long, doc_id long, pos int, own boolean")
 
 
 def sort_out(found: DataFrame) -> DataFrame:
     """doc_id, and its places: settled (whole context goes) and open (distinct contexts of leads with several)."""
-    own = found.repartition("h")
-    ordered = Window.partitionBy("h").orderBy("ctx", "doc_id", "pos")
-    whole = Window.partitionBy("h")
-    marked = own.withColumn("again", F.lag("ctx").over(ordered).eqNullSafe(F.col("ctx"))).withColumn("several", F.min("ctx").over(whole) != F.max("ctx").over(whole))
+    dealt = found.repartition("h")
+    ordered = Window.partitionBy("h", "own").orderBy("ctx", "doc_id", "pos")
+    whole = Window.partitionBy("h", "own")
+    marked = dealt.withColumn("again", F.col("own") | F.lag("ctx").over(ordered).eqNullSafe(F.col("ctx"))).withColumn("several", F.min("ctx").over(whole) != F.max("ctx").over(whole))
     kept = marked.where("again OR several").select("doc_id", "pos", "again")
     return kept.groupBy("doc_id").agg(F.collect_list(F.when(F.col("again"), F.col("pos"))).alias("settled"), F.collect_list(F.when(~F.col("again"), F.col("pos"))).alias("open"))
 
