@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.functions import url as U
-from granary.operators import content, entity, events, scoring, web
+from granary.operators import content, entity, events, evidence, scoring, web
 
 REGISTRY: dict = {}
 NOW = "2024-01-31 00:00:00"
@@ -352,3 +352,75 @@ def _(spark, d):
     r = t(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.length("r_name").cast("long").alias("names"))
     n = t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.count("*").alias("nations"))
     return r.join(n, "k").unpivot("k", ["names", "nations"], "metric", "v")
+
+
+# --- Evidence, with rules that occur in the driver's texts -------------------------------------------------------------------
+RULES = [("licence", "licen[sc]e"), ("copyright", "copyright"), ("contact", "[a-z0-9.]+@[a-z0-9.]+"), ("number", "[0-9]{4,}"), ("licence", "all rights reserved")]
+_EVIDENCE = "WITH e AS (" + " UNION ALL ".join(f"SELECT doc_id, source, {i} AS rule, '{s}' AS signal, len(regexp_extract_all(text, '(?i){p}')) AS n FROM documents" for i, (s, p) in enumerate(RULES)) + ") "
+
+
+def _evidence(spark, d):
+    return evidence.extract(t(spark, d, "documents").select("doc_id", "source", "text"), ["doc_id", "source"], RULES)
+
+
+@query("EXT_2_signal_matches", _EVIDENCE + """, p AS (SELECT doc_id, rule, signal, n, coalesce(sum(n) OVER (PARTITION BY doc_id, signal ORDER BY rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT doc_id, rule, CASE WHEN n = 0 THEN 0 ELSE least(n, greatest(1, 3 - least(before, 3))) END::BIGINT AS n FROM p WHERE n > 0""")
+def _(spark, d):
+    return _evidence(spark, d).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+@query("AGG_6_signals", None)
+def _(spark, d):
+    tiered = _evidence(spark, d).withColumn("tier", F.when(F.col("signal") == "licence", 1).when(F.col("signal") == "contact", 2).otherwise(3))
+    return evidence.signals(evidence.keep_first_quotes(tiered, "doc_id"), "doc_id").select("doc_id", "signal", "n", "best_tier", "strength", "validated")
+
+
+@query("AGG_8_factors", _EVIDENCE + "SELECT doc_id, CASE WHEN signal IN ('licence', 'copyright') THEN 'legal' ELSE 'data' END AS factor, count(DISTINCT signal) AS n_signals FROM e WHERE n > 0 GROUP BY ALL")
+def _(spark, d):
+    mapping = spark.createDataFrame([("licence", "legal"), ("copyright", "legal"), ("contact", "data"), ("number", "data")], ["signal", "factor"])
+    return evidence.factors(_evidence(spark, d).select("doc_id", "signal").distinct(), "doc_id", mapping)
+
+
+@query("AGG_17_validation", _EVIDENCE + "SELECT signal, count(DISTINCT source) AS n_sources, CASE WHEN count(DISTINCT source) >= 4 THEN 90 WHEN count(DISTINCT source) = 3 THEN 75 WHEN count(DISTINCT source) = 2 THEN 55 ELSE 30 END AS score FROM e WHERE n > 0 GROUP BY 1")
+def _(spark, d):
+    return _evidence(spark, d).groupBy("signal").agg(F.count_distinct("source").alias("n_sources")).withColumn("score", evidence.validation_score(F.col("n_sources")))
+
+
+@query("AGG_23_worst_status", "SELECT user_id, CASE max(CASE WHEN event_type = 'error' THEN 3 WHEN value < 10 THEN 1 ELSE 0 END) WHEN 3 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM events GROUP BY 1")
+def _(spark, d):
+    return t(spark, d, "events").groupBy("user_id").agg(evidence.worst(F.when(F.col("event_type") == "error", "FAIL").when(F.col("value") < 10, "WARN").otherwise("PASS")).alias("status"))
+
+
+@query("GRD_8_forbidden_terms", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower(text), 'apache') THEN 'Apache' END, CASE WHEN contains(lower(text), 'license') THEN 'license' END], lambda x: x IS NOT NULL), ',') AS terms FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(evidence.forbidden_terms(F.col("text"), ["Apache", "license"]), ",").alias("terms"))
+
+
+@query("JOIN_2_required_embeds", "SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'no customer' WHEN c_acctbal < 0 THEN 'in debt' ELSE 'ok' END AS reason FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey, "left").select("o_orderkey", F.when(F.col("c_custkey").isNull(), "no customer").when(F.col("c_acctbal") < 0, "in debt").otherwise("ok").alias("reason"))
+
+
+@query("SET_2_union_minus", "SELECT id, src, rank FROM (SELECT id, src, row_number() OVER (ORDER BY src, id) AS rank FROM (SELECT c_custkey AS id, 0 AS src FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT DISTINCT o_custkey, 1 FROM orders WHERE o_totalprice > 490000 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000))) WHERE rank <= 500")
+def _(spark, d):
+    base = t(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("id"), F.lit(0).alias("src"))
+    more = t(spark, d, "orders").where("o_totalprice > 490000").select(F.col("o_custkey").alias("id")).distinct().join(base.select("id"), "id", "left_anti").select("id", F.lit(1).alias("src"))
+    top = base.unionByName(more).orderBy("src", "id").limit(500)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy("src", "id")))
+
+
+@query("WIN_7_latest_completed", "SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def _(spark, d):
+    return t(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+
+
+@query("SORT_4_nulls_last", "SELECT user_id, due, row_number() OVER (ORDER BY due ASC NULLS LAST, user_id) AS rank FROM (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) AS due FROM events GROUP BY 1) ORDER BY rank LIMIT 100")
+def _(spark, d):
+    due = t(spark, d, "events").groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("due"))
+    return due.orderBy(F.asc_nulls_last("due"), "user_id").limit(100).withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("due"), "user_id")))
+
+
+@query("TIME_9_warmup_curve", "SELECT event_id, floor(least(1.0, ((day(ts) - 1) / 30.0::DOUBLE)) * 50 + 0.5)::BIGINT AS sent FROM events")
+def _(spark, d):
+    return t(spark, d, "events").select("event_id", F.floor(F.least(F.lit(1.0), (F.dayofmonth("ts") - 1) / F.lit(30.0)) * 50 + 0.5).cast("long").alias("sent"))

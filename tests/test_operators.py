@@ -125,3 +125,17 @@ def test_entry_and_registry(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_evidence(spark):
+    from granary.operators import evidence
+
+    blob = "--- PAGE: /careers (https://x/careers) ---\nWe hire 1234 people. We hire more. hire hire\n--- PAGE: / (https://x/) ---\nhome"
+    seg = evidence.segments(spark.createDataFrame([(1, blob), (2, "no marker")], "id int, content string"), "id").orderBy("id", "seg_no").collect()
+    assert [(r.id, r.path, r.url) for r in seg] == [(1, "/careers", "https://x/careers"), (1, "/", "https://x/"), (2, "/", None)]
+    rows = spark.createDataFrame([(1, seg[0].text), (2, None)], "id int, text string")
+    got = evidence.extract(rows, ["id"], [("hiring", "hire"), ("hiring", "people"), ("number", "[0-9]+")]).orderBy("seq").collect()
+    assert [(r.signal, r.rule, r.match) for r in got] == [("hiring", 0, "hire")] * 3 + [("hiring", 1, "people"), ("number", 2, "1234")]
+    assert all(seg[0].text[r.pos : r.pos + len(r.match)] == r.match for r in got)
+    worst = spark.createDataFrame([("PASS",), ("WARN",), ("PARTIAL",)], ["s"]).agg(evidence.worst(F.col("s")).alias("w")).first().w
+    assert worst == "PARTIAL"
