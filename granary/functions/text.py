@@ -97,3 +97,41 @@ def cut_blocks(text: Column, limit: int = 20_000) -> Column:
     at = F.length(head) - F.instr(F.reverse(head), "\n\n") - 1
     cut = F.when((F.instr(head, "\n\n") > 0) & (at > limit // 2), F.substr(head, F.lit(1), at)).otherwise(head)
     return F.when(F.length(text) <= limit, text).otherwise(cut)
+
+
+def mentions_name(words: Column, text: Column) -> Column:
+    """Whether a text mentions a name by its significant words: all of one or two, else six in ten."""
+    low = F.lower(text)
+    found = F.size(F.filter(words, lambda w: F.contains(low, w)))
+    return F.when(F.size(words) == 0, False).when(F.size(words) <= 2, found == F.size(words)).otherwise(found >= F.size(words) * 0.6)
+
+
+def mentions_topic(words: Column, text: Column) -> Column:
+    """As mentions_name for a topic: any of up to three words, else 34 in 100."""
+    low = F.lower(text)
+    found = F.size(F.filter(words, lambda w: F.contains(low, w)))
+    return F.when(found == 0, False).when(F.size(words) <= 3, True).otherwise(found >= F.size(words) * 0.34)
+
+
+def quoted_topic(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r'"([^"]+)"', 1), F.lit(""))
+
+
+def versus_pair(text: Column) -> Column:
+    """The two capitalised names around `vs`, or null."""
+    pattern = r"([A-Z][A-Za-z0-9&-]*(?: [A-Z][A-Za-z0-9&-]*)*) (?:vs[.]?|versus) ([A-Z][A-Za-z0-9&-]*(?: [A-Z][A-Za-z0-9&-]*)*)"
+    return F.when(text.rlike(pattern), F.array(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
+
+
+def numbered_items(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?m)^\s*[0-9]+[.)] +([^\n]+)$"), F.lit(1))
+
+
+def statement_rejection(text: Column) -> Column:
+    """Why a statement isn't kept, or null: length 30 to 280, five words or more, not all capitals."""
+    t = F.trim(text)
+    return F.when(~F.length(t).between(30, 280), "length").when(F.size(F.split(t, r"\s+")) < 5, "words").when(t == F.upper(t), "capitals")
+
+
+def is_bounce(sender: Column, subject: Column) -> Column:
+    return F.lower(sender).rlike("mailer-daemon|postmaster") | F.lower(subject).rlike("undeliverable|delivery status notification|delivery failed|returned mail|failure notice")

@@ -62,3 +62,17 @@ def leader_clusters(rows: DataFrame) -> DataFrame:
         return type(pdf)(out, columns=["pos", "leader_pos"])
 
     return comp.select("c", "pos", "domain", "k", "s").groupBy("c").applyInPandas(replay, "pos long, leader_pos long")
+
+
+def aggregate_leads(leads: DataFrame) -> DataFrame:
+    """key, name, segments: a lead's best row (confidence rank, then pos) and its segments in order of first sight."""
+    first = leads.groupBy("key", "segment").agg(F.min("pos").alias("seen"))
+    order = first.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seen", "segment"))), lambda s: s["segment"]), ",").alias("segments"))
+    return leads.groupBy("key").agg(F.min_by("name", F.struct("rank", "pos")).alias("name")).join(order, "key")
+
+
+def ambiguous_tops(rows: DataFrame, key: str) -> DataFrame:
+    """key, candidate, confidence of the best candidate; null candidate where two share the best confidence."""
+    best = rows.groupBy(key).agg(F.max("confidence").alias("confidence"))
+    tied = rows.join(best, [key, "confidence"]).groupBy(key, "confidence").agg(F.count("*").alias("n"), F.min("candidate").alias("candidate"))
+    return tied.select(key, F.when(F.col("n") == 1, F.col("candidate")).alias("candidate"), "confidence")

@@ -47,3 +47,13 @@ def cluster_confidence(present: Column, wanted: Column) -> Column:
     """high, medium or low by the share of a cluster's signals that are present; null without any."""
     share = F.size(F.array_intersect(present, wanted)) / F.size(wanted)
     return F.when(share >= 0.66, "high").when(share >= 0.33, "medium").when(share > 0, "low")
+
+
+def evidence_confidence(tier1_share: Column, relevant_share: Column, n_types: Column, n_themes: Column) -> Column:
+    """0 to 100: 30 for tier, 25 for relevance, 25 for source types (of 8), 20 for themes (of 4)."""
+    return F.floor(tier1_share * 30 + relevant_share * 25 + F.least(F.lit(1.0), n_types / 8) * 25 + F.least(F.lit(1.0), n_themes / 4) * 20 + 0.5)
+
+
+def theme_priority(n_signals: Column, top: Column, tier1: Column) -> Column:
+    """min(40, 10 n) + round(0.4 top) + 20 with first-tier evidence, else 10."""
+    return F.least(F.lit(40), n_signals * 10) + F.floor(top * 0.4 + 0.5) + F.when(tier1, 20).otherwise(10)

@@ -424,3 +424,39 @@ def _(spark, d):
 @query("TIME_9_warmup_curve", "SELECT event_id, floor(least(1.0, ((day(ts) - 1) / 30.0::DOUBLE)) * 50 + 0.5)::BIGINT AS sent FROM events")
 def _(spark, d):
     return t(spark, d, "events").select("event_id", F.floor(F.least(F.lit(1.0), (F.dayofmonth("ts") - 1) / F.lit(30.0)) * 50 + 0.5).cast("long").alias("sent"))
+
+
+# --- More text rules, leads, confidence -----------------------------------------------------------------------------------------
+@query("TXT_12_name_gate", "WITH b AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w, lower(p_type || ' ' || p_brand || ' ' || p_name) AS low FROM part), c AS (SELECT *, list_filter(w, lambda x: length(x) >= 4) AS s FROM b) SELECT p_partkey, len(s) > 0 AND len(list_filter(s, lambda x: contains(low, x))) >= CASE WHEN len(s) <= 2 THEN len(s) ELSE len(s) * 0.6 END AS mentions FROM c")
+def _(spark, d):
+    words = F.filter(F.split(F.lower("p_name"), " "), lambda x: F.length(x) >= 4)
+    return t(spark, d, "part").select("p_partkey", X.mentions_name(words, F.concat_ws(" ", "p_type", "p_brand", "p_name")).alias("mentions"))
+
+
+@query("CLS_12_statement_rejection", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), r AS (SELECT doc_id, CASE WHEN length(trim(l)) NOT BETWEEN 30 AND 280 THEN 'length' WHEN len(regexp_split_to_array(trim(l), '\\s+')) < 5 THEN 'words' ELSE 'kept' END AS reason FROM l WHERE NOT regexp_matches(l, '[^\\x00-\\x7F]') AND regexp_matches(l, '[a-z]')) SELECT reason, count(*) AS n FROM r GROUP BY 1")
+def _(spark, d):
+    lines = t(spark, d, "documents").select(F.explode_outer(F.split("text", "\n")).alias("l")).where(~F.col("l").rlike("[^\\x00-\\x7F]") & F.col("l").rlike("[a-z]"))
+    return lines.groupBy(F.coalesce(X.statement_rejection(F.col("l")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("AGG_27_leads", "WITH l AS (SELECT c_nationkey AS key, c_mktsegment AS segment, c_name AS name, CASE WHEN c_acctbal > 5000 THEN 0 WHEN c_acctbal > 0 THEN 1 ELSE 2 END AS rank, c_custkey AS pos FROM customer), f AS (SELECT key, segment, min(pos) AS seen FROM l GROUP BY ALL) SELECT key, arg_min(name, (rank, pos)) AS name, any_value(s.segments) AS segments FROM l JOIN (SELECT key, string_agg(segment, ',' ORDER BY seen) AS segments FROM f GROUP BY 1) s USING (key) GROUP BY 1")
+def _(spark, d):
+    rank = F.when(F.col("c_acctbal") > 5000, 0).when(F.col("c_acctbal") > 0, 1).otherwise(2)
+    return entity.aggregate_leads(t(spark, d, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), rank.alias("rank"), F.col("c_custkey").alias("pos")))
+
+
+@query("JOIN_16_ambiguity", "WITH r AS (SELECT p_brand AS key, p_partkey AS candidate, p_size AS confidence FROM part), m AS (SELECT key, max(confidence) AS confidence FROM r GROUP BY 1) SELECT key, CASE WHEN count(*) = 1 THEN min(candidate) END AS candidate, confidence FROM r JOIN m USING (key, confidence) GROUP BY key, confidence")
+def _(spark, d):
+    return entity.ambiguous_tops(t(spark, d, "part").select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("candidate"), F.col("p_size").alias("confidence")), "key")
+
+
+@query("AGG_16_confidence", "SELECT o_custkey, floor(avg((o_orderpriority = '1-URGENT')::INT) * 30 + avg((o_totalprice > 100000)::INT) * 25 + least(1.0::DOUBLE, count(DISTINCT o_orderstatus) / 8.0::DOUBLE) * 25 + least(1.0::DOUBLE, count(DISTINCT o_orderpriority) / 4.0::DOUBLE) * 20 + 0.5::DOUBLE)::BIGINT AS confidence FROM orders GROUP BY 1")
+def _(spark, d):
+    g = t(spark, d, "orders").groupBy("o_custkey").agg(F.avg((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("a"), F.avg((F.col("o_totalprice") > 100000).cast("int")).alias("b"), F.count_distinct("o_orderstatus").alias("c"), F.count_distinct("o_orderpriority").alias("e"))
+    return g.select("o_custkey", scoring.evidence_confidence(F.col("a"), F.col("b"), F.col("c"), F.col("e")).cast("long").alias("confidence"))
+
+
+@query("AGG_18_theme_priority", "SELECT user_id, (least(40, 10 * count(DISTINCT event_type)) + floor(least(100.0, max(value)) * 0.4 + 0.5) + CASE WHEN bool_or(event_type = 'purchase') THEN 20 ELSE 10 END)::BIGINT AS priority FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 2")
+def _(spark, d):
+    g = t(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n"), F.least(F.lit(100.0), F.max("value")).alias("top"), F.bool_or(F.col("event_type") == "purchase").alias("p")).where("n >= 2")
+    return g.select("user_id", scoring.theme_priority(F.col("n"), F.col("top"), F.col("p")).cast("long").alias("priority"))
