@@ -207,6 +207,15 @@ def across_components(left_open: DataFrame, texts: DataFrame, percent: int) -> D
         sh, ids = [np.asarray(v) for v in pdf["sh"]], pdf["doc_id"].to_numpy()
         size = np.array([len(v) for v in sh])
         other = (block != block[0]).any()
+        words, codes = np.unique(np.concatenate(sh), return_inverse=True)
+        ends = np.cumsum(size)
+
+        def marked(members):
+            """Which of the joined sets' elements are members."""
+            mark = np.zeros(len(words), dtype=bool)
+            mark[np.searchsorted(words, members)] = True
+            return mark[codes]
+
         for i in range(len(ids)):
             apart = (label != label[i]) & (np.arange(len(ids)) > i)
             if other:
@@ -216,9 +225,12 @@ def across_components(left_open: DataFrame, texts: DataFrame, percent: int) -> D
             if not len(js):
                 continue
             differs = sum(np.bitwise_count((sig[js, h] ^ sig[i, h]) | (sig[js, 2 + h] ^ sig[i, 2 + h])).astype(int) for h in (0, 1))
-            for j in js[PERMUTATIONS - differs >= bound]:
-                common = len(np.intersect1d(sh[i], sh[j], assume_unique=True))
-                if 100 * common >= percent * (size[i] + size[j] - common):
+            js = js[PERMUTATIONS - differs >= bound]
+            if len(js):
+                # exact sizes of all intersections with set i: members of i are looked up in the cell's joined sets
+                hits = np.concatenate([[0], np.cumsum(marked(sh[i]))])
+                common = hits[ends[js]] - hits[ends[js] - size[js]]
+                for j in js[100 * common >= percent * (size[i] + size[js] - common)]:
                     found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return type(pdf)(found, columns=["a", "b"])
 
