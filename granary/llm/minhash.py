@@ -9,7 +9,7 @@
 4. Links are joined to components by label propagation.
 
 Buckets may hold a third of all texts, so their pairs are never listed. In a first round every member is only paired
-with three pivots of its bucket, which joins a group of copies in a few components. In a second round the members of
+with its bucket's smallest member, which joins a group of copies in a few components. In a second round the members of
 buckets that still hold several components are compared block against block; only links come out, and no member is
 dropped.
 
@@ -165,10 +165,10 @@ def connected(links: DataFrame, name: str = "labels") -> DataFrame:
 def links_and_labels(reps: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, label of representatives that are linked with others."""
     keyed = reps.select("doc_id", *SIGNATURE, F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("any")).where("m > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("first")).where("m > 1")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     members = buckets.select("key", "doc_id", *SIGNATURE)
-    pivots = buckets.where((F.col("doc_id") == F.col("first")) | (F.col("doc_id") == F.col("last")) | (F.col("doc_id") == F.col("any"))).select("key", "doc_id", *SIGNATURE)
+    pivots = buckets.where(F.col("doc_id") == F.col("first")).select("key", "doc_id", *SIGNATURE)
     tried = stored(pairs_with(members, pivots).distinct(), "pairs")
     links = stored(confirm(tried, texts, percent), "links")
     labels = connected(links).select(F.col("node").alias("doc_id"), "label")
