@@ -267,16 +267,21 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            rows = []
-            for texts in in_groups(batch.column(batch.num_columns - 1), GROUP_CHARS):
+            at, keys = 0, batch.num_columns - 1
+            for texts in in_groups(batch.column(keys), GROUP_CHARS):
+                rows, all_ids = [], []
                 for packed in own.encode_packed(texts):
-                    ids = np.frombuffer(packed, dtype="<u4").tolist()
-                    row = [len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()]
-                    rows.append(row + [ids] * with_ids)
-            kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int64())] * with_ids
-            made = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)]
-            names = batch.schema.names[:-1] + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, names=names)
+                    ids = np.frombuffer(packed, dtype="<u4")
+                    rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(ids.tolist())).hexdigest()))
+                    if with_ids:
+                        all_ids.append(ids)
+                made = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+                if with_ids:
+                    ends = np.cumsum([0] + [len(x) for x in all_ids]).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids).astype(np.int64))))
+                names = batch.schema.names[:-1] + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, len(texts)) for i in range(keys)] + made, names=names)
+                at += len(texts)
 
     kept = ", ".join(f"`k{i}` {inner.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     out = inner.mapInArrow(run, f"{kept}, {fields}")
