@@ -1,10 +1,10 @@
 """URL filter: explicit rules, and for the rest a naive Bayes score of segmented host and path tokens.
 
-Host names join words without spaces. A unigram model of the corpus' own URL words splits every host label by the
-Viterbi path; a multinomial naive Bayes model over these words and the path's words then tells wanted from unwanted
+Host names join words without spaces. A unigram model of the corpus' own path words and separated host parts splits
+every host label by the Viterbi path; a multinomial naive Bayes model over these words and the path's words then tells wanted from unwanted
 hosts. Its training classes come from a seed list of words (a parameter): URLs with a seed word are examples of
-`block`, all others of `allow`. Word and token counts are Spark aggregations over all pages; what reaches the workers
-is the most frequent `MAX_WORDS` of them, whatever the input.
+`block`, all others of `allow`. Word and token counts are Spark aggregations over all pages; the most frequent
+`MAX_WORDS` of them are shipped to the workers, all others are joined.
 
 Defined results: null urls and urls without `://` have empty host and path, no rule and verdict allow; ties between
 rules of equal length go to the one that sorts first; repeated urls are judged alike; extra columns are ignored; an
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import lower_ascii, table
+from granary.llm.common import lower_ascii, stored, table
 
 #: (verdict, rule): a rule is a host, a slash and the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -29,7 +29,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 SEEDS = ("casino", "bets", "bet", "poker", "pills", "viagra", "spam", "porn", "xxx", "warez", "track", "ads")
 #: Seeds and common company words count as known words at least this often, so that names can be split at them.
 PRIOR_WORDS = SEEDS + ("free", "cheap", "win", "farm", "online", "shop", "news", "blog", "mail", "best", "buy", "club")
-PRIOR_COUNT, MAX_WORDS, MAX_WORD = 50, 100_000, 24
+PRIOR_COUNT, MAX_WORDS, MAX_WORD, SALTS = 50, 100_000, 24, 32
 TOKEN = r"[a-z]+|[0-9]+"
 
 
@@ -53,100 +53,152 @@ def rule_columns(host: Column, path: Column, rules: Iterable[tuple[str, str]] =
     return rule, verdict
 
 
-def most_frequent(counts: DataFrame, key: str, limit: int) -> dict[str, int]:
-    """The keys whose count reaches the lowest bound that at most `limit` keys reach."""
-    sizes = counts.groupBy("n").count().orderBy(F.desc("n")).limit(limit).collect()
+def most_frequent(counts: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose count reaches the lowest bound that at most `limit` keys reach, and the others (None if none are)."""
     bound, total = 1 << 62, 0
-    for row in sizes:
+    for row in counts.groupBy("n").count().orderBy(F.desc("n")).limit(limit + 1).collect():
         total += row["count"]
         if total > limit:
-            break
+            return counts.where(F.col("n") >= bound), counts.where(F.col("n") < bound)
         bound = row.n
-    return {r[key]: r.n for r in counts.where(F.col("n") >= bound).select(key, "n").collect()}
+    return counts, None
 
 
 class Splitter:
-    """Splits joined words by the likeliest sequence of known words; unknown stretches cost by length."""
+    """Splits joined words by the likeliest sequence of known words.
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    A name with unknown stretches is split at long known words only (`LONG` letters), and no unknown stretch is shorter
+    than `STRETCH`: `bet` isn't a word of `better`. Unknown stretches cost by length, also a whole name.
+    """
+
+    LONG, STRETCH = 5, 4
+
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
         counts = dict(counts)
+        self.total = (sum(counts.values()) if total is None else total) + len(PRIOR_WORDS) * PRIOR_COUNT
         for w in PRIOR_WORDS:
             counts[w] = counts.get(w, 0) + PRIOR_COUNT
-        self.total = sum(counts.values())
-        self.costs = {w: -math.log(n / self.total) for w, n in counts.items() if len(w) <= MAX_WORD}
+        self.costs = {w: self._known(n) for w, n in counts.items() if len(w) <= MAX_WORD}
+
+    def _known(self, n: int) -> float:
+        return math.log(self.total / n)
+
+    def _unknown(self, size: int) -> float:
+        return math.log(self.total) + 2.3 * size
 
-    def _cost(self, word: str) -> float:
-        return self.costs.get(word) or math.log(self.total) + 2.3 * len(word)
+    def split(self, name: str, rare: dict[str, int] | None = None) -> list[str]:
+        """The parts; rare holds the counts of words that aren't among the splitter's own."""
+        costs = self.costs
+        if rare:
+            costs = costs | {w: self._known(n + PRIOR_COUNT * (w in PRIOR_WORDS)) for w, n in rare.items()}
+        whole = (self._unknown(len(name)) if name not in costs else costs[name], [name])
+        return min(whole, self._best(name, costs, False), self._best(name, costs, True))[1]
 
-    def split(self, name: str) -> list[str]:
-        best, back = [0.0], [0]
+    def _best(self, name: str, costs: dict[str, float], stretches: bool) -> tuple[float, list[str]]:
+        best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
-            cost, start = min((best[s] + self._cost(name[s:end]), s) for s in range(max(0, end - MAX_WORD), end))
-            best.append(cost)
-            back.append(start)
+            for start in range(max(0, end - MAX_WORD), end):
+                cost = costs.get(name[start:end], math.inf) if not stretches or end - start >= self.LONG else math.inf
+                if stretches and end - start >= self.STRETCH:
+                    cost = min(cost, self._unknown(end - start))
+                if best[start] + cost < best[end]:
+                    best[end], back[end] = best[start] + cost, start
         out, end = [], len(name)
-        while end:
+        while end and best[-1] < math.inf:
             out.append(name[back[end] : end])
             end = back[end]
-        return out[::-1]
+        return best[-1], out[::-1]
 
 
 class Tokens:
     """host and path -> marked tokens; remembers the hosts of late."""
 
-    def __init__(self, splitter: Splitter, words: frozenset[str]) -> None:
-        self.splitter, self.words, self.hosts = splitter, words, {}
+    def __init__(self, splitter: Splitter) -> None:
+        self.splitter, self.hosts = splitter, {}
 
-    def of(self, host: str, path: str) -> list[str]:
+    def of(self, host: str, path: str, rare: Iterable[dict] | None = None) -> list[str]:
         known = self.hosts.get(host)
         if known is None:
-            known = ["h:" + w for x in re.findall(TOKEN, host) for w in (self.splitter.split(x) if x[0] > "9" else ["#"])]
+            own = {r["word"]: r["n"] for r in rare} if rare is not None else None
+            known = ["h:" + w for x in re.findall(TOKEN, host) for w in (self.splitter.split(x, own) if x[0] > "9" else ["#"])]
             if len(self.hosts) > MAX_WORDS:
                 self.hosts.clear()
             self.hosts[host] = known
         return known + ["p:" + (x if x[0] > "9" else "#") for x in re.findall(TOKEN, path.lower())]
 
 
-def url_words(urls: DataFrame) -> DataFrame:
-    """word, n: the letter runs of hosts (joined names as they stand) and paths."""
-    words = F.explode(F.regexp_extract_all(F.concat_ws("/", "host", lower_ascii(F.col("path"))), F.lit("[a-z]+"), F.lit(0)))
-    return urls.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def runs_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, seeds: Iterable[str] = SEEDS, bar: float = 0.5) -> DataFrame:
+def url_words(urls: DataFrame) -> DataFrame:
+    """word, n: the letter runs of paths, and those of host labels that hyphens or digits part.
+
+    A name that stands alone in its label may be joined, so it is no word by its own count. A part of a label counts
+    once for each other label that has it, however many pages these have.
+    """
+    paths = urls.select(F.explode(runs_of(lower_ascii(F.col("path")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    labels = urls.select("host").distinct().select(F.explode(F.split("host", r"\.")).alias("label")).where(F.col("label").rlike("[a-z][^a-z]+[a-z]")).distinct()
+    parts = labels.select(F.explode(F.array_distinct(runs_of(F.col("label")))).alias("word")).groupBy("word").agg((F.count("*") - 1).alias("n")).where("n > 0")
+    return paths.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def with_rare_words(urls: DataFrame, rare: DataFrame | None) -> DataFrame:
+    """urls with the words of `rare` that their hosts hold (rare: an array of word and n, or null)."""
+    if rare is None:
+        return urls.withColumn("rare", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
+    hosts = urls.select("host").distinct().select("host", F.explode(F.array_distinct(runs_of(F.col("host")))).alias("run"))
+    ends = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("run") - i + 1)), lambda n: F.substr(F.col("run"), i, n))
+    inside = hosts.select("host", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"), "run").select("host", F.explode(ends(F.col("i"))).alias("word"))
+    found = inside.distinct().join(rare, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("rare"))
+    # a host may have a third of all pages: they are dealt over SALTS tasks
+    salted = found.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "host", "path", "rare")
+
+
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, seeds: Iterable[str] = SEEDS, bar: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the posterior of block; null where a rule decides)."""
     spark = pages.sparkSession
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    urls = pages.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
-    splitter = Splitter(most_frequent(url_words(urls), "word", MAX_WORDS))
-    shared = spark.sparkContext.broadcast((splitter, frozenset("h:" + s for s in seeds)))
+    plain = pages.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
+    words = stored(url_words(plain), "words")
+    shipped, rare = most_frequent(words, "word", max_words)
+    splitter = Splitter({r.word: r.n for r in shipped.collect()}, words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    urls = with_rare_words(plain, rare)
+    urls = urls if rare is None else stored(urls, "urls")
+    shared = spark.sparkContext.broadcast(splitter)
 
     @F.pandas_udf("array<string>")
-    def tokens_of(host: pd.Series, path: pd.Series) -> pd.Series:
-        own = Tokens(*shared.value)
-        return pd.Series([own.of(h, p) for h, p in zip(host, path)])
+    def tokens_of(host: pd.Series, path: pd.Series, rare: pd.Series) -> pd.Series:
+        own = Tokens(shared.value)
+        return pd.Series([own.of(h, p, r) for h, p, r in zip(host, path, rare)])
 
     seeded = F.arrays_overlap("tokens", F.array(*[F.lit("h:" + s) for s in seeds]))
-    examples = urls.select(tokens_of("host", "path").alias("tokens")).select("tokens", seeded.cast("int").alias("bad"))
+    examples = urls.select(tokens_of("host", "path", "rare").alias("tokens")).select("tokens", seeded.cast("int").alias("bad"))
     priors = {r.bad: r.n for r in examples.groupBy("bad").agg(F.count("*").alias("n")).collect()}
-    counted = examples.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    kept = most_frequent(counted, "token", MAX_WORDS)
-    bad = {r.token: r.bad for r in counted.where("bad > 0").orderBy(F.desc("bad"), "token").limit(MAX_WORDS).collect()}
-    sums = {1: sum(bad.values()), 0: sum(kept.values()) - sum(bad.get(t, 0) for t in kept)}
-    size = len(kept) + 1
-    log = lambda n, c: math.log((n + 1) / (sums[c] + size))
-    weights = {t: log(bad.get(t, 0), 1) - log(n - bad.get(t, 0), 0) for t, n in kept.items()}
+    counted = stored(examples.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "tokens")
+    n_bad, n_all, size = counted.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*") + 1).first()
+    log = lambda n, all_: F.log((n + 1) / F.lit(float(all_ + size)))
+    weighed = counted.select("token", "n", (log(F.col("bad"), n_bad) - log(F.col("n") - F.col("bad"), n_all - n_bad)).alias("weight"))
+    frequent, others = most_frequent(weighed, "token", max_words)
     prior = math.log((priors.get(1, 0) + 1) / (priors.get(0, 0) + 1))
-    model = spark.sparkContext.broadcast((splitter, weights, prior))
+    model = spark.sparkContext.broadcast((splitter, {r.token: r.weight for r in frequent.collect()}, prior))
 
-    @F.pandas_udf("double")
-    def posterior(host: pd.Series, path: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<logit:double,tail:array<string>>")
+    def partial(host: pd.Series, path: pd.Series, rare: pd.Series) -> pd.DataFrame:
         split, weight, start = model.value
-        own = Tokens(split, frozenset())
-        logit = [start + sum(weight.get(t, 0.0) for t in own.of(h, p)) for h, p in zip(host, path)]
-        return pd.Series([1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in logit])
-
-    judged = urls.select("*", rule.alias("rule"), verdict.alias("said"), posterior("host", "path").alias("own"))
+        own = Tokens(split)
+        found = [own.of(h, p, r) for h, p, r in zip(host, path, rare)]
+        return pd.DataFrame({"logit": [start + sum(weight.get(t, 0.0) for t in x) for x in found], "tail": [[t for t in x if t not in weight] for x in found]})
+
+    summed = urls.select("page_id", "host", "path", partial("host", "path", "rare").alias("x")).select("page_id", "host", "path", "x.*")
+    if others is not None:
+        # tokens beyond the shipped ones get their weights by a join; ids stay as they are once the table is stored
+        rows = stored(summed.withColumn("row", F.monotonically_increasing_id()), "partial")
+        tails = rows.select("row", F.explode("tail").alias("token")).join(others, "token").groupBy("row").agg(F.sum("weight").alias("more"))
+        summed = rows.join(tails, "row", "left").withColumn("logit", F.col("logit") + F.coalesce("more", F.lit(0.0)))
+    own = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("logit")))))
+    judged = summed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), own.alias("own"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.when((F.col("host") != "") & (F.col("own") > bar), "block").otherwise("allow")).alias("verdict"), F.when(F.col("said").isNull(), F.col("own")).alias("score"))
 
 

@@ -234,3 +234,16 @@ def test_pipeline(spark, small):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs, stage(spark, docs, small)
         assert docs.columns == before.columns, name
+
+
+def test_url_filter_joined_hosts(spark):
+    from granary.llm import url_filter as q
+
+    names = ["casinobets"] * 60 + ["casinoroyal"] * 30 + ["better"] * 30 + ["best-casino"] * 5
+    urls = [f"http://www.{n}.example.edu/en/w{chr(97 + i % 26)}x/{i}" for i, n in enumerate(names)] + [f"http://blog{i}.example.edu/en/w{chr(97 + i % 26)}x/{i}" for i in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in q.judge(pages).collect()}
+    assert [{got[i].verdict for i in part} for part in (range(60), range(60, 90), range(90, 120), range(120, 125), range(125, 425))] == [{"block"}, {"block"}, {"allow"}, {"block"}, {"allow"}]
+    for bound in (1, 4):
+        few = {r.page_id: r for r in q.judge(pages, max_words=bound).collect()}
+        assert all(few[i].verdict == got[i].verdict and few[i].score == pytest.approx(got[i].score) for i in got) and len(few) == len(got)
