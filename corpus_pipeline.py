@@ -13,6 +13,9 @@ from granary.llm import byte_bpe, decontaminate, minhash, quality_rules, suffix_
 from granary.llm.common import stored, table
 from granary.session import ship_package
 
+#: Similarity of word shingles from which the pipeline takes two documents for near copies; op3 has its own.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule go."""
@@ -20,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies (NEAR_PERCENT of all shingles shared) the document with the smallest doc_id stays."""
     ship_package(spark)
-    return minhash.keep_first(docs)
+    return minhash.keep_first(docs, percent=NEAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ A pair of similarity 0.85 shares a bucket with probability 1 - (1 - 0.85^5)^25 >
 Defined results: null and empty texts have empty sets and are linked with nothing; texts with fewer than five words
 have one shingle, all their words; repeated rows and equal texts form one component, named by its smallest doc_id; an
 empty table gives an empty table; columns beside doc_id and text are kept by `keep_first` and ignored by `components`.
+`keep_first` returns one row of each doc_id that stays, and all rows without a doc_id.
 """
 
 from __future__ import annotations
@@ -126,10 +127,10 @@ def with_signatures(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "sh").mapInArrow(run, schema)
 
 
-def pairs_with(buckets: DataFrame, pivot: DataFrame) -> DataFrame:
+def pairs_with(buckets: DataFrame, pivot: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a < b) of each bucket member with its bucket's pivot, if their estimate allows."""
     joined = buckets.alias("x").join(pivot.alias("p"), "key")
-    close = (F.col("x.doc_id") != F.col("p.doc_id")) & (agreements("x", "p") >= agreement_bound())
+    close = (F.col("x.doc_id") != F.col("p.doc_id")) & (agreements("x", "p") >= agreement_bound(percent))
     return joined.where(close).select(F.least("x.doc_id", "p.doc_id").alias("a"), F.greatest("x.doc_id", "p.doc_id").alias("b"))
 
 
@@ -169,7 +170,7 @@ def links_and_labels(reps: DataFrame, texts: DataFrame, percent: int = PERCENT)
     buckets = stored(keyed.join(shared, "key"), "buckets")
     members = buckets.select("key", "doc_id", *SIGNATURE)
     pivots = buckets.where(F.col("doc_id") == F.col("first")).select("key", "doc_id", *SIGNATURE)
-    tried = stored(pairs_with(members, pivots).distinct(), "pairs")
+    tried = stored(pairs_with(members, pivots, percent).distinct(), "pairs")
     links = stored(confirm(tried, texts, percent), "links")
     labels = connected(links).select(F.col("node").alias("doc_id"), "label")
     own = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -251,10 +252,23 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return got.select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id: of repeated rows the one whose text, then whose other columns sort first, nulls last."""
+    repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    if repeated.isEmpty():
+        return docs
+    row = F.struct(*docs.columns)
+    order = F.struct(F.col("text").isNull(), F.col("text"), F.to_json(row))
+    some = docs.join(repeated, docs["doc_id"] == repeated["_id"], "left_semi")
+    firsts = some.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    return docs.join(repeated, docs["doc_id"] == repeated["_id"], "left_anti").unionByName(firsts)
+
+
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents of which no near copy has a smaller doc_id."""
-    kept = components(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The documents of which no near copy has a smaller doc_id, one row of each; rows without a doc_id all stay."""
+    named = one_row_each(docs.where(F.col("doc_id").isNotNull()))
+    kept = components(named, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
+    return named.join(kept, named["doc_id"] == kept["_kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

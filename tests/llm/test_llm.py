@@ -247,3 +247,16 @@ def test_url_filter_joined_hosts(spark):
     for bound in (1, 4):
         few = {r.page_id: r for r in q.judge(pages, max_words=bound).collect()}
         assert all(few[i].verdict == got[i].verdict and few[i].score == pytest.approx(got[i].score) for i in got) and len(few) == len(got)
+
+
+def test_near_duplicates_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    make = lambda: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(100)]
+    base, other = make(), " ".join(make())
+    copy = base[:30] + ["new"] + base[31:70] + ["other"] + base[71:]  # 86 of 106 shingles: 0.811
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (None, "a clean text"), (None, "a clean text"), (5, other), (5, other), (6, None), (7, "once"), (7, None), (8, other)]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, "a clean text")] * 2 + [(1, " ".join(base)), (5, other), (6, ""), (7, "once")])
