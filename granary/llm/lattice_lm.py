@@ -31,8 +31,8 @@ from granary.llm.textbytes import WindowHasher
 
 FOLDS, HELD_OUT = 10, 0
 MAX_WORDS = 300_000
-#: Rounds of expectation maximisation on the most frequent words, before the last one on all words.
-FIRST_ROUNDS = 3
+#: Rounds of expectation maximisation, each on all training words.
+EM_ROUNDS = 4
 #: Taken off the count of every training word; the mass that this frees goes through the lattice (absolute discounting).
 DISCOUNT = 0.75
 SMOOTH = 0.1
@@ -198,11 +198,11 @@ def expected_counts(counts: DataFrame, path: str, scores: np.ndarray) -> np.ndar
     return out
 
 
-def estimate(counts: DataFrame, frequent: DataFrame, path: str, ends: int) -> np.ndarray:
-    """Piece scores, the last one that of the end token: first rounds on frequent words, the last on all of them."""
+def estimate(counts: DataFrame, path: str, ends: int) -> np.ndarray:
+    """Piece scores, the last one that of the end token, by EM_ROUNDS rounds over all counted words."""
     scores = np.append(lattice(path)[1], np.log(0.05))
-    for words in [frequent] * FIRST_ROUNDS + [counts]:
-        new = expected_counts(words, path, scores) + SMOOTH
+    for _ in range(EM_ROUNDS):
+        new = expected_counts(counts, path, scores) + SMOOTH
         new[-1] += ends
         scores = np.log(new / new.sum())
     return scores
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> tuple[DataFra
             break
     frequent = counts.where(F.col("n") >= bound)
     model = {"tokens": int(total + ends), "distinct": int(distinct + (ends > 0)), "ends": int(ends), "path": path}
-    model["scores"] = estimate(counts, frequent, path, ends)
+    model["scores"] = estimate(counts, path, ends)
     shared = counts.sparkSession.sparkContext.broadcast(model["scores"])
 
     def lattices(batches):

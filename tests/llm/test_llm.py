@@ -260,3 +260,10 @@ def test_near_duplicates_stage(spark):
     docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, "a clean text")] * 2 + [(1, " ".join(base)), (5, other), (6, ""), (7, "once")])
+
+
+def test_lattice_lm_bound_changes_no_score(odd):
+    from granary.llm import lattice_lm as q
+
+    few, all_ = ({r.doc_id: r.score for r in q.score(odd, q.default_path(), max_words=n).collect()} for n in (5, q.MAX_WORDS))
+    assert few == pytest.approx(all_, rel=1e-9) and len(few) == odd.count()
