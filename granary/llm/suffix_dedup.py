@@ -12,6 +12,8 @@ equal strings have equal anchors and only the suffixes at anchors (about 3 in 10
    rule sends equal leads to one bucket, so no run crosses a boundary.
 3. In a run, for every window of LENGTH bytes around the anchor, all but its earliest occurrence are repeats. The
    windows of one anchor all hold its lead, so the first and the last repeated window bound what goes.
+   Runs of more than RUN_ROWS suffixes aren't sorted: the earliest start of each of their windows comes from a
+   map-side combined aggregation, and a salted join marks the others.
 4. Spans are merged per document and the other bytes hashed.
 
 Windows and contexts are compared by 64-bit hashes. A lead that is in a third of all documents has as many rows in the
@@ -36,7 +38,7 @@ from granary.llm.textbytes import BYTE_CODE, BASE, BASE_INVERSE, WindowHasher, a
 
 LENGTH, LEAD = 100, 32
 BEFORE = LENGTH - LEAD
-SAMPLE_DOCS, ROWS_PER_BUCKET, RUN_ROWS = 2000, 40_000, 20_000
+SAMPLE_DOCS, ROWS_PER_BUCKET, RUN_ROWS, SALTS = 2000, 40_000, 20_000, 32
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -91,13 +93,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def sort_out(found: DataFrame) -> DataFrame:
-    """doc_id, and its places: settled (whole context goes) and open (distinct contexts of leads with several)."""
+    """doc_id, and its places: settled (whole context goes), open and long (distinct contexts of leads with several).
+
+    Leads with more than RUN_ROWS contexts are long: no task may hold their run.
+    """
     dealt = found.repartition("h")
     ordered = Window.partitionBy("h", "own").orderBy("ctx", "doc_id", "pos")
     whole = Window.partitionBy("h", "own")
     marked = dealt.withColumn("again", F.col("own") | F.lag("ctx").over(ordered).eqNullSafe(F.col("ctx"))).withColumn("several", F.min("ctx").over(whole) != F.max("ctx").over(whole))
-    kept = marked.where("again OR several").select("doc_id", "pos", "again")
-    return kept.groupBy("doc_id").agg(F.collect_list(F.when(F.col("again"), F.col("pos"))).alias("settled"), F.collect_list(F.when(~F.col("again"), F.col("pos"))).alias("open"))
+    sized = marked.withColumn("long", F.sum((~F.col("again")).cast("long")).over(whole) > RUN_ROWS)
+    kept = sized.where("again OR several").select("doc_id", "pos", "again", "long")
+    places = lambda which: F.collect_list(F.when(which, F.col("pos")))
+    again, long = F.col("again"), F.col("long")
+    return kept.groupBy("doc_id").agg(places(again).alias("settled"), places(~again & ~long).alias("open"), places(~again & long).alias("long"))
 
 
 def splitters(docs: DataFrame, n: int) -> np.ndarray:
@@ -225,13 +233,46 @@ def compare(suffixes: DataFrame, n: int) -> DataFrame:
     return suffixes.repartition(n, "bucket").mapInArrow(run, "doc_id long, a int, b int")
 
 
+def windows_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """w (hash of the window's bytes), doc_id, pos, start of every window of LENGTH bytes around every long place."""
+
+    def run(batches):
+        hasher = WindowHasher()
+        for batch in batches:
+            for doc_id, text, opens in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                data = _bytes(text)
+                sums, every = hasher.sums(data), np.array(opens, dtype=np.int64)
+                for k in range(0, len(every), 2000):
+                    at = np.repeat(every[k : k + 2000], BEFORE + 1)
+                    start = at - np.tile(np.arange(BEFORE + 1), len(at) // (BEFORE + 1))
+                    fits = (start >= 0) & (start + LENGTH <= len(data))
+                    at, start = at[fits], start[fits]
+                    h = hasher.of(sums, start, LENGTH)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), doc_id, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32))], names=["w", "doc_id", "pos", "start"])
+
+    own = docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "long")
+    return own.mapInArrow(run, "w long, doc_id long, pos int, start int")
+
+
+def compare_long(windows: DataFrame) -> DataFrame:
+    """doc_id, a, b: the spans that the long runs show to be repeats, by aggregations in place of sorted runs."""
+    firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # a window may be in a third of all documents: its rows are dealt over SALTS tasks
+    salted = firsts.select("w", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
+    again = dealt.join(salted, ["w", "salt"]).where(F.struct("doc_id", "start") != F.col("first"))
+    return again.groupBy("doc_id", "pos").agg(F.min("start").alias("a"), (F.max("start") + LENGTH).cast("int").alias("b")).select("doc_id", "a", "b")
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, settled (places whose contexts go), a and b (starts and ends of further spans)."""
     places = stored(sort_out(scan(docs)), "places")
-    total = places.agg(F.sum(F.size("open"))).first()[0] or 0
+    total, in_long = (x or 0 for x in places.agg(F.sum(F.size("open")), F.sum(F.size("long"))).first())
     n = partitions_for(total, ROWS_PER_BUCKET)
     some = places.where(F.size("open") > 0).select("doc_id", "open")
     spans = compare(open_suffixes(docs, some, splitters(docs.select("doc_id", "text"), n)), n)
+    if in_long:
+        spans = spans.unionByName(compare_long(stored(windows_of(docs, places.where(F.size("long") > 0).select("doc_id", "long")), "windows")))
     per_doc = spans.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     return places.select("doc_id", "settled").join(per_doc, "doc_id", "full")
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -267,3 +268,27 @@ def test_lattice_lm_bound_changes_no_score(odd):
 
     few, all_ = ({r.doc_id: r.score for r in q.score(odd, q.default_path(), max_words=n).collect()} for n in (5, q.MAX_WORDS))
     assert few == pytest.approx(all_, rel=1e-9) and len(few) == odd.count()
+
+
+def test_suffix_dedup_long_runs(spark, odd, monkeypatch):
+    from granary.llm import suffix_dedup as q
+
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = make(400)
+    rows = [(i, make(rng.randint(70, 120)) + shared[: rng.randint(250, 400)] + make(90)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = docs.unionByName(odd.select((F.col("doc_id") + 100).alias("doc_id"), "text"))
+    monkeypatch.setattr(q, "RUN_ROWS", 8)
+    places = q.sort_out(q.scan(docs)).agg(F.sum(F.size("open")).alias("open"), F.sum(F.size("long")).alias("long")).first()
+    assert places.long > 60 and places.open < places.long
+    got = {r.doc_id: r for r in q.stripped(both).collect()}
+    seen = set()
+    for i, t in texts_of(both):
+        data = t.encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(data[p : p + 100])
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(bytes(c for c, g in zip(data, gone) if not g)).hexdigest())
