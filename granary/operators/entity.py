@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
+from granary.session import stored
 
 
 def unseen(rows: DataFrame, history: DataFrame) -> DataFrame:
@@ -36,32 +38,43 @@ def confidence(count, framed):
 def leader_clusters(rows: DataFrame) -> DataFrame:
     """pos, leader_pos: rows join the earliest leader of equal domain, else equal name key, else equal squashed key (5 characters or more).
 
-    Leaders keep their own keys. Components of shared keys are found first, as no merge crosses them; each is then
-    replayed in order. Components are as large as a chain of rows that share a key.
+    Leaders keep their own keys. Components of shared keys are found first, as no merge crosses them: rounds go on
+    until no label changes, and each is written to the shared folder. Each component is then replayed in order; a task
+    holds one batch of rows and the leaders' keys of one component. pos identifies a row.
     """
+    tiers = ("domain", "k", "s")
     keyed = rows.select("pos", "domain", X.ascii_name_key(F.col("name")).alias("k")).withColumn("s", F.when(F.length(X.squash(F.col("k"))) >= 5, X.squash(F.col("k"))))
-    comp = keyed.withColumn("c", F.col("pos"))
-    for _ in range(3):  # a row is tied to others by three keys; labels spread over all of them in each round
-        for key in ("domain", "k", "s"):
-            low = comp.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("c").alias("m"))
-            comp = comp.join(low, key, "left").withColumn("c", F.least("c", F.coalesce("m", "c"))).drop("m")
-
-    def replay(pdf):
-        leaders, out = [], []
-        for r in pdf.sort_values("pos").itertuples():
-            found = None
-            for tier in ("domain", "k", "s"):
-                value = getattr(r, tier)
-                if value is not None and value == value:
-                    found = next((x for x in leaders if getattr(x, tier) == value), None)
-                if found is not None:
-                    break
-            if found is None:
-                leaders.append(r)
-            out.append((r.pos, r.pos if found is None else found.pos))
-        return type(pdf)(out, columns=["pos", "leader_pos"])
-
-    return comp.select("c", "pos", "domain", "k", "s").groupBy("c").applyInPandas(replay, "pos long, leader_pos long")
+    comp = stored(keyed.withColumn("c", F.col("pos")), "leaders")
+    while True:
+        new = comp.withColumn("old", F.col("c"))
+        for key in tiers:
+            low = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("c").alias("m"))
+            new = new.join(low, key, "left").withColumn("c", F.least("c", F.coalesce("m", "c"))).drop("m")
+        jumps = comp.select(F.col("pos").alias("c"), F.col("c").alias("j"))
+        new = new.join(jumps, "c", "left").withColumn("c", F.least("c", F.coalesce("j", "c")))
+        new = stored(new.select("pos", *tiers, "c", "old"), "leaders")
+        comp = new.drop("old")
+        if new.where("c < old").isEmpty():
+            break
+
+    def replay(batches):
+        last, leaders = None, {}
+        for batch in batches:
+            found = []
+            for c, pos, *keys in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                if c != last:
+                    last, leaders = c, {}
+                own = [(tier, v) for tier, v in zip(tiers, keys) if v is not None]
+                leader = next((leaders[x] for x in own if x in leaders), None)
+                if leader is None:
+                    leader = pos
+                    for x in own:
+                        leaders.setdefault(x, pos)
+                found.append(leader)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, type=pa.int64())], names=["pos", "leader_pos"])
+
+    ordered = comp.select("c", F.col("pos").cast("long").alias("pos"), *tiers).repartition("c").sortWithinPartitions("c", "pos")
+    return ordered.mapInArrow(replay, "pos long, leader_pos long")
 
 
 def aggregate_leads(leads: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +32,34 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """key, ts, event_id, allowed, retry_s: a window opens with the first request after the last one's end.
+    """key, event_id, allowed, retry_s: a window opens with the first request after the last one's end.
 
-    The fold runs over a key's requests in order; denied ones don't count.
+    The fold runs over a key's requests in order; denied ones don't count. Keys are dealt over tasks and sorted with
+    spill; a task holds one batch of rows and the state of one key, however many requests the key has.
     """
-    ordered = requests.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").cast("double").alias("t"), F.col("event_id").alias("id")))).alias("r"))
-    zero = F.struct(F.lit(-1e18).alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,allowed:boolean,retry:bigint>>").alias("out"))
-
-    def step(acc, x):
-        fresh = (x["t"] - acc["start"]) >= window_s
-        denied = ~fresh & (acc["n"] >= limit)
-        said = F.struct(x["id"].alias("id"), (~denied).alias("allowed"), F.when(denied, F.ceil(acc["start"] + window_s - x["t"])).cast("bigint").alias("retry"))
-        return F.struct(F.when(fresh, x["t"]).otherwise(acc["start"]).alias("start"), F.when(fresh, F.lit(1)).when(denied, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(said)).alias("out"))
-
-    return ordered.select("key", F.explode_outer(F.aggregate("r", zero, step)["out"]).alias("o")).select("key", F.col("o.id").alias("event_id"), F.col("o.allowed").alias("allowed"), F.col("o.retry").alias("retry_s"))
+    kind = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    rows = requests.select("key", F.col("ts").cast("double").alias("t"), "event_id")
+
+    def run(batches):
+        last, start, n = None, -1e18, 0
+        for batch in batches:
+            allowed, retry = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (k,) != last:
+                    last, start, n = (k,), -1e18, 0
+                gap = None if t is None else t - start
+                fresh = gap is not None and gap >= window_s
+                denied = not fresh and n >= limit
+                if fresh:
+                    start, n = t, 1
+                elif not denied:
+                    n += 1
+                allowed.append(not denied)
+                retry.append(math.ceil(start + window_s - t) if denied and t is not None else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(allowed, type=pa.bool_()), pa.array(retry, type=pa.int64())], names=["key", "event_id", "allowed", "retry_s"])
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "t", "event_id")
+    return ordered.mapInArrow(run, f"key {kind['key']}, event_id {kind['event_id']}, allowed boolean, retry_s long")
 
 
 def streaks(rows: DataFrame, key: str, order: list[str], hit: Column) -> DataFrame:

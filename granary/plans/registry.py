@@ -343,7 +343,7 @@ def _(spark, d):
 
 @query("AGG_29_leader_clusters", None)
 def _(spark, d):
-    p = t(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.lit(None).cast("string").alias("domain"), F.col("p_name").alias("name"))
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-")), F.lit(".example"))).alias("domain"), F.col("p_name").alias("name"))
     return entity.leader_clusters(p)
 
 

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,35 @@ def test_evidence(spark):
     assert all(seg[0].text[r.pos : r.pos + len(r.match)] == r.match for r in got)
     worst = spark.createDataFrame([("PASS",), ("WARN",), ("PARTIAL",)], ["s"]).agg(evidence.worst(F.col("s")).alias("w")).first().w
     assert worst == "PARTIAL"
+
+
+def test_rate_limit_batches(spark):
+    r = spark.range(30_000).select((F.col("id") % 100 == 0).cast("long").alias("key"), F.timestamp_seconds(F.col("id") / 2).alias("ts"), F.col("id").alias("event_id"))
+    limited = events.rate_limited(r, 2, 60)
+    assert "collect_list" not in limited._jdf.queryExecution().toString()
+    got = {x.event_id: (x.allowed, x.retry_s) for x in limited.collect()}
+    state, expected = {}, {}
+    for i in range(30_000):
+        start, n = state.get(i % 100 == 0, (-1e18, 0))
+        if i / 2 - start >= 60:
+            start, n = i / 2, 0
+        expected[i] = (n < 2, None if n < 2 else math.ceil(start + 60 - i / 2))
+        state[i % 100 == 0] = (start, min(2, n + 1))
+    assert got == expected
+
+
+def test_leader_clusters_long_chain(spark):
+    # a chain by domain and name in turn, in an order that takes labels many rounds
+    names = ["".join(chr(97 + int(d)) for d in f"{i:05d}") for i in range(60)]
+    links = [(f"d{i // 2}.com", names[(i + 1) // 2]) for i in range(60)]
+    order = list(range(59, -1, -2)) + list(range(0, 60, 2))
+    rows = [(pos, *links[i]) for pos, i in enumerate(order)]
+    got = {r.pos: r.leader_pos for r in entity.leader_clusters(spark.createDataFrame(rows, "pos long, domain string, name string")).collect()}
+    seen, expected = [], {}
+    for pos, domain, name in rows:
+        lead = next((p for p, d, _ in seen if d == domain), None)
+        lead = next((p for p, _, n in seen if n == name), None) if lead is None else lead
+        if lead is None:
+            seen.append((pos, domain, name))
+        expected[pos] = pos if lead is None else lead
+    assert got == expected
