@@ -128,9 +128,10 @@ def numbered_items(text: Column) -> Column:
 
 
 def statement_rejection(text: Column) -> Column:
-    """Why a statement isn't kept, or null: length 30 to 280, five words or more, not all capitals."""
+    """Why a statement isn't kept, or null: length 30 to 280, five words or more, not all capitals (of more than 8 letters A-Z)."""
     t = F.trim(text)
-    return F.when(~F.length(t).between(30, 280), "length").when(F.size(F.split(t, r"\s+")) < 5, "words").when(t == F.upper(t), "capitals")
+    letters = F.regexp_replace(t, "[^A-Za-z]", "")
+    return F.when(~F.length(t).between(30, 280), "length").when(F.size(F.split(t, r"\s+")) < 5, "words").when((F.length(letters) > 8) & ~letters.rlike("[a-z]"), "capitals")
 
 
 def is_bounce(sender: Column, subject: Column) -> Column:

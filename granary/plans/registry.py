@@ -132,7 +132,7 @@ def _(spark, d):
 
 @query("EXT_17_market_statements", None)
 def _(spark, d):
-    s = t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode_outer(X.sentences(F.col("text"))).alias("s"))
+    s = t(spark, d, "documents").select("doc_id", F.explode_outer(X.sentences(F.col("text"))).alias("s"))
     ok = s.where(F.length("s").between(30, 280) & (F.size(F.split("s", r"\s+")) >= 5))
     return ok.groupBy("doc_id", content.market_category(F.col("s")).alias("category")).agg(F.count("*").alias("n"))
 
@@ -439,6 +439,13 @@ def _(spark, d):
     return lines.groupBy(F.coalesce(X.statement_rejection(F.col("l")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+# every line, of which CLS_12's SQL judges those in ASCII with a small letter; regex dialects differ on the others
+@query("CLS_12_all_statements", None)
+def _(spark, d):
+    lines = t(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("l"))
+    return lines.groupBy(F.coalesce(X.statement_rejection(F.col("l")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("AGG_27_leads", "WITH l AS (SELECT c_nationkey AS key, c_mktsegment AS segment, c_name AS name, CASE WHEN c_acctbal > 5000 THEN 0 WHEN c_acctbal > 0 THEN 1 ELSE 2 END AS rank, c_custkey AS pos FROM customer), f AS (SELECT key, segment, min(pos) AS seen FROM l GROUP BY ALL) SELECT key, arg_min(name, (rank, pos)) AS name, any_value(s.segments) AS segments FROM l JOIN (SELECT key, string_agg(segment, ',' ORDER BY seen) AS segments FROM f GROUP BY 1) s USING (key) GROUP BY 1")
 def _(spark, d):
     rank = F.when(F.col("c_acctbal") > 5000, 0).when(F.col("c_acctbal") > 0, 1).otherwise(2)

@@ -173,3 +173,22 @@ def test_leader_clusters_long_chain(spark):
             seen.append((pos, domain, name))
         expected[pos] = pos if lead is None else lead
     assert got == expected
+
+
+def test_statements_of_all_languages(spark, tmp_path):
+    import collections
+
+    from granary.plans import queries
+
+    lines = ["ALL CAPITALS ARE A HEADING AND NO STATEMENT", "Die Nachfrage wächst jedes Jahr um zehn Prozent", "short", "12345678 12345678 12345678 12345678 5678", "zusammengesetztewörter sind hier vereinigt", "a growing trend of 8% CAGR in this market"]
+    docs = [(1, "\n".join(lines), "en"), (2, "There is a shortage of skilled staff in this market.", "fr"), (3, "There is a shortage of skilled staff in this market.", None), (4, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def reason(line):
+        letters = [c for c in line if c.isascii() and c.isalpha()]
+        return "length" if not 30 <= len(line) <= 280 else "words" if len(line.split()) < 5 else "capitals" if len(letters) > 8 and "".join(letters).isupper() else "kept"
+
+    expected = collections.Counter(reason(x) for _, text, _ in docs if text for x in text.split("\n"))
+    got = {r.reason: r.n for r in queries()["CLS_12_all_statements"](spark, str(tmp_path)).collect()}
+    assert got == expected and got["capitals"] == 1
+    assert {2, 3} <= {r.doc_id for r in queries()["EXT_17_market_statements"](spark, str(tmp_path)).collect()}
