@@ -4,67 +4,92 @@ A byte goes when it lies in a `LENGTH`-byte string that also starts earlier (sma
 an earlier start). Every such string holds an anchor: the place of the smallest hash among its `LEAD`-byte strings, so
 equal strings have equal anchors and only the suffixes at anchors (about 3 in 100) need sorting.
 
-1. Anchors are scanned per document; one shuffle by the hash of their leading bytes brings equal leads together. An
-   anchor whose whole context (68 bytes before to 100 after) occurred earlier is settled at once: all of it goes. Only
-   the first anchor of each context whose lead also has other contexts remains; their texts are fetched.
-2. Splitters from a bounded sample of suffixes range-partition these suffixes by their leading bytes. In each bucket,
-   suffixes are sorted by multikey quicksort over 8-byte tokens; neighbours with equal leads form runs. The splitter
-   rule sends equal leads to one bucket, so no run crosses a boundary.
-3. In a run, for every window of LENGTH bytes around the anchor, all but its earliest occurrence are repeats. The
-   windows of one anchor all hold its lead, so the first and the last repeated window bound what goes.
+1. Anchors are scanned per document; one shuffle by the hash of their leading bytes brings equal leads together. Leads
+   that occur once are certainly unique and go no further. Equal contexts (68 bytes before an anchor to 100 after) are
+   pre-aggregated: all but the first of each are settled, and only the firsts of leads with several contexts are
+   fetched. Leads that a bounded sample shows to be frequent are dealt over SALTS tasks and settled in two steps.
+2. Splitters, whole leads from a bounded sample of documents, range-partition these suffixes by their leading tokens.
+   Each bucket is sorted twice by multikey quicksort over 8-byte tokens: its suffixes, and the bytes before them from
+   right to left. Bytes that neighbours have in common cut both orders into intervals for every window length.
+3. A window of LENGTH bytes around an anchor is repeated where an earlier row lies in the same interval of both orders,
+   that is, where its bytes are equal. The windows of one anchor all hold its lead, so the first and the last repeated
+   one bound what goes. Splitters are whole leads and a lead equal to one always goes to its right, so that neighbours
+   across a boundary never share a lead and no window of LENGTH bytes: comparing them can't find a repeat.
    Runs of more than RUN_ROWS suffixes aren't sorted: the earliest start of each of their windows comes from a
-   map-side combined aggregation, and a salted join marks the others.
+   map-side combined aggregation of 64-bit window hashes, and a salted join marks the others.
 4. Spans are merged per document and the other bytes hashed.
 
-Windows and contexts are compared by 64-bit hashes. A lead that is in a third of all documents has as many rows in the
-first shuffle as these documents, a small part of all anchors; after step 1 only its distinct contexts are left.
+Contexts are taken for equal by a 64-bit hash beside the equal 64-bit hash of their leads.
 
 Defined results: null and empty texts, and those shorter than LENGTH, lose nothing and repeat nothing; of equal texts
-the smallest doc_id keeps its bytes; empty tables give empty results; extra columns are kept by the pipeline's stage.
-doc_id identifies a document and isn't null.
+the smallest doc_id keeps its bytes; of rows that share a doc_id the one whose text sorts first counts as the earlier
+one, and rows without a doc_id come after all others in the order of their texts; empty tables give empty results;
+extra columns are kept by `cut` and ignored by `stripped`.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import partitions_for, stored, table
-from granary.llm.textbytes import BYTE_CODE, BASE, BASE_INVERSE, WindowHasher, anchors, mix, powers
+from granary.llm.textbytes import WindowHasher, anchors, mix
 
 LENGTH, LEAD = 100, 32
 BEFORE = LENGTH - LEAD
-SAMPLE_DOCS, ROWS_PER_BUCKET, RUN_ROWS, SALTS = 2000, 40_000, 20_000, 32
+#: Documents, and places of each at most, in the sample that splitters and frequent leads are taken from.
+SAMPLE_DOCS, SAMPLE_PLACES = 2000, 200
+ROWS_PER_BUCKET, RUN_ROWS, SALTS = 40_000, 20_000, 32
+#: Leads in so many documents of the sample, and in this share of them, are frequent.
+FREQUENT_DOCS, FREQUENT_SHARE = 4, 0.005
+#: The number of a row within its table; what the steps call key.
+KEY = "_row_key"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with KEY, unique and ascending by doc_id (nulls last), then by text.
+
+    It is the doc_id itself where that identifies a row; only otherwise rows are sorted, in ranges.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    rows = stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+    ordered = rows.orderBy(F.asc_nulls_last("doc_id"), "text", KEY).withColumn(KEY, F.monotonically_increasing_id())
+    return stored(ordered, "numbered")
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8"), dtype=np.uint8)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """h (hash of the leading bytes), ctx (hash of the whole context), doc_id, pos, own of every anchor.
+def scan(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
+    """h (hash of the leading bytes), ctx (hash of the whole context), key, pos, own, salt of every anchor.
 
     own: the context occurred before in the same document. That settles the anchor, so it needn't meet its lead; its h
-    is then one of the document, which keeps lines that fill whole documents from landing in one task.
+    is then one of the document, which keeps lines that fill whole documents from landing in one task. salt is -1 but
+    for frequent leads (ascending hashes), which it deals over SALTS tasks.
     """
+    often = docs.sparkSession.sparkContext.broadcast(np.zeros(0, dtype=np.uint64) if frequent is None else frequent)
 
     def run(batches):
-        hasher = WindowHasher()
+        hasher, hot = WindowHasher(), often.value
         for batch in batches:
-            hs, cs, ids, ps, own = [], [], [], [], []
+            hs, cs, ids, ps, own, salts = [], [], [], [], [], []
 
             def flush():
-                out = [np.concatenate(x) for x in (hs, cs, ids, ps, own)]
-                for x in (hs, cs, ids, ps, own):
+                out = [np.concatenate(x) for x in (hs, cs, ids, ps, own, salts)]
+                for x in (hs, cs, ids, ps, own, salts):
                     x.clear()
-                return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), pa.array(out[2]), pa.array(out[3].astype(np.int32)), pa.array(out[4])], names=["h", "ctx", "doc_id", "pos", "own"])
+                return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), pa.array(out[2]), pa.array(out[3].astype(np.int32)), pa.array(out[4]), pa.array(out[5])], names=["h", "ctx", "key", "pos", "own", "salt"])
 
             rows = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = _bytes(text.as_py())
                 if len(data) < LENGTH:
                     continue
@@ -77,11 +102,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 context = mix(context ^ ((at - start) * 1000 + (end - at)).astype(np.uint64))
                 again = np.ones(len(at), dtype=bool)
                 again[np.unique(context, return_index=True)[1]] = False
-                hs.append(np.where(again, mix(np.array([doc_id], dtype=np.int64).view(np.uint64)), lead[at]))
+                hs.append(np.where(again, mix(np.array([key], dtype=np.int64).view(np.uint64)), lead[at]))
                 cs.append(context)
                 own.append(again)
-                ids.append(np.full(len(at), doc_id, dtype=np.int64))
+                ids.append(np.full(len(at), key, dtype=np.int64))
                 ps.append(at)
+                known = hot[np.searchsorted(hot, lead[at]).clip(0, len(hot) - 1)] == lead[at] if len(hot) else np.zeros(len(at), dtype=bool)
+                salts.append(np.where(known & ~again, key % SALTS, -1).astype(np.int32))
                 rows += len(at)
                 if rows > 200_000:
                     yield flush()
@@ -89,44 +116,72 @@ def scan(docs: DataFrame) -> DataFrame:
             if rows:
                 yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, ctx long, doc_id long, pos int, own boolean")
+    return docs.select(KEY, "text").mapInArrow(run, "h long, ctx long, key long, pos int, own boolean, salt int")
+
+
+def _marked(found: DataFrame, within: list[str]) -> DataFrame:
+    """found with again (its context occurred before), several (its lead has more contexts) and long (more than RUN_ROWS)."""
+    ordered, whole = Window.partitionBy(*within).orderBy("ctx", "key", "pos"), Window.partitionBy(*within)
+    marked = found.withColumn("again", F.col("own") | F.lag("ctx").over(ordered).eqNullSafe(F.col("ctx"))).withColumn("several", F.min("ctx").over(whole) != F.max("ctx").over(whole))
+    return marked.withColumn("long", F.sum((~F.col("again")).cast("long")).over(whole) > RUN_ROWS)
 
 
 def sort_out(found: DataFrame) -> DataFrame:
-    """doc_id, and its places: settled (whole context goes), open and long (distinct contexts of leads with several).
+    """key, and its places: settled (whole context goes), open and long (distinct contexts of leads with several).
 
-    Leads with more than RUN_ROWS contexts are long: no task may hold their run.
+    Leads with more than RUN_ROWS contexts are long: no task may hold their run. `hot` has the first places of each
+    task's share of a frequent lead, which `settle_hot` compares with each other.
     """
-    dealt = found.repartition("h")
-    ordered = Window.partitionBy("h", "own").orderBy("ctx", "doc_id", "pos")
-    whole = Window.partitionBy("h", "own")
-    marked = dealt.withColumn("again", F.col("own") | F.lag("ctx").over(ordered).eqNullSafe(F.col("ctx"))).withColumn("several", F.min("ctx").over(whole) != F.max("ctx").over(whole))
-    sized = marked.withColumn("long", F.sum((~F.col("again")).cast("long")).over(whole) > RUN_ROWS)
-    kept = sized.where("again OR several").select("doc_id", "pos", "again", "long")
+    sized = _marked(found.repartition("h", "salt"), ["h", "salt", "own"])
+    again, hot = F.col("again"), F.col("salt") >= 0
+    kept = sized.where(again | hot | F.col("several")).select("key", "pos", "again", "long", "salt", "h", "ctx")
     places = lambda which: F.collect_list(F.when(which, F.col("pos")))
-    again, long = F.col("again"), F.col("long")
-    return kept.groupBy("doc_id").agg(places(again).alias("settled"), places(~again & ~long).alias("open"), places(~again & long).alias("long"))
+    return kept.groupBy("key").agg(places(again).alias("settled"), places(~again & ~hot & ~F.col("long")).alias("open"), places(~again & ~hot & F.col("long")).alias("long"),
+                                   F.collect_list(F.when(~again & hot, F.struct("h", "ctx", "pos"))).alias("hot"))
+
+
+def settle_hot(places: DataFrame) -> DataFrame:
+    """places with those of frequent leads moved from `hot` into the other lists; each lead has SALTS rows a context at most."""
+    hot = places.select("key", F.explode("hot").alias("x")).select("key", "x.*", F.lit(False).alias("own"))
+    sized = _marked(hot.repartition("h"), ["h"]).where("again OR several")
+    again, names = F.col("again"), ("settled", "open", "long")
+    which = {"settled": again, "open": ~again & ~F.col("long"), "long": ~again & F.col("long")}
+    more = sized.groupBy("key").agg(*[F.collect_list(F.when(which[x], F.col("pos"))).alias(f"more_{x}") for x in names])
+    none = F.array().cast("array<int>")
+    return places.join(more, "key", "left").select("key", *[F.concat(x, F.coalesce(f"more_{x}", none)).alias(x) for x in names])
 
 
-def splitters(docs: DataFrame, n: int) -> np.ndarray:
-    """n - 1 leading tokens that part the suffixes of a bounded sample of documents evenly."""
-    order = F.xxhash64("doc_id", F.lit(3))
+def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending leads of a bounded sample of documents, and the hashes of those frequent in it, ascending."""
     count = docs.count()
     share = min(1.0, 1.5 * SAMPLE_DOCS / max(1, count))
-    some = docs.where(order <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else docs
+    some = docs.where(F.xxhash64(KEY, F.lit(3)) <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else docs
 
     def run(batches):
         hasher = WindowHasher()
         for batch in batches:
-            got = []
+            leads, hashes = [], []
             for text in batch.column(0).to_pylist():
                 data = _bytes(text)
-                at = anchors(hasher.windows(data, LEAD), BEFORE + 1)
-                got.append(tokens(np.stack([data[p : p + 8] for p in at]))[:, 0] if len(at) else np.zeros(0, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["t"])
+                h = hasher.windows(data, LEAD)
+                at = anchors(h, BEFORE + 1)
+                # the places with the smallest hashes: the same leads are taken wherever they stand
+                at = at[np.argsort(h[at])[:SAMPLE_PLACES]]
+                at = at[np.unique(h[at], return_index=True)[1]]
+                leads += [data[p : p + LEAD].tobytes() for p in at]
+                hashes.append(h[at])
+            if leads:
+                yield pa.RecordBatch.from_arrays([pa.array(leads, type=pa.binary()), pa.array(np.concatenate(hashes).view(np.int64))], names=["lead", "h"])
+
+    got = some.select("text").limit(SAMPLE_DOCS).mapInArrow(run, "lead binary, h long").toArrow()
+    leads = np.sort(np.array(got["lead"].to_pylist(), dtype=f"S{LEAD}")) if len(got) else np.zeros(0, dtype=f"S{LEAD}")
+    hashes, n = np.unique(got["h"].to_numpy().view(np.uint64), return_counts=True)
+    return leads, hashes[n >= max(FREQUENT_DOCS, FREQUENT_SHARE * min(count, SAMPLE_DOCS))]
+
 
-    got = np.sort(some.select("text").limit(SAMPLE_DOCS).mapInArrow(run, "t long").toArrow()["t"].to_numpy().view(np.uint64))
-    return np.unique(got[np.linspace(0, len(got) - 1, n + 1).astype(int)[1:-1]]) if len(got) else got
+def splitters(leads: np.ndarray, n: int) -> np.ndarray:
+    """n - 1 leads that part a sample's leads evenly."""
+    return np.unique(leads[np.linspace(0, len(leads) - 1, n + 1).astype(int)[1:-1]]) if len(leads) else leads
 
 
 def tokens(rows: np.ndarray) -> np.ndarray:
@@ -157,89 +212,92 @@ def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-_UP, _DOWN = powers(BASE, LENGTH + BEFORE), powers(BASE_INVERSE, LENGTH + BEFORE)
+def common(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row in order has in common with the one before it (none for the first)."""
+    out = np.zeros(len(order), dtype=np.int64)
+    step = 20_000
+    for a in range(1, len(order), step):
+        x = order[a - 1 : min(len(order), a + step)]
+        differs = rows[x[1:]] != rows[x[:-1]]
+        out[a : a + len(x) - 1] = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+    return out
 
 
 def repeated_windows(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of context (BEFORE bytes, then LENGTH): the least and the greatest offset of a repeated window, or -1."""
+    """For rows of context (BEFORE bytes, then LENGTH): the least and the greatest offset of a repeated window, or -1.
+
+    The window that starts `offset` bytes before an anchor is equal in two rows if these lie in one interval of the
+    suffix order (LENGTH - offset bytes in common) and in one of the order of the bytes before, read backwards.
+    """
     least, most = np.full(len(rows), -1), np.full(len(rows), -1)
-    rank = np.empty(len(rows), dtype=np.int64)
-    rank[np.lexsort((pos, doc))] = np.arange(len(rows))
-    by_rank = np.argsort(rank)
-    sums = np.zeros((len(rows), LENGTH + BEFORE + 1), dtype=np.uint64)
-    np.cumsum(BYTE_CODE[rows] * _UP, axis=1, out=sums[:, 1:])
+    after, before = rows[:, BEFORE:], rows[:, :BEFORE][:, ::-1]
+    order = multikey_quicksort(tokens(after))
+    shared = common(after, order)
+    # a lead that no neighbour has is unique: its row repeats nothing
+    some = order[(shared >= LEAD) | np.r_[shared[1:] >= LEAD, False]]
+    if not len(some):
+        return least, most
+    some = some[np.lexsort((pos[some], doc[some]))]
+    reverse = multikey_quicksort(tokens(before))
+    shared_before = common(before, reverse)
+    interval, interval_before = np.empty(len(rows), dtype=np.int64), np.empty(len(rows), dtype=np.int64)
     for offset in range(BEFORE + 1):
-        start = BEFORE - offset
-        valid = by_rank[(left[by_rank] >= offset) & (right[by_rank] >= LENGTH - offset)]
-        h = mix((sums[valid, start + LENGTH] - sums[valid, start]) * _DOWN[start])
-        order = np.argsort(h, kind="stable")
-        again = valid[order[1:][h[order[1:]] == h[order[:-1]]]]
+        interval[order] = np.cumsum(shared < LENGTH - offset)
+        interval_before[reverse] = np.cumsum(shared_before < offset)
+        valid = some[(left[some] >= offset) & (right[some] >= LENGTH - offset)]
+        code = interval[valid] * (len(rows) + 1) + interval_before[valid]
+        by_code = np.argsort(code, kind="stable")
+        again = valid[by_code[1:][code[by_code[1:]] == code[by_code[:-1]]]]
         least[again[least[again] < 0]] = offset
         most[again] = offset
     return least, most
 
 
 def open_suffixes(docs: DataFrame, places: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """bucket, doc_id, pos, left, ctx (the bytes around) of every open place."""
+    """bucket, key, pos, left, ctx (the bytes around) of every open place."""
 
     def run(batches):
         for batch in batches:
-            for ids, texts, opens in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                data = (texts or "").encode("utf-8")
+            for key, text, opens in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                data = (text or "").encode("utf-8")
                 at = np.array(opens, dtype=np.int64)
-                heads = tokens(np.stack([np.frombuffer(data[p : p + 8], dtype=np.uint8) for p in at]))[:, 0]
+                leads = np.array([data[p : p + LEAD] for p in at], dtype=f"S{LEAD}")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(cuts, heads, side="right").astype(np.int32)), pa.array(np.full(len(at), ids, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(np.minimum(at, BEFORE).astype(np.int32)), pa.array([data[max(0, p - BEFORE) : p + LENGTH] for p in at], type=pa.binary())],
-                    names=["bucket", "doc_id", "pos", "lft", "ctx"])
+                    [pa.array(np.searchsorted(cuts, leads, side="right").astype(np.int32)), pa.array(np.full(len(at), key, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(np.minimum(at, BEFORE).astype(np.int32)), pa.array([data[max(0, p - BEFORE) : p + LENGTH] for p in at], type=pa.binary())],
+                    names=["bucket", "key", "pos", "lft", "ctx"])
 
-    own = docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "open")
-    return own.mapInArrow(run, "bucket int, doc_id long, pos int, lft int, ctx binary")
+    own = docs.select(F.col(KEY).alias("key"), "text").join(places, "key").select("key", "text", "open")
+    return own.mapInArrow(run, "bucket int, key long, pos int, lft int, ctx binary")
 
 
 def compare(suffixes: DataFrame, n: int) -> DataFrame:
-    """doc_id, a, b: the spans that the runs of equal leads show to be repeats."""
+    """key, a, b: the spans that a bucket's two orders show to be repeats."""
 
     def run(batches):
         parts = list(batches)
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        doc, pos, left = (t[x].to_numpy().astype(np.int64) for x in ("doc_id", "pos", "lft"))
+        doc, pos, left = (t[x].to_numpy().astype(np.int64) for x in ("key", "pos", "lft"))
         ctx = t["ctx"].to_pylist()
         rows = np.zeros((len(ctx), BEFORE + LENGTH), dtype=np.uint8)
         size = np.array([len(x) for x in ctx], dtype=np.int64)
         for i, x in enumerate(ctx):
             rows[i, BEFORE - left[i] : BEFORE - left[i] + len(x)] = np.frombuffer(x, dtype=np.uint8)
-        order = multikey_quicksort(tokens(rows[:, BEFORE:]))
-        lead = tokens(rows[:, BEFORE : BEFORE + LEAD])[order]
-        heads = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]).any(axis=1), True])
-        group: list[np.ndarray] = []
+        least, most = repeated_windows(rows, left, size - left, doc, pos)
+        hit = np.flatnonzero(least >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos[hit] - most[hit]).astype(np.int32)), pa.array((pos[hit] + LENGTH - least[hit]).astype(np.int32))], names=["key", "a", "b"])
 
-        def spans():
-            at = np.concatenate(group)
-            group.clear()
-            least, most = repeated_windows(rows[at], left[at], (size - left)[at], doc[at], pos[at])
-            hit = np.flatnonzero(least >= 0)
-            return pa.RecordBatch.from_arrays([pa.array(doc[at[hit]]), pa.array((pos[at[hit]] - most[hit]).astype(np.int32)), pa.array((pos[at[hit]] + LENGTH - least[hit]).astype(np.int32))], names=["doc_id", "a", "b"])
-
-        for a, b in zip(heads[:-1], heads[1:]):
-            if b - a > 1:
-                group.append(order[a:b])
-                if sum(map(len, group)) >= RUN_ROWS:
-                    yield spans()
-        if group:
-            yield spans()
-
-    return suffixes.repartition(n, "bucket").mapInArrow(run, "doc_id long, a int, b int")
+    return suffixes.repartitionById(n, F.col("bucket")).mapInArrow(run, "key long, a int, b int")
 
 
 def windows_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """w (hash of the window's bytes), doc_id, pos, start of every window of LENGTH bytes around every long place."""
+    """w (hash of the window's bytes), key, pos, start of every window of LENGTH bytes around every long place."""
 
     def run(batches):
         hasher = WindowHasher()
         for batch in batches:
-            for doc_id, text, opens in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            for key, text, opens in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 data = _bytes(text)
                 sums, every = hasher.sums(data), np.array(opens, dtype=np.int64)
                 for k in range(0, len(every), 2000):
@@ -248,33 +306,37 @@ def windows_of(docs: DataFrame, places: DataFrame) -> DataFrame:
                     fits = (start >= 0) & (start + LENGTH <= len(data))
                     at, start = at[fits], start[fits]
                     h = hasher.of(sums, start, LENGTH)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), doc_id, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32))], names=["w", "doc_id", "pos", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), key, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32))], names=["w", "key", "pos", "start"])
 
-    own = docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "long")
-    return own.mapInArrow(run, "w long, doc_id long, pos int, start int")
+    own = docs.select(F.col(KEY).alias("key"), "text").join(places, "key").select("key", "text", "long")
+    return own.mapInArrow(run, "w long, key long, pos int, start int")
 
 
 def compare_long(windows: DataFrame) -> DataFrame:
-    """doc_id, a, b: the spans that the long runs show to be repeats, by aggregations in place of sorted runs."""
-    firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    """key, a, b: the spans that the long runs show to be repeats, by aggregations in place of sorted runs."""
+    firsts = windows.groupBy("w").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # a window may be in a third of all documents: its rows are dealt over SALTS tasks
     salted = firsts.select("w", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
-    again = dealt.join(salted, ["w", "salt"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return again.groupBy("doc_id", "pos").agg(F.min("start").alias("a"), (F.max("start") + LENGTH).cast("int").alias("b")).select("doc_id", "a", "b")
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
+    again = dealt.join(salted, ["w", "salt"]).where(F.struct("key", "start") != F.col("first"))
+    return again.groupBy("key", "pos").agg(F.min("start").alias("a"), (F.max("start") + LENGTH).cast("int").alias("b")).select("key", "a", "b")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, settled (places whose contexts go), a and b (starts and ends of further spans)."""
-    places = stored(sort_out(scan(docs)), "places")
-    total, in_long = (x or 0 for x in places.agg(F.sum(F.size("open")), F.sum(F.size("long"))).first())
+    """key, settled (places whose contexts go), a and b (starts and ends of further spans); docs has KEY and text."""
+    leads, frequent = sample(docs)
+    places = stored(sort_out(scan(docs, frequent)), "places")
+    total, in_long, in_hot = (x or 0 for x in places.agg(F.sum(F.size("open")), F.sum(F.size("long")), F.sum(F.size("hot"))).first())
+    if in_hot:
+        places = stored(settle_hot(places), "places")
+        total, in_long = (x or 0 for x in places.agg(F.sum(F.size("open")), F.sum(F.size("long"))).first())
     n = partitions_for(total, ROWS_PER_BUCKET)
-    some = places.where(F.size("open") > 0).select("doc_id", "open")
-    spans = compare(open_suffixes(docs, some, splitters(docs.select("doc_id", "text"), n)), n)
+    some = places.where(F.size("open") > 0).select("key", "open")
+    spans = compare(open_suffixes(docs, some, splitters(leads, n)), n)
     if in_long:
-        spans = spans.unionByName(compare_long(stored(windows_of(docs, places.where(F.size("long") > 0).select("doc_id", "long")), "windows")))
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    return places.select("doc_id", "settled").join(per_doc, "doc_id", "full")
+        spans = spans.unionByName(compare_long(stored(windows_of(docs, places.where(F.size("long") > 0).select("key", "long")), "windows")))
+    per_doc = spans.groupBy("key").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    return places.select("key", "settled").join(per_doc, "key", "full")
 
 
 def merged(size: int, settled: list[int] | None, a: list[int] | None, b: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -288,23 +350,42 @@ def merged(size: int, settled: list[int] | None, a: list[int] | None, b: list[in
     return start[new], end[np.r_[new[1:], True]] if len(end) else end
 
 
-def stripped(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document, and with with_text the bytes that are left."""
+def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
+    """KEY, doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of a numbered table, and with with_text the bytes that are left."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text, settled, a, b in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            for text, settled, a, b in zip(*[batch.column(i).to_pylist() for i in range(2, 6)]):
                 data = (text or "").encode("utf-8")
                 start, end = merged(len(data), settled, a, b)
                 kept = data if not len(start) else b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*start.tolist(), len(data)]))
-                out.append([doc_id, len(data), len(data) - len(kept), len(start), hashlib.sha256(kept).hexdigest()] + [kept] * with_text)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=k) for i, k in enumerate(kinds)], names=names)
+                out.append([len(data), len(data) - len(kept), len(start), hashlib.sha256(kept).hexdigest()] + [kept] * with_text)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
+            names = [KEY, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[i] for r in out], type=k) for i, k in enumerate(kinds)]], names=names)
+
+    gone = removals(docs).withColumnRenamed("key", KEY)
+    both = docs.select(KEY, F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, KEY, "left").select(KEY, "doc_id", "text", "settled", "a", "b")
+    return both.mapInArrow(run, f"{KEY} long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
-    both = docs.select("doc_id", "text").join(removals(docs), "doc_id", "left").select("doc_id", "text", "settled", "a", "b")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+
+def stripped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    return _cut(numbered(docs.select("doc_id", "text")), False).drop(KEY)
+
+
+def cut(docs: DataFrame, text_of: Callable[[Column], Column], sizes: tuple[str, ...] = ()) -> DataFrame:
+    """docs with what repeats taken out of text; text_of makes a text of the bytes left. All rows and columns stay.
+
+    The columns of `sizes` get the new text's length where it changed.
+    """
+    rows = numbered(docs)
+    kept = _cut(rows, True).where("n_removed > 0").select(F.col(KEY).alias("_cut_key"), text_of(F.col("kept")).alias("_cut_text"))
+    joined = rows.join(kept, rows[KEY] == kept["_cut_key"], "left")
+    changed, text = kept["_cut_key"].isNotNull(), kept["_cut_text"]
+    new = {"text": F.when(changed, text).otherwise(rows["text"])} | {c: F.when(changed, F.length(text).cast("long")).otherwise(rows[c]) for c in sizes}
+    return joined.select(*[new[c].alias(c) if c in new else rows[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

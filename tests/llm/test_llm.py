@@ -280,7 +280,7 @@ def test_suffix_dedup_long_runs(spark, odd, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     both = docs.unionByName(odd.select((F.col("doc_id") + 100).alias("doc_id"), "text"))
     monkeypatch.setattr(q, "RUN_ROWS", 8)
-    places = q.sort_out(q.scan(docs)).agg(F.sum(F.size("open")).alias("open"), F.sum(F.size("long")).alias("long")).first()
+    places = q.sort_out(q.scan(q.numbered(docs))).agg(F.sum(F.size("open")).alias("open"), F.sum(F.size("long")).alias("long")).first()
     assert places.long > 60 and places.open < places.long
     got = {r.doc_id: r for r in q.stripped(both).collect()}
     seen = set()
@@ -292,3 +292,73 @@ def test_suffix_dedup_long_runs(spark, odd, monkeypatch):
                 gone[p : p + 100] = b"\1" * 100
             seen.add(data[p : p + 100])
         assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(bytes(c for c, g in zip(data, gone) if not g)).hexdigest())
+
+
+def removed_by_brute_force(texts):
+    """(bytes removed, digest of the others) of texts in order."""
+    seen, out = set(), []
+    for data in (t.encode() for t in texts):
+        gone = bytearray(len(data))
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(data[p : p + 100])
+        out.append((sum(gone), hashlib.sha256(bytes(c for c, g in zip(data, gone) if not g)).hexdigest()))
+    return out
+
+
+def test_suffix_dedup_repeated_and_missing_ids(spark, odd):
+    from granary.llm import suffix_dedup as q
+
+    extra = odd.where("doc_id in (8, 11, 12)").select(F.lit(8).cast("long").alias("doc_id"), "text")
+    lost = odd.where("doc_id in (8, 9, 0)").select(F.lit(None).cast("long").alias("doc_id"), "text")
+    docs = odd.select("doc_id", "text").unionByName(extra).unionByName(lost)
+    rows = sorted(((r.doc_id is None, r.doc_id or 0, r.text is not None, r.text or "") for r in docs.collect()))
+    want = sorted(zip([None if r[0] else r[1] for r in rows], removed_by_brute_force([r[3] for r in rows])), key=str)
+    got = [(r.doc_id, (r.n_removed, r.kept_sha256)) for r in q.stripped(docs).collect()]
+    assert sorted(got, key=str) == want
+    whole = q.cut(odd.unionByName(odd.where("doc_id = 8")), lambda b: b.cast("string"), sizes=("n_chars",))
+    assert whole.columns == odd.columns and whole.count() == odd.count() + 1
+    assert sorted(r.text for r in whole.where("doc_id = 8").collect())[0] == ""
+
+
+@pytest.mark.parametrize("size", [1, 30, 700])
+def test_suffix_orders_find_what_windows_share(size):
+    import numpy as np
+
+    from granary.llm import suffix_dedup as q
+
+    rng = np.random.default_rng(size)
+    parts = rng.integers(97, 100, size=(3, q.BEFORE + q.LENGTH), dtype=np.uint8)
+    rows = parts[rng.integers(0, 3, size=size)].copy()
+    rows[np.arange(size), rng.integers(0, rows.shape[1], size=size)] = 120
+    left, right = rng.integers(0, q.BEFORE + 1, size=size), rng.integers(q.LEAD, q.LENGTH + 1, size=size)
+    doc, pos = rng.permutation(size), np.zeros(size, dtype=np.int64)
+    for i in range(size):
+        rows[i, : q.BEFORE - left[i]] = 0
+        rows[i, q.BEFORE + right[i] :] = 0
+    least, most = q.repeated_windows(rows, left, right, doc, pos)
+    seen = [{} for _ in range(q.BEFORE + 1)]
+    for i in np.argsort(doc):
+        hits = []
+        for offset in range(q.BEFORE + 1):
+            if left[i] >= offset and right[i] >= q.LENGTH - offset:
+                window = rows[i, q.BEFORE - offset : q.BEFORE - offset + q.LENGTH].tobytes()
+                hits += [offset] * (window in seen[offset])
+                seen[offset][window] = True
+        assert (least[i], most[i]) == ((hits[0], hits[-1]) if hits else (-1, -1))
+
+
+def test_suffix_dedup_frequent_leads(spark, odd, monkeypatch):
+    from granary.llm import suffix_dedup as q
+
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = make(300)
+    docs = spark.createDataFrame([(i, make(rng.randint(0, 150)) + shared + (make(60) if i % 3 else "")) for i in range(90)], "doc_id long, text string")
+    keyed = q.numbered(docs)
+    assert len(q.sample(keyed)[1]) > 0
+    places = q.sort_out(q.scan(keyed, q.sample(keyed)[1]))
+    assert places.agg(F.sum(F.size("hot"))).first()[0] > 0
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in q.stripped(docs).collect()}
+    assert [got[i] for i in range(90)] == removed_by_brute_force([r.text for r in docs.orderBy("doc_id").collect()])
