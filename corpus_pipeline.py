@@ -34,12 +34,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Where a cut falls inside a character, the character's remaining bytes go too.
     """
     ship_package(spark)
-    cut = suffix_dedup.stripped(docs.where(F.col("doc_id").isNotNull()), with_text=True).where("n_removed > 0")
-    kept = cut.select(F.col("doc_id").alias("_cut_id"), valid_text(F.col("kept")).alias("_kept"))
-    joined = docs.join(kept, docs["doc_id"] == kept["_cut_id"], "left")
-    text = F.when(F.col("_cut_id").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    count = F.when(F.col("_cut_id").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return joined.select(*[{"text": text.alias("text"), "n_chars": count.alias("n_chars")}.get(c, docs[c]) for c in docs.columns])
+    return suffix_dedup.cut(docs, valid_text, sizes=("n_chars",))
 
 
 def valid_text(data):
