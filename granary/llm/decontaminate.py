@@ -4,16 +4,20 @@ Texts are lower-cased into tokens in which numbers, units and names become typed
 Windows of `WINDOW` placeholder tokens are hash-joined with the windows of the benchmark. For a hit, the words behind
 the placeholders are compared slot by slot: the same benchmark word must always stand for the same document word, and
 the other way round. A consistent hit is `verbatim` when all slots are equal, `reparameterised` otherwise, so that a
-question with other numbers or names is caught too. A document is contaminated if some item has a share of its windows
-in it (`MIN_SHARE` percent, one window at least).
+question with other numbers or names is caught too. A document is contaminated by an item if
+
+- it has a share of the item's windows (`MIN_SHARE` percent, one window at least), or
+- it holds any `RUN` consecutive tokens of the item word for word, however long the item is, or
+- the item has fewer than WINDOW tokens and the document holds them all in a row, word for word. Items of fewer than
+  `LEAST` tokens are too common as passages: they only match documents that say nothing else.
 
 Everything is DataFrame functions. Canonical tokens are made by regular expressions over whole texts, window hashes by
-three pairings of an array with itself (1, 2, 4 tokens apart), and only the windows' hashes meet the benchmark's. That
-side is broadcast when its counted windows stay below `BROADCAST_WINDOWS`; beyond, the join is a shuffle.
+pairings of an array with itself (1, 2 and up to 4 tokens apart), and only the windows' hashes meet the benchmark's. That
+side is broadcast when the benchmark's texts stay below `BROADCAST_CHARS` characters; beyond, the join is a shuffle.
 
-Defined results: null and empty texts have no windows and are clean; benchmark items shorter than the window count
-with their whole sequence only if they have `WINDOW` tokens, so very short items match nothing; repeated items and
-documents are judged alike; empty tables give clean or empty results; extra columns are kept by `drop_contaminated`.
+Defined results: null and empty texts have no windows and are clean, as are items without a token; repeated items and
+documents are judged alike; of items that a document holds equally much of, the one with the smallest id is named;
+empty tables give clean or empty results; extra columns are kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import stored, table
 
-WINDOW = 8
+WINDOW, LEAST, RUN = 8, 4, 13
 MIN_SHARE = 30
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_CHARS = 4_000_000
 UNITS = "km|m|cm|mm|mi|miles?|kg|g|mg|lbs?|pounds?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|%|km/h|mph|litres?|liters?|ml|l|°c|°f"
 
 
@@ -49,62 +53,90 @@ def placeholder(token: Column, before: Column) -> Column:
             .otherwise(F.lower(token)))
 
 
-def paired(gap: int) -> Column:
-    """The array h with each element hashed together with the one so many places on."""
-    return F.transform(F.slice("h", F.lit(1), F.greatest(F.size("h") - gap, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("h", i + gap)))
+def paired(hashes: str, gap: int) -> Column:
+    """The array with each element hashed together with the one so many places on."""
+    return F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - gap, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(hashes, i + gap)))
 
 
-def canonical(rows: DataFrame, key: str) -> DataFrame:
-    """key, toks (as they stand, lower case) and hashes (of the canonical windows, by place)."""
+def forms(rows: DataFrame, key: str) -> DataFrame:
+    """key, raw (the tokens as they stand) and h4 (hashes of the canonical form of every four tokens, by place)."""
     plain = rows.select(key, tokens_of(F.col("text")).alias("raw"))
     # most tokens are themselves: only capitals, numbers and what follows a number go through the rules
     before = lambda i: F.coalesce(F.get("raw", i - 1), F.lit(""))
     form = F.transform("raw", lambda t, i: F.when((t != F.lower(t)) | is_number(t) | is_number(before(i)), placeholder(t, before(i))).otherwise(t))
-    step = plain.select(key, F.col("raw"), F.transform(form, lambda t: F.xxhash64(t)).alias("h"))
-    for gap in (1, 2, 4):
-        step = step.select(key, "raw", paired(gap).alias("h"))
-    return step.select(key, "raw", F.col("h").alias("hashes"))
+    step = plain.select(key, "raw", F.transform(form, lambda t: F.xxhash64(t)).alias("h"))
+    for gap in (1, 2):
+        step = step.select(key, "raw", paired("h", gap).alias("h"))
+    return step.withColumnRenamed("h", "h4")
+
+
+def places_of(canon: DataFrame, key: str, size: int, column: str = "h4") -> DataFrame:
+    """key, size, place, hash of every window of so many tokens (LEAST or more)."""
+    hashes = canon.select(key, (paired(column, size - LEAST) if size > LEAST else F.col(column)).alias("hashes"))
+    # (outer: a plain explode would have its input repeated in a filter that is pushed into the lambdas above)
+    return hashes.select(key, F.lit(size).alias("size"), F.posexplode_outer("hashes").alias("place", "hash"))
 
 
-def windows(canon: DataFrame, key: str, prefix: str) -> DataFrame:
-    """key, hash, place and the WINDOW tokens at it."""
-    return canon.select(key, "raw", F.posexplode_outer("hashes").alias("place", "hash")).select(key, "hash", F.col("place").alias(f"{prefix}place"), F.slice("raw", F.col("place") + 1, F.lit(WINDOW)).alias(f"{prefix}toks"))
+def whole_of(canon: DataFrame, key: str) -> DataFrame:
+    """key, size, place, hash of texts of fewer than LEAST tokens; the size is negative, as only whole texts count."""
+    few = canon.where(F.size("raw").between(1, LEAST - 1))
+    return few.select(key, (-F.size("raw")).alias("size"), F.lit(0).alias("place"), F.xxhash64(F.lower(F.array_join("raw", " "))).alias("hash"))
+
+
+def lowered(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.lower(x))
 
 
 def consistent(a: Column, b: Column) -> Column:
-    """Whether the same token on one side always meets the same token on the other, in both directions."""
-    pairs = F.array_distinct(F.arrays_zip(F.transform(a, lambda x: F.lower(x)).alias("a"), F.transform(b, lambda x: F.lower(x)).alias("b")))
+    """Whether the same token on one side always meets the same token on the other, in both directions; both in lower case."""
+    pairs = F.array_distinct(F.arrays_zip(a.alias("a"), b.alias("b")))
     return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, item_id, n_windows (matched places of the item), n_verbatim of them, item_windows."""
-    items = canonical(benchmark.select("item_id", "text"), "item_id")
-    item_windows = windows(items, "item_id", "i").select("item_id", "hash", "iplace", "itoks")
-    sizes = items.select("item_id", F.size("hashes").alias("item_windows")).groupBy("item_id").agg(F.max("item_windows").alias("item_windows"))
-    few = item_windows.limit(broadcast_windows + 1).count() <= broadcast_windows
-    wanted = item_windows.select("hash").distinct()
+def hits(docs: DataFrame, benchmark: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """doc_id, item_id, n_windows (matched places of the item), n_verbatim of them, item_windows, n_runs (verbatim runs of RUN tokens).
+
+    Rows that share an item_id are one item. item_windows is 1 for items shorter than a window, and n_windows then 1 if the document holds them word for word.
+    """
+    given = benchmark.select("item_id", "text")
+    few = (given.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_chars
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    items = stored(forms(given, "item_id").withColumn("n", F.size("raw")).withColumn("_item", F.monotonically_increasing_id()), "items")
+    sizes = sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect() if r.n)
+    short, tiny = [n for n in sizes if n >= LEAST], any(n < LEAST for n in sizes)
+
+    def windows(canon: DataFrame, key: str, own: bool) -> DataFrame:
+        """The windows of the benchmark's sizes; an item's own ones are of WINDOW tokens, or else of all it has."""
+        found = places_of(canon, key, WINDOW)
+        for n in short:
+            found = found.unionByName(places_of(canon.where(F.col("n") == n) if own else canon, key, n))
+        return (found.unionByName(whole_of(canon, key)) if tiny else found).where("hash IS NOT NULL")
+
+    words = lambda place, n: lowered(F.slice("raw", place + 1, n))
+    item_windows = stored(windows(items, "_item", True).join(items.select("_item", "item_id", "raw"), "_item").select("item_id", "size", "hash", F.col("place").alias("iplace"), words(F.col("place"), F.abs("size")).alias("itoks")).distinct(), "item-windows")
+    totals = item_windows.groupBy("item_id").agg(F.count_distinct("iplace").alias("item_windows"))
+    item_runs = items.where(F.col("n") >= RUN).select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - RUN), lambda i: words(i, F.lit(RUN)))).alias("run")).distinct()
     texts = docs.select("doc_id", "text")
-    # (outer: a plain explode would have its input repeated in a filter that is pushed into the lambdas above)
     # hashes meet the benchmark alone; the words of the few places that match are fetched in a second pass
-    places = canonical(texts, "doc_id").select("doc_id", F.posexplode_outer("hashes").alias("place", "hash"))
-    matched = places.join(F.broadcast(wanted) if few else wanted, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("place", "hash")).alias("at"))
+    wanted = item_windows.select("size", "hash").distinct()
+    matched = windows(forms(texts, "doc_id"), "doc_id", False).join(small(wanted), ["size", "hash"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("size", "place", "hash")).alias("at"))
     own = texts.join(matched, "doc_id").select("doc_id", "at", tokens_of(F.col("text")).alias("raw"))
-    found = own.select("doc_id", F.explode(F.transform("at", lambda x: F.struct(x["hash"].alias("hash"), F.slice("raw", x["place"] + 1, F.lit(WINDOW)).alias("dtoks")))).alias("x")).select("doc_id", "x.*")
-    found = found.groupBy("doc_id", "hash", "dtoks").agg(F.count("*").alias("times"))
-    met = found.join(F.broadcast(item_windows) if few else item_windows, "hash").where(consistent(F.col("dtoks"), F.col("itoks")))
-    same = F.transform("dtoks", lambda x: F.lower(x)) == F.transform("itoks", lambda x: F.lower(x))
+    found = own.select("doc_id", F.explode(F.transform("at", lambda x: F.struct(x["size"].alias("size"), x["hash"].alias("hash"), words(x["place"], F.abs(x["size"])).alias("dtoks"), words(x["place"], F.lit(RUN)).alias("run")))).alias("x")).select("doc_id", "x.*")
+    same = F.col("dtoks") == F.col("itoks")
+    fits = F.when(F.col("size") == WINDOW, consistent(F.col("dtoks"), F.col("itoks"))).otherwise(same)
+    met = found.select("doc_id", "size", "hash", "dtoks").distinct().join(small(item_windows), ["size", "hash"]).where(fits)
     per_place = met.groupBy("doc_id", "item_id", "iplace").agg(F.max(same.cast("int")).alias("v"))
     counted = per_place.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.sum("v").alias("n_verbatim"))
-    return counted.join(sizes, "item_id")
+    runs = found.where(F.size("run") == RUN).select("doc_id", "run").distinct().join(small(item_runs), "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_runs"))
+    return counted.join(small(totals), "item_id").join(runs, ["doc_id", "item_id"], "left").withColumn("n_runs", F.coalesce("n_runs", F.lit(0)))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
     """doc_id, n_items, best_item, best_share (percent of its windows), verbatim of contaminated documents."""
     share = F.col("n_windows") * 100 / F.col("item_windows")
-    bad = hits(docs, benchmark).where(F.col("n_windows") * 100 >= F.col("item_windows") * min_share)
-    best = F.max(F.struct(share.alias("share"), (-F.col("item_id")).alias("neg"), (F.col("n_verbatim") == F.col("n_windows")).alias("verbatim")))
-    return bad.groupBy("doc_id").agg(F.count("*").alias("n_items"), best.alias("best")).select("doc_id", "n_items", (-F.col("best.neg")).alias("best_item"), F.col("best.share").alias("best_share"), F.col("best.verbatim").alias("verbatim"))
+    bad = hits(docs, benchmark).where((F.col("n_windows") * 100 >= F.col("item_windows") * min_share) | (F.col("n_runs") > 0))
+    best = F.min(F.struct((-share).alias("less"), F.col("item_id"), (F.col("n_verbatim") == F.col("n_windows")).alias("verbatim")))
+    return bad.groupBy("doc_id").agg(F.count("*").alias("n_items"), best.alias("best")).select("doc_id", "n_items", F.col("best.item_id").alias("best_item"), (-F.col("best.less")).alias("best_share"), F.col("best.verbatim").alias("verbatim"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

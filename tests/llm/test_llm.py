@@ -160,7 +160,7 @@ def test_decontamination(spark, odd):
     docs = spark.createDataFrame([(1, "so train A from Denver travels 80 km in 2 hours while Mary waits for John at 7 dollars an hour today ok"), (2, "train A from Denver travels 80 km in 2 hours while Mary waits for Mary at 7 dollars an hour today"), (3, None), (4, ""), (5, "nothing of the kind is said here at all in this text")], "doc_id long, text string")
     assert {r.doc_id: r.verbatim for r in q.judged(docs, bench).collect()} == {1: False, 2: False}
     assert q.hits(docs, bench).where("doc_id = 2").first().n_windows < q.hits(docs, bench).where("doc_id = 1").first().n_windows
-    assert q.hits(docs, bench, broadcast_windows=1).count() == q.hits(docs, bench).count()
+    assert q.hits(docs, bench, broadcast_chars=1).count() == q.hits(docs, bench).count()
     assert q.drop_contaminated(odd, bench).count() == odd.count()
 
 
@@ -362,3 +362,33 @@ def test_suffix_dedup_frequent_leads(spark, odd, monkeypatch):
     assert places.agg(F.sum(F.size("hot"))).first()[0] > 0
     got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in q.stripped(docs).collect()}
     assert [got[i] for i in range(90)] == removed_by_brute_force([r.text for r in docs.orderBy("doc_id").collect()])
+
+
+def test_decontamination_of_short_and_long_items(spark, odd, empty):
+    from granary.llm import decontaminate as q
+
+    rng = random.Random(3)
+    long_item = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200))
+    passage = " ".join(long_item.split(" ")[90:103])
+    items = [("b", "What is the capital of France?"), ("a", "Paris"), ("c", long_item), ("d", ""), ("e", None), ("f", "12 km in 3 hours"), ("f", "12 km in 3 hours")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = ["so what is the CAPITAL of France then", "what is the capital of Spain", "paris", "Paris is nice", "x y " + passage + " z", "x y " + " ".join(passage.split(" ")[:12]) + " z", "it took 12 km in 3 hours", "it took 15 km in 4 hours", None, "", "Paris"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
+    assert {r.doc_id: (r.n_items, r.best_item, r.verbatim) for r in q.judged(docs, bench).collect()} == {0: (1, "b", True), 2: (1, "a", True), 4: (1, "c", True), 6: (1, "f", True), 10: (1, "a", True)}
+    twice = docs.unionByName(docs)
+    kept = q.drop_contaminated(twice, bench)
+    assert kept.columns == docs.columns and kept.count() == 12
+    assert {r.doc_id for r in q.judged(twice, bench).collect()} == {0, 2, 4, 6, 10}
+    assert q.judged(docs, bench.where("false")).count() == 0 and q.judged(empty, bench).count() == 0
+    assert q.drop_contaminated(docs, bench.where("false")).count() == len(texts)
+
+
+def test_decontamination_against_containment(spark, small):
+    from granary.llm import decontaminate as q
+
+    read = lambda name: spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/{name}.parquet")
+    docs, bench = read("documents"), read("benchmark")
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    items = [plain(r.text) for r in bench.collect()]
+    want = {r.doc_id for r in docs.select("doc_id", "text").collect() if any(x in plain(r.text or "") for x in items)}
+    assert len(want) > 10 and {r.doc_id for r in q.judged(docs, bench).collect()} == want
