@@ -1,14 +1,15 @@
 """Language identification by prediction by partial matching (PPM).
 
 For every language, byte context trees of variable order (0 to `ORDER`) are counted on a bounded sample of labelled
-texts. With the statistics frozen, a byte costs -log2 of its PPM probability: the longest context that is known is
+rows, whole texts each, by one Spark aggregation over all languages. With the statistics frozen, a byte costs -log2 of its PPM probability: the longest context that is known is
 tried first; a byte that never followed it costs an escape (method C: distinct followers over all) and goes on with
 the next shorter context, down to a uniform choice of 256. The code length of a text is the sum over its bytes, and
 the language with the shortest code wins.
 
 As the statistics are frozen, a byte's costs depend only on it and the ORDER bytes before it. So costs of all
 (ORDER + 1)-byte strings seen in training are tabulated once; the others are worked out per batch from the shorter
-orders. Scoring is one pass without a shuffle; the tables are bounded by the training sample.
+orders. Scoring is one pass without a shuffle; the tables are bounded by the training sample. Long texts are scored in
+blocks of `BLOCK` bytes with the ORDER bytes before each, so that memory doesn't grow with a text beyond its own bytes.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language that sorts
 first; rows with null language, or in the held-out fold, are never learnt from; repeated rows are scored alike; an
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from granary.llm.common import fold_of, table
 
 ORDER = 3
-#: Bound of the training sample: documents per language, and bytes of each.
-TRAIN_DOCS, TRAIN_BYTES = 1500, 4000
+#: About so many rows of each language make the training sample; their texts are taken whole.
+TRAIN_DOCS = 1500
+BLOCK = 1_000_000
 FOLDS, HELD_OUT = 5, 0
 LETTER = regex.compile(r"\p{L}")
 
@@ -40,6 +42,12 @@ def grams(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def tallied(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (k + 1)-byte strings of some texts, each after k spaces, ascending, and their counts."""
+    codes = [grams(np.frombuffer(b" " * k + x, dtype=np.uint8), k + 1) for x in texts]
+    return np.unique(np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32), return_counts=True)
+
+
 class ContextTrees:
     """Frozen PPM statistics of several languages."""
 
@@ -58,14 +66,8 @@ class ContextTrees:
 
     @classmethod
     def learn(cls, samples: dict[str, list[bytes]]) -> ContextTrees:
-        languages, counts = sorted(samples), []
-        for language in languages:
-            own = []
-            for k in range(ORDER + 1):
-                codes = np.concatenate([grams(np.frombuffer(b" " * k + x, dtype=np.uint8), k + 1) for x in samples[language]])
-                own.append(np.unique(codes, return_counts=True))
-            counts.append(own)
-        return cls(languages, counts)
+        languages = sorted(samples)
+        return cls(languages, [[tallied(samples[language], k) for k in range(ORDER + 1)] for language in languages])
 
     def code_lengths(self, codes: np.ndarray) -> np.ndarray:
         """Bits of the last byte of each (ORDER + 1)-byte string, by language (columns)."""
@@ -106,8 +108,23 @@ class ContextTrees:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits: a row for each text, a column for each language."""
-        starts = np.cumsum([0] + [len(t) + ORDER for t in texts])
-        data = np.frombuffer(b"".join(b" " * ORDER + t for t in texts), dtype=np.uint8)
+        out, parts, owners, size = np.zeros((len(texts), len(self.languages))), [], [], 0
+        for i, t in enumerate(texts):
+            for at in range(0, len(t), BLOCK):
+                parts.append((t[at - ORDER : at] if at else b" " * ORDER) + t[at : at + BLOCK])
+                owners.append(i)
+                size += len(parts[-1])
+                if size >= BLOCK:
+                    np.add.at(out, owners, self._score(parts))
+                    parts, owners, size = [], [], 0
+        if parts:
+            np.add.at(out, owners, self._score(parts))
+        return out
+
+    def _score(self, texts: list[bytes]) -> np.ndarray:
+        """As score, of short texts with ORDER bytes of context before each."""
+        starts = np.cumsum([0] + [len(t) for t in texts])
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         codes = grams(data, ORDER + 1)
         slot = self._slot(codes)
         place = np.full(len(codes), -1, dtype=np.int64)
@@ -129,24 +146,47 @@ class ContextTrees:
         return total[ends.clip(0, len(codes))] - total[starts[:-1].clip(0, len(codes))]
 
 
-def training_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, n_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
-    """Texts of the training folds by language: those with the smallest id hashes, cut to n_bytes for learning only."""
-    usable = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").count().collect()
-    picked = usable.select("lang", F.substring("text", 1, n_bytes).alias("t"), F.xxhash64("doc_id").alias("o"))
-    out: dict[str, list[bytes]] = {}
-    for row in sizes:
-        # a hash bound takes about the wished number of rows without a sort or a shuffle of texts
-        share = min(1.0, 1.3 * per_language / row["count"])
-        bound = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-        rows = picked.where((F.col("lang") == row["lang"]) & (F.col("o") <= bound)).select("t").limit(2 * per_language).collect()
-        if rows:
-            out[row["lang"]] = [r.t.encode("utf-8")[:n_bytes] for r in rows]
-    return out
+def training_counts(docs: DataFrame, per_language: int = TRAIN_DOCS) -> ContextTrees | None:
+    """Trees of the texts with a letter in the training folds: those rows of each language whose hashes are smallest.
+
+    A hash bound takes about per_language rows of each, without a sort, in one scan for all languages; strings are
+    counted in the tasks and summed by Spark. None without a usable row.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
+    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not sizes:
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = usable.where((order < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+
+    def run(batches):
+        total: dict = {}
+        for batch in batches:
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                texts.setdefault(lang, []).append(text.as_py().encode("utf-8"))
+            for lang, own in texts.items():
+                for k in range(ORDER + 1):
+                    codes, n = tallied(own, k)
+                    if (lang, k) in total:
+                        old, m = total[lang, k]
+                        both, back = np.unique(np.concatenate([old, codes]), return_inverse=True)
+                        codes, n = both, np.bincount(back, weights=np.concatenate([m, n])).astype(np.int64)
+                    total[lang, k] = codes, n
+        for (lang, k), (codes, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(np.full(len(codes), k, dtype=np.int32)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "code", "n"])
+
+    got = rows.mapInArrow(run, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("k", "ascending"), ("code", "ascending")])
+    if not len(got):
+        return None
+    lang, k, code, n = got["lang"].to_numpy(), got["k"].to_numpy(), got["code"].to_numpy().astype(np.uint32), got["n"].to_numpy()
+    languages = sorted(set(lang))
+    return ContextTrees(languages, [[(code[(lang == x) & (k == i)], n[(lang == x) & (k == i)]) for i in range(ORDER + 1)] for x in languages])
 
 
 def predict(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
-    """doc_id, lang_pred, score for each document's whole text. score: the winner's share among exp(-bits a byte)."""
+    """doc_id, lang_pred, score for each document's whole text. score: the winner's share among 2^(-bits / sqrt(bytes))."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
@@ -164,7 +204,7 @@ def predict(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
                 bits = own.score(data)
                 best = bits.argmin(axis=1)
                 lengths = np.array([len(x) for x in data])
-                # per byte, so that long texts don't all score 1
+                # damped by the length, so that long texts don't all score 1
                 weight = np.exp2(-(bits - bits.min(axis=1, keepdims=True)) / np.sqrt(lengths)[:, None])
                 for i, b, w in zip(group, best, weight[np.arange(len(group)), best] / weight.sum(axis=1)):
                     names[i], scores[i] = own.languages[b], float(w)
@@ -175,6 +215,5 @@ def predict(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sample = training_sample(docs.select("doc_id", "text", "lang"))
-    got = predict(docs, ContextTrees.learn(sample) if sample else None)
+    got = predict(docs, training_counts(docs.select("doc_id", "text", "lang")))
     return got.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")

@@ -392,3 +392,61 @@ def test_decontamination_against_containment(spark, small):
     items = [plain(r.text) for r in bench.collect()]
     want = {r.doc_id for r in docs.select("doc_id", "text").collect() if any(x in plain(r.text or "") for x in items)}
     assert len(want) > 10 and {r.doc_id for r in q.judged(docs, bench).collect()} == want
+
+
+def test_language_by_its_definition(spark, odd, monkeypatch):
+    """Code lengths against PPM written out in plain Python; blocks, odd rows and ties."""
+    import math
+
+    from granary.llm import ppm_language as q
+
+    rows = [(i, ("the cat sat on the mat " if i % 2 else "die Katze saß auf der Matte ") * (1 + i % 3), "en" if i % 2 else "de", "x") for i in range(40)]
+    rows += [(40, None, "en", "x"), (41, "", "de", "x"), (42, "12 34", "en", "x"), (43, "some text", None, "x"), (1, "the cat sat on the mat " * 2, "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    trees = q.training_counts(docs)
+    learnt = {"en": [], "de": []}
+    for i, t, lang, _ in rows:
+        if lang and t and re.search("[a-zA-Z]", t) and zlib.crc32(str(i).encode()) % 5:
+            learnt[lang].append(t.encode())
+
+    def bits(lang, text):
+        total, data = 0.0, b"   " + text
+        for at in range(3, len(data)):
+            for k in (3, 2, 1, 0):
+                after = collections.Counter()
+                for x in learnt[lang]:
+                    padded = b" " * k + x
+                    for p in range(k, len(padded)):
+                        if padded[p - k : p] == data[at - k : at]:
+                            after[padded[p]] += 1
+                size = sum(after.values()) + len(after)
+                if after[data[at]]:
+                    total += math.log2(size / after[data[at]])
+                    break
+                if after:
+                    total += math.log2(size / len(after))
+            else:
+                total += 8
+        return total
+
+    texts = ["the mat", "Matte saß", "zq the q"]
+    for text, got in zip(texts, trees.score([t.encode() for t in texts])):
+        assert list(got) == pytest.approx([bits(x, text.encode()) for x in trees.languages], rel=1e-4)
+    long = ("the cat saß on " * 400).encode()
+    whole = trees.score([long, b"mat"])
+    monkeypatch.setattr(q, "BLOCK", 50)
+    assert trees.score([long, b"mat"]).ravel().tolist() == pytest.approx(whole.ravel().tolist(), rel=1e-6)
+    got = q.predict(docs, trees).collect()
+    assert len(got) == len(rows) and len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) == 1
+    same = q.ContextTrees.learn({"b": [b"abc abc"], "a": [b"abc abc"]})
+    assert q.predict(docs.where("doc_id = 3"), same).first().lang_pred == "a"
+    assert q.training_counts(docs.where("lang IS NULL")) is None
+
+
+def test_language_accuracy_on_held_out_rows(spark, small):
+    from granary.llm import ppm_language as q
+
+    d = small.replace("sf0.001", "sf0.01")
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in q.query(spark, d).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert len(got) > 100 and sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.97 * len(got)
