@@ -7,9 +7,12 @@ through the driver: each row is one frame, and the "line separator" is an empty
 Payloads that occur more than once are stored once: the record with the largest page_id is the response, all others
 are revisit records that refer to it.
 
+A payload may be that of a third of all pages (an error page): joins by payload and by what is referred to are dealt
+over `SALTS` tasks, and are between ids and digests only.
+
 Defined results: a null html is an empty payload; a null url gives a record without target; equal payloads (by SHA-1
-and length) below `min_bytes` all stay responses; rows that repeat a page_id give equal records; an empty table gives
-an empty archive set. Records whose header, length or digest is wrong raise ValueError with the file's name.
+and length) below `min_bytes` all stay responses; rows that repeat a page_id give equal records; rows without a page_id
+are responses, and never what others refer to; an empty table gives an empty archive set. Records whose header, length or digest is wrong raise ValueError with the file's name.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import struct
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import scratch_path, table
+from granary.llm.common import scratch_path, stored, table
 
 #: Skippable frames begin with one of sixteen magic numbers; the dictionary's is the last but two of them.
 DICTIONARY_MAGIC, EMPTY_MAGIC = 0x184D2A5D, 0x184D2A50
@@ -32,7 +36,9 @@ FRAME_MAGIC = 0xFD2FB528
 #: An empty skippable frame; eight ASCII bytes.
 SEPARATOR = struct.pack("<II", EMPTY_MAGIC, 0)
 ARCHIVE_BYTES = 8 << 20
-DICTIONARY_BYTES, DICTIONARY_PAGES = 64 << 10, 400
+#: The dictionary is made of the first DICTIONARY_CHARS characters of about DICTIONARY_PAGES pages.
+DICTIONARY_BYTES, DICTIONARY_PAGES, DICTIONARY_CHARS = 64 << 10, 400, 2000
+SALTS = 16
 RECORD_FIELDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -40,11 +46,17 @@ def base32_sha1(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode("ascii")
 
 
-def record_uri(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_uri(page_id: int | str | None) -> str:
+    """The record's id; rows without a page_id have an empty one."""
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def page_of(uri: str | None) -> int | None:
+    number = (uri or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number else None
 
 
-def make_record(page_id: int, url: str | None, html: str | None, refers_to: int | None, digest: str) -> bytes:
+def make_record(page_id: int | str | None, url: str | None, html: str | None, refers_to: int | str | None, digest: str) -> bytes:
     """One record. A revisit has the response's HTTP head but no payload."""
     payload = b"" if refers_to is not None or html is None else html.encode("utf-8")
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -145,11 +157,25 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def train_dictionary(pages: DataFrame, n_pages: int = DICTIONARY_PAGES, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary of raw content from a bounded sample (the n_pages pages with the smallest hashes, 2,000 characters each)."""
-    sample = pages.where("html <> ''").select(F.substring("html", 1, 2000).alias("h"), F.xxhash64("page_id").alias("o")).orderBy("o", "h").limit(n_pages)
+    """A dictionary of raw content from a bounded sample: beginnings of the n_pages pages with the smallest hashes.
+
+    A hash bound leaves about twice as many rows before they are sorted, so that no task sends a full sample.
+    """
+    share = min(1.0, 2 * n_pages / max(1, pages.count()))
+    hashed = pages.where("html <> ''").select(F.substring("html", 1, DICTIONARY_CHARS).alias("h"), F.xxhash64("page_id", "url").alias("o"))
+    sample = hashed.where(F.col("o") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).orderBy("o", "h").limit(n_pages)
     return b"".join(r.h.encode("utf-8") for r in sample.select("h").collect())[:size]
 
 
+def salted(df: DataFrame) -> DataFrame:
+    """Each row once for every salt."""
+    return df.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
+
+def salt_of(page_id: Column) -> Column:
+    return F.pmod(F.xxhash64(page_id), F.lit(SALTS)).cast("int")
+
+
 def refer(pages: DataFrame, parts: int, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html (null for revisits), digest (hexadecimal) and refers_to, dealt by page_id to so many partitions.
 
@@ -158,7 +184,8 @@ def refer(pages: DataFrame, parts: int, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     light = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     kept = light.groupBy("digest", "size").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n")).where("n > 1")
-    refs = light.join(kept, ["digest", "size"]).where((F.col("size") >= min_bytes) & (F.col("page_id") != F.col("kept_id"))).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "kept_id").distinct()
+    dealt = light.where(F.col("size") >= min_bytes).withColumn("salt", salt_of(F.col("page_id")))
+    refs = dealt.join(salted(kept), ["digest", "size", "salt"]).where(F.col("page_id") != F.col("kept_id")).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "kept_id").distinct()
     own = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest")).repartition(parts, "page_id", "digest")
     joined = own.join(refs.repartition(parts, "r_id", "r_digest"), (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     return joined.select("page_id", "url", F.when(F.col("kept_id").isNull(), F.col("html")).alias("html"), F.col("kept_id").alias("refers_to"), "digest")
@@ -177,12 +204,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
             made = [leading] if first else []
             first = False
             for page_id, url, html, refers_to, digest in zip(pdf.page_id, pdf.url, pdf.html, pdf.refers_to, pdf.digest):
-                target = None if refers_to != refers_to or refers_to is None else int(refers_to)
-                record = make_record(int(page_id), url, None if html is None else html, target, base32_sha1(digest))
-                made.append(packer.compress(record))
+                made.append(packer.compress(make_record(page_id, url, html, refers_to, base32_sha1(digest))))
             yield type(pdf)({"frame": made})
 
-    out = rows.mapInPandas(frames_of, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    # ids go as text, which pandas keeps exact beside nulls
+    out = rows.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string")).mapInPandas(frames_of, "frame binary").select(F.col("frame").cast("string").alias("value"))
     out.write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
 
@@ -208,14 +234,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError("the payload's digest differs")
                     except ValueError as e:
                         raise ValueError(f"{name}: {e}") from None
-                    refers = headers.get("warc-refers-to")
-                    number = lambda uri: int(uri.removeprefix("<urn:page:").removesuffix(">"))
                     whole = headers["warc-type"] == "response"
-                    rows.append((number(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], None if refers is None else number(refers), len(payload) if whole else None, headers["warc-payload-digest"].removeprefix("sha1:"), payload.decode("utf-8") if whole else None))
+                    rows.append((page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], page_of(headers.get("warc-refers-to")), len(payload) if whole else None, headers["warc-payload-digest"].removeprefix("sha1:"), payload.decode("utf-8") if whole else None))
                 names = [f.split(" ")[0] for f in (RECORD_FIELDS + ", html string").split(", ")]
-                out = type(pdf)(rows, columns=names)
-                for column in ("page_id", "refers_to", "payload_bytes"):
-                    out[column] = out[column].astype("Int64")
+                columns = zip(*rows) if rows else [[] for _ in names]
+                # whole numbers beside nulls: pandas would take them for floats, which aren't exact
+                out = pd.DataFrame({c: pd.array(list(v), dtype="Int64") if c in ("page_id", "refers_to", "payload_bytes") else pd.Series(list(v), dtype=object) for c, v in zip(names, columns)})
                 yield out
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -225,10 +249,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """Records with the payload size of what they refer to; html is left out."""
-    flat = records.drop("html")
-    sizes = flat.where("record_type = 'response'").groupBy(F.col("page_id").alias("to_id")).agg(F.max("payload_bytes").alias("to_bytes"))
-    joined = flat.join(sizes, F.col("refers_to") == F.col("to_id"), "left")
-    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "to_bytes")).drop("to_id", "to_bytes")
+    flat = stored(records.drop("html"), "records")
+    revisits = flat.where("refers_to IS NOT NULL")
+    wanted = revisits.select(F.col("refers_to").alias("to_id")).distinct()
+    sizes = flat.where("record_type = 'response'").join(wanted, F.col("page_id") == F.col("to_id")).groupBy("to_id").agg(F.max("payload_bytes").alias("to_bytes"))
+    dealt = revisits.withColumn("salt", salt_of(F.col("page_id")))
+    joined = dealt.join(salted(sizes.withColumnRenamed("to_id", "refers_to")), ["refers_to", "salt"], "left")
+    return flat.where("refers_to IS NULL").unionByName(joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "to_bytes")).select(flat.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -450,3 +450,21 @@ def test_language_accuracy_on_held_out_rows(spark, small):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
     got = [r for r in q.query(spark, d).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
     assert len(got) > 100 and sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.97 * len(got)
+
+
+def test_warc_odd_rows(spark, tmp_path):
+    from granary.llm import warc as q
+
+    big = 2**62 + 1
+    rows = [(None, "u", "same"), (None, "u", "none but this"), (big, "u", "same"), (big - 1, None, "same"), (7, "u", "alone"), (7, "u", "alone"), (8, "u", "é" * 200_000), (9, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    q.write_archives(pages, str(tmp_path / "odd"))
+    got = q.resolved(q.read_archives(spark, str(tmp_path / "odd"))).collect()
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=key) == sorted(
+        [(None, "response", None, 4), (None, "response", None, 13), (big, "response", None, 4), (big - 1, "revisit", big, 4), (7, "response", None, 5), (7, "response", None, 5), (8, "response", None, 400_000), (9, "response", None, 0)], key=key)
+    q.write_archives(pages, str(tmp_path / "least"), min_bytes=5)
+    assert {r.record_type for r in q.read_archives(spark, str(tmp_path / "least")).where("payload_bytes = 4").collect()} == {"response"}
+    q.write_archives(pages.where("false"), str(tmp_path / "empty"))
+    assert q.resolved(q.read_archives(spark, str(tmp_path / "empty"))).count() == 0
+    assert len(q.train_dictionary(pages, n_pages=2)) <= 4 * 4000
