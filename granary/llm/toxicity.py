@@ -1,10 +1,11 @@
 """Toxicity by non-negative positive-unlabelled (nnPU) learning.
 
 A linear classifier over hashed word features is trained in numpy from confirmed toxic texts (positives) and
-unlabelled texts. With class prior p, positives' risks R+ and R-, and the unlabelled texts' negative risk U-, the
+unlabelled texts, a sample of all training rows whatever is said about them, as the estimate asks for. With class prior p, positives' risks R+ and R-, and the unlabelled texts' negative risk U-, the
 estimate p R+ + max(0, U- - p R-) is minimised; where the bracket turns negative, the step climbs out of it instead,
-so that a flexible model can't push the risk of what it takes for negatives below zero. The prior is measured on the
-labels of the training folds. Fitting uses a bounded sample (`POSITIVES`, `UNLABELLED` texts); scoring reads every
+so that a flexible model can't push the risk of what it takes for negatives below zero. The class prior is the share of
+toxic rows among the labelled rows of the training folds: the only use of labels other than toxic. Features are those
+whose frequencies in positives and in unlabelled texts differ significantly, in either direction. Fitting uses a bounded sample (`POSITIVES`, `UNLABELLED` texts); scoring reads every
 whole text in one pass without a shuffle.
 
 Defined results: null and empty texts have no features and get the bias' score; held-out rows are never learnt from;
@@ -28,8 +29,8 @@ FOLDS, HELD_OUT, BAR = 3, 1, 0.7
 BITS, ROUNDS, RATE, DECAY = 20, 300, 0.05, 1e-4
 #: Beginnings of words, in bytes, that are features beside the words.
 PREFIXES = (5, 6, 7, 8)
-#: Features count if they occur in this share of the positives, in so many at least, and so many times as often as in unlabelled texts.
-LEAST_SHARE, LEAST_TEXTS, LEAST_LIFT = 0.01, 4, 4
+#: Features count if they occur in so many texts of the sample, and their shares in the two classes differ by so many standard errors.
+LEAST_TEXTS, LEAST_Z = 4, 5
 CACHE_ENTRIES = 400_000
 
 
@@ -113,6 +114,15 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return w, bias
 
 
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """The features whose shares in positives and unlabelled texts differ by LEAST_Z standard errors or more."""
+    count = lambda rows: np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *rows]), minlength=1 << BITS)
+    p, u = count(positive), count(unlabelled)
+    pooled = (p + u) / (len(positive) + len(unlabelled))
+    error = np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / max(1, len(unlabelled)))) + 1e-12
+    return np.flatnonzero((p + u >= LEAST_TEXTS) & (np.abs(p / len(positive) - u / max(1, len(unlabelled))) >= LEAST_Z * error))
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float] | None:
     """Weights by feature and bias, from training folds; None without a positive."""
     learn = fold_of(F.col("doc_id"), FOLDS) != HELD_OUT
@@ -130,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     toxic_ids = sampled(said.where("toxic = 1"), positives, count[0]).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(positives)
     texts = docs.select("doc_id", "text")
-    some = sampled(texts.where(learn), unlabelled, n_docs).join(F.broadcast(said.where("toxic = 1").select("doc_id")) if count[0] < 100_000 else said.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").limit(2 * unlabelled)
+    some = sampled(texts.where(learn), unlabelled, n_docs).limit(2 * unlabelled)
     kinds = texts.join(F.broadcast(toxic_ids), "doc_id").select(F.lit(1).alias("toxic"), "text").unionByName(some.select(F.lit(0).alias("toxic"), "text"))
 
     def hashed(batches):
@@ -144,15 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rows = [np.array(x, dtype=np.int64) for x in got["f"].to_pylist()]
     if not toxic.any():
         return None
-    confirmed = [r for r, y in zip(rows, toxic) if y]
-    seen = np.bincount(np.concatenate(confirmed), minlength=1 << BITS)
+    positive, others = [r for r, y in zip(rows, toxic) if y], [r for r, y in zip(rows, toxic) if not y]
     place = np.full(1 << BITS, -1)
-    others = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[r for r, y in zip(rows, toxic) if not y]]), minlength=1 << BITS)
-    lift = (seen / len(confirmed)) / ((others + 1) / (len(rows) - len(confirmed) + 1))
-    kept = np.flatnonzero((seen >= max(LEAST_TEXTS, LEAST_SHARE * len(confirmed))) & (lift >= LEAST_LIFT))
+    kept = telling(positive, others)
     place[kept] = np.arange(len(kept))
-    small = [place[r][place[r] >= 0] for r in rows]
-    w, bias = train([r for r, y in zip(small, toxic) if y], [r for r, y in zip(small, toxic) if not y], prior, len(kept))
+    w, bias = train(*[[place[r][place[r] >= 0] for r in own] for own in (positive, others)], prior, len(kept))
     full = np.zeros(1 << BITS, dtype=np.float32)
     full[kept] = w
     return full, bias

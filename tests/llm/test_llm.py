@@ -468,3 +468,56 @@ def test_warc_odd_rows(spark, tmp_path):
     q.write_archives(pages.where("false"), str(tmp_path / "empty"))
     assert q.resolved(q.read_archives(spark, str(tmp_path / "empty"))).count() == 0
     assert len(q.train_dictionary(pages, n_pages=2)) <= 4 * 4000
+
+
+def test_toxicity_risk_and_its_descent():
+    """The non-negative risk written out, against what training reaches; a small sample and every direction of a feature."""
+    import numpy as np
+
+    from granary.llm import toxicity as q
+
+    rng = np.random.default_rng(1)
+    width, prior = 6, 0.3
+    draw = lambda n, odds: [np.flatnonzero(rng.random(width) < odds) for _ in range(n)]
+    toxic, clean = np.array([0.9, 0.6, 0.5, 0.5, 0.1, 0.5]), np.array([0.1, 0.3, 0.5, 0.5, 0.7, 0.5])
+    positive = draw(200, toxic)
+    unlabelled = draw(180, toxic) + draw(420, clean)
+
+    def risk(w, bias):
+        z = lambda rows: np.array([bias + w[r].sum() for r in rows])
+        loss = lambda z, y: np.mean(np.log1p(np.exp(-y * z)))
+        return prior * loss(z(positive), 1) + max(0.0, loss(z(unlabelled), -1) - prior * loss(z(positive), -1))
+
+    w, bias = q.train(positive, unlabelled, prior, width)
+    assert w[0] > 1 and w[4] < -1 and abs(w[2]) < abs(w[4]) / 3
+    start = risk(np.zeros(width), float(np.log(prior / (1 - prior))))
+    assert risk(w, bias) < start - 0.1
+    assert all(risk(w, bias) <= risk(w + step, bias) + 0.01 for step in 0.3 * np.vstack([np.eye(width), -np.eye(width)]))
+    kept = q.telling([r.astype(np.int64) for r in positive], [r.astype(np.int64) for r in unlabelled])
+    assert 0 in kept and 4 in kept and 2 not in kept
+
+
+def test_toxicity_odd_rows(spark):
+    from granary.llm import toxicity as q
+
+    rows = [(i, ("vile words here " if i % 4 == 0 else "kind words there ") + f"number{i % 9}", 0.5) for i in range(200)]
+    rows += [(3, rows[3][1], 0.5), (300, "kind " * 300_000, 0.5), (301, None, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), "x") for i in range(0, 200, 2)] + [(0, 1, "x"), (2, None, "x"), (999, 1, "x")], "doc_id long, toxic int, text string")
+    got = q.score(docs, q.fit(docs, labels)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 3}) == 1
+    one = {r.doc_id: r.score for r in got}
+    assert one[4] > one[5] and one[300] < one[4]
+    assert q.fit(docs.where("false"), labels) is None
+
+
+def test_toxicity_accuracy_on_held_out_rows(spark, small):
+    from granary.llm import toxicity as q
+
+    d = small.replace("sf0.001", "sf0.1")
+    said = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic").collect()}
+    held = [r for r in q.query(spark, d).where("held_out").collect() if said.get(r.doc_id) is not None]
+    caught = [r.predicted for r in held if said[r.doc_id] == 1]
+    blamed = [r.predicted for r in held if said[r.doc_id] == 0]
+    assert sum(caught) >= 0.85 * len(caught) and sum(blamed) <= 0.05 * len(blamed)
