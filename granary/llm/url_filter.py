@@ -1,14 +1,21 @@
 """URL filter: explicit rules, and for the rest a naive Bayes score of segmented host and path tokens.
 
 Host names join words without spaces. A unigram model of the corpus' own path words and separated host parts splits
-every host label by the Viterbi path; a multinomial naive Bayes model over these words and the path's words then tells wanted from unwanted
-hosts. Its training classes come from a seed list of words (a parameter): URLs with a seed word are examples of
-`block`, all others of `allow`. Word and token counts are Spark aggregations over all pages; the most frequent
-`MAX_WORDS` of them are shipped to the workers, all others are joined.
+every host label by the Viterbi path; a multinomial naive Bayes model over these words and the path's words then tells
+wanted from unwanted hosts. Its labelled examples come from one of two sources (`learn`):
+
+- `seeds`, a list of words (a parameter): URLs with a seed word in the host are examples of block, all others of allow;
+  what else such hosts say is learnt beside the seeds. This is the default: the registered rules name regions
+  (`net/`, `example.com/de/`), not bad hosts, and what goes with a region says nothing about the rest (README).
+- `rules`: URLs that a rule decides, with the rule's own host and path left out of their tokens, are examples of its
+  verdict; each seed then adds SEED_LOG_ODDS to the score, as a prior does.
+
+Tokens are made once, in one pass, and stored; word and token counts are Spark aggregations over all pages. The most
+frequent `MAX_WORDS` of them are shipped to the workers, all others are joined.
 
 Defined results: null urls and urls without `://` have empty host and path, no rule and verdict allow; ties between
-rules of equal length go to the one that sorts first; repeated urls are judged alike; extra columns are ignored; an
-empty table gives an empty table.
+rules of equal length go to the one that sorts first, and of two verdicts of one rule block wins; repeated urls are judged alike; extra columns are ignored; an
+empty table gives an empty table; letter runs longer than `MAX_WORD` can be split but are no words themselves.
 """
 
 from __future__ import annotations
@@ -25,8 +32,8 @@ from granary.llm.common import lower_ascii, stored, table
 
 #: (verdict, rule): a rule is a host, a slash and the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Words that make a URL an example of what to block.
-SEEDS = ("casino", "bets", "bet", "poker", "pills", "viagra", "spam", "porn", "xxx", "warez", "track", "ads")
+#: Words of unwanted hosts, and what each adds to the log odds of block beside examples that rules label.
+SEEDS, SEED_LOG_ODDS = ("casino", "bets", "bet", "poker", "pills", "viagra", "spam", "porn", "xxx", "warez", "track", "ads"), 4.0
 #: Seeds and common company words count as known words at least this often, so that names can be split at them.
 PRIOR_WORDS = SEEDS + ("free", "cheap", "win", "farm", "online", "shop", "news", "blog", "mail", "best", "buy", "club")
 PRIOR_COUNT, MAX_WORDS, MAX_WORD, SALTS = 50, 100_000, 24, 32
@@ -46,13 +53,21 @@ def path_of(url: Column) -> Column:
 def rule_columns(host: Column, path: Column, rules: Iterable[tuple[str, str]] = RULES) -> tuple[Column, Column]:
     """The longest fitting rule and its verdict, or nulls."""
     rule = verdict = F.lit(None).cast("string")
-    for said, text in sorted(rules, key=lambda r: (len(r[1]), [-ord(c) for c in r[1]])):
+    for said, text in sorted(rules, key=lambda r: (len(r[1]), [-ord(c) for c in r[1]], r[0] == "block")):
         name, slash, start = text.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + start)
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, said).otherwise(verdict)
     return rule, verdict
 
 
+def beside(host: Column, path: Column, rule: Column) -> tuple[Column, Column]:
+    """Host and path without what the rule names."""
+    name, slash = F.substring_index(rule, "/", 1), F.instr(rule, "/")
+    start = F.substr(rule, slash)
+    bare_host = F.when(rule.isNull(), host).otherwise(F.left(host, F.greatest(F.lit(0), F.length(host) - F.length(name))))
+    return bare_host, F.when(rule.isNull(), path).otherwise(F.substr(path, F.length(start) + 1))
+
+
 def most_frequent(counts: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows whose count reaches the lowest bound that at most `limit` keys reach, and the others (None if none are)."""
     bound, total = 1 << 62, 0
@@ -156,50 +171,57 @@ def with_rare_words(urls: DataFrame, rare: DataFrame | None) -> DataFrame:
     return urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "host", "path", "rare")
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, seeds: Iterable[str] = SEEDS, bar: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
+def class_weights(counted: DataFrame, seeds: Iterable[str] = ()) -> DataFrame:
+    """token, n, weight: the log odds of block against allow with one count added to each; counted has token, n, bad, good."""
+    n_bad, n_good, size = counted.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*") + 1).first()
+    log = lambda n, all_: F.log((n + 1) / F.lit(float(all_ + size)))
+    names = ["h:" + s for s in seeds]
+    seeded = F.when(F.col("token").isin(*names), SEED_LOG_ODDS).otherwise(0.0) if names else F.lit(0.0)
+    return counted.select("token", "n", (log(F.col("bad"), n_bad) - log(F.col("good"), n_good) + seeded).alias("weight"))
+
+
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, seeds: Iterable[str] = SEEDS, bar: float = 0.5, max_words: int = MAX_WORDS, learn: str = "seeds") -> DataFrame:
     """page_id, host, path, rule, verdict and score (the posterior of block; null where a rule decides)."""
-    spark = pages.sparkSession
+    spark, seeds, by_rules = pages.sparkSession, list(seeds), {"seeds": False, "rules": True}[learn]
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     plain = pages.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
     words = stored(url_words(plain), "words")
     shipped, rare = most_frequent(words, "word", max_words)
-    splitter = Splitter({r.word: r.n for r in shipped.collect()}, words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    urls = with_rare_words(plain, rare)
-    urls = urls if rare is None else stored(urls, "urls")
-    shared = spark.sparkContext.broadcast(splitter)
+    splitter = spark.sparkContext.broadcast(Splitter({r.word: r.n for r in shipped.collect()}, words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
 
     @F.pandas_udf("array<string>")
     def tokens_of(host: pd.Series, path: pd.Series, rare: pd.Series) -> pd.Series:
-        own = Tokens(shared.value)
+        own = Tokens(splitter.value)
         return pd.Series([own.of(h, p, r) for h, p, r in zip(host, path, rare)])
 
-    seeded = F.arrays_overlap("tokens", F.array(*[F.lit("h:" + s) for s in seeds]))
-    examples = urls.select(tokens_of("host", "path", "rare").alias("tokens")).select("tokens", seeded.cast("int").alias("bad"))
-    priors = {r.bad: r.n for r in examples.groupBy("bad").agg(F.count("*").alias("n")).collect()}
-    counted = stored(examples.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "tokens")
-    n_bad, n_all, size = counted.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*") + 1).first()
-    log = lambda n, all_: F.log((n + 1) / F.lit(float(all_ + size)))
-    weighed = counted.select("token", "n", (log(F.col("bad"), n_bad) - log(F.col("n") - F.col("bad"), n_all - n_bad)).alias("weight"))
-    frequent, others = most_frequent(weighed, "token", max_words)
-    prior = math.log((priors.get(1, 0) + 1) / (priors.get(0, 0) + 1))
-    model = spark.sparkContext.broadcast((splitter, {r.token: r.weight for r in frequent.collect()}, prior))
+    ruled = with_rare_words(plain, rare).select("*", rule.alias("rule"), verdict.alias("said"))
+    bare_host, bare_path = beside(F.col("host"), F.col("path"), F.col("rule")) if by_rules else (F.col("host"), F.col("path"))
+    tokens = ruled.withColumn("bare_host", bare_host).withColumn("bare_path", bare_path).select("page_id", "host", "path", "rule", "said", tokens_of("bare_host", "bare_path", "rare").alias("tokens"))
+    # the rows' numbers stay as they are once the table is written
+    urls = stored(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    seeded = F.arrays_overlap("tokens", F.array(*[F.lit("h:" + x) for x in seeds])) if seeds else F.lit(False)
+    bad, good = [F.coalesce(c.cast("long"), F.lit(0)) for c in ((F.col("said") == "block", F.col("said") == "allow") if by_rules else (seeded, ~seeded))]
+    examples = urls.agg(F.coalesce(F.sum(bad), F.lit(0)), F.coalesce(F.sum(good), F.lit(0))).first()
+    exploded = urls.select(F.explode("tokens").alias("token"), bad.alias("bad"), good.alias("good"))
+    counted = stored(exploded.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")), "counts")
+    frequent, others = most_frequent(class_weights(counted, seeds if by_rules else ()), "token", max_words)
+    prior = math.log((examples[0] + 1) / (examples[1] + 1))
+    model = spark.sparkContext.broadcast(({r.token: r.weight for r in frequent.collect()}, prior))
 
     @F.pandas_udf("struct<logit:double,tail:array<string>>")
-    def partial(host: pd.Series, path: pd.Series, rare: pd.Series) -> pd.DataFrame:
-        split, weight, start = model.value
-        own = Tokens(split)
-        found = [own.of(h, p, r) for h, p, r in zip(host, path, rare)]
-        return pd.DataFrame({"logit": [start + sum(weight.get(t, 0.0) for t in x) for x in found], "tail": [[t for t in x if t not in weight] for x in found]})
+    def partial(tokens: pd.Series) -> pd.DataFrame:
+        weight, start = model.value
+        return pd.DataFrame({"logit": [start + sum(weight.get(t, 0.0) for t in x) for x in tokens], "tail": [[t for t in x if t not in weight] for x in tokens]})
 
-    summed = urls.select("page_id", "host", "path", partial("host", "path", "rare").alias("x")).select("page_id", "host", "path", "x.*")
+    open_ = urls.where("said IS NULL").select("row", "page_id", "host", "path", partial("tokens").alias("x")).select("row", "page_id", "host", "path", "x.*")
     if others is not None:
-        # tokens beyond the shipped ones get their weights by a join; ids stay as they are once the table is stored
-        rows = stored(summed.withColumn("row", F.monotonically_increasing_id()), "partial")
+        # tokens beyond the shipped ones get their weights by a join
+        rows = stored(open_, "partial")
         tails = rows.select("row", F.explode("tail").alias("token")).join(others, "token").groupBy("row").agg(F.sum("weight").alias("more"))
-        summed = rows.join(tails, "row", "left").withColumn("logit", F.col("logit") + F.coalesce("more", F.lit(0.0)))
+        open_ = rows.join(tails, "row", "left").withColumn("logit", F.col("logit") + F.coalesce("more", F.lit(0.0)))
     own = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("logit")))))
-    judged = summed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), own.alias("own"))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.when((F.col("host") != "") & (F.col("own") > bar), "block").otherwise("allow")).alias("verdict"), F.when(F.col("said").isNull(), F.col("own")).alias("score"))
+    scored = open_.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when((F.col("host") != "") & (own > bar), "block").otherwise("allow").alias("verdict"), own.alias("score"))
+    return scored.unionByName(urls.where("said IS NOT NULL").select("page_id", "host", "path", "rule", F.col("said").alias("verdict"), F.lit(None).cast("double").alias("score")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
