@@ -15,7 +15,7 @@ frequent `MAX_WORDS` of them are shipped to the workers, all others are joined.
 
 Defined results: null urls and urls without `://` have empty host and path, no rule and verdict allow; ties between
 rules of equal length go to the one that sorts first, and of two verdicts of one rule block wins; repeated urls are judged alike; extra columns are ignored; an
-empty table gives an empty table; letter runs longer than `MAX_WORD` can be split but are no words themselves.
+empty table gives an empty table; without examples of both verdicts only rules (and seeds) block; letter runs longer than `MAX_WORD` can be split but are no words themselves.
 """
 
 from __future__ import annotations
@@ -172,12 +172,15 @@ def with_rare_words(urls: DataFrame, rare: DataFrame | None) -> DataFrame:
 
 
 def class_weights(counted: DataFrame, seeds: Iterable[str] = ()) -> DataFrame:
-    """token, n, weight: the log odds of block against allow with one count added to each; counted has token, n, bad, good."""
+    """token, n, weight: the log odds of block against allow with one count added to each; counted has token, n, bad, good.
+
+    Without examples of both classes nothing is learnt.
+    """
     n_bad, n_good, size = counted.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*") + 1).first()
     log = lambda n, all_: F.log((n + 1) / F.lit(float(all_ + size)))
     names = ["h:" + s for s in seeds]
     seeded = F.when(F.col("token").isin(*names), SEED_LOG_ODDS).otherwise(0.0) if names else F.lit(0.0)
-    return counted.select("token", "n", (log(F.col("bad"), n_bad) - log(F.col("good"), n_good) + seeded).alias("weight"))
+    return counted.select("token", "n", ((log(F.col("bad"), n_bad) - log(F.col("good"), n_good) if n_bad and n_good else F.lit(0.0)) + seeded).alias("weight"))
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, seeds: Iterable[str] = SEEDS, bar: float = 0.5, max_words: int = MAX_WORDS, learn: str = "seeds") -> DataFrame:
@@ -205,7 +208,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, seeds: Ite
     exploded = urls.select(F.explode("tokens").alias("token"), bad.alias("bad"), good.alias("good"))
     counted = stored(exploded.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")), "counts")
     frequent, others = most_frequent(class_weights(counted, seeds if by_rules else ()), "token", max_words)
-    prior = math.log((examples[0] + 1) / (examples[1] + 1))
+    prior = math.log((examples[0] + 1) / (examples[1] + 1)) if all(examples) else 0.0
     model = spark.sparkContext.broadcast(({r.token: r.weight for r in frequent.collect()}, prior))
 
     @F.pandas_udf("struct<logit:double,tail:array<string>>")
