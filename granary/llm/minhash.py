@@ -1,6 +1,7 @@
 """Near duplicates by b-bit MinHash.
 
-1. Every text becomes its set of 64-bit hashes of 5-word shingles. Texts with equal sets are one class.
+1. Every text becomes its set of 64-bit hashes of 5-word shingles. Texts with equal sets, by their sizes and two
+   independent 64-bit hashes of the whole set, are one class.
 2. A class representative gets `PERMUTATIONS` minima. Bands of `ROWS` minima are hashed to bucket keys; of each
    minimum, the two lowest bits are kept in bit planes, so that a signature is four longs.
 3. Candidates are pairs of one bucket. Their similarity is estimated from bit counts, corrected for chance agreement
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import lower_ascii, stored, table, words_of
+from granary.llm.common import lower_ascii, remove_path, scratch_path, stored, table, words_of
 from granary.llm.textbytes import mix
 
 SHINGLE, PERCENT = 5, 85
@@ -38,6 +39,10 @@ PERMUTATIONS, PLANES = BANDS * ROWS, 2
 MARGIN = 5
 #: Blocks of 2**BLOCK_BITS sets are compared with each other.
 BLOCK_BITS = 8
+#: Tasks that the members of a class of equal texts are dealt over.
+SALTS = 16
+#: Makes the second hash of a set independent of the first.
+CHECK = np.uint64(0x5851F42D4C957F2D)
 _RNG = np.random.default_rng(5)
 _FACTOR = _RNG.integers(1, 2**63 - 1, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 2**63 - 1, size=PERMUTATIONS, dtype=np.uint64)
@@ -101,8 +106,8 @@ SIGNATURE = ["s00", "s01", "s10", "s11"]
 
 
 def with_signatures(sets: DataFrame) -> DataFrame:
-    """doc_id, size, set_hash, keys and signature of every row of (doc_id, sh); the sets themselves are left behind."""
-    schema = "doc_id long, size int, set_hash long, keys array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    """doc_id, size, set_hash, set_check, keys and signature of every row of (doc_id, sh); the sets themselves are left behind."""
+    schema = "doc_id long, size int, set_hash long, set_check long, keys array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
 
     def run(batches):
         for batch in batches:
@@ -113,16 +118,17 @@ def with_signatures(sets: DataFrame) -> DataFrame:
                 flat = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 full = np.flatnonzero(sizes > 0)
                 starts = (np.cumsum(sizes) - sizes)[full]
-                hashed, keys, sig = np.zeros(len(sizes), dtype=np.int64), [[] for _ in sizes], np.zeros((len(sizes), 4), dtype=np.int64)
+                hashed, checked, keys, sig = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64), [[] for _ in sizes], np.zeros((len(sizes), 4), dtype=np.int64)
                 if len(full):
                     mixed = mix(flat)
                     hashed[full] = (np.add.reduceat(mixed, starts) ^ mix(np.add.reduceat(mix(mixed), starts))).view(np.int64)
+                    checked[full] = np.add.reduceat(mix(flat ^ CHECK), starts).view(np.int64)
                     found, sig[full] = signatures(minima(mixed, starts))
                     for i, row in zip(full, found.tolist()):
                         keys[i] = row
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 2000), pa.array(sizes.astype(np.int32)), pa.array(hashed), pa.array(keys, type=pa.list_(pa.int64())), *[pa.array(sig[:, k]) for k in range(4)]],
-                    names=["doc_id", "size", "set_hash", "keys", *SIGNATURE])
+                    [ids.slice(at, 2000), pa.array(sizes.astype(np.int32)), pa.array(hashed), pa.array(checked), pa.array(keys, type=pa.list_(pa.int64())), *[pa.array(sig[:, k]) for k in range(4)]],
+                    names=["doc_id", "size", "set_hash", "set_check", "keys", *SIGNATURE])
 
     return sets.select("doc_id", "sh").mapInArrow(run, schema)
 
@@ -148,16 +154,22 @@ def connected(links: DataFrame, name: str = "labels") -> DataFrame:
     """node, label (the smallest node reachable) of every node that has a link.
 
     Each round a node takes the smallest label among its neighbours', and then its label's label, so that long chains
-    shorten fast; rounds end when no label changes. Labels are written to the shared folder after each round.
+    shorten fast; rounds end when no label changes. Labels are written to the shared folder after each round, and those
+    of the round before deleted. A hub's rows are one side of a join of two shuffles, which adaptive execution splits.
     """
+    spark = links.sparkSession
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name)
+    labels, last = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name), None
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", "m").alias("l"))
         jumps = labels.select(F.col("node").alias("l"), F.col("label").alias("j"))
-        new = stored(lower.join(jumps, "l", "left").select("node", "label", F.least("l", F.coalesce("j", "l")).alias("new")), name)
-        changed = new.where("new < label").limit(1).count()
+        path = scratch_path(spark, name)
+        lower.join(jumps, "l", "left").select("node", "label", F.least("l", F.coalesce("j", "l")).alias("new")).write.parquet(path)
+        new = spark.read.schema("node long, label long, new long").parquet(path)
+        if last:
+            remove_path(spark, last)
+        changed, last = new.where("new < label").limit(1).count(), path
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
@@ -242,13 +254,19 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per document."""
     texts = docs.select("doc_id", "text")
     sigs = stored(with_signatures(with_shingles(texts)), "signatures")
+    same = ["set_hash", "set_check", "size"]
     full = sigs.where("size > 0")
-    classes = full.groupBy("set_hash", "size").agg(F.min("doc_id").alias("doc_id"))
-    reps = full.join(classes.select("doc_id"), "doc_id", "left_semi")
+    classes = stored(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     labels = links_and_labels(reps, texts, percent).select(F.col("node").alias("rep"), "label")
-    named = classes.withColumnRenamed("doc_id", "rep").join(labels, "rep", "left").select("set_hash", "size", F.coalesce("label", "rep").alias("component"))
-    got = sigs.join(named, ["set_hash", "size"], "left")
-    component = F.coalesce("component", "doc_id")
+    # most documents are alone with their set: they find their label by doc_id. Members of larger classes, maybe a third
+    # of all rows, find theirs by the set, dealt over SALTS tasks
+    shared = classes.where("n > 1").join(labels, "rep", "left").select(*same, F.coalesce("label", "rep").alias("common")).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    dealt = sigs.select("doc_id", *same).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # texts without a shingle share no set; each goes by its own id
+    dealt = dealt.withColumn("set_hash", F.when(F.col("size") > 0, F.col("set_hash")).otherwise(F.xxhash64("doc_id")))
+    got = dealt.join(shared, [*same, "salt"], "left").join(labels, dealt["doc_id"] == labels["rep"], "left")
+    component = F.coalesce("common", "label", "doc_id")
     return got.select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
