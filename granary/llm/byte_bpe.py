@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import table, vocabulary_file
 
 CACHE_ENTRIES = 300_000
 #: Texts are encoded in groups of about so many characters.
@@ -234,7 +234,7 @@ class Codec:
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process and vocabulary; its tables are left out of later garbage collections."""
-    made = Codec(read_ranks(path), pattern)
+    made = Codec(read_ranks(vocabulary_file(path)), pattern)
     gc.collect()
     gc.freeze()
     return made
@@ -260,7 +260,11 @@ def default_files() -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids: bool = False) -> DataFrame:
-    """The columns of `keep`, then n_tokens, ids_sha256, decoded_sha256, and with with_ids the ids (array of long)."""
+    """The columns of `keep`, then n_tokens, ids_sha256, decoded_sha256, and with with_ids the ids (array of long).
+
+    A column of `keep` that is named like one of these is left out.
+    """
+    keep = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256") + ("ids",) * with_ids]
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
     inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,15 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def vocabulary_file(path: str) -> str:
+    """A vocabulary file where this machine has it: the path given, or else the installed one of that name."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(path))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that no later step reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

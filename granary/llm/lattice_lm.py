@@ -2,9 +2,11 @@
 
 The pieces of an existing public vocabulary are the arcs of a lattice over each word; a piece's score is its unigram
 log probability. A forward recursion in log space sums the weights of all segmentations, so that a word's score is its
-marginal probability and not that of one best split. Piece scores are re-estimated (expectation maximisation over all
-distinct training words, weighted by their counts); whole training words are one more segmentation, with their
-discounted relative frequency. A document's score is the sum over its words and one end token.
+marginal probability and not that of one best split. The installed vocabulary orders its pieces by merge ranks and has
+no unigram probabilities, so these are fitted to it once per corpus: expectation maximisation over all distinct
+training words, weighted by their counts. `lattice_score` is the sum of these marginals over a document's words and
+one end token. `score` adds one more segmentation to each lattice, the whole training word with its discounted
+relative frequency, which leaves the lattice the mass of what is rare or new.
 
 Word counts come from all training documents by a map-side combined aggregation. The `MAX_WORDS` most frequent words
 (a fixed bound, whatever the input) are shipped to the workers as hashes and counts; all other words of a document are
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import fold_of, lower_ascii, stored, table, words_of
+from granary.llm.common import fold_of, lower_ascii, stored, table, vocabulary_file, words_of
 from granary.llm.textbytes import WindowHasher
 
 FOLDS, HELD_OUT = 10, 0
@@ -102,11 +104,11 @@ class Lattice:
             rows.append(row[at])
             pieces.append(which[place[hit]])
         end, length, rows_, piece = (np.concatenate(x) for x in (ends, lengths, rows, pieces))
-        key = end * 4096 + length
-        order = np.argsort(key, kind="stable")
-        key, rows_, piece = key[order], rows_[order], piece[order]
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, dtype=int)
-        return sizes, [(int(key[a]) // 4096, int(key[a]) % 4096, rows_[a:b], piece[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+        # arcs come by ascending length, so a stable sort by end orders them by both; 16-bit keys are sorted by radix
+        order = np.argsort(end.astype(np.uint16) if len(end) and end.max() < 1 << 16 else end, kind="stable")
+        end, length, rows_, piece = end[order], length[order], rows_[order], piece[order]
+        cut = np.flatnonzero(np.r_[True, (end[1:] != end[:-1]) | (length[1:] != length[:-1]), True]) if len(end) else np.zeros(1, dtype=int)
+        return sizes, [(int(end[a]), int(length[a]), rows_[a:b], piece[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
     @staticmethod
     def forward(sizes: np.ndarray, arcs: list, scores: np.ndarray) -> np.ndarray:
@@ -158,7 +160,7 @@ def groups(items: list[int], sizes: list[int], cells: int = 400_000):
 @lru_cache(maxsize=2)
 def lattice(path: str) -> tuple[Lattice, np.ndarray]:
     """The lattice of a vocabulary file and the pieces' initial scores, by their order in the file."""
-    pieces = read_pieces(path)
+    pieces = read_pieces(vocabulary_file(path))
     order = sorted(pieces, key=pieces.get)
     weight = 1.0 / (np.arange(len(order)) + 50.0)
     return Lattice(order), np.log(weight / weight.sum())
@@ -238,7 +240,8 @@ def fit(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> tuple[DataFra
     hashes = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     n = top["n"].to_numpy()[order]
-    model |= {"hashes": hashes[order], "base": base_log10(n, model), "full": mixed(n, top["lattice"].to_numpy()[order], model)}
+    logs = top["lattice"].to_numpy()[order]
+    model |= {"hashes": hashes[order], "base": base_log10(n, model), "full": mixed(n, logs, model), "pure": logs / LOG10}
     return counts.where(F.col("n") < bound), model
 
 
@@ -266,7 +269,7 @@ def partial_scores(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         own = shared.value
         arcs, hashes = lattice(own["path"])[0], own["hashes"]
-        end = (base_log10(own["ends"], own), float(mixed(own["ends"], own["scores"][-1], own)), int(own["ends"] > 0))
+        end = (base_log10(own["ends"], own), float(mixed(own["ends"], own["scores"][-1], own)), int(own["ends"] > 0), float(own["scores"][-1]) / LOG10)
         for batch in batches:
             ids, texts, rows = batch.column(0), batch.column(1), []
             at = 0
@@ -282,24 +285,25 @@ def partial_scores(docs: DataFrame, model: dict) -> DataFrame:
                 hashed = np.fromiter((word_hash(w) for w in names), dtype=np.uint64, count=len(names))
                 place = np.searchsorted(hashes, hashed).clip(0, max(0, len(hashes) - 1))
                 known = hashes[place] == hashed if len(hashes) else np.zeros(len(names), dtype=bool)
-                base, full, logs = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
-                base[known], full[known] = own["base"][place[known]], own["full"][place[known]]
+                base, full, logs, pure = (np.zeros(len(names)) for _ in range(4))
+                base[known], full[known], pure[known] = own["base"][place[known]], own["full"][place[known]], own["pure"][place[known]]
                 others = np.flatnonzero(~known)
                 logs[others] = arcs.log_probabilities([names[i].encode("utf-8") for i in others], own["scores"][:-1])
+                pure[others] = logs[others] / LOG10
                 for words in docs_words:
                     which = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
                     got = known[which]
                     rest, times = np.unique(which[~got], return_counts=True)
                     tail = [{"h": h, "n": k, "lattice": x} for h, k, x in zip(hashed[rest].view(np.int64).tolist(), times.tolist(), logs[rest].tolist())]
-                    rows.append((len(words) + 1, int(got.sum()) + end[2], float(base[which].sum()) + end[0], float(full[which].sum()) + end[1], tail))
-            columns = [ids, *[pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type))]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "tail"])
+                    rows.append((len(words) + 1, int(got.sum()) + end[2], float(base[which].sum()) + end[0], float(full[which].sum()) + end[1], float(pure[which].sum()) + end[3], tail))
+            columns = [ids, *[pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), tail_type))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "lattice_score", "tail"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:long,lattice:double>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, lattice_score double, tail array<struct<h:long,n:long,lattice:double>>")
 
 
 def score(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every whole text."""
     rare, model = fit(docs, path, max_words)
     partial = stored(partial_scores(docs, model), "partial")
     tails = partial.select("doc_id", F.explode("tail").alias("x")).select("doc_id", "x.*")
@@ -315,7 +319,7 @@ def score(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     return partial.drop("tail").join(sums, "doc_id", "left").select(
         "doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", (F.col("n_known") + zero(F.col("k"))).alias("n_known"), F.lit(model["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero(F.col("b"))).alias("base_score"), (F.col("score") + zero(F.col("s"))).alias("score"))
+        (F.col("base_score") + zero(F.col("b"))).alias("base_score"), (F.col("score") + zero(F.col("s"))).alias("score"), "lattice_score")
 
 
 def default_path() -> str:

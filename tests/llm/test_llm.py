@@ -557,3 +557,41 @@ def test_url_filter_odd_rows(spark):
     assert {r.verdict for r in q.judge(pages, rules=()).where("page_id < 2").collect()} == {"block"}
     assert q.judge(pages.where("false")).count() == 0
     assert {r.verdict for r in q.judge(pages, seeds=(), rules=()).collect()} == {"allow"}
+
+
+def test_lattice_score_is_the_sum_of_marginals(odd):
+    """lattice_score against all segmentations under the fitted piece scores; EM never lowers the training likelihood."""
+    import math
+
+    import numpy as np
+
+    from granary.llm import lattice_lm as q
+
+    path = q.default_path()
+    rare, model = q.fit(odd, path, 20)
+    pieces = {x: s for x, s in zip(q.lattice(path)[0].pieces, model["scores"])}
+
+    def brute(data):
+        total = [1.0] + [0.0] * len(data)
+        for end in range(1, len(data) + 1):
+            total[end] = sum(total[start] * math.exp(pieces[data[start:end]]) for start in range(max(0, end - 30), end) if data[start:end] in pieces)
+        return total[-1]
+
+    rows = {r.doc_id: r for r in q.score(odd, path, 20).collect()}
+    for i, t in texts_of(odd):
+        words = WORD.findall(t.translate(LOWER))
+        if len(words) < 200 and all(len(w) < 60 for w in words):
+            want = sum(math.log10(brute(b" " + w.encode())) for w in words) + model["scores"][-1] / math.log(10)
+            assert rows[i].lattice_score == pytest.approx(want, rel=1e-6)
+    counts = q.stored(q.word_counts(odd), "test-words")
+    words = {r.word.encode(): r.n for r in counts.collect()}
+    lattice, first = q.lattice(path)
+    likelihood = lambda scores: float(np.dot(lattice.log_probabilities(list(words), scores), list(words.values())))
+    assert likelihood(model["scores"][:-1]) > likelihood(first)
+
+
+def test_byte_bpe_keeps_other_names(odd):
+    from granary.llm import byte_bpe as q
+
+    got = q.encode_documents(odd.withColumn("n_tokens", F.lit("x")), *q.default_files(), keep=["doc_id", "n_tokens", "h"])
+    assert got.columns == ["doc_id", "h", "n_tokens", "ids_sha256", "decoded_sha256"] and got.where("doc_id = 1").first().n_tokens == 0
