@@ -16,7 +16,7 @@ equal strings have equal anchors and only the suffixes at anchors (about 3 in 10
    one bound what goes. Splitters are whole leads and a lead equal to one always goes to its right, so that neighbours
    across a boundary never share a lead and no window of LENGTH bytes: comparing them can't find a repeat.
    Runs of more than RUN_ROWS suffixes aren't sorted: the earliest start of each of their windows comes from a
-   map-side combined aggregation of 64-bit window hashes, and a salted join marks the others.
+   map-side combined aggregation of 64-bit window hashes, which then marks the others.
 4. Spans are merged per document and the other bytes hashed.
 
 Contexts are taken for equal by a 64-bit hash beside the equal 64-bit hash of their leads.
@@ -44,7 +44,10 @@ LENGTH, LEAD = 100, 32
 BEFORE = LENGTH - LEAD
 #: Documents, and places of each at most, in the sample that splitters and frequent leads are taken from.
 SAMPLE_DOCS, SAMPLE_PLACES = 2000, 200
-ROWS_PER_BUCKET, RUN_ROWS, SALTS = 40_000, 20_000, 32
+#: A row of a bucket takes about 850 bytes of a task's memory, so that its longest run takes 170 MB.
+ROWS_PER_BUCKET, RUN_ROWS, SALTS = 40_000, 200_000, 32
+#: First occurrences of repeated windows that are shipped to the tasks, at 20 bytes each.
+SHIPPED_WINDOWS = 1_000_000
 #: Leads in so many documents of the sample, and in this share of them, are frequent.
 FREQUENT_DOCS, FREQUENT_SHARE = 4, 0.005
 #: The number of a row within its table; what the steps call key.
@@ -141,14 +144,19 @@ def sort_out(found: DataFrame) -> DataFrame:
 
 
 def settle_hot(places: DataFrame) -> DataFrame:
-    """places with those of frequent leads moved from `hot` into the other lists; each lead has SALTS rows a context at most."""
-    hot = places.select("key", F.explode("hot").alias("x")).select("key", "x.*", F.lit(False).alias("own"))
-    sized = _marked(hot.repartition("h"), ["h"]).where("again OR several")
-    again, names = F.col("again"), ("settled", "open", "long")
-    which = {"settled": again, "open": ~again & ~F.col("long"), "long": ~again & F.col("long")}
-    more = sized.groupBy("key").agg(*[F.collect_list(F.when(which[x], F.col("pos"))).alias(f"more_{x}") for x in names])
+    """places with those of frequent leads moved from `hot` into the other lists; a context has SALTS of them at most.
+
+    A lead's contexts are counted by an aggregation; leads in `hot` come from a bounded sample, so their counts are few.
+    """
+    hot = places.select("key", F.explode("hot").alias("x")).select("key", "x.*")
+    per_lead = hot.groupBy("h").agg(F.count_distinct("ctx").alias("contexts"))
+    ordered = Window.partitionBy("h", "ctx").orderBy("key", "pos")
+    sized = hot.withColumn("again", F.row_number().over(ordered) > 1).join(F.broadcast(per_lead), "h").where("again OR contexts > 1")
+    again, long = F.col("again"), F.col("contexts") > RUN_ROWS
+    which = {"settled": again, "open": ~again & ~long, "long": ~again & long}
+    more = sized.groupBy("key").agg(*[F.collect_list(F.when(c, F.col("pos"))).alias(f"more_{x}") for x, c in which.items()])
     none = F.array().cast("array<int>")
-    return places.join(more, "key", "left").select("key", *[F.concat(x, F.coalesce(f"more_{x}", none)).alias(x) for x in names])
+    return places.join(more, "key", "left").select("key", *[F.concat(x, F.coalesce(f"more_{x}", none)).alias(x) for x in which])
 
 
 def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -291,34 +299,61 @@ def compare(suffixes: DataFrame, n: int) -> DataFrame:
     return suffixes.repartitionById(n, F.col("bucket")).mapInArrow(run, "key long, a int, b int")
 
 
-def windows_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """w (hash of the window's bytes), key, pos, start of every window of LENGTH bytes around every long place."""
+def windows_of(docs: DataFrame, places: DataFrame, firsts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """w (hash of the window's bytes), key, pos, start of every window of LENGTH bytes around every long place.
+
+    With firsts (ascending hashes of repeated windows, keys and starts of their first occurrences) only key, a, b: each
+    place's span from its first to its last window that occurs before.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(firsts)
 
     def run(batches):
-        hasher = WindowHasher()
+        hasher, own = WindowHasher(), known.value
         for batch in batches:
             for key, text, opens in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 data = _bytes(text)
-                sums, every = hasher.sums(data), np.array(opens, dtype=np.int64)
+                sums, every = hasher.sums(data), np.sort(np.array(opens, dtype=np.int64))
                 for k in range(0, len(every), 2000):
                     at = np.repeat(every[k : k + 2000], BEFORE + 1)
                     start = at - np.tile(np.arange(BEFORE + 1), len(at) // (BEFORE + 1))
                     fits = (start >= 0) & (start + LENGTH <= len(data))
                     at, start = at[fits], start[fits]
                     h = hasher.of(sums, start, LENGTH)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), key, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32))], names=["w", "key", "pos", "start"])
+                    if own is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), key, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32))], names=["w", "key", "pos", "start"])
+                        continue
+                    place = np.searchsorted(own[0], h).clip(0, len(own[0]) - 1)
+                    again = (own[0][place] == h) & ((own[1][place] != key) | (own[2][place] != start))
+                    spots, first = np.unique(at[again], return_index=True)
+                    if len(spots):
+                        # starts descend with the offset, so a place's last hit in order is its earliest window
+                        last = np.append(first[1:], again.sum()) - 1
+                        hits = start[again]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spots), key, dtype=np.int64)), pa.array(hits[last].astype(np.int32)), pa.array((hits[first] + LENGTH).astype(np.int32))], names=["key", "a", "b"])
 
     own = docs.select(F.col(KEY).alias("key"), "text").join(places, "key").select("key", "text", "long")
-    return own.mapInArrow(run, "w long, key long, pos int, start int")
+    return own.mapInArrow(run, "w long, key long, pos int, start int" if firsts is None else "key long, a int, b int")
+
 
+def compare_long(docs: DataFrame, places: DataFrame, shipped: int = SHIPPED_WINDOWS) -> DataFrame:
+    """key, a, b: the spans that the long runs show to be repeats, by aggregations in place of sorted runs.
 
-def compare_long(windows: DataFrame) -> DataFrame:
-    """key, a, b: the spans that the long runs show to be repeats, by aggregations in place of sorted runs."""
-    firsts = windows.groupBy("w").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    What many rows share is few windows: the first occurrences of repeated ones are shipped to the tasks up to a
+    counted bound, and beyond it joined.
+    """
+    windows = windows_of(docs, places)
+    firsts = stored(windows.groupBy("w").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first.*"), "firsts")
+    if firsts.count() <= shipped:
+        t = firsts.toArrow()
+        w = t["w"].to_numpy().view(np.uint64)
+        order = np.argsort(w)
+        if not len(order):
+            return windows.select("key", F.col("pos").alias("a"), F.col("pos").alias("b")).where("false")
+        return windows_of(docs, places, (w[order], t["key"].to_numpy()[order], t["start"].to_numpy().astype(np.int64)[order]))
     # a window may be in a third of all documents: its rows are dealt over SALTS tasks
-    salted = firsts.select("w", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    salted = firsts.select("w", F.col("key").alias("k1"), F.col("start").alias("s1"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
     dealt = windows.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
-    again = dealt.join(salted, ["w", "salt"]).where(F.struct("key", "start") != F.col("first"))
+    again = dealt.join(salted, ["w", "salt"]).where((F.col("key") != F.col("k1")) | (F.col("start") != F.col("s1")))
     return again.groupBy("key", "pos").agg(F.min("start").alias("a"), (F.max("start") + LENGTH).cast("int").alias("b")).select("key", "a", "b")
 
 
@@ -334,7 +369,7 @@ def removals(docs: DataFrame) -> DataFrame:
     some = places.where(F.size("open") > 0).select("key", "open")
     spans = compare(open_suffixes(docs, some, splitters(leads, n)), n)
     if in_long:
-        spans = spans.unionByName(compare_long(stored(windows_of(docs, places.where(F.size("long") > 0).select("key", "long")), "windows")))
+        spans = spans.unionByName(compare_long(docs, places.where(F.size("long") > 0).select("key", "long")))
     per_doc = spans.groupBy("key").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     return places.select("key", "settled").join(per_doc, "key", "full")
 

@@ -283,6 +283,10 @@ def test_suffix_dedup_long_runs(spark, odd, monkeypatch):
     places = q.sort_out(q.scan(q.numbered(docs))).agg(F.sum(F.size("open")).alias("open"), F.sum(F.size("long")).alias("long")).first()
     assert places.long > 60 and places.open < places.long
     got = {r.doc_id: r for r in q.stripped(both).collect()}
+    keyed = q.numbered(docs)
+    long = q.sort_out(q.scan(keyed)).where(F.size("long") > 0).select("key", "long")
+    shipped, joined = (sorted(map(tuple, q.compare_long(keyed, long, n).collect())) for n in (10**6, 0))
+    assert shipped == joined and len(shipped) > 60
     seen = set()
     for i, t in texts_of(both):
         data = t.encode()
