@@ -17,6 +17,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def name_key(name: Column) -> Column:
     """Unicode letters and digits, lower case, without legal suffixes."""
     bare = F.regexp_replace(F.lower(name), rf"(^|[^\p{{L}}\p{{N}}])({LEGAL})(?=[^\p{{L}}\p{{N}}]|$)", "$1")
@@ -44,7 +49,7 @@ def overlap_ratio(a: Column, b: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     marked = F.regexp_replace(text, r"([.!?]+)(\s+|$)", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: strip(s)), lambda s: s != "")
 
 
 def statement_key(text: Column) -> Column:
@@ -129,10 +134,110 @@ def numbered_items(text: Column) -> Column:
 
 def statement_rejection(text: Column) -> Column:
     """Why a statement isn't kept, or null: length 30 to 280, five words or more, not all capitals (of more than 8 letters A-Z)."""
-    t = F.trim(text)
+    t = strip(text)
     letters = F.regexp_replace(t, "[^A-Za-z]", "")
     return F.when(~F.length(t).between(30, 280), "length").when(F.size(F.split(t, r"\s+")) < 5, "words").when((F.length(letters) > 8) & ~letters.rlike("[a-z]"), "capitals")
 
 
+# What marks a report title, and the verbs and prepositions of prose.
+BARE_YEAR_END = r"\b\d{4}(?:-\d{2,4})?\s*$"
+PROSE_CONNECTOR = r"(?i)\b(?:is|are|was|were|will|has|have|had|can|could|would|projected|expected|forecast|valued|grow|growing|grew|reach|reaching|reached|exhibit|exhibiting|during|between|from)\b"
+STRONG_INDICATOR = r"(?i)[\d](?:[.,]\d+)?\s*%|\$[\d,.]+\s*(?:billion|million|trillion|bn|mn)?|\bCAGR\b"
+
+
+def statement_rejection_full(text: Column) -> Column:
+    """As statement_rejection, then `title`: a statement that ends with a year and has no word of prose."""
+    t = strip(text)
+    return F.coalesce(statement_rejection(text), F.when(t.rlike(BARE_YEAR_END) & ~t.rlike(PROSE_CONNECTOR), "title"))
+
+
+def has_strong_indicator(text: Column) -> Column:
+    """A percentage, an amount of money or CAGR."""
+    return text.rlike(STRONG_INDICATOR)
+
+
+# Filler phrases and what replaces them, in order.
+FILLERS = (
+    (r"(?i)\bI hope this (?:email|message|note) finds you well[.,]?\s*", ""),
+    (r"(?i)\bIt(?:'|’)s worth noting that\b", ""),
+    (r"(?i)\bIt is worth noting that\b", ""),
+    (r"(?i)\bIn today(?:'|’)s (?:fast-paced|ever-changing|competitive) (?:world|landscape|market)[,.]?\s*", ""),
+    (r"(?i)\bAs an? (?:AI|language model)[^.]*\.\s*", ""),
+    (r"(?i)\bIn conclusion,\s*", ""),
+    (r"(?i)\bFurthermore,\s*", "Also, "),
+    (r"(?i)\bMoreover,\s*", "And "),
+    (r"(?i)\bleverage\b", "use"),
+    (r"(?i)\bleveraging\b", "using"),
+    (r"(?i)\butilize\b", "use"),
+    (r"(?i)\butilizing\b", "using"),
+)
+DASHES = ((r"\s+--\s+", ", "), (r"\s+[—–]\s+", ", "), (r",\s*,", ", "), (r",\s*\.", "."))
+TIDY = ((r"\s{2,}", " "), (r"^\s*[,;:]\s*", ""), (r"\s+([.,;:!?])", "$1"))
+
+
+def replaced(text: Column, rules) -> Column:
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new)
+    return text
+
+
+def humanised(text: Column) -> Column:
+    """Connector dashes become commas, fillers go, and sentences begin with a capital again."""
+    plain = strip(replaced(F.coalesce(text, F.lit("")), DASHES + FILLERS + TIDY))
+    parts = F.split(F.regexp_replace(plain, r"([.!?]\s+)", "$1\u0001"), "\u0001")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p)), "")
+
+
+# What goes from scraped Markdown, in order.
+MARKDOWN_NOISE = (
+    (r"!\[.*?\]\(.*?\)", ""),
+    (r"(?m)^https?://\S+$", ""),
+    (r"\n{3,}", "\n\n"),
+    (r"(?m)^[-=*]{3,}\s*$", ""),
+    (r"(?im)^(Home|Menu|Navigation|Skip to content|Back to top)\s*$", ""),
+    (r"(?m)^[|+]+[-|+]*\s*$", ""),
+)
+
+
+def clean_markdown(text: Column) -> Column:
+    return strip(replaced(text, MARKDOWN_NOISE))
+
+
+def sec_name_key(name: Column) -> Column:
+    """As name_key with `&` as `and` and the filing registry's suffixes."""
+    bare = F.regexp_replace(F.replace(F.lower(name), F.lit("&"), F.lit(" and ")), r"\b(?:pvt\.?|private|ltd\.?|limited|inc\.?|incorporated|llc|corp\.?|corporation|co\.?|plc)\b", " ")
+    return squeeze(F.regexp_replace(bare, r"[^\p{L}\p{N}\s-]", " "))
+
+
+def context_window(text: Column, pattern: str, before: int = 45, after: int = 55) -> Column:
+    """The text around a pattern's first match, on one line; null without a match."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    size = F.length(F.regexp_extract(text, f"({pattern})", 1))
+    start = F.greatest(F.lit(1), at - before)
+    return F.when(at > 0, squeeze(F.substr(text, start, at + size + after - start)))
+
+
+def base64url(text: Column) -> Column:
+    """URL-safe Base64 without padding, on one line."""
+    plain = F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"[\r\n]", "")
+    return F.regexp_replace(F.translate(plain, "+/", "-_"), "=+$", "")
+
+
+def mime_message(to: Column, subject: Column, body: Column) -> Column:
+    """A plain-text message as it is sent: headers, an empty line, the body."""
+    return F.concat_ws("\r\n", F.concat(F.lit("To: "), to), F.concat(F.lit("Subject: "), subject), F.lit("MIME-Version: 1.0"), F.lit('Content-Type: text/plain; charset="UTF-8"'), F.lit(""), body)
+
+
+# Seniority by title.
+SENIORITY = (("ceo", "C-Suite"), ("cto", "C-Suite"), ("coo", "C-Suite"), ("cfo", "C-Suite"), ("vp operations", "VP"), ("vp sales", "VP"), ("plant head", "Director"))
+
+
+def seniority(title: Column) -> Column:
+    out, low = F.lit("Manager"), F.lower(strip(title))
+    for name, level in SENIORITY:
+        out = F.when(low == name, level).otherwise(out)
+    return out
+
+
 def is_bounce(sender: Column, subject: Column) -> Column:
     return F.lower(sender).rlike("mailer-daemon|postmaster") | F.lower(subject).rlike("undeliverable|delivery status notification|delivery failed|returned mail|failure notice")

@@ -103,3 +103,63 @@ def page_type(path_: Column) -> Column:
 
 def tier(page_type_: Column) -> Column:
     return F.when(page_type_.isin("careers", "investor", "annual_report", "press"), 1).when(page_type_.isin("about", "blog"), 2).otherwise(3)
+
+
+# Platforms whose path names the site, consumer-site patterns, file types, probe paths, other hosts.
+HOSTED_PLATFORMS = ("sites.google.com", "github.io", "webflow.io", "wixsite.com", "squarespace.com", "cargo.site", "weebly.com", "wordpress.com", "blogspot.com")
+B2C_CONTENT = (r"test\s+drive", r"find\s+a\s+dealer", r"build\s+your\s+(car|vehicle|truck)", r"schedule\s+service", r"book\s+a?\s*(test\s+drive|showroom|service)", r"compare\s+(cars|models|vehicles)", r"certified\s+pre-?owned", r"financing\s+options", r"monthly\s+payment", r"msrp", r"starting\s+at\s+\$[\d,]+", r"locate\s+a?\s*dealer")
+B2C_LINKS = ("/arena/", "/nexa/", "/arenaworld/", "test-drive", "book-showroom", "book-a-test", "locate-dealer", "find-dealer", "/configure", "compare-cars", "book-service", "service-appointment")
+B2C_CATEGORIES = ("investor", "leadership", "corporate", "manufacturing", "sustainability", "careers", "technology", "media")
+ASSETS = r"(?i)\.(pdf|docx|xlsx|zip|jpg|jpeg|png|gif|svg|mp4|webp)$"
+UNIVERSAL_PATHS = ("/about/", "/about-us/", "/company/", "/who-we-are/", "/leadership/", "/management/", "/team/", "/industries/", "/solutions/", "/services/", "/products/", "/capabilities/", "/operations/", "/manufacturing/", "/technology/", "/innovation/", "/careers/", "/sustainability/", "/newsroom/", "/csr/")
+NON_CORPORATE = (r"\.gov$", r"\.gov\.[a-z]{2,3}$", r"\.mil$", r"\.edu$", r"(?:^|\.)wikipedia\.org$", r"(?:^|\.)wikimedia\.org$", r"(?:^|\.)miraheze\.org$", r"(?:^|\.)fandom\.com$", r"(?:^|\.)wikia\.org$", r"(?:^|\.)crunchbase\.com$", r"(?:^|\.)linkedin\.com$", r"(?:^|\.)glassdoor\.com$", r"(?:^|\.)indeed\.com$", r"(?:^|\.)g2\.com$", r"(?:^|\.)capterra\.com$")
+
+
+def normalised(raw: Column) -> Column:
+    """The URL's origin (with its path on hosted platforms), or null if it names no public web site."""
+    t = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    url = F.when(t.startswith("http://") | t.startswith("https://"), t).otherwise(F.concat(F.lit("https://"), t))
+    authority = F.lower(F.regexp_extract(url, r"^https?://([^/?#]*)", 1))
+    name = F.regexp_replace(authority, r":\d+$", "")
+    refused = (t == "") | t.rlike(r"\s") | (t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://") & ~t.rlike("^https?://")) | name.isin("localhost", "127.0.0.1", "::1") | name.endswith(".local") | name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | ~F.contains(name, F.lit("."))
+    origin = F.concat(F.regexp_extract(url, "^(https?://)", 1), authority)
+    hosted = F.lit(False)
+    for platform in HOSTED_PLATFORMS:
+        hosted = hosted | F.contains(name, F.lit(platform))
+    whole = F.regexp_replace(F.concat(origin, F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)), "/$", "")
+    return F.when(~F.coalesce(refused, F.lit(True)), F.when(hosted, whole).otherwise(origin))
+
+
+def domain_by_split(text: Column) -> Column:
+    """The string variant: what stands before the first slash, ports and queries included."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), "^https?://", ""), r"^www\.", "")
+    return F.element_at(F.split(bare, "/"), 1)
+
+
+def links_of_site(url: Column, site: Column) -> Column:
+    """The canonical form of a link to a page of the same site, or null for other sites, roots, assets, deep and dated paths."""
+    p = path(url)
+    other = (host(url) != site) | (p == "/") | p.rlike(ASSETS) | (F.size(F.filter(F.split(p, "/"), lambda x: x != "")) > 5) | p.rlike(r"/\d{4}/\d{2}")
+    return F.when(~other, F.regexp_replace(F.concat(F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)", 1), p), "/$", ""))
+
+
+def hits(text: Column, patterns: tuple[str, ...]) -> Column:
+    """How many of the patterns a text holds, in any case."""
+    total = F.lit(0)
+    for pattern in patterns:
+        total = total + text.rlike("(?i)" + pattern).cast("int")
+    return total
+
+
+def is_non_corporate(domain: Column) -> Column:
+    return domain.rlike("(?i)" + "|".join(NON_CORPORATE))
+
+
+def discovery_method(mapped: Column, in_sitemap: Column, links: Column) -> Column:
+    """How a site's pages were found: its map, a sitemap of more than three pages, its links, or the homepage alone."""
+    return F.when(mapped > 0, "map_url").when(in_sitemap > 3, "sitemap").when(links > 0, "links").otherwise("homepage")
+
+
+def needs_probe(high_value: Column, categories: Column) -> Column:
+    """Whether paths are probed: fewer than four pages of value, or fewer than three categories."""
+    return (high_value < 4) | (categories < 3)

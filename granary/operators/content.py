@@ -9,7 +9,7 @@ from granary.functions import text as X
 
 # Patterns of line classes.
 COOKIE = r"(?i)\b(cookies?|consent|privacy\s+policy|gdpr|ccpa|opting\s+out|personal\s+data|data\s+protection)\b"
-BOILERPLATE = r"(?i)(all\s+rights\s+reserved|copyright\s+(©\s*|\s*)\d{4}|terms\s+(of\s+)?(service|use)|\bsitemap\b|powered\s+by|back\s+to\s+top|skip\s+to\s+(main\s+)?content|toggle\s+navigation|\bclose\b.*\bmenu\b|search\s+\.\.\.?$|loading\.\.\.)"
+BOILERPLATE = r"(?i)(all\s+rights\s+reserved|copyright\s+©?\s*\d{4}|terms\s+(of\s+)?(service|use)|\bsitemap\b|powered\s+by|back\s+to\s+top|skip\s+to\s+(main\s+)?content|toggle\s+navigation|\bclose\b.*\bmenu\b|search\s+\.\.\.?$|loading\.\.\.)"
 NAVIGATION = r"(?i)^(home|about|contact|careers|news|blog|products?|services?|solutions?|resources?|support|login|sign\s*in|sign\s*up|get\s+started|learn\s+more|read\s+more|view\s+all|see\s+all|click\s+here)$"
 SEPARATOR = r"^\s*(>|\||-|·|•|◦)\s*\w+\s*$"
 OPERATIONAL = r"(?i)(manufactur|produc[ti]|assembly|plant|facilit|automat|digital|transform|strateg|invest|employ|expan[sd]|acqui|partner|supply|customer|revenue|market|launch|deploy|implement|operat|engineer|technolog|innovat|software|platform|solution|service|capabilit|quality|maintenance|schedul|forecast|analytic)"
@@ -47,7 +47,44 @@ def verify_quote(quote: Column, content: Column) -> Column:
     return F.when(F.length(F.trim(quote)) < 30, "none").when(F.contains(c, q), "exact").when(close, "close").otherwise("none")
 
 
+# Patterns of market statements, in order of precedence.
+MARKET_PATTERNS = (
+    ("growth_indicator", r"(?i)\b(?:CAGR|compound\s+annual\s+growth|market\s+size|growing\s+at\s+\d|grow(?:th)?\s+(?:of|to|by)\s+\d|projected\s+to\s+(?:reach|grow)|expected\s+to\s+(?:reach|grow)|forecast\s+to\s+(?:reach|grow)|valued\s+at\s+\$|reach(?:ing)?\s+\$[\d,.]+\s*(?:billion|million|trillion|bn|mn))\b"),
+    ("challenge", r"(?i)\b(?:challenge|headwind|under\s+pressure|shortage|disrupt(?:ion|ed|ing)?|declin(?:e|ing|ed)|slowdown|volatil|rising\s+costs?|supply\s+chain\s+(?:issue|disruption|constraint)|labor\s+shortage|talent\s+shortage|margin\s+pressure|regulatory\s+(?:pressure|burden|challenge)|inflation(?:ary)?\s+pressure)\b"),
+    ("shift", r"(?i)\b(?:shift(?:ing)?\s+(?:toward|towards|from|to|in)|transition(?:ing)?\s+(?:to|toward|towards)|mov(?:e|ing)\s+(?:away\s+from|from|to|toward|towards)|pivot(?:ing)?\s+to|increasingly\s+(?:adopting|moving|turning)|migrat(?:e|ing|ion)\s+(?:to|toward))\b"),
+    ("trend", r"(?i)\b(?:trend|emerging|key\s+trend|latest\s+trend|industry\s+trend|growing\s+demand|rising\s+demand|gaining\s+(?:traction|momentum))\b"),
+)
+
+
+def market_statement(text: Column) -> Column:
+    """The category of a market statement by the fixed patterns, or null."""
+    return F.coalesce(*[F.when(text.rlike(pattern), name) for name, pattern in MARKET_PATTERNS])
+
+
 def market_category(text: Column) -> Column:
     low = F.lower(text)
     return (F.when(low.rlike("cagr|growth|grow(s|ing)?\\b|increase"), "growth_indicator").when(low.rlike("shortage|challenge|pressure|constraint|risk"), "challenge")
             .when(low.rlike("shift(ing)? (toward|to|from)|transition"), "shift").otherwise("trend"))
+
+
+def is_grounded(tier: Column, least: str = "close") -> Column:
+    """Whether a quote's verdict reaches the tier asked for."""
+    return {"exact": tier == "exact", "close": tier.isin("exact", "close")}.get(least, F.lit(True))
+
+
+def quote_tiers(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id, tier (exact or close) of every quote of 30 characters or more and every text that holds it.
+
+    Either verdict needs four words of the quote in a row in the text, so pairs come from an equi-join of the hashes of
+    all runs of four words. The quotes' hashes are few and meet the texts' first; texts that hold none go no further.
+    """
+    def grams(rows: DataFrame, key: str, text: str) -> DataFrame:
+        words = rows.select(key, F.split(X.squeeze(F.lower(F.col(text))), " ").alias("w"))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.xxhash64(*[F.coalesce(F.get("w", i + k), F.lit("")) for k in range(4)]))
+        return words.select(key, F.explode(F.array_distinct(runs)).alias("g"))
+
+    some = quotes.where(F.length(X.strip(F.col("quote"))) >= 30)
+    own = grams(some, "item_id", "quote")
+    pairs = grams(docs, "doc_id", "text").join(own, "g").select("item_id", "doc_id").distinct()
+    judged = pairs.join(some, "item_id").join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", verify_quote(F.col("quote"), F.col("text")).alias("tier"))
+    return judged.where("tier <> 'none'")

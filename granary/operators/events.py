@@ -78,3 +78,62 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFra
 
 def insert_absent(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return base.unionByName(rows.join(base.select(key), key, "left_anti"))
+
+
+def cooled_down(requests: DataFrame, seconds: int) -> DataFrame:
+    """key, event_id, tried: a request isn't tried within so many seconds after a tried one that was limited.
+
+    requests has key, ts, event_id and limited. As in rate_limited a task holds one batch and the state of one key.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+
+    def run(batches):
+        last, until = None, -1e18
+        for batch in batches:
+            tried = []
+            for k, t, limited in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3)]):
+                if (k,) != last:
+                    last, until = (k,), -1e18
+                ok = t is None or t >= until
+                if ok and limited and t is not None:
+                    until = t + seconds
+                tried.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tried, type=pa.bool_())], names=["key", "event_id", "tried"])
+
+    rows = requests.select("key", F.col("ts").cast("double").alias("t"), "event_id", "limited")
+    return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInArrow(run, f"key {kind['key']}, event_id {kind['event_id']}, tried boolean")
+
+
+# The follow-up that comes after each status.
+NEXT_FOLLOWUP = (("sent", 1), ("followup_1", 2), ("followup_2", 3))
+
+
+def next_followup(status: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for name, number in NEXT_FOLLOWUP:
+        out = F.when(status == name, number).otherwise(out)
+    return out
+
+
+def followup_outcome(status: Column, last: Column, now: Column, replied: Column, bounced: Column, email: Column, draft: Column, suppressed: Column, forced: Column) -> Column:
+    """What happens to a follow-up; the order of the tests is the meaning."""
+    due = F.coalesce(due_at(status, last) <= now, F.lit(False))
+    return (F.when(next_followup(status).isNull(), "skipped").when(~forced & ~due, "not_due").when(replied & bounced, "cancelled_bounce").when(replied, "cancelled_reply")
+            .when(email.isNull() | (email == ""), "no_email").when(draft.isNull() | (draft == ""), "no_draft").when(suppressed, "suppressed").otherwise("sent"))
+
+
+def updated(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """base with the values of changes (unique by key) in the columns that both have; other rows stay."""
+    shared = [c for c in changes.columns if c != key]
+    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in shared], F.lit(True).alias("_hit"))
+    joined = base.join(new, key, "left")
+    return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in base.columns])
+
+
+def deleted(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return base.join(keys.select(key).distinct(), key, "left_anti").select(base.columns)
+
+
+def snapshots(base: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
+    """base with new rows appended and `pos`, the place of each in its key's order of time."""
+    return base.unionByName(new).withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(at)))

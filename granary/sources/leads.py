@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import blank_to_null
 
-# Header aliases in order of precedence.
+# Header aliases, in the order in which fields claim columns.
 ALIASES = (
-    ("company_linkedin", ("company linkedin", "company_linkedin")),
-    ("person_linkedin", ("person linkedin", "linkedin url", "linkedin")),
-    ("company_website", ("website", "domain", "url")),
-    ("company_name", ("company name", "company", "organization", "account")),
-    ("job_title", ("job title", "title", "position")),
-    ("person_name", ("full name", "person name", "contact name", "name")),
-    ("industry", ("industry", "sector")),
-    ("country", ("country", "location")),
+    ("company_linkedin", ("company linkedin", "organization linkedin")),
+    ("company_website", ("company website", "website", "domain")),
+    ("company_name", ("company name", "organization name", "account name", "company", "organization")),
+    ("person_linkedin", ("person linkedin", "contact linkedin", "linkedin url", "linkedin")),
+    ("person_name", ("person name", "contact name", "full name", "name")),
+    ("job_title", ("job title", "title", "position", "role")),
+    ("industry", ("industry",)),
+    ("country", ("country/region", "country", "location")),
 )
 
 
