@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's input. All but the last return the columns of `documents`.
+
+Defined results: rows without a doc_id pass every stage that doesn't judge their text; of rows that repeat a doc_id one
+leaves near_duplicates, and the other stages judge each row by itself; null and empty texts fail the quality rules;
+ties go to the smallest doc_id; an empty table leaves every stage empty; columns beside those of `documents` stay.
 """
 
 from __future__ import annotations
@@ -66,7 +70,7 @@ STAGES = [
     ("byte_bpe", token_ids),
 ]
 
-#: SQL can't express near duplicates by MinHash, the removal of repeated bytes or BPE merges; tests compare with brute force.
+#: SQL can't express near duplicates by MinHash, the removal of repeated bytes or BPE merges; tests compare run()'s rows with stages written out in plain Python.
 ORACLE_SQL = None
 
 

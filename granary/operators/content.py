@@ -17,12 +17,17 @@ OPERATIONAL = r"(?i)(manufactur|produc[ti]|assembly|plant|facilit|automat|digita
 
 def content_quality(docs: DataFrame, key: str, operational: str = OPERATIONAL) -> DataFrame:
     """Per document: line ratios, score 0 to 100, flags and a recommendation. Lines take the first class that fits."""
-    lines = docs.select(key, F.explode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l")).select(key, F.trim(F.col("l")).alias("l"))
-    words = F.size(F.split("l", r"\s+"))
-    kind = (F.when(F.col("l") == "", None).when(F.col("l").rlike(COOKIE), "cookie").when(F.col("l").rlike(BOILERPLATE), "boilerplate")
-            .when((words <= 4) & (F.col("l").rlike(NAVIGATION) | F.col("l").rlike(SEPARATOR)), "nav").when(words >= 8, F.when(F.col("l").rlike(operational), "operational").otherwise("substantive")).otherwise("other"))
-    n = lambda *k: F.sum(F.when(F.col("kind").isin(*k), 1).otherwise(0))
-    c = lines.withColumn("kind", kind).groupBy(key).agg(F.count("kind").alias("total"), n("cookie").alias("c"), n("nav").alias("v"), n("boilerplate").alias("b"), n("substantive", "operational").alias("s"), n("operational").alias("o"))
+    lines = docs.select(key, F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), X.strip), lambda x: x != "").alias("lines"))
+
+    def kind(line: Column) -> Column:
+        words = F.size(F.split(line, r"\s+"))
+        return (F.when(line.rlike(COOKIE), "c").when(line.rlike(BOILERPLATE), "b").when((words <= 4) & (line.rlike(NAVIGATION) | line.rlike(SEPARATOR)), "v")
+                .when(words >= 8, F.when(line.rlike(operational), "o").otherwise("s")).otherwise("x"))
+
+    # counted inside each row: no line leaves its document, so nothing is shuffled
+    kinds = lines.select(key, F.transform("lines", kind).alias("k"))
+    n = lambda *names: F.size(F.filter("k", lambda x: x.isin(*names))).cast("long")
+    c = kinds.select(key, F.size("k").cast("long").alias("total"), n("c").alias("c"), n("v").alias("v"), n("b").alias("b"), n("s", "o").alias("s"), n("o").alias("o"))
     ratio = lambda x: F.when(F.col("total") > 0, F.col(x) / F.col("total")).otherwise(F.lit(0.0))
     r = c.select(key, "total", "s", "o", *[ratio(x).alias(f"r{x}") for x in "cvbso"])
     raw = (F.lit(100.0) - F.when(F.col("rc") > 0.10, F.least(F.lit(40.0), F.col("rc") * 200)).otherwise(0) - F.when(F.col("rv") > 0.20, F.least(F.lit(20.0), F.col("rv") * 60)).otherwise(0)

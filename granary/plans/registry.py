@@ -87,7 +87,7 @@ _COOKIE, _BOILER, _NAV, _SEP = (x.replace("'", "''") for x in (content.COOKIE, c
 
 
 @query("AGG_10_content_quality", f"""
-WITH l AS (SELECT doc_id, trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS l FROM documents),
+WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '^\\s+|\\s+$', '', 'g') AS l FROM documents),
 k AS (SELECT doc_id, CASE WHEN l = '' THEN NULL WHEN regexp_matches(l, '{_COOKIE}') THEN 'c' WHEN regexp_matches(l, '{_BOILER}') THEN 'b'
   WHEN len(regexp_split_to_array(l, '\\s+')) <= 4 AND (regexp_matches(l, '{_NAV}') OR regexp_matches(l, '{_SEP}')) THEN 'v'
   WHEN len(regexp_split_to_array(l, '\\s+')) >= 8 THEN CASE WHEN regexp_matches(l, '{FIXTURE_OPERATIONAL}') THEN 'o' ELSE 's' END ELSE 'x' END AS k FROM l),
@@ -188,7 +188,11 @@ def _(spark, d):
     return last.select("user_id", "status", F.coalesce(events.due_at(F.col("status"), F.col("ts")) <= F.lit(NOW).cast("timestamp"), F.lit(False)).alias("due"))
 
 
-@query("TIME_4_rate_limit", None)
+@query("TIME_4_rate_limit", """
+WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT key, event_id, t, i, t AS start, 1 AS n, true AS allowed FROM e WHERE i = 1 UNION ALL
+ SELECT e.key, e.event_id, e.t, e.i, CASE WHEN e.t - r.start >= 21600 THEN e.t ELSE r.start END, CASE WHEN e.t - r.start >= 21600 THEN 1 WHEN r.n >= 2 THEN r.n ELSE r.n + 1 END, e.t - r.start >= 21600 OR r.n < 2 FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
+SELECT key, event_id, allowed, CASE WHEN NOT allowed THEN ceil(start + 21600 - t)::BIGINT END AS retry_s FROM r""")
 def _(spark, d):
     return events.rate_limited(t(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id"), 2, 6 * 3600)
 
