@@ -42,6 +42,29 @@ def significant_words(key: Column, least: int = 3, stop: tuple[str, ...] = ("the
     return F.filter(F.split(key, r"[\s-]+"), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
+# Words of names that mean nothing by themselves.
+GENERIC_NAME_WORDS = ("the", "a", "an", "and", "of", "for", "inc", "incorporated", "llc", "corp", "corporation", "co", "company", "group", "ltd", "limited", "pvt", "private")
+
+
+def guard_words(name: Column) -> Column:
+    """Words of two characters or more that aren't generic; of what isn't a letter, digit or hyphen becomes a space."""
+    return F.filter(F.split(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}\s-]", " "), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*GENERIC_NAME_WORDS))
+
+
+def filing_words(key: Column) -> Column:
+    return F.filter(F.split(key, " "), lambda w: (w != "") & ~w.isin("and", "the", "of", "a", "an"))
+
+
+def plain_words(key: Column) -> Column:
+    return F.filter(F.split(key, " "), lambda w: w != "")
+
+
+def has_word(text: Column, word: Column) -> Column:
+    """Whether a text holds a word between characters that are neither letters nor digits, in any case."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lower(word), F.lit(r"\E(?![\p{L}\p{N}])"))
+    return F.regexp_like(F.lower(text), pattern)
+
+
 def overlap_ratio(a: Column, b: Column) -> Column:
     """The share of a's words (repeats count) that b holds."""
     return F.when(F.size(a) > 0, F.size(F.filter(a, lambda w: F.array_contains(b, w))) / F.size(a)).otherwise(0.0)

@@ -35,6 +35,19 @@ def confidence(count, framed):
     return F.when((count >= 3) | ((count >= 2) & framed), "high").when((count >= 2) | framed, "medium").otherwise("low")
 
 
+def framed_confidence(count, framed):
+    """high for two mentions with explicit framing, medium for either, else low."""
+    return F.when((count >= 2) & framed, "high").when((count >= 2) | ((count == 1) & framed), "medium").otherwise("low")
+
+
+def counted_confidence(count):
+    return F.when(count >= 2, "high").when(count == 1, "medium").otherwise("low")
+
+
+def title_confidence(ratio, is_current):
+    return F.when((ratio >= 1) & is_current, "high").when(ratio >= 0.5, "medium").otherwise("low")
+
+
 def leader_clusters(rows: DataFrame) -> DataFrame:
     """pos, leader_pos: rows join the earliest leader of equal domain, else equal name key, else equal squashed key (5 characters or more).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.plans import more  # noqa: F401
+from granary.plans import grounded, more  # noqa: F401
 from granary.plans.registry import REGISTRY
 
 
