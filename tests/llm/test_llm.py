@@ -599,3 +599,59 @@ def test_byte_bpe_keeps_other_names(odd):
 
     got = q.encode_documents(odd.withColumn("n_tokens", F.lit("x")), *q.default_files(), keep=["doc_id", "n_tokens", "h"])
     assert got.columns == ["doc_id", "h", "n_tokens", "ids_sha256", "decoded_sha256"] and got.where("doc_id = 1").first().n_tokens == 0
+
+
+def test_pipeline_against_stages_in_plain_python(spark, small):
+    """run()'s rows against the five stages written out; the quality verdict's parts have a test and SQL of their own."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import corpus_pipeline
+    from granary.llm import byte_bpe, quality_rules
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    good = {r.doc_id for r in quality_rules.keep_good(docs).select("doc_id").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(t.translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    left = [i for i in sorted(sets) if find(i) == i]
+    seen, cut = set(), {}
+    for i in left:
+        data = texts[i].encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(data[p : p + 100])
+        cut[i] = bytes(c for c, g in zip(data, gone) if not g).decode("utf-8", "ignore")
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    items = [plain(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    clean = [i for i in left if not any(x in plain(cut[i]) for x in items)]
+    path, pattern = byte_bpe.default_files()
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    got = {r.doc_id: (list(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, small).collect()}
+    assert len(clean) > 50 and len(left) < len(good) and got == {i: (theirs.encode_ordinary(cut[i]), hashlib.sha256(cut[i].encode()).hexdigest()) for i in clean}
+
+
+def test_pipeline_stages_with_odd_rows(spark, odd, empty, small):
+    import corpus_pipeline
+
+    docs = odd.unionByName(odd.where("doc_id IN (8, 11)")).unionByName(odd.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, empty):
+            got = stage(spark, rows, small)
+            assert (got.columns == docs.columns or name == "byte_bpe") and got.count() <= rows.count(), name
+    assert corpus_pipeline.repeated_passages(spark, docs, small).count() == docs.count()
+    assert corpus_pipeline.token_ids(spark, docs, small).count() == docs.count()
