@@ -31,10 +31,6 @@ def group_mentions(mentions: DataFrame) -> DataFrame:
                                    F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("m.pos", "m.snippet"))), 1, 2), lambda s: s["snippet"]), " | ").alias("snippets"), F.max("framed").alias("framed"))
 
 
-def confidence(count, framed):
-    return F.when((count >= 3) | ((count >= 2) & framed), "high").when((count >= 2) | framed, "medium").otherwise("low")
-
-
 def framed_confidence(count, framed):
     """high for two mentions with explicit framing, medium for either, else low."""
     return F.when((count >= 2) & framed, "high").when((count >= 2) | ((count == 1) & framed), "medium").otherwise("low")

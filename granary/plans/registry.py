@@ -302,10 +302,10 @@ def _(spark, d):
 WITH o AS (SELECT p_brand AS key, p_size AS r, min(p_partkey) AS pos, bool_or(p_retailprice > 1500) AS framed FROM part GROUP BY 1, 2),
 m AS (SELECT o.*, p_name, p_type FROM o JOIN part ON p_partkey = pos)
 SELECT key, arg_min(p_name, pos) AS name, count(*) AS mention_count, count(DISTINCT p_type) AS n_sources, bool_or(framed) AS framed,
-  CASE WHEN count(*) >= 3 OR (count(*) >= 2 AND bool_or(framed)) THEN 'high' WHEN count(*) >= 2 OR bool_or(framed) THEN 'medium' ELSE 'low' END AS confidence FROM m GROUP BY 1""")
+  CASE WHEN count(*) >= 2 AND bool_or(framed) THEN 'high' WHEN count(*) >= 2 OR bool_or(framed) THEN 'medium' ELSE 'low' END AS confidence FROM m GROUP BY 1""")
 def _(spark, d):
     m = t(spark, d, "part").select(F.col("p_brand").alias("key"), F.col("p_size").alias("result_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_type").alias("url"), F.col("p_name").alias("snippet"), (F.col("p_retailprice") > 1500).alias("framed"))
-    return entity.group_mentions(m).select("key", "name", "mention_count", "n_sources", "framed", entity.confidence(F.col("mention_count"), F.col("framed")).alias("confidence"))
+    return entity.group_mentions(m).select("key", "name", "mention_count", "n_sources", "framed", entity.framed_confidence(F.col("mention_count"), F.col("framed")).alias("confidence"))
 
 
 def _flag(name: str, i: int) -> str:
