@@ -280,5 +280,14 @@ PAGE_TYPES = (
     ("homepage", r"^/?(?:index\.html?)?$|/home/?$"),
 )
 
+#: Edge of a word of ASCII letters, digits and underscores; the engine's own sign also counts letters of other scripts.
+EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
+def spark_pattern(pattern: str) -> str:
+    """A rule as a pattern of Spark's: in any case, with edges of ASCII words."""
+    return "(?i)" + pattern.replace(r"\b", EDGE)
+
+
 #: One row per pattern: (signal, pattern, patterns that take it back joined to one, or none).
 PATTERNS = [(signal, pattern, "|".join(f"(?:{a})" for a in anti) or None) for signal, patterns, anti in SIGNALS for pattern in patterns]

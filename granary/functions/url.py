@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions.signal_rules import PAGE_TYPES
+
 # URL categories in order of precedence, with score and keywords.
 CATEGORIES = (
     ("investor", 100, ("investor", "investors", "investor-relations", "ir", "annual-report", "annual_report", "annualreport", "earnings", "quarterly-results", "financial-results", "shareholder", "bse", "nse", "sec", "sebi")),
@@ -93,10 +95,10 @@ def join_url(base: Column, tail: Column) -> Column:
 
 
 def page_type(path_: Column) -> Column:
-    """Ordered prefix rules; the investor rule is a prefix test."""
-    rules = (("careers", r"^/(careers?|jobs|join|vacanc)"), ("investor", r"^/(investor|ir|annual|shareholder|financ)"), ("annual_report", r"annual[-_]?report"), ("press", r"^/(press|news|media)"), ("about", r"^/(about|company|who-we-are|our-story)"), ("blog", r"^/(blog|insight|article)"), ("product", r"^/(product|solution|service)"))
-    out, low = F.when(F.lower(path_) == "/", "homepage"), F.lower(path_)
-    for name, pattern in rules:
+    """Type of a page by its path, first rule first; an empty or missing path is the homepage."""
+    low = F.lower(F.coalesce(path_, F.lit("")))
+    out = F.when(low == "", "homepage")
+    for name, pattern in PAGE_TYPES:
         out = out.when(low.rlike(pattern), name)
     return out.otherwise("other")
 

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
+from granary.functions.signal_rules import FLOOR_SUBJECTS, OWN_SUBJECTS
+from granary.operators import content
 
 # Words of titles and names that don't count, and thresholds.
 TITLE_STOPWORDS = ("of", "the", "and", "for", "a", "an", "&")
 NAME_STOPWORDS = ("and", "the", "of", "a", "an")
 NAME_OVERLAP, TITLE_OVERLAP, EXTRA_WORDS = 0.6, 0.4, 2
 HIGH_SOURCES = 2
-FLOOR_SUBJECTS, FLOOR_ITEMS = ("industry_trend", "product_capability"), 2
+FLOOR_ITEMS = 2
 
 
 def title_words(title: Column) -> Column:
@@ -100,7 +102,7 @@ def subject_floor(evidence: DataFrame, key: str) -> DataFrame:
 
     evidence has key, seq, type, subject, tier (1 to 3) and quote.
     """
-    own = evidence.where("subject = 'company_operations'").select(key).distinct()
+    own = evidence.where(F.col("subject").isin(*OWN_SUBJECTS)).select(key).distinct()
     some = evidence.where(F.col("subject").isin(*FLOOR_SUBJECTS) & F.col("type").isNotNull()).join(own, key, "left_anti")
     first = some.withColumn("_n", F.row_number().over(Window.partitionBy(key, "type").orderBy("seq"))).where(F.col("_n") <= FLOOR_ITEMS)
     return first.groupBy(key, "type").agg(F.count("*").alias("n"), F.min_by("quote", F.struct("tier", "seq")).alias("best_quote"))
@@ -121,3 +123,16 @@ def audit(claims: DataFrame, names: DataFrame, evidence: DataFrame) -> tuple[Dat
     audited = linked.select("company").unionByName(names.select("company")).groupBy("company").agg(F.count("*").alias("audited"))
     flagged = flags.groupBy("company").agg(F.count_distinct("kind", "ref").alias("flagged"))
     return flags, audited.join(flagged, "company", "left").select("company", "audited", F.coalesce("flagged", F.lit(0)).alias("flagged"))
+
+
+def grounded_claims(claims: DataFrame) -> DataFrame:
+    """Claims that may stay: observed ones only if their evidence is in the content, none of thin evidence or without title.
+
+    claims has title, claim_type, confidence, evidence, content and is_thin. Unknown types become null and unknown
+    confidences low; other columns stay.
+    """
+    kind, sure = F.col("claim_type"), F.col("confidence")
+    observed = F.coalesce(kind == "observed", F.lit(False))
+    found = content.is_grounded(F.coalesce(content.verify_quote(F.col("evidence"), F.col("content")), F.lit("none")))
+    kept = claims.where(~F.coalesce("is_thin", F.lit(False)) & (F.coalesce("title", F.lit("")) != "") & (~observed | found))
+    return kept.withColumn("claim_type", F.when(kind.isin("observed", "inferred"), kind)).withColumn("confidence", F.when(sure.isin("high", "medium", "low"), sure).otherwise("low"))

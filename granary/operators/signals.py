@@ -12,27 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import signal_rules as R
+from granary.functions import url as U
 
 AROUND, LONGEST, CAP = 90, 250, 3
 PLACES = "array<struct<rule:int,nth:int,pos:int,quote:string>>"
 
 
 def _met(text: Column, pattern: str) -> Column:
-    return text.rlike("(?i)" + pattern)
-
-
-def page_type(path: Column) -> Column:
-    """Type of a page by its path, first rule first; an empty or missing path is the homepage."""
-    low = F.lower(F.coalesce(path, F.lit("")))
-    out = F.when(low == "", "homepage")
-    for name, pattern in R.PAGE_TYPES:
-        out = out.when(low.rlike(pattern), name)
-    return out.otherwise("other")
+    return text.rlike(R.spark_pattern(pattern))
 
 
 def rules_met(text: Column, patterns=R.PATTERNS) -> Column:
-    """Numbers of the patterns that occur in the text, in order."""
-    return F.array_compact(F.array(*[F.when(_met(text, p), F.lit(i)) for i, (_, p, _) in enumerate(patterns)]))
+    """Numbers of the patterns that may occur in the text, in order: all that do, and some that lack a word's edge."""
+    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p.replace(r"\b", "")), F.lit(i)) for i, (_, p, _) in enumerate(patterns)]))
 
 
 def places(text: Column, met: Column, patterns=R.PATTERNS) -> Column:
@@ -69,11 +61,11 @@ def evidence(segments: DataFrame, key: str, patterns=R.PATTERNS) -> DataFrame:
     most CAP quotes stay, but the first of every pattern and segment does. Null and empty texts give no rows; repeated
     segments count as they stand; other columns are left out.
     """
-    own = [key, "seg_no", "url", page_type(F.col("path")).alias("page_type"), "name", "is_vendor"]
+    own = [key, "seg_no", "url", U.page_type(F.col("path")).alias("page_type"), "name", "is_vendor"]
     met = segments.select(*own, "text", rules_met(F.col("text"), patterns).alias("met")).where(F.size("met") > 0)
     rows = met.select(*[c if isinstance(c, str) else "page_type" for c in own], F.explode(places(F.col("text"), F.col("met"), patterns)).alias("m")).select("*", "m.*").drop("m")
     signal = F.element_at(F.array(*[F.lit(s) for s, _, _ in patterns]), F.col("rule") + 1)
-    tier = F.when(F.col("page_type").isin("careers", "investor", "annual_report", "press"), 1).when(F.col("page_type").isin("about", "blog"), 2).otherwise(3)
+    tier = U.tier(F.col("page_type"))
     w = Window.partitionBy(key, "signal", "url").orderBy("seg_no", "rule", "pos")
     return rows.select("*", signal.alias("signal"), tier.alias("tier")).withColumn("_n", F.row_number().over(w)).where(f"nth = 1 OR _n <= {CAP}").drop("_n")
 
@@ -120,7 +112,7 @@ def distinct_quotes(rows: DataFrame, key: str) -> DataFrame:
 
 
 def signals(rows: DataFrame, key: str) -> DataFrame:
-    """key, signal, strength, n, validated, is_own, best_quote of distinct quotes with subjects.
+    """key, signal, strength, n, validated, is_own, best_tier, best_quote of distinct quotes with subjects.
 
     Quotes about the company count. A company without any gets a weak signal from up to two quotes about its industry
     or products instead. Ties of tier go to the earlier quote.
@@ -132,7 +124,7 @@ def signals(rows: DataFrame, key: str) -> DataFrame:
     floor = of.where(~F.col("_any") & F.col("subject").isin(*R.FLOOR_SUBJECTS)).withColumn("_n", F.row_number().over(order)).where("_n <= 2").drop("_n").withColumn("is_own", F.lit(False))
     grouped = own.unionByName(floor).groupBy(key, "signal", "is_own").agg(F.count("*").alias("n"), F.min("tier").alias("best"), F.min_by("quote", F.struct("tier", "seg_no", "rule", "pos")).alias("best_quote"))
     strength = F.when(~F.col("is_own"), "weak").when(F.col("best") == 1, "strong").when(F.col("best") == 2, "moderate").otherwise("weak")
-    return grouped.select(key, "signal", strength.alias("strength"), "n", (F.col("is_own") & ((F.col("n") >= 2) | (F.col("best") == 1))).alias("validated"), "is_own", "best_quote")
+    return grouped.select(key, "signal", strength.alias("strength"), "n", (F.col("is_own") & ((F.col("n") >= 2) | (F.col("best") == 1))).alias("validated"), "is_own", F.col("best").alias("best_tier"), "best_quote")
 
 
 def factors(spark: SparkSession, signal_rows: DataFrame, key: str) -> DataFrame:

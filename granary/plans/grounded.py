@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import extraction as E
 from granary.functions import text as X
+from granary.functions.signal_rules import OWN_SUBJECTS
 from granary.operators import entity, grounding
 from granary.plans.more import chosen, listed, picked, q
 from granary.plans.registry import query, t
@@ -142,7 +143,7 @@ _SUBJECTS = ["industry_trend", "product_capability", "other", "industry_trend",
 
 @query("AGG_7_subject_floor", f"""
 WITH e AS (SELECT o_custkey, o_orderkey AS seq, o_orderpriority AS type, CASE WHEN o_custkey % 3 = 0 THEN 'industry_trend' ELSE {picked("o_orderkey", ["'" + x + "'" for x in _SUBJECTS])} END AS subject, 1 + o_orderkey % 3 AS tier, 'q' || o_orderkey AS quote FROM orders),
-f AS (SELECT * FROM e WHERE subject IN ('industry_trend', 'product_capability') AND o_custkey NOT IN (SELECT o_custkey FROM e WHERE subject = 'company_operations') QUALIFY row_number() OVER (PARTITION BY o_custkey, type ORDER BY seq) <= 2)
+f AS (SELECT * FROM e WHERE subject IN ('industry_trend', 'product_capability') AND o_custkey NOT IN (SELECT o_custkey FROM e WHERE subject IN ({listed(OWN_SUBJECTS)})) QUALIFY row_number() OVER (PARTITION BY o_custkey, type ORDER BY seq) <= 2)
 SELECT o_custkey, type, count(*) AS n, arg_min(quote, (tier, seq)) AS best_quote FROM f GROUP BY ALL""")
 def _(spark, d):
     subject = F.when(F.col("o_custkey") % 3 == 0, "industry_trend").otherwise(chosen(F.col("o_orderkey"), [F.lit(x) for x in _SUBJECTS]))

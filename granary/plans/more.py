@@ -387,7 +387,7 @@ def _(spark, d):
 
 
 @query("CLS_1_page_types", f"""
-WITH x AS (SELECT page_id, lower({picked("page_id", _PAGES)}) AS p FROM pages), k AS (SELECT page_id, CASE WHEN p = '/' THEN 'homepage' WHEN regexp_matches(p, '^/(careers?|jobs|join|vacanc)') THEN 'careers' WHEN regexp_matches(p, '^/(investor|ir|annual|shareholder|financ)') THEN 'investor' WHEN regexp_matches(p, 'annual[-_]?report') THEN 'annual_report' WHEN regexp_matches(p, '^/(press|news|media)') THEN 'press' WHEN regexp_matches(p, '^/(about|company|who-we-are|our-story)') THEN 'about' WHEN regexp_matches(p, '^/(blog|insight|article)') THEN 'blog' WHEN regexp_matches(p, '^/(product|solution|service)') THEN 'product' ELSE 'other' END AS kind FROM x)
+WITH x AS (SELECT page_id, lower({picked("page_id", _PAGES)}) AS p FROM pages), k AS (SELECT page_id, CASE WHEN coalesce(p, '') = '' THEN 'homepage' {" ".join(f"WHEN regexp_matches(p, '{q(x)}') THEN '{n}'" for n, x in U.PAGE_TYPES)} ELSE 'other' END AS kind FROM x)
 SELECT page_id, kind, CASE WHEN kind IN ('careers', 'investor', 'annual_report', 'press') THEN 1 WHEN kind IN ('about', 'blog') THEN 2 ELSE 3 END AS tier FROM k""")
 def _(spark, d):
     p = chosen(F.col("page_id"), [F.lit(None).cast("string") if x == "NULL" else F.lit(x.strip("'")) for x in _PAGES])

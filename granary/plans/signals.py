@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions import signal_rules as R
+from granary.functions import service_rules as V
+from granary.operators import grounding
+from granary.operators import services as V_OPS
 from granary.operators import signals as S
-from granary.plans.more import chosen, picked, q
+from granary.plans.more import _WORDS as QUOTE_WORDS
+from granary.plans.more import chosen, listed, picked, q
 from granary.plans.registry import query, t
 
 _PLACES = ["", "/careers/open", "/about-us", "/newsroom/2024", "/products/pumps", "/Investor/ar", "/blog/x", "/xyz", "/annual_report"]
@@ -69,7 +73,7 @@ _OWN, _FLOOR = "subject IN (" + ", ".join(f"'{x}'" for x in R.OWN_SUBJECTS) + ")
 _SIGNALS = _SUBJECTS + f""", u AS (SELECT *, bool_or({_OWN}) OVER (PARTITION BY company) AS any_own FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY company, signal, left(quote, 60) ORDER BY seg_no, rule, pos) = 1)),
 c AS (SELECT *, true AS is_own FROM u WHERE {_OWN} UNION ALL SELECT *, false FROM (SELECT * FROM u WHERE NOT any_own AND {_FLOOR} QUALIFY row_number() OVER (PARTITION BY company, signal ORDER BY seg_no, rule, pos) <= 2)),
 g AS (SELECT company, signal, is_own, count(*) AS n, min(tier) AS best, arg_min(quote, (tier, seg_no, rule, pos)) AS best_quote FROM c GROUP BY ALL),
-z AS (SELECT company, signal, CASE WHEN NOT is_own THEN 'weak' WHEN best = 1 THEN 'strong' WHEN best = 2 THEN 'moderate' ELSE 'weak' END AS strength, n, is_own AND (n >= 2 OR best = 1) AS validated, is_own, best_quote FROM g)"""
+z AS (SELECT company, signal, CASE WHEN NOT is_own THEN 'weak' WHEN best = 1 THEN 'strong' WHEN best = 2 THEN 'moderate' ELSE 'weak' END AS strength, n, is_own AND (n >= 2 OR best = 1) AS validated, is_own, best AS best_tier, best_quote FROM g)"""
 
 
 def _signals(spark, d):
@@ -110,3 +114,87 @@ SELECT * EXCLUDE (text), industrial_vendor OR services_provider OR software_saas
 {_ON('text', R.RESEARCH_CENTER)} AS has_rd_center, {_ON('text', R.ROBOTICS)} AS has_robotics_or_automation, {_ON('text', R.SOFTWARE_PLATFORM)} AS has_software_platform, {_PRIMARY} AS primary_type FROM f""")
 def _(spark, d):
     return _segments(spark, d).select("company", "seg_no", S.profile(F.col("text")).alias("p")).select("company", "seg_no", "p.*")
+
+
+# --- Services, drafts and proofs ------------------------------------------------------------------------------------------
+_WORDS = [
+    "We manually sort and triage claims; our field teams see data-driven plans. Our ERP is a robust base.",
+    "No tool fits our growth plans. We use our own system and add to cart.",
+    "We grow with new channels on Flipkart, and an error in the order process costs us. Monthly reports.",
+    "Onboarding vendors is a challenge for partners; the process is fully automated, powered by Tableau.",
+    "Our team writes posts weekly and uses Salesforce. AI is near, HQ has no visibility.",
+    "Our insights drive a dealer network; several teams handle an approval workflow with AI-based tools.",
+    "AI-driven CRM is already there; an AI - based plan, buyers and sellers.",
+]
+_ANY = lambda patterns: "(" + " OR ".join(_ON("x", p) for p in patterns) + ")"
+
+
+def _need(service, ruled_out, threshold):
+    return f"{{'service': '{service}', 'threshold': CASE WHEN {ruled_out} THEN 'none' {threshold} ELSE 'none' END, 'disqualified': {ruled_out}}}"
+
+
+_NEEDS = [_need(s, "saas" if s == V.NOT_FOR_SAAS else _ANY([a]) if a else "false", f"WHEN {_ANY(st)} THEN 'strong' WHEN {_ANY(me)}{' AND growing' if s == V.GROWING_ONLY else ''} THEN 'medium' WHEN {_ANY(we)} THEN 'weak'") for s, a, st, me, we in V.BY_TEXT]
+_NEEDS.append(_need(V.INTERNAL[0], _ANY([V.INTERNAL[1]]), f"WHEN plants >= 5 OR {_ANY([V.INTERNAL[2]])} THEN 'strong' WHEN plants >= 3 OR countries >= 3 THEN 'medium' WHEN plants > 1 THEN 'weak'"))
+_NEEDS.append(_need(V.ANALYTICS[0], _ANY([V.ANALYTICS[1]]), f"WHEN plants > 1 AND ({_ANY([V.ANALYTICS[2]])} OR plants >= 5) THEN 'strong' WHEN plants > 1 THEN 'medium' WHEN {_ANY([V.ANALYTICS[3]])} THEN 'weak'"))
+_NEEDS.append(_need(V.INTEGRATION[0], _ANY([V.INTEGRATION[1]]), f"WHEN {_ANY([V.INTEGRATION[2]])} AND {_ANY([V.INTEGRATION[3]])} THEN 'strong' WHEN {_ANY([V.INTEGRATION[2]])} THEN 'medium' WHEN {_ANY([V.INTEGRATION[4]])} THEN 'weak'"))
+
+
+@query("EXT_10_service_needs", f"""
+WITH x AS (SELECT doc_id, coalesce(text, '') || chr(10) || {picked("doc_id", _LIST(_WORDS))} AS x, doc_id % 13 = 0 AS saas, doc_id % 2 = 0 AS growing, doc_id % 8 AS plants, doc_id % 5 AS countries FROM documents),
+n AS (SELECT doc_id, unnest([{", ".join(_NEEDS)}]) AS n FROM x) SELECT doc_id, n.service, n.threshold, n.disqualified FROM n""")
+def _(spark, d):
+    doc = F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), chosen(doc, [F.lit(x) for x in _WORDS]))
+    found = V_OPS.needs(text, doc % 13 == 0, doc % 2 == 0, doc % 8, doc % 5, doc % 8 > 1)
+    return t(spark, d, "documents").select("doc_id", F.inline(found))
+
+
+_DRAFTS = ", ".join(f"({i}, '{s}', '{c}', '{f}', {j}, '{x}', '{b}')" for i, (s, c, f, xs, b) in enumerate(V.DRAFTS) for j, x in enumerate(xs))
+
+
+@query("GRD_10_drafts", _SIGNALS + f""", r2(place, service, category, fit, nth, signal, base) AS (VALUES {_DRAFTS}),
+a AS (SELECT company, place, service, category, fit, base, string_agg(signal, '|' ORDER BY nth) AS triggers, min(best_tier) AS tier, arg_max(best_quote, (length(best_quote), -nth)) AS anchor FROM z JOIN r2 USING (signal) WHERE NOT (company % 3 = 0 AND service IN ({listed(V.FACTORY_ONLY)})) GROUP BY ALL)
+SELECT company, service, category, fit, triggers, CASE WHEN tier = 1 AND base <> 'exploratory' THEN 'high' ELSE base END AS confidence, anchor FROM a QUALIFY row_number() OVER (PARTITION BY company ORDER BY place) <= {V.MOST_DRAFTS}""")
+def _(spark, d):
+    profiles = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).cast("long").alias("company")).distinct().withColumn("saas_only", F.col("company") % 3 == 0)
+    return V_OPS.drafts(spark, _signals(spark, d), profiles, "company").withColumn("triggers", F.array_join("triggers", "|"))
+
+
+@query("GRD_9_best_proofs", """
+WITH c AS (SELECT DISTINCT c_custkey, unnest(['n' || c_nationkey % 5, 's' || c_mktsegment[1], 'k' || c_custkey % 7]) AS tag FROM customer), p AS (SELECT s_suppkey AS proof, s_suppkey % 2 AS provenance, unnest(['n' || s_nationkey % 5, 'k' || s_suppkey % 7, 'sB']) AS tag FROM supplier),
+j AS (SELECT c_custkey, proof, provenance, count(*) AS score FROM c JOIN p USING (tag) GROUP BY ALL)
+SELECT c_custkey, proof, score, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, provenance, proof) AS rank FROM j QUALIFY rank <= 2""")
+def _(spark, d):
+    tagged = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    companies = t(spark, d, "customer").select("c_custkey", F.array(tagged("n", F.col("c_nationkey") % 5), tagged("s", F.substring("c_mktsegment", 1, 1)), tagged("k", F.col("c_custkey") % 7)).alias("tags"))
+    proofs = t(spark, d, "supplier").select(F.col("s_suppkey").alias("proof"), F.col("s_suppkey").alias("place"), (F.col("s_suppkey") % 2).alias("provenance"), F.array(tagged("n", F.col("s_nationkey") % 5), tagged("k", F.col("s_suppkey") % 7), F.lit("sB")).alias("tags"))
+    return V_OPS.best_proofs(companies, proofs, "c_custkey")
+
+
+_MODELS = ["Manufacturing", "Software/SaaS", "Engineering Services", "Distribution/Logistics", "Industrial Technology Vendor", "Other"]
+_FACTORS = ["industry_40_initiative", "automation_keywords", "multi_location_operations", "capacity_expansion", "digital_transformation", "growth_signal", "ai_mention"]
+_MASK = "CASE m " + " ".join(f"WHEN '{n}' THEN [{listed(x)}]" for n, x in V.MEANINGLESS) + " ELSE [] END"
+
+
+@query("CLS_9_meaningful_factors", f"WITH x AS (SELECT p_partkey, {picked('p_partkey', _LIST(_MODELS))} AS m, [{listed(_FACTORS)}][1 + p_size % 4 : 3 + p_partkey % 5] AS f FROM part) SELECT p_partkey, array_to_string(list_filter(f, lambda v: NOT list_contains({_MASK}, v)), '|') AS factors FROM x")
+def _(spark, d):
+    start, stop = F.col("p_size") % 4 + 1, F.col("p_partkey") % 5 + 3
+    some = F.slice(F.array(*[F.lit(x) for x in _FACTORS]), start.cast("int"), F.greatest(F.lit(0), stop - start + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", F.array_join(V_OPS.meaningful(some, chosen(F.col("p_partkey"), [F.lit(x) for x in _MODELS])), "|").alias("factors"))
+
+
+_RUNS = "list_transform(generate_series(1, greatest(len(string_split(q, ' ')) - 3, 1)), lambda i: array_to_string(list_slice(string_split(q, ' '), i, i + 3), ' '))"
+_SURE, _KIND = ["high", "unknown", "low"], ["observed", "inferred", "observed", "guess"]
+_SQUEEZED = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
+
+
+@query("GRD_3_grounded_claims", f"""
+WITH x AS (SELECT doc_id, {picked("doc_id", _LIST(_KIND))} AS kind, {picked("doc_id", _LIST(_SURE))} AS sure, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 't' || doc_id END AS title, doc_id % 11 = 0 AS thin, CASE WHEN doc_id % 3 = 0 THEN 'nobody' ELSE '' END || substr(text, 1 + doc_id % 5, 60 - doc_id % 40) AS evidence, text FROM documents),
+k AS (SELECT *, {_SQUEEZED("evidence")} AS q, {_SQUEEZED("text")} AS c FROM x)
+SELECT doc_id, title, CASE WHEN kind IN ('observed', 'inferred') THEN kind END AS claim_type, CASE WHEN sure IN ('high', 'medium', 'low') THEN sure ELSE 'low' END AS confidence FROM k
+WHERE NOT thin AND title <> '' AND (kind <> 'observed' OR coalesce(length(trim(evidence)) >= 30 AND (contains(c, q) OR (len({QUOTE_WORDS}) >= 8 AND len(list_filter({QUOTE_WORDS}, lambda x: contains(c, x))) >= 0.75 * len({QUOTE_WORDS}) AND len(list_filter({_RUNS}, lambda g: contains(c, g))) > 0)), false))""")
+def _(spark, d):
+    doc = F.col("doc_id")
+    evidence = F.concat(F.when(doc % 3 == 0, "nobody").otherwise(""), F.substr("text", (doc % 5 + 1).cast("int"), (60 - doc % 40).cast("int")))
+    claims = t(spark, d, "documents").select("doc_id", F.when(doc % 7 == 0, "").otherwise(F.concat(F.lit("t"), doc.cast("string"))).alias("title"), chosen(doc, [F.lit(x) for x in _KIND]).alias("claim_type"), chosen(doc, [F.lit(x) for x in _SURE]).alias("confidence"), evidence.alias("evidence"), F.col("text").alias("content"), (doc % 11 == 0).alias("is_thin"))
+    return grounding.grounded_claims(claims).select("doc_id", "title", "claim_type", "confidence")
