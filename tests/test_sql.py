@@ -4,13 +4,13 @@ import os
 
 import pytest
 
-from granary.plans import grounded, more, registry
+from granary.plans import grounded, more, registry, signals
 
-NEW = ["URL_1_normalised", "URL_12_consumer_sites", "CLS_13_competitor_rejection", "CLS_6_source_types", "AGG_24_evaluation", "GRD_1_quote_tiers", "TIME_5_cooldown", "EXT_13_listed_names", "JOIN_8_grounded_people", "JOIN_10_tickers", "AGG_21_research_audit", "SRC_7_projected_leads"]
+NEW = ["URL_1_normalised", "URL_12_consumer_sites", "CLS_13_competitor_rejection", "CLS_6_source_types", "AGG_24_evaluation", "GRD_1_quote_tiers", "TIME_5_cooldown", "EXT_13_listed_names", "JOIN_8_grounded_people", "JOIN_10_tickers", "AGG_21_research_audit", "SRC_7_projected_leads", "CLS_1_page_types", "AGG_7_subject_floor", "AGG_8_rule_pack_factors", "EXT_7_profile_flags", "EXT_10_service_needs", "GRD_3_grounded_claims", "GRD_9_best_proofs"]
 
 
 def test_every_new_query_has_sql():
-    assert all(sql for f, sql in registry.REGISTRY.values() if f.__module__ in (more.__name__, grounded.__name__))
+    assert all(sql for f, sql in registry.REGISTRY.values() if f.__module__ in (more.__name__, grounded.__name__, signals.__name__))
 
 
 @pytest.fixture(scope="module")
