@@ -136,3 +136,42 @@ def grounded_claims(claims: DataFrame) -> DataFrame:
     found = content.is_grounded(F.coalesce(content.verify_quote(F.col("evidence"), F.col("content")), F.lit("none")))
     kept = claims.where(~F.coalesce("is_thin", F.lit(False)) & (F.coalesce("title", F.lit("")) != "") & (~observed | found))
     return kept.withColumn("claim_type", F.when(kind.isin("observed", "inferred"), kind)).withColumn("confidence", F.when(sure.isin("high", "medium", "low"), sure).otherwise("low"))
+
+
+BESIDE = 120
+
+
+def _whole_word(word: Column) -> Column:
+    plain = F.regexp_replace(word, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), plain, F.lit(r"(?![\p{L}\p{N}])"))
+
+
+def word_share(words: Column, text: Column) -> Column:
+    """Share of words that occur as whole words; 0 without words or text."""
+    found = F.size(F.filter(words, lambda w: F.coalesce(F.rlike(text, _whole_word(w)), F.lit(False))))
+    return F.when(F.size(words) > 0, found / F.size(words)).otherwise(0.0)
+
+
+def together(words: Column, text: Column) -> Column:
+    """Whether all words occur within BESIDE characters of one place of the first; true for a single word."""
+    first = F.try_element_at(words, F.lit(1))
+    parts, size = F.split(text, _whole_word(first)), F.length(first)
+
+    def near(i):
+        start = F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * size
+        begin = F.greatest(F.lit(0), start - BESIDE)
+        return word_share(words, F.substr(text, begin + 1, start + size + BESIDE - begin)) == 1
+
+    places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return (F.size(words) <= 1) | F.coalesce(F.exists(places, near), F.lit(False))
+
+
+def site_identity(words: Column, title: Column, description: Column, body: Column) -> Column:
+    """high, medium or none: how surely a site is that of the company whose significant words are given.
+
+    All words in the title are high. One word alone asks for that. Half of them in the title, or all of them together in
+    the description or the body, are medium. Nulls say nothing.
+    """
+    in_title, in_description, in_body = word_share(words, title), word_share(words, description), word_share(words, body)
+    beside = together(words, F.when(in_description == 1, description).otherwise(body))
+    return F.when(in_title == 1, "high").when(F.size(words) <= 1, "none").when(in_title >= 0.5, "medium").when(((in_description == 1) | (in_body == 1)) & beside, "medium").otherwise("none")

@@ -198,3 +198,24 @@ def _(spark, d):
     evidence = F.concat(F.when(doc % 3 == 0, "nobody").otherwise(""), F.substr("text", (doc % 5 + 1).cast("int"), (60 - doc % 40).cast("int")))
     claims = t(spark, d, "documents").select("doc_id", F.when(doc % 7 == 0, "").otherwise(F.concat(F.lit("t"), doc.cast("string"))).alias("title"), chosen(doc, [F.lit(x) for x in _KIND]).alias("claim_type"), chosen(doc, [F.lit(x) for x in _SURE]).alias("confidence"), evidence.alias("evidence"), F.col("text").alias("content"), (doc % 11 == 0).alias("is_thin"))
     return grounding.grounded_claims(claims).select("doc_id", "title", "claim_type", "confidence")
+
+
+_GAP = "repeat('x ', 80)"
+_TITLES = ["w1 || ' ' || upper(w2)", "w2 || ' home'", "'about us'", "w1 || 's'", "''"]
+_BODIES = ["w1 || ' and ' || w2", f"w1 || ' ' || {_GAP} || w2", f"w1 || ' ' || {_GAP} || w2 || ' by ' || w1", "w2"]
+_SHARE = lambda c: f"len(list_filter(w, lambda v: regexp_matches({c}, '(?i)\\b' || v || '\\b'))) / len(w)"
+_NEAR = f"len(list_filter(range(1, len(parts)), lambda i: len(list_filter(w, lambda v: regexp_matches(substr(body, greatest(list_sum(list_transform(parts[1:i], lambda x: length(x)))::INT + (i - 1) * length(w1) - {grounding.BESIDE}, 0) + 1, least(list_sum(list_transform(parts[1:i], lambda x: length(x)))::INT + (i - 1) * length(w1), {grounding.BESIDE}) + length(w1) + {grounding.BESIDE}), '(?i)\\b' || v || '\\b'))) = len(w))) > 0"
+
+
+@query("GRD_7_site_identity", f"""
+WITH n AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part),
+x AS (SELECT *, CASE WHEN p_partkey % 6 = 0 THEN [w1] ELSE [w1, w2] END AS w, {picked("p_partkey", _TITLES)} AS title, {picked("p_partkey // 5", _BODIES)} AS body FROM n),
+k AS (SELECT *, regexp_split_to_array(body, '(?i)\\b' || w1 || '\\b') AS parts FROM x)
+SELECT p_partkey, CASE WHEN {_SHARE("title")} = 1 THEN 'high' WHEN len(w) <= 1 THEN 'none' WHEN {_SHARE("title")} >= 0.5 THEN 'medium' WHEN {_SHARE("body")} = 1 AND {_NEAR} THEN 'medium' ELSE 'none' END AS identity FROM k""")
+def _(spark, d):
+    one, two, gap = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("x " * 80)
+    words = F.when(F.col("p_partkey") % 6 == 0, F.array(one)).otherwise(F.array(one, two))
+    title = chosen(F.col("p_partkey"), [F.concat(one, F.lit(" "), F.upper(two)), F.concat(two, F.lit(" home")), F.lit("about us"), F.concat(one, F.lit("s")), F.lit("")])
+    body = chosen(F.floor(F.col("p_partkey") / 5), [F.concat(one, F.lit(" and "), two), F.concat(one, F.lit(" "), gap, two), F.concat(one, F.lit(" "), gap, two, F.lit(" by "), one), two])
+    rows = t(spark, d, "part").select("p_partkey", words.alias("w"), title.alias("title"), body.alias("body"))
+    return rows.select("p_partkey", grounding.site_identity(F.col("w"), F.col("title"), F.lit(None).cast("string"), F.col("body")).alias("identity"))

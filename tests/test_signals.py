@@ -70,3 +70,13 @@ def test_needs_masks_and_claims(spark):
     claims = [("a", "observed", "high", said, "We know that " + said, False), ("b", "observed", "high", said, "Nothing of that kind", False), ("c", "inferred", "odd", None, None, False), ("d", "observed", "low", None, None, None), ("", "inferred", "low", None, None, False), ("e", "inferred", "low", None, None, True)]
     kept = grounding.grounded_claims(spark.createDataFrame(claims, "title string, claim_type string, confidence string, evidence string, content string, is_thin boolean")).select("title", "confidence").collect()
     assert [tuple(r) for r in kept] == [("a", "high"), ("c", "low")]
+
+
+def test_site_identity(spark):
+    far = " x" * 100 + " "
+    cases = [
+        (["acme", "works"], "ACME Works Inc", None, None, "high"), (["acme"], "home", "acme", "acme", "none"), (["acme", "works"], "acmes works", None, None, "medium"), (["acme", "works"], None, "works by acme", "", "medium"),
+        (["acme", "works"], "", None, "acme" + far + "works", "none"), (["acme", "works"], "", None, "acme" + far + "works of Acme", "medium"), (["a.b", "works"], "", None, "aXb works", "none"), ([], "acme", None, None, "none"), (["acme", "works"], None, None, None, "none")]
+    rows = spark.createDataFrame([c[:4] for c in cases], "w array<string>, title string, description string, body string")
+    got = rows.select(grounding.site_identity(F.col("w"), F.col("title"), F.col("description"), F.col("body")).alias("x")).collect()
+    assert [r["x"] for r in got] == [c[4] for c in cases]
