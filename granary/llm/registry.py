@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from granary.llm import byte_bpe, decontaminate, lattice_lm, minhash, ppm_language, quality_rules, suffix_dedup, toxicity, url_filter, warc
+from granary.llm import byte_bpe, decontaminate, lattice_lm, minhash, ppm_language, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_url_filter": url_filter.query,
         "op9_byte_bpe": byte_bpe.query,
         "op10_warc": warc.query,
+        "op11_simhash": simhash.query,
         "pipeline": corpus_pipeline.run,
     }
 
