@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from granary.llm import byte_bpe, decontaminate, lattice_lm, minhash, ppm_language, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from granary.llm import byte_bpe, decontaminate, lattice_lm, minhash, periodic_runs, ppm_language, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_byte_bpe": byte_bpe.query,
         "op10_warc": warc.query,
         "op11_simhash": simhash.query,
+        "op12_periodic_runs": periodic_runs.query,
         "pipeline": corpus_pipeline.run,
     }
 
