@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from granary.llm import byte_bpe, decontaminate, lattice_lm, minhash, periodic_runs, ppm_language, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from granary.llm import byte_bpe, decontaminate, lattice_lm, minhash, periodic_runs, ppm_language, quality_rules, simhash, suffix_dedup, toxicity, url_filter, vector_codes, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_warc": warc.query,
         "op11_simhash": simhash.query,
         "op12_periodic_runs": periodic_runs.query,
+        "op13_vector_codes": vector_codes.query,
         "pipeline": corpus_pipeline.run,
     }
 
