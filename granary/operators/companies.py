@@ -35,7 +35,7 @@ FILLED = ("website", "linkedin", "industry", "country")
 
 def batch_key(name: Column) -> Column:
     """A name in lower case without legal forms; what is neither a word character nor a hyphen becomes a space."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(name), R.LEGAL_FORMS, " "), r"[^A-Za-z0-9_\s-]", " ")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(name), R.spark_pattern(R.LEGAL_FORMS), " "), r"[^A-Za-z0-9_\s-]", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

@@ -57,17 +57,20 @@ def places(text: Column, met: Column, patterns=R.PATTERNS) -> Column:
 def evidence(segments: DataFrame, key: str, patterns=R.PATTERNS) -> DataFrame:
     """key, seg_no, url, page_type, tier, name, is_vendor, rule, nth, pos, quote, signal.
 
-    segments has key, seg_no, url, path, text, name (of the company, or null) and is_vendor. Of one signal and url at
-    most CAP quotes stay, but the first of every pattern and segment does. Null and empty texts give no rows; repeated
-    segments count as they stand; other columns are left out.
+    segments has key, seg_no, url, path, text, name (of the company, or null) and is_vendor; page_type and tier follow
+    from the path unless segments has them too. Of one signal and url at most CAP quotes stay, but the first of every
+    pattern and segment does. Null and empty texts give no rows; repeated segments count as they stand; other columns
+    are left out.
     """
-    own = [key, "seg_no", "url", U.page_type(F.col("path")).alias("page_type"), "name", "is_vendor"]
-    met = segments.select(*own, "text", rules_met(F.col("text"), patterns).alias("met")).where(F.size("met") > 0)
-    rows = met.select(*[c if isinstance(c, str) else "page_type" for c in own], F.explode(places(F.col("text"), F.col("met"), patterns)).alias("m")).select("*", "m.*").drop("m")
+    known = {"page_type", "tier"} <= set(segments.columns)
+    typed = segments if known else segments.withColumn("page_type", U.page_type(F.col("path"))).withColumn("tier", U.tier(F.col("page_type")))
+    own = [key, "seg_no", "url", "page_type", "name", "is_vendor", F.col("tier").alias("_tier")]
+    met = typed.select(*own, "text", rules_met(F.col("text"), patterns).alias("met")).where(F.size("met") > 0)
+    rows = met.select(*own[:-1], "_tier", F.explode(places(F.col("text"), F.col("met"), patterns)).alias("m")).select("*", "m.*").drop("m")
     signal = F.element_at(F.array(*[F.lit(s) for s, _, _ in patterns]), F.col("rule") + 1)
-    tier = U.tier(F.col("page_type"))
+    tier = F.col("_tier")
     w = Window.partitionBy(key, "signal", "url").orderBy("seg_no", "rule", "pos")
-    return rows.select("*", signal.alias("signal"), tier.alias("tier")).withColumn("_n", F.row_number().over(w)).where(f"nth = 1 OR _n <= {CAP}").drop("_n")
+    return rows.select("*", signal.alias("signal"), tier.alias("tier")).withColumn("_n", F.row_number().over(w)).where(f"nth = 1 OR _n <= {CAP}").drop("_n", "_tier")
 
 
 def short_name(name: Column) -> Column:

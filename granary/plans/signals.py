@@ -47,15 +47,21 @@ _SEGMENTS = f"""d AS (SELECT doc_id // 4 AS company, doc_id % 4 AS seg_no, {pick
 s AS (SELECT *, 'https://x.example' || path AS url, {_PAGE} AS page_type, {picked("company", _LIST(_NAMES))} AS name, company % 5 = 0 AS is_vendor FROM d)"""
 _RULES = ", ".join(f"({i}, '{s}', '(?i){q(p)}', {'NULL' if a is None else chr(39) + '(?i)' + q(a) + chr(39)})" for i, (s, p, a) in enumerate(R.PATTERNS))
 _CUT = f"left(trim(regexp_replace(substr(text, greatest(pos - {S.AROUND}, 0) + 1, pos + len(hit) + {S.AROUND} - greatest(pos - {S.AROUND}, 0)), '\\s+', ' ', 'g'), ' '), {S.LONGEST})"
-_EVIDENCE = f"""WITH {_SEGMENTS},
+
+def evidence_sql(segments: str, tier: str = _TIER) -> str:
+    """Common table expressions up to e, the rule pack's evidence of segments: company, seg_no, url, page_type, text."""
+    return f"""WITH {segments},
 r(rule, signal, p, against) AS (VALUES {_RULES}),
 h AS (SELECT s.*, r.*, regexp_extract_all(text, p, 0) AS found, regexp_split_to_array(text, p) AS parts FROM s, r WHERE regexp_matches(text, p)),
 i AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM h),
 o AS (SELECT * EXCLUDE (found, parts), found[i] AS hit, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0))::INT AS pos FROM i),
 k AS (SELECT *, {_CUT} AS quote FROM o),
-n AS (SELECT *, {_TIER} AS tier, row_number() OVER (PARTITION BY company, seg_no, rule ORDER BY pos) AS nth, row_number() OVER (PARTITION BY company, signal, url ORDER BY seg_no, rule, pos) AS total FROM k WHERE against IS NULL OR NOT regexp_matches(quote, against)),
+n AS (SELECT *, {tier} AS tier, row_number() OVER (PARTITION BY company, seg_no, rule ORDER BY pos) AS nth, row_number() OVER (PARTITION BY company, signal, url ORDER BY seg_no, rule, pos) AS total FROM k WHERE against IS NULL OR NOT regexp_matches(quote, against)),
 e AS (SELECT * FROM n WHERE nth = 1 OR total <= {S.CAP})"""
 
+
+_EVIDENCE = evidence_sql(_SEGMENTS)
+
 _SHORT = f"(string_split(trim(regexp_replace(regexp_replace(regexp_replace(name, '(?i){q(R.LEGAL_FORMS)}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\s-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '))"
 _COMMON = ", ".join(f"'{w}'" for w in R.COMMON_FIRST)
 _ESCAPED = lambda c: f"regexp_replace({c}, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g')"
