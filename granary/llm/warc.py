@@ -11,8 +11,10 @@ A payload may be that of a third of all pages (an error page): joins by payload
 over `SALTS` tasks, and are between ids and digests only.
 
 Defined results: a null html is an empty payload; a null url gives a record without target; equal payloads (by SHA-1
-and length) below `min_bytes` all stay responses; rows that repeat a page_id give equal records; rows without a page_id
-are responses, and never what others refer to; an empty table gives an empty archive set. Records whose header, length or digest is wrong raise ValueError with the file's name.
+and length) below `min_bytes` all stay responses; rows that repeat a page_id are judged each by itself; rows without one
+are responses, and never what others refer to; an empty table gives an empty archive set. A record is named by its page
+and payload, since pages with different payloads may share a page_id; of rows that repeat both, all but the first have a
+number besides. Records whose header, length or digest is wrong raise ValueError with the file's name.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -46,17 +49,17 @@ def base32_sha1(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode("ascii")
 
 
-def record_uri(page_id: int | str | None) -> str:
-    """The record's id; rows without a page_id have an empty one."""
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_uri(page_id: int | str | None, digest: str, nth: int = 0) -> str:
+    """The record's id: its page (empty for rows without a page_id), payload, and number among equal ones."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{f':{nth}' if nth else ''}>"
 
 
 def page_of(uri: str | None) -> int | None:
-    number = (uri or "").removeprefix("<urn:page:").removesuffix(">")
+    number = (uri or "").removeprefix("<urn:page:").partition(":")[0]
     return int(number) if number else None
 
 
-def make_record(page_id: int | str | None, url: str | None, html: str | None, refers_to: int | str | None, digest: str) -> bytes:
+def make_record(page_id: int | str | None, url: str | None, html: str | None, refers_to: int | str | None, digest: str, nth: int = 0) -> bytes:
     """One record. A revisit has the response's HTTP head but no payload."""
     payload = b"" if refers_to is not None or html is None else html.encode("utf-8")
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -64,7 +67,7 @@ def make_record(page_id: int | str | None, url: str | None, html: str | None, re
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_uri(page_id)}",
+        f"WARC-Record-ID: {record_uri(page_id, digest, nth)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(hashlib.sha1(block).hexdigest())}",
@@ -74,7 +77,7 @@ def make_record(page_id: int | str | None, url: str | None, html: str | None, re
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {record_uri(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {record_uri(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -200,11 +203,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
 
     def frames_of(batches):
         packer, first = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True), True
+        # rows of one page and payload are in one archive
+        written = Counter()
         for pdf in batches:
             made = [leading] if first else []
             first = False
             for page_id, url, html, refers_to, digest in zip(pdf.page_id, pdf.url, pdf.html, pdf.refers_to, pdf.digest):
-                made.append(packer.compress(make_record(page_id, url, html, refers_to, base32_sha1(digest))))
+                made.append(packer.compress(make_record(page_id, url, html, refers_to, base32_sha1(digest), written[page_id, digest])))
+                written[page_id, digest] += 1
             yield type(pdf)({"frame": made})
 
     # ids go as text, which pandas keeps exact beside nulls
@@ -251,10 +257,11 @@ def resolved(records: DataFrame) -> DataFrame:
     """Records with the payload size of what they refer to; html is left out."""
     flat = stored(records.drop("html"), "records")
     revisits = flat.where("refers_to IS NOT NULL")
-    wanted = revisits.select(F.col("refers_to").alias("to_id")).distinct()
-    sizes = flat.where("record_type = 'response'").join(wanted, F.col("page_id") == F.col("to_id")).groupBy("to_id").agg(F.max("payload_bytes").alias("to_bytes"))
+    wanted = revisits.select(F.col("refers_to").alias("to_id"), F.col("payload_digest").alias("to_digest")).distinct()
+    target = (F.col("page_id") == F.col("to_id")) & (F.col("payload_digest") == F.col("to_digest"))
+    sizes = flat.where("record_type = 'response'").join(wanted, target).groupBy("to_id", "to_digest").agg(F.max("payload_bytes").alias("to_bytes"))
     dealt = revisits.withColumn("salt", salt_of(F.col("page_id")))
-    joined = dealt.join(salted(sizes.withColumnRenamed("to_id", "refers_to")), ["refers_to", "salt"], "left")
+    joined = dealt.join(salted(sizes.withColumnsRenamed({"to_id": "refers_to", "to_digest": "payload_digest"})), ["refers_to", "payload_digest", "salt"], "left")
     return flat.where("refers_to IS NULL").unionByName(joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "to_bytes")).select(flat.columns))
 
 
