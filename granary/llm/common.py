@@ -12,6 +12,8 @@ from granary.session import scratch_path, shared_root, stored  # noqa: F401
 
 #: ASCII white space (space, tab to carriage return); words are what stands between.
 WHITE = r"[\x20\x09-\x0D]+"
+#: A column that identifies rows, whatever their doc_id.
+KEY = "_row_key"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 
@@ -34,6 +36,13 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with KEY, unique: the doc_id where that identifies rows, else numbers that are written down with the rows."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id"))
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+
+
 def vocabulary_file(path: str) -> str:
     """A vocabulary file where this machine has it: the path given, or else the installed one of that name."""
     if os.path.exists(path):

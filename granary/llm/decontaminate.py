@@ -3,8 +3,11 @@
 Texts are lower-cased into tokens in which numbers, units and names become typed placeholders (<num>, <unit>, <name>).
 Windows of `WINDOW` placeholder tokens are hash-joined with the windows of the benchmark. For a hit, the words behind
 the placeholders are compared slot by slot: the same benchmark word must always stand for the same document word, and
-the other way round. A consistent hit is `verbatim` when all slots are equal, `reparameterised` otherwise, so that a
-question with other numbers or names is caught too. A document is contaminated by an item if
+the other way round, first inside the window and then over all windows that the document shares with the item: of the
+document words that stand for a benchmark word the one in most windows counts (ties: the one that comes first), and the
+other way round, and windows with any other pair don't count. A consistent hit is `verbatim` when all slots are equal,
+`reparameterised` otherwise, so that a question with other numbers or names is caught too. A document is contaminated by
+an item if
 
 - it has a share of the item's windows (`MIN_SHARE` percent, one window at least), or
 - it holds any `RUN` consecutive tokens of the item word for word, however long the item is, or
@@ -15,8 +18,8 @@ Everything is DataFrame functions. Canonical tokens are made by regular expressi
 pairings of an array with itself (1, 2 and up to 4 tokens apart), and only the windows' hashes meet the benchmark's. That
 side is broadcast when the benchmark's texts stay below `BROADCAST_CHARS` characters; beyond, the join is a shuffle.
 
-Defined results: null and empty texts have no windows and are clean, as are items without a token; repeated items and
-documents are judged alike; of items that a document holds equally much of, the one with the smallest id is named;
+Defined results: null and empty texts have no windows and are clean, as are items without a token; repeated items are
+one; rows without a doc_id and rows that share one are judged each by itself; of items that a document holds equally much of, the one with the smallest id is named;
 empty tables give clean or empty results; extra columns are kept by `drop_contaminated`.
 """
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored, table
+from granary.llm.common import KEY, stored, table, with_key
 
 WINDOW, LEAST, RUN = 8, 4, 13
 MIN_SHARE = 30
@@ -93,10 +96,28 @@ def consistent(a: Column, b: Column) -> Column:
     return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """doc_id, item_id, n_windows (matched places of the item), n_verbatim of them, item_windows, n_runs (verbatim runs of RUN tokens).
+def agreeing(met: DataFrame, key: str) -> DataFrame:
+    """The rows of met (key, item_id, iplace, at, itoks, dtoks, same) whose pairs of tokens all agree with those in most windows.
 
-    Rows that share an item_id are one item. item_windows is 1 for items shorter than a window, and n_windows then 1 if the document holds them word for word.
+    Only where some window isn't verbatim there is anything to settle; all other rows stay as they are.
+    """
+    pair = [key, "item_id"]
+    changed = met.where(~F.col("same")).select(*pair).distinct()
+    window = [*pair, "iplace", "at", "dtoks"]
+    slots = met.join(changed, pair, "left_semi").select(*window, F.explode(F.array_distinct(F.arrays_zip(F.col("itoks").alias("i"), F.col("dtoks").alias("d")))).alias("p")).select(*window, "p.i", "p.d")
+    counted = slots.groupBy(*pair, "i", "d").agg(F.struct(-F.count_distinct("iplace"), F.min("at"), F.min("iplace")).alias("order"))
+    word = counted.groupBy(*pair, "i").agg(F.min_by("d", F.struct("order", "d")).alias("word"))
+    slot = counted.groupBy(*pair, "d").agg(F.min_by("i", F.struct("order", "i")).alias("slot"))
+    bound = counted.join(word, [*pair, "i"]).join(slot, [*pair, "d"]).where((F.col("d") == F.col("word")) & (F.col("i") == F.col("slot"))).select(*pair, "i", "d", F.lit(True).alias("bound"))
+    split = slots.join(bound, [*pair, "i", "d"], "left").groupBy(*window).agg(F.count("bound").alias("agree"), F.count("*").alias("all")).where("agree < all").select(*window)
+    return met.join(split, window, "left_anti")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, broadcast_chars: int = BROADCAST_CHARS, key: str = "doc_id") -> DataFrame:
+    """key, item_id, n_windows (matched places of the item), n_verbatim of them, item_windows, n_runs (verbatim runs of RUN tokens).
+
+    Rows that share an item_id are one item; key identifies a document. item_windows is 1 for items shorter than a window,
+    and n_windows then 1 if the document holds them word for word.
     """
     given = benchmark.select("item_id", "text")
     few = (given.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_chars
@@ -116,33 +137,41 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_chars: int = BROADCAST
     item_windows = stored(windows(items, "_item", True).join(items.select("_item", "item_id", "raw"), "_item").select("item_id", "size", "hash", F.col("place").alias("iplace"), words(F.col("place"), F.abs("size")).alias("itoks")).distinct(), "item-windows")
     totals = item_windows.groupBy("item_id").agg(F.count_distinct("iplace").alias("item_windows"))
     item_runs = items.where(F.col("n") >= RUN).select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - RUN), lambda i: words(i, F.lit(RUN)))).alias("run")).distinct()
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(key, "text")
     # hashes meet the benchmark alone; the words of the few places that match are fetched in a second pass
     wanted = item_windows.select("size", "hash").distinct()
-    matched = windows(forms(texts, "doc_id"), "doc_id", False).join(small(wanted), ["size", "hash"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("size", "place", "hash")).alias("at"))
-    own = texts.join(matched, "doc_id").select("doc_id", "at", tokens_of(F.col("text")).alias("raw"))
-    found = own.select("doc_id", F.explode(F.transform("at", lambda x: F.struct(x["size"].alias("size"), x["hash"].alias("hash"), words(x["place"], F.abs(x["size"])).alias("dtoks"), words(x["place"], F.lit(RUN)).alias("run")))).alias("x")).select("doc_id", "x.*")
+    matched = windows(forms(texts, key), key, False).join(small(wanted), ["size", "hash"], "left_semi").groupBy(key).agg(F.collect_set(F.struct("size", "place", "hash")).alias("at"))
+    own = texts.join(matched, key).select(key, "at", tokens_of(F.col("text")).alias("raw"))
+    found = own.select(key, F.explode(F.transform("at", lambda x: F.struct(x["size"].alias("size"), x["hash"].alias("hash"), x["place"].alias("at"), words(x["place"], F.abs(x["size"])).alias("dtoks"), words(x["place"], F.lit(RUN)).alias("run")))).alias("x")).select(key, "x.*")
+    found = stored(found, "found-windows")
     same = F.col("dtoks") == F.col("itoks")
     fits = F.when(F.col("size") == WINDOW, consistent(F.col("dtoks"), F.col("itoks"))).otherwise(same)
-    met = found.select("doc_id", "size", "hash", "dtoks").distinct().join(small(item_windows), ["size", "hash"]).where(fits)
-    per_place = met.groupBy("doc_id", "item_id", "iplace").agg(F.max(same.cast("int")).alias("v"))
-    counted = per_place.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.sum("v").alias("n_verbatim"))
-    runs = found.where(F.size("run") == RUN).select("doc_id", "run").distinct().join(small(item_runs), "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_runs"))
-    return counted.join(small(totals), "item_id").join(runs, ["doc_id", "item_id"], "left").withColumn("n_runs", F.coalesce("n_runs", F.lit(0)))
+    once = found.groupBy(key, "size", "hash", "dtoks").agg(F.min("at").alias("at"))
+    met = once.join(small(item_windows), ["size", "hash"]).where(fits).select(key, "item_id", "iplace", "at", "itoks", "dtoks", same.alias("same"))
+    per_place = agreeing(met, key).groupBy(key, "item_id", "iplace").agg(F.max(F.col("same").cast("int")).alias("v"))
+    counted = per_place.groupBy(key, "item_id").agg(F.count("*").alias("n_windows"), F.sum("v").alias("n_verbatim"))
+    runs = found.where(F.size("run") == RUN).select(key, "run").distinct().join(small(item_runs), "run").groupBy(key, "item_id").agg(F.count("*").alias("n_runs"))
+    return counted.join(small(totals), "item_id").join(runs, [key, "item_id"], "left").withColumn("n_runs", F.coalesce("n_runs", F.lit(0)))
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
-    """doc_id, n_items, best_item, best_share (percent of its windows), verbatim of contaminated documents."""
+def contaminated(keyed: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
+    """KEY, n_items, best_item, best_share (percent of its windows), verbatim of contaminated rows."""
     share = F.col("n_windows") * 100 / F.col("item_windows")
-    bad = hits(docs, benchmark).where((F.col("n_windows") * 100 >= F.col("item_windows") * min_share) | (F.col("n_runs") > 0))
+    bad = hits(keyed, benchmark, key=KEY).where((F.col("n_windows") * 100 >= F.col("item_windows") * min_share) | (F.col("n_runs") > 0))
     best = F.min(F.struct((-share).alias("less"), F.col("item_id"), (F.col("n_verbatim") == F.col("n_windows")).alias("verbatim")))
-    return bad.groupBy("doc_id").agg(F.count("*").alias("n_items"), best.alias("best")).select("doc_id", "n_items", F.col("best.item_id").alias("best_item"), (-F.col("best.less")).alias("best_share"), F.col("best.verbatim").alias("verbatim"))
+    return bad.groupBy(KEY).agg(F.count("*").alias("n_items"), best.alias("best")).select(KEY, "n_items", F.col("best.item_id").alias("best_item"), (-F.col("best.less")).alias("best_share"), F.col("best.verbatim").alias("verbatim"))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
+    """doc_id, n_items, best_item, best_share, verbatim of contaminated rows."""
+    keyed = with_key(docs.select("doc_id", "text"))
+    return contaminated(keyed, benchmark, min_share).join(keyed.select(KEY, "doc_id"), KEY).drop(KEY)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark item."""
-    bad = judged(docs, benchmark).select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad_id"], "left_anti")
+    keyed = with_key(docs)
+    return keyed.join(contaminated(keyed, benchmark), KEY, "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,3 +22,92 @@ def test_warc_pages_that_share_an_id(spark, tmp_path):
     for r in spark.read.format("binaryFile").load(str(tmp_path / "w")).select("content").collect():
         ids += [q.parse_record(data)[0]["warc-record-id"] for magic, data in q.frames(bytes(r.content)) if magic == q.FRAME_MAGIC]
     assert len(ids) == len(set(ids)) == 7
+
+
+def tokens_by_hand(text):
+    import regex
+
+    text = regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", text or "")
+    return [x for x in regex.split(r"[^\p{L}\p{N}%°]+", regex.sub(r"(?<=[0-9])(?=[\p{L}%°])", " ", text)) if x]
+
+
+def forms_by_hand(tokens):
+    import regex
+
+    from granary.llm import decontaminate as q
+
+    out = []
+    for before, x in zip(["", *tokens], tokens):
+        if x[0].isdigit():
+            out.append("<num>")
+        elif before[:1].isdigit() and regex.fullmatch(q.UNITS, x, regex.I):
+            out.append("<unit>")
+        elif regex.fullmatch(r"\p{Lu}\p{Ll}+", x) and regex.match(r"\p{Ll}", before):
+            out.append("<name>")
+        else:
+            out.append(x.lower())
+    return out
+
+
+def windows_by_hand(doc, item):
+    """(matched places of the item, those word for word) by all pairs of windows and the binding of most windows."""
+    d, i = tokens_by_hand(doc), tokens_by_hand(item)
+    df, jf = forms_by_hand(d), forms_by_hand(i)
+    met = {}
+    for b in range(len(i) - 7):
+        for a in range(len(d) - 7):
+            x, y = tuple(v.lower() for v in d[a : a + 8]), tuple(v.lower() for v in i[b : b + 8])
+            pairs = set(zip(y, x))
+            if df[a : a + 8] == jf[b : b + 8] and len({p for p, _ in pairs}) == len(pairs) == len({p for _, p in pairs}):
+                met.setdefault((b, x), (a, pairs, x == y))
+    counts = {}
+    for (b, _), (a, pairs, _) in met.items():
+        for pair in pairs:
+            n, first, place = counts.get(pair, (set(), 10**9, 10**9))
+            counts[pair] = (n | {b}, min(first, a), min(place, b))
+    rank = {pair: (-len(n), a, b) for pair, (n, a, b) in counts.items()}
+    bound = {p for p in rank if p[1] == min((rank[o], o[1]) for o in rank if o[0] == p[0])[1] and p[0] == min((rank[o], o[0]) for o in rank if o[1] == p[1])[1]}
+    good = [(b, same) for (b, _), (_, pairs, same) in met.items() if pairs <= bound]
+    return len({b for b, _ in good}), len({b for b, same in good if same})
+
+
+def test_template_windows_against_all_pairs(spark):
+    """Windows, slots and bindings of random templates filled in differently, against all pairs of windows."""
+    pytest.importorskip("regex")
+    from granary.llm import decontaminate as q
+
+    rng = random.Random(5)
+    people, places = ["Alice", "Bob", "Mary", "Susan", "John"], ["Boston", "Denver", "Paris"]
+    shape = ["so {a} from {p} walks {n} km in {m} hours while {b} waits for {a} at the gate of {p} with {n} apples and then {b} tells {a} that it is late", "the train of {a} leaves {p} at {n} and it meets {b} near {q} after {m} minutes when {a} sees {q} again and again in the rain"]
+    # (names after lower-case words are the slots)
+    fill = lambda s: s.format(a=rng.choice(people), b=rng.choice(people), p=rng.choice(places), q=rng.choice(places), n=rng.randint(2, 9), m=rng.randint(10, 99))
+    items = [(k, fill(shape[k % 2])) for k in range(4)]
+
+    def mixed(text):
+        words = text.split(" ")
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(words))
+            words[k] = rng.choice(people) if words[k] in people else rng.choice(["3", "5"]) if words[k].isdigit() else words[k]
+        return " ".join(words)
+
+    docs = [(k, rng.choice(["well ", ""]) + " then ".join(mixed(rng.choice([fill(shape[k % 2]), items[k % 4][1]])) for _ in range(rng.randint(1, 2)))) for k in range(60)]
+    alice = "as we saw Alice took a long walk over the old bridge and through the park and past the small church until at last Alice came home in time for tea"
+    items.append((9, alice))
+    docs.append((99, alice.replace("Alice", "Mary", 1).replace("Alice", "Susan", 1)))
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_verbatim) for r in q.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): windows_by_hand(x, y) for d, x in docs for i, y in items}
+    assert got == {k: v for k, v in want.items() if v[0]}
+    assert want[99, 9][0] < len(tokens_by_hand(alice)) - 7
+
+
+def test_decontamination_by_rows(spark):
+    """Rows without a doc_id and rows that share one are judged each by itself."""
+    from granary.llm import decontaminate as q
+
+    item = "a question of many words that is held word for word by some of the texts that follow here"
+    clean = "nothing of the kind is said in this text which goes on for a while about something else"
+    docs = spark.createDataFrame([(1, item, "x"), (1, clean, "x"), (None, item, "x"), (None, clean, "x"), (2, clean, "x")], "doc_id long, text string, _row string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    left = q.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, clean), (1, clean), (2, clean)]
+    assert sorted(r.doc_id or 0 for r in q.judged(docs, bench).collect()) == [0, 1]
