@@ -8,8 +8,8 @@ toxic rows among the labelled rows of the training folds: the only use of labels
 whose frequencies in positives and in unlabelled texts differ significantly, in either direction. Fitting uses a bounded sample (`POSITIVES`, `UNLABELLED` texts); scoring reads every
 whole text in one pass without a shuffle.
 
-Defined results: null and empty texts have no features and get the bias' score; held-out rows are never learnt from;
-repeated rows are scored alike; without a positive label every score is 0; an empty table gives an empty table;
+Defined results: null and empty texts have no features and get the bias' score; held-out rows are never learnt from, nor
+are rows without a doc_id, whose held_out is null; repeated rows are scored alike; without a positive label every score is 0; an empty table gives an empty table;
 columns beside doc_id and text are ignored.
 """
 
@@ -123,14 +123,19 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndar
     return np.flatnonzero((p + u >= LEAST_TEXTS) & (np.abs(p / len(positive) - u / max(1, len(unlabelled))) >= LEAST_Z * error))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float] | None:
-    """Weights by feature and bias, from training folds; None without a positive."""
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> tuple[np.ndarray, float] | None:
+    """Weights by feature and bias, from training folds; None without a positive.
+
+    prior is the share of toxic texts among all; by default that among the labels of training folds.
+    """
     learn = fold_of(F.col("doc_id"), FOLDS) != HELD_OUT
     said = labels.where(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = said.agg(F.sum("toxic"), F.count("*")).first()
     if not count[0]:
         return None
-    prior = min(0.5, count[0] / count[1])
+    if prior is None:
+        # labels that are toxic without exception leave less than one other in twice as many
+        prior = min(count[0] / count[1], 1 - 1 / (2 * count[1]))
     n_docs = docs.count()
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
 
