@@ -15,7 +15,7 @@ frequent `MAX_WORDS` of them are shipped to the workers, all others are joined.
 
 Defined results: null urls and urls without `://` have empty host and path, no rule and verdict allow; ties between
 rules of equal length go to the one that sorts first, and of two verdicts of one rule block wins; repeated urls are judged alike; extra columns are ignored; an
-empty table gives an empty table; without examples of both verdicts only rules (and seeds) block; letter runs longer than `MAX_WORD` can be split but are no words themselves.
+empty table gives an empty table; without examples of both verdicts only rules (and seeds) block; words may have any length.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 SEEDS, SEED_LOG_ODDS = ("casino", "bets", "bet", "poker", "pills", "viagra", "spam", "porn", "xxx", "warez", "track", "ads"), 4.0
 #: Seeds and common company words count as known words at least this often, so that names can be split at them.
 PRIOR_WORDS = SEEDS + ("free", "cheap", "win", "farm", "online", "shop", "news", "blog", "mail", "best", "buy", "club")
-PRIOR_COUNT, MAX_WORDS, MAX_WORD, SALTS = 50, 100_000, 24, 32
+PRIOR_COUNT, MAX_WORDS, SALTS = 50, 100_000, 32
 TOKEN = r"[a-z]+|[0-9]+"
 
 
@@ -86,38 +86,46 @@ class Splitter:
     than `STRETCH`: `bet` isn't a word of `better`. Unknown stretches cost by length, also a whole name.
     """
 
-    LONG, STRETCH = 5, 4
+    LONG, STRETCH, LETTER = 5, 4, 2.3
 
     def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
         counts = dict(counts)
         self.total = (sum(counts.values()) if total is None else total) + len(PRIOR_WORDS) * PRIOR_COUNT
         for w in PRIOR_WORDS:
             counts[w] = counts.get(w, 0) + PRIOR_COUNT
-        self.costs = {w: self._known(n) for w, n in counts.items() if len(w) <= MAX_WORD}
+        self.costs = {w: self._known(n) for w, n in counts.items()}
+        self.sizes = {len(w) for w in self.costs}
 
     def _known(self, n: int) -> float:
         return math.log(self.total / n)
 
     def _unknown(self, size: int) -> float:
-        return math.log(self.total) + 2.3 * size
+        return math.log(self.total) + self.LETTER * size
 
     def split(self, name: str, rare: dict[str, int] | None = None) -> list[str]:
         """The parts; rare holds the counts of words that aren't among the splitter's own."""
-        costs = self.costs
+        costs, sizes = self.costs, self.sizes
         if rare:
+            sizes = sizes | {len(w) for w in rare}
             costs = costs | {w: self._known(n + PRIOR_COUNT * (w in PRIOR_WORDS)) for w, n in rare.items()}
         whole = (self._unknown(len(name)) if name not in costs else costs[name], [name])
-        return min(whole, self._best(name, costs, False), self._best(name, costs, True))[1]
+        sizes = sorted((n for n in sizes if n <= len(name)), reverse=True)
+        return min(whole, self._best(name, costs, sizes, False), self._best(name, costs, [n for n in sizes if n >= self.LONG], True))[1]
 
-    def _best(self, name: str, costs: dict[str, float], stretches: bool) -> tuple[float, list[str]]:
+    def _best(self, name: str, costs: dict[str, float], sizes: list[int], stretches: bool) -> tuple[float, list[str]]:
+        """Words of the given sizes; with stretches, unknown ones of any size too, whose best start is carried along."""
         best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+        begin, least = 0, math.inf
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - MAX_WORD), end):
-                cost = costs.get(name[start:end], math.inf) if not stretches or end - start >= self.LONG else math.inf
-                if stretches and end - start >= self.STRETCH:
-                    cost = min(cost, self._unknown(end - start))
-                if best[start] + cost < best[end]:
-                    best[end], back[end] = best[start] + cost, start
+            if stretches and end >= self.STRETCH:
+                start = end - self.STRETCH
+                if best[start] - self.LETTER * start < least:
+                    begin, least = start, best[start] - self.LETTER * start
+                if least < math.inf:
+                    best[end], back[end] = best[begin] + self._unknown(end - begin), begin
+            for n in sizes:
+                if n <= end and (cost := costs.get(name[end - n : end])) is not None and best[end - n] + cost < best[end]:
+                    best[end], back[end] = best[end - n] + cost, end - n
         out, end = [], len(name)
         while end and best[-1] < math.inf:
             out.append(name[back[end] : end])
@@ -163,7 +171,9 @@ def with_rare_words(urls: DataFrame, rare: DataFrame | None) -> DataFrame:
     if rare is None:
         return urls.withColumn("rare", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
     hosts = urls.select("host").distinct().select("host", F.explode(F.array_distinct(runs_of(F.col("host")))).alias("run"))
-    ends = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("run") - i + 1)), lambda n: F.substr(F.col("run"), i, n))
+    # only sizes that rare words have: a few dozen, as words of k sizes hold k * k / 2 letters
+    sizes = [r.n for r in rare.select(F.length("word").alias("n")).distinct().collect()]
+    ends = lambda i: F.transform(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.length("run") - i + 1), lambda n: F.substr(F.col("run"), i, n))
     inside = hosts.select("host", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"), "run").select("host", F.explode(ends(F.col("i"))).alias("word"))
     found = inside.distinct().join(rare, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("rare"))
     # a host may have a third of all pages: they are dealt over SALTS tasks
