@@ -4,22 +4,25 @@ The pieces of an existing public vocabulary are the arcs of a lattice over each
 log probability. A forward recursion in log space sums the weights of all segmentations, so that a word's score is its
 marginal probability and not that of one best split. The installed vocabulary orders its pieces by merge ranks and has
 no unigram probabilities, so these are fitted to it once per corpus: expectation maximisation over all distinct
-training words, weighted by their counts. `lattice_score` is the sum of these marginals over a document's words and
-one end token. `score` adds one more segmentation to each lattice, the whole training word with its discounted
-relative frequency, which leaves the lattice the mass of what is rare or new.
+training words, weighted by their counts. `score` is the sum of these marginals over a document's words and one end
+token. `mixed_score`, a further column, adds one more segmentation to each lattice, the
+whole training word with its discounted relative frequency, which leaves the lattice the mass of what is rare or new.
 
 Word counts come from all training documents by a map-side combined aggregation. The `MAX_WORDS` most frequent words
 (a fixed bound, whatever the input) are shipped to the workers as hashes and counts; all other words of a document are
-joined to the count table. Lattices are computed for many words at once, column by column, in numpy.
+joined to the count table. Lattices are computed for many words at once, column by column, in numpy. A word of more than
+LONG bytes is worked on alone, in blocks of places, with one or two numbers for each of its bytes.
 
-Defined results: null and empty texts are one end token; very long words need no more than their own bytes; repeated
+Defined results: null and empty texts are one end token; texts without white space are one long word; repeated
 rows are scored alike; without training rows counts are 0 and the pieces keep their initial scores; an empty table
 gives an empty table; columns beside doc_id and text are ignored. doc_id identifies a row.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +35,8 @@ from granary.llm.common import fold_of, lower_ascii, stored, table, vocabulary_f
 from granary.llm.textbytes import WindowHasher
 
 FOLDS, HELD_OUT = 10, 0
+#: Bytes beyond which a word is worked on alone, and the places that it is cut at then.
+LONG, PLACES = 1 << 12, 1 << 15
 MAX_WORDS = 300_000
 #: Rounds of expectation maximisation, each on all training words.
 EM_ROUNDS = 4
@@ -110,6 +115,46 @@ class Lattice:
         cut = np.flatnonzero(np.r_[True, (end[1:] != end[:-1]) | (length[1:] != length[:-1]), True]) if len(end) else np.zeros(1, dtype=int)
         return sizes, [(int(end[a]), int(length[a]), rows_[a:b], piece[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
+    def long_arcs(self, data: bytes, lo: int) -> list[tuple[int, int, int]]:
+        """(start, end, piece) of the arcs that begin at the next PLACES places of a long word, ascending."""
+        part = np.frombuffer(data[lo : lo + PLACES + max(self.tables)], dtype=np.uint8)
+        sums, found = self.hasher.sums(part), []
+        for n, (known, which, maybe) in self.tables.items():
+            at = np.arange(min(PLACES, len(part) - n + 1))
+            hashes = self.hasher.of(sums, at, n)
+            place = np.searchsorted(known, hashes).clip(0, len(known) - 1)
+            hit = known[place] == hashes
+            found.append(np.stack([at[hit], at[hit] + n, which[place[hit]]], axis=1))
+        rows = np.concatenate(found)
+        return (rows[np.argsort(rows[:, 0], kind="stable")] + [lo, lo, 0]).tolist()
+
+    def long_forward(self, data: bytes, scores: list[float]) -> array:
+        """As forward for one long word, itself after a space."""
+        alpha = array("d", [-math.inf]) * (len(data) + 1)
+        alpha[0] = 0.0
+        for lo in range(0, len(data), PLACES):
+            for start, end, piece in self.long_arcs(data, lo):
+                alpha[end] = added(alpha[end], alpha[start] + scores[piece])
+        return alpha
+
+    def long_expected(self, data: bytes, weight: float, scores: np.ndarray) -> np.ndarray:
+        """As expected for one long word; its arcs are worked out again for the way back."""
+        own = scores.tolist()
+        alpha = self.long_forward(data, own)
+        beta = array("d", [-math.inf]) * (len(data) + 1)
+        beta[len(data)] = 0.0
+        out = np.zeros(len(self.pieces))
+        for lo in reversed(range(0, len(data), PLACES)):
+            arcs = self.long_arcs(data, lo)
+            shares = []
+            for start, end, piece in reversed(arcs):
+                through = own[piece] + beta[end]
+                beta[start] = added(beta[start], through)
+                share = alpha[start] + through - alpha[-1]
+                shares.append(math.exp(share) if share > -math.inf else 0.0)
+            out += np.bincount([a[2] for a in reversed(arcs)], weights=shares, minlength=len(out)) * weight if arcs else 0
+        return out
+
     @staticmethod
     def forward(sizes: np.ndarray, arcs: list, scores: np.ndarray) -> np.ndarray:
         """alpha[t, word]: the log probability that pieces spell the word's first t bytes."""
@@ -138,13 +183,22 @@ class Lattice:
     def log_probabilities(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
         """The marginal log probability of each word."""
         out = np.zeros(len(words))
-        by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for i in (i for i, w in enumerate(words) if len(w) > LONG):
+            out[i] = self.long_forward(b" " + words[i], scores.tolist())[-1]
+        by_size = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=lambda i: len(words[i]))
         for group in groups(by_size, [len(words[i]) for i in by_size]):
             sizes, arcs = self.arcs([words[i] for i in group])
             out[group] = self.forward(sizes, arcs, scores)[sizes, np.arange(len(group))]
         return out
 
 
+def added(a: float, b: float) -> float:
+    """The logarithm of a sum of two numbers given by theirs."""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
 def groups(items: list[int], sizes: list[int], cells: int = 400_000):
     """Runs of items, ascending by size, whose rows times longest stay under a bound (one item at least)."""
     run: list[int] = []
@@ -186,7 +240,10 @@ def expected_counts(counts: DataFrame, path: str, scores: np.ndarray) -> np.ndar
         for batch in batches:
             words = [w.encode("utf-8") for w in batch.column(0).to_pylist()]
             n = batch.column(1).to_numpy().astype(float)
-            by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
+            for i in (i for i, w in enumerate(words) if len(w) > LONG):
+                got = mine.long_expected(b" " + words[i], n[i], shared.value[:-1])
+                total = got if total is None else total + got
+            by_size = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=lambda i: len(words[i]))
             for group in groups(by_size, [len(words[i]) for i in by_size]):
                 got = mine.expected([words[i] for i in group], n[group], shared.value[:-1])
                 total = got if total is None else total + got
@@ -297,13 +354,13 @@ def partial_scores(docs: DataFrame, model: dict) -> DataFrame:
                     tail = [{"h": h, "n": k, "lattice": x} for h, k, x in zip(hashed[rest].view(np.int64).tolist(), times.tolist(), logs[rest].tolist())]
                     rows.append((len(words) + 1, int(got.sum()) + end[2], float(base[which].sum()) + end[0], float(full[which].sum()) + end[1], float(pure[which].sum()) + end[3], tail))
             columns = [ids, *[pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), tail_type))]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "lattice_score", "tail"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "mixed_score", "score", "tail"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, lattice_score double, tail array<struct<h:long,n:long,lattice:double>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, mixed_score double, score double, tail array<struct<h:long,n:long,lattice:double>>")
 
 
 def score(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every whole text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score of every whole text."""
     rare, model = fit(docs, path, max_words)
     partial = stored(partial_scores(docs, model), "partial")
     tails = partial.select("doc_id", F.explode("tail").alias("x")).select("doc_id", "x.*")
@@ -319,7 +376,7 @@ def score(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     return partial.drop("tail").join(sums, "doc_id", "left").select(
         "doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", (F.col("n_known") + zero(F.col("k"))).alias("n_known"), F.lit(model["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero(F.col("b"))).alias("base_score"), (F.col("score") + zero(F.col("s"))).alias("score"), "lattice_score")
+        (F.col("base_score") + zero(F.col("b"))).alias("base_score"), "score", (F.col("mixed_score") + zero(F.col("s"))).alias("mixed_score"))
 
 
 def default_path() -> str:

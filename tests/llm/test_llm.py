@@ -563,8 +563,8 @@ def test_url_filter_odd_rows(spark):
     assert {r.verdict for r in q.judge(pages, seeds=(), rules=()).collect()} == {"allow"}
 
 
-def test_lattice_score_is_the_sum_of_marginals(odd):
-    """lattice_score against all segmentations under the fitted piece scores; EM never lowers the training likelihood."""
+def test_score_is_the_sum_of_marginals(odd):
+    """score against all segmentations under the fitted piece scores; EM never lowers the training likelihood."""
     import math
 
     import numpy as np
@@ -586,7 +586,7 @@ def test_lattice_score_is_the_sum_of_marginals(odd):
         words = WORD.findall(t.translate(LOWER))
         if len(words) < 200 and all(len(w) < 60 for w in words):
             want = sum(math.log10(brute(b" " + w.encode())) for w in words) + model["scores"][-1] / math.log(10)
-            assert rows[i].lattice_score == pytest.approx(want, rel=1e-6)
+            assert rows[i].score == pytest.approx(want, rel=1e-6)
     counts = q.stored(q.word_counts(odd), "test-words")
     words = {r.word.encode(): r.n for r in counts.collect()}
     lattice, first = q.lattice(path)

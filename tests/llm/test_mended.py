@@ -111,3 +111,84 @@ def test_decontamination_by_rows(spark):
     left = q.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, clean), (1, clean), (2, clean)]
     assert sorted(r.doc_id or 0 for r in q.judged(docs, bench).collect()) == [0, 1]
+
+
+def test_long_words_in_the_lattice(monkeypatch):
+    """Words beyond the bound get the sums of all segmentations and the expected counts that short ones get."""
+    import numpy as np
+
+    from granary.llm import lattice_lm as q
+
+    rng = random.Random(3)
+    pieces = [b" a", b" ab", b" ", b"b", b"c", b"bc", b"a", b"cab"]
+    scores = np.log(np.array([0.2, 0.2, 0.05, 0.15, 0.1, 0.1, 0.1, 0.1]))
+    own = q.Lattice(pieces)
+    words = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 2, 7, 50, 130)] + [b"xx"]
+    plain, counts = own.log_probabilities(words, scores), own.expected(words[:-1], np.arange(1.0, 6.0), scores)
+
+    def brute(rest):
+        return 1.0 if not rest else sum(np.exp(s) * brute(rest[len(p) :]) for p, s in zip(pieces, scores) if rest.startswith(p))
+
+    assert np.allclose(np.exp(plain[:3]), [brute(b" " + w) for w in words[:3]])
+    monkeypatch.setattr(q, "LONG", 0)
+    monkeypatch.setattr(q, "PLACES", 5)
+    assert np.allclose(own.log_probabilities(words, scores)[:-1], plain[:-1]) and own.log_probabilities(words, scores)[-1] == -np.inf
+    assert np.allclose(sum(own.long_expected(b" " + w, k + 1.0, scores) for k, w in enumerate(words[:-1])), counts)
+
+
+def test_a_very_long_word_needs_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from granary.llm import lattice_lm as q
+
+    own, scores = q.lattice(q.default_path())
+    word = bytes(random.Random(1).choice(b"abcdefgh") for _ in range(200_000))
+    tracemalloc.start()
+    got = own.log_probabilities([word], scores)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(got[0]) and peak < 60_000_000
+
+
+def test_hosts_split_like_all_segmentations():
+    """The best split is the cheapest of all, and words of any length are words."""
+    from granary.llm import url_filter as q
+
+    rng = random.Random(4)
+    known = {w: rng.randint(1, 30) for w in ["trackandfieldassociationsinternational", "track", "and", "field", "fields", "alpha", "bet", "al", "phabet", "ab", "cdefg", "q" * 70]}
+    own = q.Splitter(known)
+
+    def cheapest(name):
+        plain, long = {0: 0.0}, {0: 0.0}
+        for end in range(1, len(name) + 1):
+            for start in range(end):
+                word, n = name[start:end], end - start
+                cost = own.costs.get(word, float("inf"))
+                plain[end] = min(plain.get(end, float("inf")), plain[start] + cost)
+                other = min(cost if n >= own.LONG else float("inf"), own._unknown(n) if n >= own.STRETCH else float("inf"))
+                long[end] = min(long.get(end, float("inf")), long[start] + other)
+        return min(plain[len(name)], long[len(name)], own.costs.get(name, own._unknown(len(name))))
+
+    def cost(name, parts):
+        return sum(own.costs.get(x, own._unknown(len(x))) for x in parts)
+
+    names = ["".join(rng.choice([*known, "xy", "zzzzz", "bq"]) for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    for name in names:
+        parts = own.split(name)
+        assert "".join(parts) == name and cost(name, parts) == pytest.approx(cheapest(name)), (name, parts)
+    assert own.split("trackandfieldassociationsinternational") == ["trackandfieldassociationsinternational"]
+    assert own.split("alpha" + "q" * 70) == ["alpha", "q" * 70]
+
+
+def test_prior_above_one_half(spark):
+    """Where most labels are toxic the estimate takes their share as it is, or the prior that is given."""
+    from granary.llm import toxicity as q
+
+    docs = spark.createDataFrame([(i, ("bad vile text " if i % 4 else "kind text ") + str(i)) for i in range(400)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.expr("IF(doc_id % 4 = 0, 0, 1)").alias("toxic"))
+    score = lambda prior: {r.doc_id: r.score for r in q.score(docs, q.fit(docs, labels, prior=prior)).collect()}
+    most, few = score(None), score(0.2)
+    assert sum(most[i] for i in range(400)) > sum(few[i] for i in range(400)) and min(most[i] for i in range(400) if i % 4) > 0.7
+    assert q.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic"))) is not None
