@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.plans import companies, grounded, more, segments, signals, synthesis  # noqa: F401
+from granary.plans import changes, companies, grounded, more, segments, signals, synthesis  # noqa: F401
 from granary.plans.registry import REGISTRY
 
 
