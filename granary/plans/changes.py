@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import frontier, history
+from granary.operators import frontier, history, states
 from granary.plans.more import chosen, picked
 from granary.plans.registry import query, t
 
@@ -65,3 +65,40 @@ def _(spark, d):
     subs = pages.where(i % 8 != 3).select(F.concat(site, name(i)).alias("url"), F.concat(F.when(i % 2 == 0, "<urlset").otherwise("<sitemapindex"), F.lit(">"), F.when(i % 11 > 0, _FILLER).otherwise(""), loc(F.lit(" "), F.col("url")), loc(site, name(i + 2)), loc(site, F.lit("sitemap.xml")), loc(F.lit("/relative"))).alias("xml"))
     fetched = index.select("url", "xml").unionByName(plain.select("url", "xml")).unionByName(subs)
     return frontier.sitemap_pages(pages.select(k.alias("site"), F.concat(site, F.lit("sitemap.xml")).alias("url")), fetched, rounds=_ROUNDS)
+
+
+# --- State machines and late arrivals --------------------------------------------------------------------------------------
+_KINDS = ["sent", "followup", "opened", "followup", "sent", "followup", "replied", "followup", "sent", "stopped", "followup", "bounced"]
+_MOVE = "CASE kind " + " ".join(f"WHEN '{kind}' THEN CASE state " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in moves.items()) + " END" for kind, moves in states.MOVES.items()) + " END"
+
+
+@query("TIME_2_transitions", f"""WITH RECURSIVE e AS (SELECT user_id * 7 + event_id % 7 AS key, event_id AS seq, {picked("event_id", ["'" + k + "'" for k in _KINDS])} AS kind, row_number() OVER (PARTITION BY user_id * 7 + event_id % 7 ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+r AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::VARCHAR AS before, 'queued' AS state, false AS accepted FROM (SELECT DISTINCT key FROM e)
+ UNION ALL SELECT key, i, seq, kind, state, coalesce({_MOVE}, state), {_MOVE} IS NOT NULL FROM (SELECT e.*, r.state FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1))
+SELECT key, seq, kind, before, state, accepted FROM r WHERE i > 0""")
+def _(spark, d):
+    i = F.col("event_id")
+    return states.transitions(t(spark, d, "events").select((F.col("user_id") * 7 + i % 7).alias("key"), F.col("ts").alias("at"), i.alias("seq"), chosen(i, [F.lit(k) for k in _KINDS]).alias("kind")))
+
+
+_ARRIVALS = f"""WITH e AS (SELECT user_id * 50 + event_id // 100 % 50 AS key, ts, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'start' ELSE 'result' END AS kind FROM events),
+b AS (SELECT key, min(ts) AS start FROM e WHERE kind = 'start' GROUP BY 1),
+w AS (SELECT key, seq, CASE WHEN ts >= start THEN epoch_us(ts) // 1000 - epoch_us(start) // 1000 END AS waited_ms FROM e LEFT JOIN b USING (key) WHERE kind = 'result'),
+a AS (SELECT *, CASE WHEN waited_ms <= {states.SOFT_MS * 1000} THEN 'prompt' WHEN waited_ms <= {states.HARD_MS * 1000} THEN 'late' ELSE 'dropped' END AS arrived FROM w)"""
+
+
+def _arrived(spark, d):
+    # the table's events are minutes apart, so seconds stand for milliseconds
+    i = F.col("event_id")
+    rows = t(spark, d, "events").select((F.col("user_id") * 50 + F.floor(i / 100) % 50).cast("long").alias("key"), F.col("ts").alias("at"), i.alias("seq"), F.when(i % 3 == 0, "start").otherwise("result").alias("kind"))
+    return states.arrivals(rows, states.SOFT_MS * 1000, states.HARD_MS * 1000)
+
+
+@query("TIME_8_arrivals", _ARRIVALS + " SELECT key, seq, waited_ms, arrived FROM a")
+def _(spark, d):
+    return _arrived(spark, d)
+
+
+@query("TIME_8_enriched", _ARRIVALS + " SELECT key, count(*) FILTER (arrived = 'prompt') AS n_prompt, count(*) FILTER (arrived = 'late') AS n_late, count(*) FILTER (arrived = 'prompt') > 0 AS prompt_enriched, count(*) FILTER (arrived = 'late') > 0 AS reextract FROM a GROUP BY key")
+def _(spark, d):
+    return states.enriched(_arrived(spark, d))

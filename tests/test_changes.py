@@ -65,3 +65,104 @@ def test_sitemaps(spark):
     assert rows(1) == [("a", "http://a/1", 1), ("a", "http://a/2", 1), ("a", "http://a/3", 1), ("b", "http://b/1", 0)]
     assert rows(4) == sorted([*rows(1), ("a", "http://a/4", 2)])
     assert frontier.sitemap_pages(sites.limit(0), table).count() == 0
+
+
+KINDS = ["sent", "followup", "opened", "followup", "followup", "sent", "replied", "followup", "bounced", "stopped", None]
+EVENTS = "key long, at timestamp, seq long, kind string, state string"
+
+
+def moves(n=240, seed=4):
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 1, 1, *range(2, 30)]), T0 + datetime.timedelta(minutes=rng.randint(0, 5000)), k, rng.choice(KINDS[:3] if rng.random() < 0.5 else KINDS), "x") for k in range(n)]
+    return rows + [(None, T0, 1, "sent", "x"), (1, None, 2, "sent", "x")]
+
+
+def moves_by_hand(rows):
+    from granary.operators import states as S
+
+    out, now = {}, {}
+    for key, at, seq, kind, _ in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[:3]):
+        before = now.get(key, "queued")
+        after = S.MOVES.get(kind, {}).get(before)
+        now[key] = after or before
+        out[seq] = (key, kind, before, now[key], after is not None)
+    return out
+
+
+@pytest.mark.parametrize("span", [3600, 86_400, 10**9])
+def test_transitions(spark, span):
+    from granary.operators import states as S
+
+    rows = moves()
+    got = {r.seq: (r.key, r.kind, r.before, r.state, r.accepted) for r in S.transitions(spark.createDataFrame(rows, EVENTS).repartition(3), span).collect()}
+    assert got == moves_by_hand(rows) and {s for *_, s, _ in got.values()} >= {"followup_2", "stopped"}
+    assert S.transitions(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def streamed(spark, tmp_path, rows, schema, make, name, parts=4):
+    """The rows as files of a stream, a trigger each, in order of time but for what the watermark's delay allows."""
+    frame = spark.createDataFrame(rows, schema)
+    (tmp_path / "in").mkdir()
+    query = make(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    ordered = sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]) + [r for r in rows if r[1] is None]
+    size = -(-len(ordered) // parts)
+    try:
+        for k in range(parts):
+            part = ordered[k * size : (k + 1) * size]
+            random.Random(k).shuffle(part)
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            query.processAllAvailable()
+        # time goes on, so that all rows and timers are passed
+        for days in (1000, 2000):
+            spark.createDataFrame([(-1, T0 + datetime.timedelta(days=days), -days, "end", "x")], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            query.processAllAvailable()
+        kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        query.stop()
+    return [r for r in spark.table(name).collect() if r.key != -1], kept
+
+
+def test_transitions_as_a_stream(spark, tmp_path):
+    """A stream in several triggers decides what the batch decides, and its state ends."""
+    from granary.streaming import ordered
+
+    rows = moves()
+    got, kept = streamed(spark, tmp_path, rows, EVENTS, lambda s: ordered.transitions(s, "1 minute"), "moves")
+    assert {r.seq: (r.key, r.kind, r.before, r.state, r.accepted) for r in got} == moves_by_hand(rows)
+    assert kept <= 1
+
+
+def test_arrivals(spark, tmp_path):
+    from granary.operators import states as S
+    from granary.streaming import ordered
+
+    rng = random.Random(6)
+    rows = []
+    for key in range(12):
+        if key % 5:
+            rows.append((key, T0 + datetime.timedelta(seconds=key * 300), len(rows), "start", "x"))
+        for _ in range(4):
+            rows.append((key, T0 + datetime.timedelta(seconds=key * 300 + rng.choice([-3, 0, 2, 8, 9, 40, 70, 71, 90])), len(rows), "result", "x"))
+    batch = {r.seq: (r.key, r.waited_ms, r.arrived) for r in S.arrivals(spark.createDataFrame(rows, EVENTS)).collect()}
+    starts = {r[0]: r[1] for r in rows if r[3] == "start"}
+    for key, at, seq, kind, _ in rows:
+        if kind == "result":
+            waited = (at - starts[key]).total_seconds() if key in starts else -1
+            assert batch[seq][2] == ("dropped" if waited < 0 or waited > 70 else "prompt" if waited <= 8 else "late")
+    got, kept = streamed(spark, tmp_path, rows, EVENTS, lambda s: ordered.arrivals(s, delay="2 minutes"), "arrived", parts=3)
+    assert {r.seq: (r.key, r.waited_ms, r.arrived) for r in got} == batch and kept <= 1
+    prompt, late = ordered.prompt_and_late(spark.table("arrived"))
+    assert prompt.count() + late.count() == sum(x[2] != "dropped" for x in batch.values())
+    told = {r.key: (r.n_prompt, r.n_late, r.prompt_enriched, r.reextract) for r in S.enriched(S.arrivals(spark.createDataFrame(rows, EVENTS))).collect()}
+    assert len(told) == 12 and all(p == (a > 0) and q == (b > 0) for a, b, p, q in told.values())
+
+
+def test_rate_limit_in_order(spark, tmp_path):
+    from granary.operators import events
+    from granary.streaming import ordered
+
+    rng = random.Random(7)
+    rows = [(rng.randint(1, 4), T0 + datetime.timedelta(seconds=rng.randint(0, 3000)), k, "r", "x") for k in range(150)]
+    batch = {r.event_id: r.allowed for r in events.rate_limited(spark.createDataFrame(rows, EVENTS).selectExpr("key", "at AS ts", "seq AS event_id"), 2, 120).collect()}
+    got, kept = streamed(spark, tmp_path, rows, EVENTS, lambda s: ordered.rate_limited(s, 2, 120, "1 minute"), "limited_in_order")
+    assert {r.seq: r.allowed for r in got} == batch and kept <= 1
