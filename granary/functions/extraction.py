@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
+from granary.functions.signal_rules import spark_pattern
 
 # What begins a list of competitors, proper nouns, title prefixes, number words.
 LIST_TRIGGER = r"\b(?:top\s+)?competitors?(?:\s+(?:of|to|include|including|are))?\b|\balternatives?(?:\s+(?:to|include|including|are))?\b|\brivals?(?:\s+(?:include|including|are))?\b|\bcompetes?\s+with\b"
@@ -16,6 +17,13 @@ NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight",
 PLANTS = r"\s+manufacturing\s+(?:facilit|plant|unit)"
 RESPONSIBILITIES = r"(?i)\b(?:key\s+)?respons\w*\s*:?"
 AFTER_TRIGGER, JOB_BLOCK, LEAST_BLOCK = 200, 400, 60
+# What begins a list of customer segments, words left over after it, names whose `and` is no separator, boilerplate.
+SEGMENT_TRIGGER = r"\b(?:industries|sectors|verticals)\s+(?:we\s+serve|served|include[sd]?|including|are|across|spanning)\b|\b(?:clients?|customers?)\s+(?:include[sd]?|including|across|are|range\s+from)\b|\bserving\s+(?:the\s+)?"
+LEFTOVER = r"^\s*(?:include[sd]?|including|are|range\s+from|across|spanning|of|[:\-])\s*"
+IDIOMS = ("oil and gas", "food and beverage", "textile and apparel", "iron and steel", "pulp and paper", "health and wellness", "travel and tourism", "media and entertainment", "sales and marketing", "research and development", "arts and crafts", "hotels and resorts")
+ADDRESS = r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
+BOILERPLATE = r"©|all rights reserved"
+ITEM_WORDS, ITEMS = 6, 8
 
 
 def listed_names(text: Column) -> Column:
@@ -46,3 +54,37 @@ def job_block(text: Column) -> Column:
     """The 400 characters after the first heading on responsibilities, on one line; null below 60."""
     block = X.squeeze(F.regexp_extract(text, rf"{RESPONSIBILITIES}(?s:(.{{0,{JOB_BLOCK}}}))", 1))
     return F.when(F.length(block) >= LEAST_BLOCK, block)
+
+
+def split_list(window: Column) -> Column:
+    """The parts of an inline list, between commas, semicolons, `&` and `and`; the `and` of an idiom parts nothing.
+
+    It is masked by a sign in its middle until the list is split.
+    """
+    masked = window
+    for idiom in IDIOMS:
+        first, last = idiom.split(" and ")
+        masked = F.regexp_replace(masked, spark_pattern(rf"\b({first}\s+a)(nd\s+{last})\b"), "$1\u0001$2")
+    parts = F.transform(F.split(masked, spark_pattern(r",|;|\band\b|&")), lambda s: X.strip(F.regexp_replace(s, r"(?i)^(?:the|a|an)\s+", "")))
+    return F.transform(parts, lambda s: F.replace(s, F.lit("\u0001")))
+
+
+def heading_list(text: Column) -> Column:
+    """The short sentences after a heading, up to the first one of many words or of boilerplate, ITEMS at most."""
+    items = F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: X.strip(s)), lambda s: s != "")
+    ends = F.array_position(F.transform(items, lambda s: s.rlike("(?i)" + BOILERPLATE) | (F.size(F.split(s, r"\s+")) > ITEM_WORDS)), True)
+    return F.slice(items, F.lit(1), F.when(ends > 0, F.least(ends.cast("int") - 1, F.lit(ITEMS))).otherwise(ITEMS))
+
+
+def segment_list(text: Column) -> Column:
+    """Customer segments named after the first trigger, of 3 to 50 characters; null texts name none.
+
+    Where a full stop follows the trigger at once it was a heading, and each item is a sentence of its own; else the list
+    stands inside the trigger's sentence. Mail addresses, whose dots end no sentence, go first.
+    """
+    raw = F.regexp_extract(F.coalesce(text, F.lit("")), spark_pattern(f"(?:{SEGMENT_TRIGGER})") + rf"([\s\S]{{0,{AFTER_TRIGGER}}})", 1)
+    after = F.regexp_replace(raw, spark_pattern(ADDRESS), " ")
+    lead = r"^\s*[.!?]+\s*"
+    inline = F.regexp_replace(F.regexp_extract(after, r"^[^.!?]*", 0), "(?i)" + LEFTOVER, "")
+    found = F.when(after.rlike(lead), heading_list(F.regexp_replace(after, lead, ""))).otherwise(split_list(inline))
+    return F.filter(found, lambda s: F.length(s).between(3, 50))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import blank_to_null
@@ -33,17 +33,26 @@ def resolve_headers(headers: list[str]) -> dict[str, str]:
 
 def project(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a company name (blank is null), and warnings on the others. rows has pos and the file's columns."""
-    found = resolve_headers([c for c in rows.columns if c != "pos"])
+    found = resolve_headers([c for c in rows.columns if c not in ("file", "pos")])
     fields = [(blank_to_null(F.col(f"`{found[f]}`")) if f in found else F.lit(None).cast("string")).alias(f) for f, _ in ALIASES]
-    named = rows.select("pos", *fields)
-    bad = named.where("company_name IS NULL").select("pos", F.concat(F.lit("Row "), (F.col("pos") + 2).cast("string"), F.lit(": no company name")).alias("warning"))
+    place = [c for c in ("file", "pos") if c in rows.columns]
+    named = rows.select(*place, *fields)
+    bad = named.where("company_name IS NULL").select(*place, F.concat(F.lit("Row "), (F.col("pos") + 2).cast("string"), F.lit(": no company name")).alias("warning"))
     return named.where("company_name IS NOT NULL"), bad
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """pos and the columns of a CSV file with a header; empty lines are skipped."""
-    rows = spark.read.csv(path, header=True, multiLine=True)
-    return rows.na.drop("all").withColumn("pos", F.monotonically_increasing_id())
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """file, pos (from 0, in each file) and the columns of the CSV files under a path, which share a header; empty lines are skipped.
+
+    A file may be read in many splits (unless cells may hold line ends): rows are numbered inside each, and moved by the
+    number of rows in the splits before it, which a first pass counts. That pass leaves one row a split.
+    """
+    rows = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+    numbered = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_n"))
+    splits = numbered.groupBy("file", "_split").agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    moved = splits.select("file", "_split", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_by"))
+    return numbered.join(moved, ["file", "_split"]).select("file", (F.col("_n") + F.col("_by")).alias("pos"), *[F.col(f"`{c}`") for c in rows.columns])
 
 
 def html_rows(html: Column) -> Column:
