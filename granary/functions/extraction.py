@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions import guards as G
 from granary.functions import text as X
 from granary.functions.signal_rules import spark_pattern
 
@@ -24,6 +25,10 @@ IDIOMS = ("oil and gas", "food and beverage", "textile and apparel", "iron and s
 ADDRESS = r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 BOILERPLATE = r"©|all rights reserved"
 ITEM_WORDS, ITEMS = 6, 8
+# What begins a company's own offerings, and words left over after it.
+OFFERING_TRIGGER = r"\bwe\s+are\s+a\s+(?:leading\s+)?(?:provider|manufacturer|developer|designer|supplier)\s+of\b|\bwe\s+(?:offer|provide|specialize\s+in|deliver|design|manufacture)\b|\bour\s+(?:core\s+)?(?:services?|solutions?|products?|offerings?)\s+include\b"
+OFFERING_LEFTOVER = r"^\s*(?:of|for|include[sd]?|including|are|is|:|-)\s*"
+OFFERING_CHARS, OFFERING_SIZES, OFFERINGS = 160, (4, 140), 8
 
 
 def listed_names(text: Column) -> Column:
@@ -88,3 +93,17 @@ def segment_list(text: Column) -> Column:
     inline = F.regexp_replace(F.regexp_extract(after, r"^[^.!?]*", 0), "(?i)" + LEFTOVER, "")
     found = F.when(after.rlike(lead), heading_list(F.regexp_replace(after, lead, ""))).otherwise(split_list(inline))
     return F.filter(found, lambda s: F.length(s).between(3, 50))
+
+
+def offerings(text: Column) -> Column:
+    """What a company says it sells: the rest of the sentence after each trigger, of 4 to 140 characters, fragments left out.
+
+    Of the first 16 the first of each kind stays, 8 at most. Windows may overlap: what follows a trigger is only looked at.
+    """
+    pattern = spark_pattern(f"(?:{OFFERING_TRIGGER})") + rf"(?=([\s\S]{{0,{OFFERING_CHARS}}}))"
+    windows = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), lambda a: X.strip(F.regexp_replace(F.regexp_extract(a, r"^[^.!?\n]*", 0), "(?i)" + OFFERING_LEFTOVER, "")))
+    raw = F.slice(F.filter(windows, lambda w: F.length(w).between(*OFFERING_SIZES) & ~G.is_fragment(w)), 1, 2 * OFFERINGS)
+    keyed = F.filter(F.transform(raw, lambda w: F.struct(X.strip(F.regexp_replace(F.regexp_replace(F.lower(w), r"[^A-Za-z0-9_\s-]", " "), r"\s+", " ")).alias("k"), w.alias("w"))), lambda x: x["k"] != "")
+    keys = F.transform(keyed, lambda x: x["k"])
+    once = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+    return F.slice(F.transform(once, lambda x: x["w"]), 1, OFFERINGS)

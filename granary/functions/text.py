@@ -75,10 +75,20 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: strip(s)), lambda s: s != "")
 
 
+def bare_sentences(text: Column) -> Column:
+    """What full stops, exclamation and question marks before white space or the end divide, without these marks."""
+    return F.filter(F.transform(F.split(text, r"[.!?]+(?:\s+|\z)"), lambda s: strip(s)), lambda s: s != "")
+
+
 def statement_key(text: Column) -> Column:
     return F.substring(squeeze(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", "")), 1, 60)
 
 
+def statement_words(text: Column) -> Column:
+    """A market statement in lower case; what is no word character, percent or dollar sign becomes a space."""
+    return squeeze(F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s%$]", " "))
+
+
 def stat_tokens(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"([+-]?[0-9]+(?:[.][0-9]+)?(?:%|x| ?days?| ?hours?| ?cr))"), F.lit(1))
     return F.transform(found, lambda t: F.regexp_replace(F.lower(t), r"^[+-]", ""))

@@ -77,19 +77,63 @@ def is_grounded(tier: Column, least: str = "close") -> Column:
     return {"exact": tier == "exact", "close": tier.isin("exact", "close")}.get(least, F.lit(True))
 
 
+#: Words of a quote below which a text's words around it may reach beyond every run of four.
+FEW_WORDS, RUN, CHARS = 6, 4, 12
+
+
 def quote_tiers(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, doc_id, tier (exact or close) of every quote of 30 characters or more and every text that holds it.
 
-    Either verdict needs four words of the quote in a row in the text, so pairs come from an equi-join of the hashes of
-    all runs of four words. The quotes' hashes are few and meet the texts' first; texts that hold none go no further.
+    A close verdict needs four words of the quote in a row in the text, and so does an exact one of FEW_WORDS words or
+    more, whose first and last word may stand inside longer ones. So pairs come from an equi-join of the hashes of all
+    runs of four words; shorter quotes go by `short_quote_pairs`. The quotes' hashes meet the texts' first; texts that
+    hold none go no further.
     """
     def grams(rows: DataFrame, key: str, text: str) -> DataFrame:
         words = rows.select(key, F.split(X.squeeze(F.lower(F.col(text))), " ").alias("w"))
-        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.xxhash64(*[F.coalesce(F.get("w", i + k), F.lit("")) for k in range(4)]))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - RUN, F.lit(0))), lambda i: F.xxhash64(*[F.coalesce(F.get("w", i + k), F.lit("")) for k in range(RUN)]))
         return words.select(key, F.explode(F.array_distinct(runs)).alias("g"))
 
     some = quotes.where(F.length(X.strip(F.col("quote"))) >= 30)
     own = grams(some, "item_id", "quote")
-    pairs = grams(docs, "doc_id", "text").join(own, "g").select("item_id", "doc_id").distinct()
+    pairs = grams(docs, "doc_id", "text").join(own, "g").select("item_id", "doc_id").unionByName(short_quote_pairs(some, docs)).distinct()
     judged = pairs.join(some, "item_id").join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", verify_quote(F.col("quote"), F.col("text")).alias("tier"))
     return judged.where("tier <> 'none'")
+
+
+def short_quote_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id of quotes of fewer than FEW_WORDS words and texts that may hold them.
+
+    All words but the first and the last stand whole in a text that holds the quote, so these are the key; quotes of one
+    or two words, which have none, go by their first CHARS characters. Each kind costs a pass only if there are such quotes.
+    """
+    lowered = quotes.select("item_id", X.squeeze(F.lower(F.col("quote"))).alias("q")).withColumn("w", F.split("q", " ")).where(F.size("w") < FEW_WORDS)
+    texts = docs.select("doc_id", X.squeeze(F.lower(F.col("text"))).alias("c"))
+    kinds = lowered.select(F.size("w").alias("n"), F.when(F.size("w") < 3, F.least(F.length("q"), F.lit(CHARS))).otherwise(0).alias("chars")).distinct().collect()
+    out = lowered.select("item_id", F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id")).limit(0)
+    for n in sorted({r.n for r in kinds if r.n >= 3}):
+        inner = lowered.where(F.size("w") == n).select("item_id", F.array_join(F.slice("w", F.lit(2), F.lit(n - 2)), " ").alias("k"))
+        words = F.split("c", " ")
+        runs = texts.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 3), F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n - 2)), " ")))).alias("k"))
+        found = runs.join(inner, "k").select("item_id", "doc_id")
+        out = out.unionByName(found)
+    for chars in sorted({r.chars for r in kinds if r.n < 3}):
+        head = lowered.where((F.size("w") < 3) & (F.least(F.length("q"), F.lit(CHARS)) == chars)).select("item_id", F.substring("q", 1, chars).alias("k"))
+        windows = texts.where(F.length("c") >= chars).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("c") - (chars - 1)), lambda i: F.substr("c", i, F.lit(chars))))).alias("k"))
+        found = windows.join(head, "k").select("item_id", "doc_id")
+        out = out.unionByName(found)
+    return out
+
+
+def market_groups(results: DataFrame, key: str) -> DataFrame:
+    """key, statement_key, statement, category, mention_count, n_sources, strong of the market statements in search results.
+
+    results has key, place, url, title and content. Sentences of the title come before those of the content. One
+    statement is what begins alike (60 characters of its key); it is told as it stands first, and shortened to 240.
+    """
+    both = F.concat(F.transform(X.bare_sentences(F.coalesce("title", F.lit(""))), lambda s: F.struct(F.lit(0).alias("part"), s.alias("s"))), F.transform(X.bare_sentences(F.coalesce("content", F.lit(""))), lambda s: F.struct(F.lit(1).alias("part"), s.alias("s"))))
+    rows = results.select(key, "place", "url", F.posexplode(both).alias("nth", "x")).select(key, "place", "url", "nth", "x.s")
+    kept = rows.select("*", market_statement(F.col("s")).alias("category"), F.substring(X.statement_words(F.col("s")), 1, 60).alias("statement_key")).where(F.col("category").isNotNull() & X.statement_rejection_full(F.col("s")).isNull() & (F.col("statement_key") != ""))
+    first = F.min(F.struct("place", "nth", "s", "category")).alias("f")
+    shown = F.when(F.length("f.s") > 240, F.concat(F.substring("f.s", 1, 237), F.lit("..."))).otherwise(F.col("f.s"))
+    return kept.groupBy(key, "statement_key").agg(first, F.count("*").alias("mention_count"), F.count_distinct("url").alias("n_sources"), F.bool_or(X.has_strong_indicator(F.col("s"))).alias("strong")).select(key, "statement_key", shown.alias("statement"), "f.category", "mention_count", "n_sources", "strong")

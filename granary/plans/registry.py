@@ -130,24 +130,12 @@ def _(spark, d):
     return events.keep_first(t(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("k")), ["source", "k"], ["doc_id"]).select("doc_id", "source")
 
 
-@query("EXT_17_market_statements", None)
-def _(spark, d):
-    s = t(spark, d, "documents").select("doc_id", F.explode_outer(X.sentences(F.col("text"))).alias("s"))
-    ok = s.where(F.length("s").between(30, 280) & (F.size(F.split("s", r"\s+")) >= 5))
-    return ok.groupBy("doc_id", content.market_category(F.col("s")).alias("category")).agg(F.count("*").alias("n"))
-
-
 @query("GRD_1_quote_verification", """
 WITH b AS (SELECT item_id, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q, substr(text, 1, 24) AS k FROM benchmark WHERE length(trim(text)) >= 30)
 SELECT DISTINCT item_id, doc_id FROM b JOIN documents d ON contains(d.text, b.k) AND contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), q)""")
 def _(spark, d):
-    # a quote can only be verbatim where its words stand: pairs come from an equi-join on its first four words
-    words = lambda c: F.split(X.squeeze(F.lower(c)), " ")
-    quotes = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words(F.col("text")), 2, 4), " ").alias("k"))
-    docs = t(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w"))
-    grams = docs.select("doc_id", F.posexplode_outer("w").alias("i", "_"), "w").select("doc_id", F.array_join(F.slice("w", F.col("i") + 1, F.lit(4)), " ").alias("k"))
-    pairs = grams.join(quotes.select("k").distinct(), "k", "left_semi").distinct().join(quotes, "k").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return pairs.where(content.verify_quote(F.col("quote"), F.col("text")) == "exact").select("item_id", "doc_id").distinct()
+    quotes = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return content.quote_tiers(quotes, t(spark, d, "documents").select("doc_id", "text")).where("tier = 'exact'").select("item_id", "doc_id").distinct()
 
 
 @query("EXT_18_last_user_turn", "SELECT conv_id, max(turn) AS turn, arg_max(length(text), turn) AS size FROM conversations WHERE role = 'user' GROUP BY 1")

@@ -81,3 +81,28 @@ def test_rows_of_many_splits(spark, tmp_path):
 def test_cells_of_several_lines(spark, tmp_path):
     (tmp_path / "x.csv").write_text('name,company\n"a ""quoted""\nline",b\n,\nz,c\n')
     assert [(r.pos, r.name, r.company) for r in leads.read_any(spark, str(tmp_path / "x.csv")).orderBy("pos").collect()] == [(0, 'a "quoted"\nline', "b"), (1, None, None), (2, "z", "c")]
+
+
+def test_quotes_of_few_words(spark):
+    """Quotes are found wherever a text holds them, though their first and last words stand inside longer ones."""
+    from granary.operators import content
+
+    quotes = [(1, "internationalisation considerations notwithstanding everywhere"), (2, "internationalisation considerations"), (3, "donaudampfschifffahrtsgesellschaft"), (4, "counterrevolutionaries and others too often"), (5, "too short"), (6, "a quote of six words or more, which stands in a text"), (7, "x" + " " * 40 + "y")]
+    texts = ["internationalisation considerations notwithstanding everywhere", "so internationalisation  Considerations notwithstanding everywhere.", "(internationalisation considerations)", "die Donaudampfschifffahrtsgesellschaften", "of counterrevolutionaries and others\ntoo oftentimes", "xa quote of six words or more, which stands in a texts", "nothing", "", "max yes"]
+    docs = [*enumerate(texts), (99, None)]
+    squeeze = lambda s: " ".join(s.lower().split())
+    want = sorted((i, d) for i, quote in quotes for d, t in docs if len(quote.strip()) >= 30 and squeeze(quote) in squeeze(t or ""))
+    got = content.quote_tiers(spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.item_id, r.doc_id) for r in got.where("tier = 'exact'").collect()) == want and len(want) == 9
+
+
+def test_offerings_and_statements(spark):
+    from granary.functions import text as X
+
+    told = lambda t: spark.createDataFrame([(t,)], "t string").select(E.offerings(F.col("t"))).first()[0]
+    assert told(None) == [] and told("We offer pumps. We provide Pumps! we deliver of valves, bolts\nmore") == ["pumps", "valves, bolts"]
+    # a trigger inside another's window is found too, and the outer one is a fragment
+    assert told("We provide gears. Our products include belts and we design lines") == ["gears", "belts and we design lines", "lines"]
+    assert len(told(" ".join(f"We offer item {k}." for k in range(40)))) == 8
+    parts = spark.createDataFrame([("One two. Three! Four",)], "t string").select(X.bare_sentences(F.col("t"))).first()[0]
+    assert parts == ["One two", "Three", "Four"]
