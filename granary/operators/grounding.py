@@ -111,12 +111,15 @@ def subject_floor(evidence: DataFrame, key: str) -> DataFrame:
 def audit(claims: DataFrame, names: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flags (company, kind, ref, flag), and per company how many items were audited and flagged.
 
-    claims has company, kind, ref, evidence_id, confidence; names has company, kind, ref, confidence, n_urls, is_self;
-    evidence has evidence_id and subject.
+    claims has company, kind, ref, evidence_id, confidence, and relevance if opportunities are to be judged by it too;
+    names has company, kind, ref, confidence, n_urls, is_self; evidence has evidence_id and subject.
     """
     linked = claims.where("evidence_id IS NOT NULL")
     high = F.col("confidence") == "high"
-    subject = linked.join(evidence.select("evidence_id", "subject"), "evidence_id", "left").where(high & (F.col("subject") == "product_capability")).select("company", "kind", "ref", F.lit("evidence_subject_mismatch").alias("flag"))
+    claimed = F.col("confidence").isin("high", "High")
+    if "relevance" in claims.columns:
+        claimed = F.coalesce(claimed, F.lit(False)) | ((F.col("kind") == "opportunity") & (F.col("relevance") == "High"))
+    subject = linked.join(evidence.select("evidence_id", "subject"), "evidence_id", "left").where(claimed & (F.col("subject") == "product_capability")).select("company", "kind", "ref", F.lit("evidence_subject_mismatch").alias("flag"))
     single = names.where(high & (F.coalesce("n_urls", F.lit(0)) < HIGH_SOURCES)).select("company", "kind", "ref", F.lit("single_mention_high_confidence").alias("flag"))
     self_ = names.where("is_self").select("company", "kind", "ref", F.lit("self_name_collision").alias("flag"))
     flags = subject.unionByName(single).unionByName(self_)

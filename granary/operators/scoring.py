@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.signal_rules import spark_pattern
+
 # Points of the factors, caps by confidence.
 FIT = (("digital_transformation", 20), ("growth_signal", 15), ("capacity_expansion", 15), ("technology_investment", 15), ("industry_40_initiative", 10), ("multi_location_operations", 10), ("hiring_signal", 10), ("recent_news_or_event", 5))
 AUTOMATION = (("ai_mention", 25), ("digital_transformation", 20), ("automation_keywords", 20), ("industry_40_initiative", 15), ("technology_investment", 15), ("hiring_signal", 5))
@@ -91,6 +93,21 @@ def why_now_scores(signals: DataFrame, key: str) -> DataFrame:
     return own.groupBy(key).agg(F.least(F.lit(10), rounded(F.sum(looked_up(F.col("type"), SIGNAL_URGENCY)) / 8)).cast("long").alias("score"))
 
 
+# The least score that a narrative guarantees, and what it says, the highest first.
+NARRATIVE_FLOORS = (
+    (6, r"\b(?:capacity\s+expan|new\s+(?:plant|facilit)|greenfield|acqui(?:red|sition))\b"),
+    (5, r"\b(?:expan(?:sion|ding)\s+into|ai[\s-]powered\s+digitali)\b"),
+    (4, r"\b(?:industry\s*4\.0|digital\s+transformation\s+(?:initiative|journey|program|roadmap)|investing\s+in\s+(?:digital|ai|automation))\b"),
+)
+
+
+def effective_why_now(score: Column, summary: Column, why_now: Column) -> Column:
+    """The score by signals, or the floor of what a summary and its reasons tell, if that is higher."""
+    said = F.lower(F.concat(F.coalesce(summary, F.lit("")), F.lit(" "), F.coalesce(why_now, F.lit(""))))
+    floor = F.coalesce(*[F.when(said.rlike(spark_pattern(p)), n) for n, p in NARRATIVE_FLOORS], F.lit(0))
+    return F.greatest(score, floor)
+
+
 def urgency(triggers: DataFrame, key: str) -> DataFrame:
     """key, n_triggers, urgency_score, urgency: a type counts once, with 10 more for first-tier evidence; the four best count."""
     weight = looked_up(F.col("type"), TRIGGER_URGENCY)
