@@ -73,9 +73,13 @@ def match_tickers(names: DataFrame, tickers: DataFrame) -> DataFrame:
     split = lambda key: F.filter(F.split(key, " "), lambda w: (w != "") & ~w.isin(*NAME_STOPWORDS))
     exact = keyed.join(listed.groupBy("key").agg(F.min_by("ticker", "pos").alias("ticker")), "key").select("id", "ticker")
     open_ = keyed.join(exact, "id", "left_anti").withColumn("words", F.array_distinct(split(F.col("key")))).withColumn("n", F.size(split(F.col("key")))).where("n > 1")
-    # words are counted per pair, so no pair is looked at that shares none
-    pairs = open_.select("id", "n", F.size("words").alias("needed"), F.explode("words").alias("word")).join(listed.select("pos", "ticker", F.size(split(F.col("key"))).alias("m"), F.explode(F.array_distinct(split(F.col("key")))).alias("word")), "word")
-    whole = pairs.groupBy("id", "pos").agg(F.count("*").alias("k"), F.first("needed").alias("needed"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("ticker").alias("ticker")).where(f"k = needed AND m <= n + {EXTRA_WORDS}")
+    # an entry that holds all words holds the one that fewest entries have: names meet entries by that word alone
+    entries = listed.select("pos", "ticker", F.array_distinct(split(F.col("key"))).alias("held"), F.size(split(F.col("key"))).alias("m"))
+    index = entries.select("pos", "ticker", "held", "m", F.explode("held").alias("word"))
+    frequency = index.groupBy("word").agg(F.count("*").alias("f"))
+    rarest = open_.select("id", F.explode("words").alias("word")).join(frequency, "word").groupBy("id").agg(F.min_by("word", F.struct("f", "word")).alias("word"))
+    tried = open_.join(rarest, "id").join(index, "word")
+    whole = tried.where((F.size(F.array_except("words", "held")) == 0) & (F.col("m") <= F.col("n") + EXTRA_WORDS)).select("id", "ticker")
     only = whole.groupBy("id").agg(F.count("*").alias("c"), F.min("ticker").alias("ticker")).where("c = 1").select("id", "ticker")
     return names.select("id").join(exact.unionByName(only), "id", "left")
 

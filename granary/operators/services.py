@@ -62,11 +62,14 @@ def best_proofs(companies: DataFrame, proofs: DataFrame, key: str, most: int = 2
     companies has key and tags; proofs has proof, tags, provenance (smaller is better) and place. Without a shared tag
     there is no row.
     """
-    left = companies.select(key, F.explode(F.array_distinct("tags")).alias("tag"))
+    # companies with the same tags have the same proofs, so each set of tags is scored once
+    own = companies.select(key, F.array_sort(F.array_distinct("tags")).alias("tags"))
+    left = own.select("tags").distinct().select("tags", F.explode("tags").alias("tag"))
     right = proofs.select("proof", "provenance", "place", F.explode(F.array_distinct("tags")).alias("tag"))
-    scored = left.join(right, "tag").groupBy(key, "proof", "provenance", "place").agg(F.count("*").alias("score"))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "provenance", "place")
-    return scored.select(key, "proof", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
+    scored = left.join(right, "tag").groupBy("tags", "proof", "provenance", "place").agg(F.count("*").alias("score"))
+    w = Window.partitionBy("tags").orderBy(F.desc("score"), "provenance", "place")
+    best = scored.select("tags", "proof", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
+    return own.join(best, "tags").select(key, "proof", "score", "rank")
 
 
 def meaningful(factors: Column, model: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.plans import changes, companies, grounded, lists, more, responses, segments, signals, synthesis  # noqa: F401
+from granary.plans import changes, columns, companies, grounded, lists, more, responses, segments, signals, synthesis  # noqa: F401
 from granary.plans.registry import REGISTRY
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from granary.operators import brief as B
 from granary.operators import proposals as P
 from granary.operators import signals as S
 from granary.operators import synthesis as Y
@@ -11,6 +13,7 @@ from granary.plans.more import _WORDS as QUOTE_WORDS
 from granary.plans.more import chosen, listed, picked, q
 from granary.plans.registry import query, t
 from granary.plans.signals import _EVIDENCE, _FLAG, _MAP, _SIGNALS, _segments, _signals
+from granary.session import scratch_path
 
 # --- Clusters of factors ---------------------------------------------------------------------------------------------------
 _CLUSTER_RULES = ", ".join(f"({i}, '{name}', {tier}, {len(need) + len(more)}, {place}, '{factor}', {str(place < len(need)).lower()})" for i, (name, tier, need, more, _) in enumerate(Y.CLUSTERS) for place, factor in enumerate(need + more))
@@ -50,12 +53,15 @@ def _(spark, d):
 _THEME_RULES = ", ".join(f"({i}, '{name}', {place}, '{signal}')" for i, (name, signals) in enumerate(Y.THEMES) for place, signal in enumerate(signals))
 
 
-@query("AGG_18_theme_table", _CONFIRMED + f""", th(rule, theme, place, signal) AS (VALUES {_THEME_RULES}),
+_THEMES = f""", th(rule, theme, place, signal) AS (VALUES {_THEME_RULES}),
 rk AS (SELECT * FROM vl JOIN th USING (signal)),
 tm AS (SELECT company, rule, theme, count(*) AS k, max(score) AS top, string_agg(signal, '|' ORDER BY score DESC, place) AS signals FROM rk GROUP BY ALL HAVING count(*) >= {Y.LEAST_SIGNALS}),
 qt AS (SELECT company, rule, quote, min((-score, place, nth)) AS o FROM nq JOIN rk USING (company, signal) JOIN tm USING (company, rule) WHERE nth <= {Y.SOURCES_SHOWN} GROUP BY ALL),
 qs AS (SELECT company, rule, string_agg(quote, '¦' ORDER BY o) AS quotes FROM (SELECT * FROM qt QUALIFY row_number() OVER (PARTITION BY company, rule ORDER BY o) <= {Y.QUOTES}) GROUP BY ALL),
-ts AS (SELECT *, least(100, least(40, 10 * k) + floor(top * 0.4 + 0.5) + CASE WHEN top >= 80 THEN 20 WHEN top >= 60 THEN 10 ELSE 0 END)::BIGINT AS points FROM tm JOIN qs USING (company, rule))
+ts AS (SELECT *, least(100, least(40, 10 * k) + floor(top * 0.4 + 0.5) + CASE WHEN top >= 80 THEN 20 WHEN top >= 60 THEN 10 ELSE 0 END)::BIGINT AS points FROM tm JOIN qs USING (company, rule))"""
+
+
+@query("AGG_18_theme_table", _CONFIRMED + _THEMES + f"""
 SELECT company, theme, signals, {_LEVEL("top")} AS confidence, CASE WHEN points >= 70 THEN 'critical' WHEN points >= 45 THEN 'important' ELSE 'secondary' END AS priority, points AS score, row_number() OVER (PARTITION BY company ORDER BY points DESC, rule) AS place, quotes FROM ts""")
 def _(spark, d):
     found = Y.themes(spark, _quotes(spark, d), "company")
@@ -123,3 +129,57 @@ def _(spark, d):
     evidence = docs.where(doc % 5 == 0).select(company, one(doc * 3, _CATEGORIES).alias("category"), F.concat(one(part(3), _SAID), F.lit(" "), "text").alias("quote"), one(doc, _ABOUT).alias("subject"))
     given = docs.where(doc % 9 == 0).select(company, F.lit("growth_signal").alias("factor"))
     return P.derived_factors(signals, evidence, given, "company")
+
+
+# --- Briefs ------------------------------------------------------------------------------------------------------------------
+_PLACED = ", zp AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY CASE strength WHEN 'strong' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END, signal) AS place FROM z), nm AS (SELECT DISTINCT company, 'Company ' || company || ' & Co' AS name FROM s)"
+_SHORTENED = lambda c, most, kept: f"CASE WHEN length({c}) > {most} THEN left({c}, {kept}) || '…' ELSE {c} END"
+_PRIMARY_TYPES = ("manufacturer", "software_saas", "services_provider")
+
+
+def _placed(spark, d):
+    rank = F.when(F.col("strength") == "strong", 0).when(F.col("strength") == "moderate", 1).otherwise(2)
+    return _signals(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("company").orderBy(rank, "signal")))
+
+
+@query("GRD_11_summaries", _SIGNALS + _PLACED + f""", pf AS (SELECT company, {", ".join(f"bool_or({_FLAG[x]}) AS {x}" for x in _PRIMARY_TYPES)} FROM s GROUP BY company),
+ty AS (SELECT company, list_filter([{", ".join(f"CASE WHEN {x} THEN '{x}' END" for x in _PRIMARY_TYPES)}], lambda v: v IS NOT NULL) AS types FROM pf),
+sl AS (SELECT company, string_agg('  [' || strength || '] ' || signal || ' — "' || {_SHORTENED("best_quote", B.QUOTE, B.QUOTE)} || '"', chr(10) ORDER BY place) FILTER (place <= {B.SHOWN}) AS lines, count(*) AS n FROM zp GROUP BY company),
+fl AS (SELECT company, string_agg(factor, ', ' ORDER BY factor) AS factors FROM (SELECT DISTINCT company, factor FROM z JOIN (VALUES {_MAP}) f(signal, factor) USING (signal)) GROUP BY company),
+ol AS (SELECT company, '  s' || company % 3 || ' [fit:High | confidence:low]' AS offers FROM nm WHERE company % 4 > 0)
+SELECT company, concat_ws(chr(10), 'COMPANY PROFILE: ' || CASE WHEN len(types) > 0 THEN array_to_string(types, ', ') ELSE 'unknown' END || ' | primary: ' || coalesce(types[1], 'unknown'), chr(10) || 'SIGNALS (' || n || '):', lines, chr(10) || 'FACTORS: ' || factors, CASE WHEN offers IS NOT NULL THEN chr(10) || 'OPPORTUNITY CANDIDATES:' END, offers) AS summary FROM ty LEFT JOIN sl USING (company) LEFT JOIN fl USING (company) LEFT JOIN ol USING (company)""")
+def _(spark, d):
+    flags = _segments(spark, d).select("company", S.profile(F.col("text")).alias("p")).groupBy("company").agg(*[F.bool_or(f"p.{x}").alias(x) for x in _PRIMARY_TYPES])
+    types = F.array_compact(F.array(*[F.when(F.col(x), x) for x in _PRIMARY_TYPES]))
+    profiles = flags.select("company", types.alias("types")).withColumn("primary_type", F.coalesce(F.get("types", F.lit(0)), F.lit("unknown")))
+    signals = _placed(spark, d)
+    drafts = flags.where("company % 4 > 0").select("company", F.lit(1).alias("place"), F.concat(F.lit("s"), (F.col("company") % 3).cast("string")).alias("service"), F.lit("High").alias("fit"), F.lit("low").alias("confidence"))
+    return B.summaries(profiles, signals, S.factors(spark, signals, "company"), drafts, "company")
+
+
+_TOLD = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(theme, '(?i){p}') THEN name || ' shows active ' || theme || ' — our team delivers {offer}: {angle}.' END" for p, offer, angle in B.ENTRIES) + ", name || ' has confirmed ' || split_part(signals, '|', 1) || ' activity — our team can accelerate with targeted AI/automation solutions.')"
+_BULLETS = _SIGNALS + _CONFIRMED[len(_EVIDENCE) :] + _THEMES + _PLACED + f""",
+tb AS (SELECT company, string_agg(line, '¦' ORDER BY nth) AS lines FROM (SELECT company, {_TOLD} AS line, row_number() OVER (PARTITION BY company ORDER BY CASE {_LEVEL("top")} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, points DESC, rule) AS nth FROM ts JOIN nm USING (company)) WHERE nth <= {B.THEMES_SHOWN} GROUP BY company),
+qb AS (SELECT company, string_agg('Evidence: "' || {_SHORTENED("best_quote", B.BULLET_QUOTE, B.BULLET_QUOTE - 3)} || '"', '¦' ORDER BY place, signal) AS lines FROM (SELECT * FROM zp WHERE is_own QUALIFY row_number() OVER (PARTITION BY company ORDER BY place, signal) <= {B.QUOTES_SHOWN}) GROUP BY company),
+ob AS (SELECT company, name, concat_ws('¦', tb.lines, qb.lines) AS observed FROM nm LEFT JOIN tb USING (company) LEFT JOIN qb USING (company))"""
+
+
+def _observed(spark, d):
+    companies = _segments(spark, d).select("company", F.concat(F.lit("Company "), F.col("company").cast("string"), F.lit(" & Co")).alias("name")).distinct()
+    return companies, B.bullets(companies, Y.themes(spark, _quotes(spark, d), "company"), _placed(spark, d), "company")
+
+
+@query("GRD_12_brief_bullets", _BULLETS + " SELECT company, observed FROM ob")
+def _(spark, d):
+    return _observed(spark, d)[1].select("company", F.array_join("observed", "¦").alias("observed"))
+
+
+_ESCAPED = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
+
+@query("SNK_3_brief_pages", _BULLETS + f""" SELECT 'company-' || company || '-co.html' AS file, '<!doctype html><html><head><meta charset="utf-8"><title>' || {_ESCAPED("name")} || '</title></head><body><h1>' || {_ESCAPED("name")} || '</h1><h2>What we observed</h2><ul>' || CASE WHEN observed = '' THEN '' ELSE '<li>' || replace({_ESCAPED("observed")}, '¦', '</li><li>') || '</li>' END || '</ul><h2>What to offer</h2><p>AI &amp; operations</p></body></html>' AS html FROM ob""")
+def _(spark, d):
+    companies, observed = _observed(spark, d)
+    path = scratch_path(spark, "briefs")
+    B.write_pages(companies.join(observed, "company").select("name", B.page(F.col("name"), F.col("observed"), F.lit("AI & operations")).alias("html")), path)
+    return spark.read.schema("file string, html string").json(path)
