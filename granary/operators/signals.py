@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import signal_rules as R
 from granary.functions import url as U
+from granary.functions.literals import may_match
 
 AROUND, LONGEST, CAP = 90, 250, 3
 PLACES = "array<struct<rule:int,nth:int,pos:int,quote:string>>"
@@ -22,9 +23,12 @@ def _met(text: Column, pattern: str) -> Column:
     return text.rlike(R.spark_pattern(pattern))
 
 
-def rules_met(text: Column, patterns=R.PATTERNS) -> Column:
-    """Numbers of the patterns that may occur in the text, in order: all that do, and some that lack a word's edge."""
-    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p.replace(r"\b", "")), F.lit(i)) for i, (_, p, _) in enumerate(patterns)]))
+def rules_met(text: Column, lowered: Column, patterns=R.PATTERNS) -> Column:
+    """Numbers of the patterns that may occur in the text, in order: all that do, and some that lack a word's edge.
+
+    A pattern is tried where the text, lowered, holds a literal that it needs: most rules need no more than that test.
+    """
+    return F.array_compact(F.array(*[F.when(may_match(lowered, p) & text.rlike("(?i)" + p.replace(r"\b", "")), F.lit(i)) for i, (_, p, _) in enumerate(patterns)]))
 
 
 def places(text: Column, met: Column, patterns=R.PATTERNS) -> Column:
@@ -65,7 +69,8 @@ def evidence(segments: DataFrame, key: str, patterns=R.PATTERNS) -> DataFrame:
     known = {"page_type", "tier"} <= set(segments.columns)
     typed = segments if known else segments.withColumn("page_type", U.page_type(F.col("path"))).withColumn("tier", U.tier(F.col("page_type")))
     own = [key, "seg_no", "url", "page_type", "name", "is_vendor", F.col("tier").alias("_tier")]
-    met = typed.select(*own, "text", rules_met(F.col("text"), patterns).alias("met")).where(F.size("met") > 0)
+    lowered = typed.select(*own, "text", F.lower("text").alias("_low"))
+    met = lowered.select(*own[:-1], "_tier", "text", rules_met(F.col("text"), F.col("_low"), patterns).alias("met")).where(F.size("met") > 0)
     rows = met.select(*own[:-1], "_tier", F.explode(places(F.col("text"), F.col("met"), patterns)).alias("m")).select("*", "m.*").drop("m")
     signal = F.element_at(F.array(*[F.lit(s) for s, _, _ in patterns]), F.col("rule") + 1)
     tier = F.col("_tier")

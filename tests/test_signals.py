@@ -80,3 +80,26 @@ def test_site_identity(spark):
     rows = spark.createDataFrame([c[:4] for c in cases], "w array<string>, title string, description string, body string")
     got = rows.select(grounding.site_identity(F.col("w"), F.col("title"), F.col("description"), F.col("body")).alias("x")).collect()
     assert [r["x"] for r in got] == [c[4] for c in cases]
+
+
+def test_literals_of_patterns():
+    """Every match of a pattern holds one of its literals."""
+    from granary.functions import literals as L
+    from granary.functions import signal_rules as R
+
+    assert L.required(r"\b(?:new|brand\s+new)\s+(?:plant|campus)s?\b") == {"plant", "campus"} and L.required(r"a{2}b?|x") is None and L.required(r"(?:abc)?d*") is None
+    assert L.required(r"(?:ABC|de+fgh)+") is None or min(map(len, L.required(r"(?:ABC|de+fgh)+"))) >= L.LEAST
+    texts = list(plans_said()) + ["Our SMART   Factory runs an IIoT platform; the MES and a new campus", "capacity expansion of 25% in three years"]
+    tried = 0
+    for _, pattern, _ in R.PATTERNS:
+        for text in texts:
+            if regex.search(pattern, text, regex.I | regex.A):
+                tried += 1
+                assert L.required(pattern) is None or any(x in text.lower() for x in L.required(pattern)), (pattern, text)
+    assert tried > 30
+
+
+def plans_said():
+    from granary.plans import signals as plans
+
+    return plans._SAID
