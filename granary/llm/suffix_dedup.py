@@ -42,8 +42,10 @@ from granary.llm.textbytes import WindowHasher, anchors, mix
 
 LENGTH, LEAD = 100, 32
 BEFORE = LENGTH - LEAD
-#: Documents, and places of each at most, in the sample that splitters and frequent leads are taken from.
+#: Documents, and places of each at most, in the sample that splitters and frequent leads are taken from: at least so
+#: many, or one in SAMPLE_SHARE, as buckets grow in number with the documents; the leads of all come to SAMPLE_LEADS at most.
 SAMPLE_DOCS, SAMPLE_PLACES = 2000, 200
+SAMPLE_SHARE, SAMPLE_LEADS = 2000, 4_000_000
 #: A row of a bucket takes about 850 bytes of a task's memory, so that its longest run takes 170 MB.
 ROWS_PER_BUCKET, RUN_ROWS, SALTS = 40_000, 200_000, 32
 #: First occurrences of repeated windows that are shipped to the tasks, at 20 bytes each.
@@ -162,7 +164,9 @@ def settle_hot(places: DataFrame) -> DataFrame:
 def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ascending leads of a bounded sample of documents, and the hashes of those frequent in it, ascending."""
     count = docs.count()
-    share = min(1.0, 1.5 * SAMPLE_DOCS / max(1, count))
+    sampled = max(SAMPLE_DOCS, count // SAMPLE_SHARE)
+    places = max(1, min(SAMPLE_PLACES, SAMPLE_LEADS // sampled))
+    share = min(1.0, 1.5 * sampled / max(1, count))
     some = docs.where(F.xxhash64(KEY, F.lit(3)) <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else docs
 
     def run(batches):
@@ -174,17 +178,17 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 h = hasher.windows(data, LEAD)
                 at = anchors(h, BEFORE + 1)
                 # the places with the smallest hashes: the same leads are taken wherever they stand
-                at = at[np.argsort(h[at])[:SAMPLE_PLACES]]
+                at = at[np.argsort(h[at])[:places]]
                 at = at[np.unique(h[at], return_index=True)[1]]
                 leads += [data[p : p + LEAD].tobytes() for p in at]
                 hashes.append(h[at])
             if leads:
                 yield pa.RecordBatch.from_arrays([pa.array(leads, type=pa.binary()), pa.array(np.concatenate(hashes).view(np.int64))], names=["lead", "h"])
 
-    got = some.select("text").limit(SAMPLE_DOCS).mapInArrow(run, "lead binary, h long").toArrow()
+    got = some.select("text").limit(sampled).mapInArrow(run, "lead binary, h long").toArrow()
     leads = np.sort(np.array(got["lead"].to_pylist(), dtype=f"S{LEAD}")) if len(got) else np.zeros(0, dtype=f"S{LEAD}")
     hashes, n = np.unique(got["h"].to_numpy().view(np.uint64), return_counts=True)
-    return leads, hashes[n >= max(FREQUENT_DOCS, FREQUENT_SHARE * min(count, SAMPLE_DOCS))]
+    return leads, hashes[n >= max(FREQUENT_DOCS, FREQUENT_SHARE * min(count, sampled))]
 
 
 def splitters(leads: np.ndarray, n: int) -> np.ndarray:
