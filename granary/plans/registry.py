@@ -333,7 +333,11 @@ def _(spark, d):
     return m.withColumn("delta", F.col("n") - F.lag("n").over(Window.orderBy("month")))
 
 
-@query("AGG_29_leader_clusters", None)
+@query("AGG_29_leader_clusters", """
+WITH RECURSIVE k AS (SELECT *, CASE WHEN length(replace(k, ' ', '')) >= 5 THEN replace(k, ' ', '') END AS s, row_number() OVER (ORDER BY pos) AS i FROM (SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g')) || '.example' END AS domain, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS k FROM part)),
+g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS pos, NULL::BIGINT AS leader_pos, []::STRUCT(pos BIGINT, domain VARCHAR, k VARCHAR, s VARCHAR)[] AS led UNION ALL
+ SELECT i, pos, coalesce(l, pos), CASE WHEN l IS NULL THEN list_append(led, {'pos': pos, 'domain': domain, 'k': k, 's': s}) ELSE led END FROM (SELECT k.*, led, coalesce(list_filter(led, lambda x: x.domain = k.domain)[1].pos, list_filter(led, lambda x: x.k = k.k)[1].pos, list_filter(led, lambda x: x.s = k.s)[1].pos) AS l FROM g JOIN k ON k.i = g.i + 1))
+SELECT pos, leader_pos FROM g WHERE i > 0""")
 def _(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-")), F.lit(".example"))).alias("domain"), F.col("p_name").alias("name"))
     return entity.leader_clusters(p)
