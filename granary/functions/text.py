@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions.signal_rules import spark_pattern
+
 # Legal suffixes that names lose.
 LEGAL = "inc|llc|ltd|limited|corp|corporation|co|company|pvt|plc|gmbh"
 
@@ -272,5 +274,53 @@ def seniority(title: Column) -> Column:
     return out
 
 
+# Senders and subjects of messages that couldn't be delivered.
+BOUNCE_SENDERS = r"\b(mailer-daemon|postmaster)@"
+BOUNCE_SUBJECTS = r"\b(delivery status notification|undelivered mail returned to sender|mail delivery failed|failure notice)\b"
+
+
 def is_bounce(sender: Column, subject: Column) -> Column:
-    return F.lower(sender).rlike("mailer-daemon|postmaster") | F.lower(subject).rlike("undeliverable|delivery status notification|delivery failed|returned mail|failure notice")
+    """Whether a message says that another couldn't be delivered, by its sender or its subject."""
+    return F.coalesce(sender.rlike(spark_pattern(BOUNCE_SENDERS)), F.lit(False)) | F.coalesce(subject.rlike(spark_pattern(BOUNCE_SUBJECTS)), F.lit(False))
+
+
+def name_from_domain(domain: Column) -> Column:
+    """A company's name as its domain suggests it: no ending, `_` and `-` as spaces, words parted at capitals, a capital first."""
+    bare = F.regexp_replace(domain, r"\.(com|co\.in|in|net|org|io|biz|co|ltd)\z", "")
+    words = strip(F.regexp_replace(F.regexp_replace(bare, r"[_\-]", " "), r"([a-z])([A-Z])", "$1 $2"))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
+
+
+def json_from_answer(raw: Column) -> Column:
+    """The JSON in a model's answer: without a fence around it, from the first `{` to the last `}` where there are both; else all that is left."""
+    plain = strip(F.regexp_replace(F.regexp_replace(strip(raw), r"(?i)^```(?:json)?\s*", ""), r"\s*```\s*\z", ""))
+    return F.coalesce(json_object(plain), plain)
+
+
+def text_or(value: Column, fallback: str = "") -> Column:
+    """A value as a stripped text, or the fallback for null and blank ones."""
+    plain = strip(value.cast("string"))
+    return F.when(plain.isNull() | (plain == ""), F.lit(fallback)).otherwise(plain)
+
+
+def number_or(value: Column, fallback: float = 0.0) -> Column:
+    """The number that a text begins with, or the fallback where there is none or it is zero."""
+    head = F.regexp_extract(strip(value.cast("string")), r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0)
+    found = F.when(head != "", head.cast("double"))
+    return F.when(found.isNull() | (found == 0), F.lit(fallback)).otherwise(found)
+
+
+def mail_local(name: Column) -> Column:
+    """first.last of a name in letters, apostrophes and hyphens; the only word of shorter ones; null without any."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(strip(name)), r"[^a-z\s'-]", ""), r"\s+"), lambda w: w != "")
+    return F.when(F.size(words) > 1, F.concat_ws(".", F.element_at(words, 1), F.element_at(words, -1))).when(F.size(words) == 1, F.element_at(words, 1))
+
+
+def seeded_ratio(seed: Column) -> Column:
+    """A number from 0 to 1 that depends on the seed alone."""
+    return fnv1a(seed) / F.lit(float(0xFFFFFFFF))
+
+
+def seeded_pick(seed: Column, options: Column) -> Column:
+    """One of an array, by the seed."""
+    return F.get(options, (F.floor(seeded_ratio(seed) * F.size(options)) % F.size(options)).cast("int"))

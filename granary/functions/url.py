@@ -165,3 +165,6 @@ def discovery_method(mapped: Column, in_sitemap: Column, links: Column) -> Colum
 def needs_probe(high_value: Column, categories: Column) -> Column:
     """Whether paths are probed: fewer than four pages of value, or fewer than three categories."""
     return (high_value < 4) | (categories < 3)
+
+# Paths at which companies keep what their sitemaps leave out.
+CORPORATE_PATHS = ("/corporate", "/about", "/about-us", "/company", "/who-we-are", "/corporate/investors", "/corporate/investor-relations", "/investor-relations", "/investors", "/ir", "/annual-report", "/corporate/annual-report", "/corporate/financials", "/corporate/about-us", "/corporate/history", "/corporate/leadership", "/corporate/management", "/leadership", "/sustainability", "/corporate/sustainability", "/esg", "/csr", "/manufacturing", "/corporate/manufacturing", "/operations", "/facilities", "/technology", "/corporate/technology", "/innovation", "/digital", "/careers", "/corporate/careers", "/jobs", "/newsroom", "/corporate/newsroom", "/press-releases", "/media")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions import text as X
+
 # Days after which a follow-up is due, by the status reached.
 INTERVALS = (("sent", 3), ("followup_1", 4), ("followup_2", 7))
 
@@ -137,3 +139,14 @@ def deleted(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def snapshots(base: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
     """base with new rows appended and `pos`, the place of each in its key's order of time."""
     return base.unionByName(new).withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(at)))
+
+
+def last_reply(messages: DataFrame, key: str) -> DataFrame:
+    """key, message_id, sender, is_bounce: the last message of a thread that isn't from the connected address.
+
+    messages has key, place, message_id, sender, subject and connected (the own address, in any case). Messages without a
+    sender don't count; threads without a reply have no row.
+    """
+    other = messages.where(F.col("sender").isNotNull() & ~F.contains(F.lower("sender"), F.lower("connected")))
+    last = other.groupBy(key).agg(F.max_by(F.struct("message_id", "sender", "subject"), F.struct("place", "message_id")).alias("m"))
+    return last.select(key, "m.message_id", "m.sender", F.coalesce(X.is_bounce(F.col("m.sender"), F.col("m.subject")), F.lit(False)).alias("is_bounce"))

@@ -81,3 +81,13 @@ def apply_changes(spark: SparkSession, path: str, changes: DataFrame, values: li
 def history(spark: SparkSession, path: str) -> DataFrame:
     """The versions under a path."""
     return spark.read.parquet(f"{path}/history").drop("bucket")
+
+
+def cache_hits(requests: DataFrame, cache: DataFrame, hours: int) -> DataFrame:
+    """requests (id, url, now) with value and is_hit: what the cache (url, at, value) holds and isn't older than so many hours.
+
+    An entry of just that age still counts; of entries with one url the latest does; requests beyond are to be served live.
+    """
+    latest = cache.where("url IS NOT NULL AND at IS NOT NULL").groupBy("url").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    fresh = F.coalesce(F.unix_millis(F.col("now").cast("timestamp")) - F.unix_millis(F.col("at").cast("timestamp")) <= hours * 3_600_000, F.lit(False))
+    return requests.join(latest, "url", "left").select("id", "url", F.when(fresh, F.col("value")).alias("value"), fresh.alias("is_hit"))

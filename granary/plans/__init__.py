@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from granary.plans import changes, columns, companies, grounded, lists, more, responses, segments, signals, synthesis  # noqa: F401
 from granary.plans.registry import REGISTRY
+from granary.plans import details  # noqa: F401,E402  (reads queries of the others)
 
 
 def queries() -> dict:
