@@ -1,7 +1,7 @@
 """Business signals from page texts: the whole rule pack, what each quote is about, signals, factors and profile flags.
 
-Which rules a text meets at all is found by built-in expressions, in one pass beside the scan; only texts that meet one
-go to Python, which returns places and quotes. All that follows is grouping by company.
+Rules are tried where a text holds a literal that they need; the literals of all rules are looked for in one pass over
+batches of texts. All that follows is grouping by company.
 """
 
 from __future__ import annotations
@@ -13,38 +13,30 @@ from pyspark.sql import functions as F
 
 from granary.functions import signal_rules as R
 from granary.functions import url as U
-from granary.functions.literals import may_match
+from granary.functions.literals import finder, patterns_met
 
 AROUND, LONGEST, CAP = 90, 250, 3
+TO_INDUSTRY, TO_CONSUMERS = r"\b(?:b2b|enterprise\s+(?:client|customer|sale))\b", r"\b(?:b2c|consumer|end\s+user)\b"
+#: All patterns that tell what a quote is about.
+SUBJECT_PATTERNS = (*[p for _, p in R.OUTSIDE], R.ADDRESSED, R.OWN_PEOPLE, *[p for _, p, _ in R.FIRST_PERSON], *[p for _, _, p in R.FIRST_PERSON if p], R.MODERN, R.SOLD, R.TO_CUSTOMERS, R.THE_COMPANY, *R.SLOGANS, R.TREND)
 PLACES = "array<struct<rule:int,nth:int,pos:int,quote:string>>"
 
 
-def _met(text: Column, pattern: str) -> Column:
-    return text.rlike(R.spark_pattern(pattern))
-
-
-def rules_met(text: Column, lowered: Column, patterns=R.PATTERNS) -> Column:
-    """Numbers of the patterns that may occur in the text, in order: all that do, and some that lack a word's edge.
-
-    A pattern is tried where the text, lowered, holds a literal that it needs: most rules need no more than that test.
-    """
-    return F.array_compact(F.array(*[F.when(may_match(lowered, p) & text.rlike("(?i)" + p.replace(r"\b", "")), F.lit(i)) for i, (_, p, _) in enumerate(patterns)]))
-
-
-def places(text: Column, met: Column, patterns=R.PATTERNS) -> Column:
+def places(text: Column, patterns=R.PATTERNS) -> Column:
     """Per rule the first CAP matches that nothing around takes back: rule, nth (from 1), pos (from 0), quote on one line."""
 
     @F.pandas_udf(PLACES)
-    def find(texts: pd.Series, numbers: pd.Series) -> pd.Series:
-        compiled = [(regex.compile(p, regex.I | regex.A), regex.compile(anti, regex.I | regex.A) if anti else None) for _, p, anti in patterns]
+    def find(texts: pd.Series) -> pd.Series:
+        quick, compiled = finder(tuple(p for _, p, _ in patterns))
+        against = [regex.compile(anti, regex.I | regex.A) if anti else None for _, _, anti in patterns]
         blank = regex.compile(r"\s+", regex.A)
 
         def one(text, met):
             out = []
             for number in met:
-                pattern, anti = compiled[number]
+                anti = against[number]
                 nth = 0
-                for m in pattern.finditer(text):
+                for m in compiled[number].finditer(text):
                     quote = blank.sub(" ", text[max(0, m.start() - AROUND) : m.end() + AROUND]).strip(" ")[:LONGEST]
                     if anti is None or not anti.search(quote):
                         nth += 1
@@ -53,9 +45,10 @@ def places(text: Column, met: Column, patterns=R.PATTERNS) -> Column:
                             break
             return out
 
-        return pd.Series([one(t, n) for t, n in zip(texts, numbers)])
+        listed = texts.tolist()
+        return pd.Series([one(t, n) for t, n in zip(listed, quick.met(listed))])
 
-    return find(text, met)
+    return find(text)
 
 
 def evidence(segments: DataFrame, key: str, patterns=R.PATTERNS) -> DataFrame:
@@ -68,10 +61,8 @@ def evidence(segments: DataFrame, key: str, patterns=R.PATTERNS) -> DataFrame:
     """
     known = {"page_type", "tier"} <= set(segments.columns)
     typed = segments if known else segments.withColumn("page_type", U.page_type(F.col("path"))).withColumn("tier", U.tier(F.col("page_type")))
-    own = [key, "seg_no", "url", "page_type", "name", "is_vendor", F.col("tier").alias("_tier")]
-    lowered = typed.select(*own, "text", F.lower("text").alias("_low"))
-    met = lowered.select(*own[:-1], "_tier", "text", rules_met(F.col("text"), F.col("_low"), patterns).alias("met")).where(F.size("met") > 0)
-    rows = met.select(*own[:-1], "_tier", F.explode(places(F.col("text"), F.col("met"), patterns)).alias("m")).select("*", "m.*").drop("m")
+    found = typed.select(key, "seg_no", "url", "page_type", "name", "is_vendor", F.col("tier").alias("_tier"), places(F.col("text"), patterns).alias("m"))
+    rows = found.withColumn("m", F.explode("m")).select("*", "m.*").drop("m")
     signal = F.element_at(F.array(*[F.lit(s) for s, _, _ in patterns]), F.col("rule") + 1)
     tier = F.col("_tier")
     w = Window.partitionBy(key, "signal", "url").orderBy("seg_no", "rule", "pos")
@@ -94,15 +85,17 @@ def says(text: Column, name: Column) -> Column:
 
 def subject(quote: Column, page: Column, name: Column, is_vendor: Column) -> Column:
     """What a quote is about; rules in their order, the first that holds decides."""
-    rules = [(_met(quote, p), s) for s, p in R.OUTSIDE]
+    met = F.when(quote.isNotNull(), patterns_met(quote, SUBJECT_PATTERNS))
+    said = lambda p: F.array_contains(met, SUBJECT_PATTERNS.index(p))
+    rules = [(said(p), s) for s, p in R.OUTSIDE]
     rules += [(page == p, s) for p, s in R.OWN_PAGES]
-    rules.append((F.coalesce(is_vendor, F.lit(False)) & page.isin("about", "other") & ~(_met(quote, R.ADDRESSED) & ~_met(quote, R.OWN_PEOPLE)), "company_strategy"))
-    rules += [(_met(quote, p) & ~_met(quote, absent) if absent else _met(quote, p), s) for s, p, absent in R.FIRST_PERSON]
-    rules.append((page.isin("about", "other") & _met(quote, R.MODERN) & ~_met(quote, R.SOLD), "company_strategy"))
+    rules.append((F.coalesce(is_vendor, F.lit(False)) & page.isin("about", "other") & ~(said(R.ADDRESSED) & ~said(R.OWN_PEOPLE)), "company_strategy"))
+    rules += [(said(p) & ~said(absent) if absent else said(p), s) for s, p, absent in R.FIRST_PERSON]
+    rules.append((page.isin("about", "other") & said(R.MODERN) & ~said(R.SOLD), "company_strategy"))
     named = (F.length(F.trim(name)) >= 4) & (says(quote, F.trim(name)) | says(quote, short_name(name)))
-    rules.append((page.isin(*R.NAMED_PAGES) & ~_met(quote, R.TO_CUSTOMERS) & (F.coalesce(named, F.lit(False)) | _met(quote, R.THE_COMPANY)), "company_strategy"))
-    rules.append(((page == "homepage") | _met(quote, R.SLOGANS[0]) | _met(quote, R.SLOGANS[1]), "generic_marketing"))
-    rules.append((_met(quote, R.TREND), "industry_trend"))
+    rules.append((page.isin(*R.NAMED_PAGES) & ~said(R.TO_CUSTOMERS) & (F.coalesce(named, F.lit(False)) | said(R.THE_COMPANY)), "company_strategy"))
+    rules.append(((page == "homepage") | said(R.SLOGANS[0]) | said(R.SLOGANS[1]), "generic_marketing"))
+    rules.append((said(R.TREND), "industry_trend"))
     out = F.when(rules[0][0], F.lit(rules[0][1]))
     for holds, value in rules[1:]:
         out = out.when(holds, F.lit(value))
@@ -143,7 +136,9 @@ def factors(spark: SparkSession, signal_rows: DataFrame, key: str) -> DataFrame:
 
 def profile(text: Column) -> Column:
     """A company's flags, primary type and selling model from its whole text; a null text has none."""
-    has = lambda p: F.coalesce(_met(text, p), F.lit(False))
+    every = [p for _, patterns in R.PROFILE for p in patterns] + [R.CONSUMER_GOODS, R.INDUSTRIAL_CONTEXT, TO_INDUSTRY, TO_CONSUMERS, R.RESEARCH_CENTER, R.ROBOTICS, R.SOFTWARE_PLATFORM]
+    met = patterns_met(text, every)
+    has = lambda p: F.array_contains(met, every.index(p))
     flags = {}
     for name, patterns in R.PROFILE:
         flags[name] = has(patterns[0])
@@ -154,8 +149,8 @@ def profile(text: Column) -> Column:
     for name in R.PRIMARY:
         primary = primary.when(flags[name], name)
     selling = {
-        "sells_to_industry": flags["industrial_vendor"] | flags["services_provider"] | flags["software_saas"] | has(r"\b(?:b2b|enterprise\s+(?:client|customer|sale))\b"),
-        "sells_to_consumers": flags["retailer"] | has(r"\b(?:b2c|consumer|end\s+user)\b"),
+        "sells_to_industry": flags["industrial_vendor"] | flags["services_provider"] | flags["software_saas"] | has(TO_INDUSTRY),
+        "sells_to_consumers": flags["retailer"] | has(TO_CONSUMERS),
         "sells_physical_product": flags["manufacturer"] | flags["industrial_vendor"] | flags["retailer"],
     }
     more = {"has_rd_center": has(R.RESEARCH_CENTER), "has_robotics_or_automation": has(R.ROBOTICS), "has_software_platform": has(R.SOFTWARE_PLATFORM)}

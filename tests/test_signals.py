@@ -103,3 +103,17 @@ def plans_said():
     from granary.plans import signals as plans
 
     return plans._SAID
+
+
+def test_patterns_met_are_those_that_a_search_finds(spark):
+    from granary.functions import literals as L
+
+    patterns = [p for _, p, _ in R.PATTERNS] + [p for _, some in R.PROFILE for p in some] + list(services.NEEDED)
+    parts = ["new plant", "new  PLANT", "newplant", "multi-plant", "digitally digital twin", "the COO said", "mes", "Mes and SAP (MM)", "our operations platform works well", "Kelvin capacity expansion İndia", "", "data bank", "bank\n", "AI-powered ai", "\U0001f600 industry 4.0"]
+    texts = [a + " " + b for a in parts for b in parts] + [" ".join(parts * 9), "site plant new " * 60 + "capacity expansion", None]
+    assert not L.Finder(patterns).always or all(L.required(patterns[i]) is None for i in L.Finder(patterns).always)
+    # alternatives with the same beginning need whole words, not what is left of them
+    assert L.required(r"\b(?:coo|cto|chief\s+officer)\b") == {"coo", "cto", "officer"} and L.Finder(patterns[:131]).always == []
+    got = {r.i: r.met for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", L.patterns_met(F.col("t"), patterns).alias("met")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == [k for k, p in enumerate(patterns) if text and regex.search(p, text, regex.I | regex.A)], text
