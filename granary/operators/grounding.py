@@ -38,18 +38,20 @@ def ground_people(candidates: DataFrame, contacts: DataFrame) -> DataFrame:
     """id, status, listed_title: confirmed, conflict, not_found, or null where the company has no contacts.
 
     candidates has id, company, name, title; contacts has company, pos, name, title. The first contact whose name
-    matches decides. Matching names share a word, so pairs come from an equi-join on company and word.
+    matches decides. Matching names share a word, so pairs come from an equi-join on company and word, once for each name.
     """
-    words = lambda rows, *keep: rows.select(*keep, F.explode(F.array_distinct(name_words(F.col("name")))).alias("word"))
-    met = words(candidates, "id", "company").join(words(contacts, "company", "pos"), ["company", "word"]).select("id", "company", "pos").distinct()
-    both = met.join(candidates.select("id", F.col("name").alias("a"), F.col("title").alias("own")), "id").join(contacts.select("company", "pos", F.col("name").alias("b"), F.col("title").alias("listed")), ["company", "pos"])
+    # equal names of a company match the same contacts, and of contacts with one name the first alone can decide
+    names = candidates.select("company", F.col("name").alias("a")).distinct()
+    listed = contacts.groupBy("company", F.col("name").alias("b")).agg(F.min(F.struct("pos", F.col("title").alias("listed"))).alias("first"))
+    words = lambda rows, name: rows.select("*", F.explode(F.array_distinct(name_words(F.col(name)))).alias("word"))
+    both = words(names, "a").join(words(listed, "b"), ["company", "word"]).select("company", "a", "b", "first").distinct()
     same = (X.name_key(F.col("a")) == X.name_key(F.col("b"))) | (either_overlap(name_words(F.col("a")), name_words(F.col("b"))) >= NAME_OVERLAP)
-    first = both.where(same).groupBy("id").agg(F.min_by("listed", "pos").alias("listed_title"), F.min_by("own", "pos").alias("own"))
-    own = X.strip(F.col("own"))
-    fits = (own.rlike("^[A-Za-z]{2,5}$") & (acronym(F.col("listed_title")) == F.upper(own))) | (either_overlap(title_words(F.col("own")), title_words(F.col("listed_title"))) >= TITLE_OVERLAP)
+    first = both.where(same).groupBy("company", F.col("a").alias("name")).agg(F.min("first").alias("first")).select("company", "name", F.col("first.listed").alias("listed_title"))
+    own = X.strip(F.col("title"))
+    fits = (own.rlike("^[A-Za-z]{2,5}$") & (acronym(F.col("listed_title")) == F.upper(own))) | (either_overlap(title_words(F.col("title")), title_words(F.col("listed_title"))) >= TITLE_OVERLAP)
     known = contacts.select("company").distinct().withColumn("_known", F.lit(True))
     status = F.when(F.col("_known").isNull(), None).when(F.col("listed_title").isNull(), "not_found").when(fits, "confirmed").otherwise("conflict")
-    return candidates.select("id", "company").join(first, "id", "left").join(known, "company", "left").select("id", status.alias("status"), "listed_title")
+    return candidates.select("id", "company", "name", "title").join(first, ["company", "name"], "left").join(known, "company", "left").select("id", status.alias("status"), "listed_title")
 
 
 def best_titles(jobs: DataFrame, targets: list[str]) -> DataFrame:
@@ -87,7 +89,9 @@ def match_tickers(names: DataFrame, tickers: DataFrame) -> DataFrame:
 def first_shared_word(rows: DataFrame, titles: DataFrame) -> DataFrame:
     """id, pos: the first title that shares a word of more than four characters with a row's; rows have key, id, text, titles key, pos, text."""
     long = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 4))).alias("word"))
-    return long(rows, "key", "id").join(long(titles, "key", "pos"), ["key", "word"]).groupBy("id").agg(F.min("pos").alias("pos"))
+    # of the titles with a word the first alone can be the first that shares it
+    first = long(titles, "key", "pos").groupBy("key", "word").agg(F.min("pos").alias("pos"))
+    return long(rows, "key", "id").join(first, ["key", "word"]).groupBy("id").agg(F.min("pos").alias("pos"))
 
 
 def has_ungrounded_stat(draft: Column, outcomes: Column) -> Column:
