@@ -31,6 +31,11 @@ OFFERING_LEFTOVER = r"^\s*(?:of|for|include[sd]?|including|are|is|:|-)\s*"
 OFFERING_CHARS, OFFERING_SIZES, OFFERINGS = 160, (4, 140), 8
 
 
+def _begins(letters: str) -> str:
+    """A cheap test before a pattern whose alternatives all begin a word with one of these letters."""
+    return rf"(?i)(?=[{letters}])(?<!\w)"
+
+
 def listed_names(text: Column) -> Column:
     """Proper nouns of 3 to 60 characters between a list trigger and the end of its sentence."""
     after = F.regexp_extract(text, rf"(?i:{LIST_TRIGGER})(?s:(.{{0,{AFTER_TRIGGER}}}))", 1)
@@ -77,8 +82,12 @@ def split_list(window: Column) -> Column:
 def heading_list(text: Column) -> Column:
     """The short sentences after a heading, up to the first one of many words or of boilerplate, ITEMS at most."""
     items = F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: X.strip(s)), lambda s: s != "")
-    ends = F.array_position(F.transform(items, lambda s: s.rlike("(?i)" + BOILERPLATE) | (F.size(F.split(s, r"\s+")) > ITEM_WORDS)), True)
-    return F.slice(items, F.lit(1), F.when(ends > 0, F.least(ends.cast("int") - 1, F.lit(ITEMS))).otherwise(ITEMS))
+
+    def first(items):
+        ends = F.array_position(F.transform(items, lambda s: s.rlike("(?i)" + BOILERPLATE) | (F.size(F.split(s, r"\s+")) > ITEM_WORDS)), True)
+        return F.slice(items, F.lit(1), F.when(ends > 0, F.least(ends.cast("int") - 1, F.lit(ITEMS))).otherwise(ITEMS))
+
+    return X.let(items, first)
 
 
 def segment_list(text: Column) -> Column:
@@ -87,11 +96,11 @@ def segment_list(text: Column) -> Column:
     Where a full stop follows the trigger at once it was a heading, and each item is a sentence of its own; else the list
     stands inside the trigger's sentence. Mail addresses, whose dots end no sentence, go first.
     """
-    raw = F.regexp_extract(F.coalesce(text, F.lit("")), spark_pattern(f"(?:{SEGMENT_TRIGGER})") + rf"([\s\S]{{0,{AFTER_TRIGGER}}})", 1)
+    raw = F.regexp_extract(F.coalesce(text, F.lit("")), _begins("ivsc") + spark_pattern(f"(?:{SEGMENT_TRIGGER})") + rf"([\s\S]{{0,{AFTER_TRIGGER}}})", 1)
     after = F.regexp_replace(raw, spark_pattern(ADDRESS), " ")
     lead = r"^\s*[.!?]+\s*"
-    inline = F.regexp_replace(F.regexp_extract(after, r"^[^.!?]*", 0), "(?i)" + LEFTOVER, "")
-    found = F.when(after.rlike(lead), heading_list(F.regexp_replace(after, lead, ""))).otherwise(split_list(inline))
+    inline = lambda a: F.regexp_replace(F.regexp_extract(a, r"^[^.!?]*", 0), "(?i)" + LEFTOVER, "")
+    found = X.let(after, lambda a: F.when(a.rlike(lead), heading_list(F.regexp_replace(a, lead, ""))).otherwise(split_list(inline(a))))
     return F.filter(found, lambda s: F.length(s).between(3, 50))
 
 
@@ -100,10 +109,9 @@ def offerings(text: Column) -> Column:
 
     Of the first 16 the first of each kind stays, 8 at most. Windows may overlap: what follows a trigger is only looked at.
     """
-    pattern = spark_pattern(f"(?:{OFFERING_TRIGGER})") + rf"(?=([\s\S]{{0,{OFFERING_CHARS}}}))"
+    pattern = _begins("wo") + spark_pattern(f"(?:{OFFERING_TRIGGER})") + rf"(?=([\s\S]{{0,{OFFERING_CHARS}}}))"
     windows = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), lambda a: X.strip(F.regexp_replace(F.regexp_extract(a, r"^[^.!?\n]*", 0), "(?i)" + OFFERING_LEFTOVER, "")))
     raw = F.slice(F.filter(windows, lambda w: F.length(w).between(*OFFERING_SIZES) & ~G.is_fragment(w)), 1, 2 * OFFERINGS)
     keyed = F.filter(F.transform(raw, lambda w: F.struct(X.strip(F.regexp_replace(F.regexp_replace(F.lower(w), r"[^A-Za-z0-9_\s-]", " "), r"\s+", " ")).alias("k"), w.alias("w"))), lambda x: x["k"] != "")
-    keys = F.transform(keyed, lambda x: x["k"])
-    once = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+    once = X.let(keyed, lambda all_: X.let(F.transform(all_, lambda x: x["k"]), lambda keys: F.filter(all_, lambda x, i: F.array_position(keys, x["k"]) == i + 1)))
     return F.slice(F.transform(once, lambda x: x["w"]), 1, OFFERINGS)

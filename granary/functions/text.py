@@ -21,7 +21,12 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(value: Column, of) -> Column:
+    """of(value), where value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def name_key(name: Column) -> Column:
