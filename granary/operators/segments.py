@@ -54,26 +54,31 @@ def source_page(label: Column) -> Column:
 
 def parsed(content: Column) -> Column:
     """Segments as an array of structs: url, path, text, page_type, tier."""
-    page = rf"(?i){PAGE_MARK}{PAGE_HEAD}([\s\S]*?)(?={PAGE_MARK}|\z)"
-    source = rf"(?i){SOURCE_MARK}{SOURCE_HEAD}([\s\S]*?)(?={SOURCE_MARK}|\z)"
-    pages = F.arrays_zip(_all(content, page, 1).alias("head"), _all(content, page, 2).alias("text"))
-    sources = F.arrays_zip(*[_all(content, source, k).alias(n) for k, n in enumerate(("label", "tier", "url", "text"), 1)])
     bracket = r"\(([^)]+)\)"
 
+    def whole_marks(mark, head):
+        """Each mark with its head and what follows, up to the next mark, in one pass."""
+        return _all(content, rf"{mark}{head}[\s\S]*?(?={mark}|\z)", 0)
+
+    page, source = "(?i)" + PAGE_MARK, "(?i)" + SOURCE_MARK
+
     def of_page(x):
-        head = X.strip(x["head"])
+        head = X.strip(F.regexp_extract(x, f"^{page}{PAGE_HEAD}", 1))
         has = head.rlike(bracket)
         url = F.when(has, F.regexp_extract(head, bracket, 1)).otherwise(head)
         path = F.when(has, X.strip(F.regexp_extract(head, r"^([\s\S]*?)\([^)]+\)", 1))).otherwise(head)
-        kind = U.page_type(path)
-        return F.struct(url.alias("url"), path.alias("path"), X.strip(x["text"]).alias("text"), kind.alias("page_type"), U.tier(kind).alias("tier"))
+        return F.struct(url.alias("url"), path.alias("path"), X.strip(F.regexp_replace(x, f"^{page}{PAGE_HEAD}", "")).alias("text"), U.page_type(path).alias("page_type"))
 
     def of_source(x):
-        return F.struct(X.strip(x["url"]).alias("url"), F.lit(None).cast("string").alias("path"), X.strip(x["text"]).alias("text"), source_page(X.strip(x["label"])).alias("page_type"), F.right(x["tier"], F.lit(1)).cast("int").alias("tier"))
+        head = f"^{source}{SOURCE_HEAD}"
+        part = lambda k: F.regexp_extract(x, head, k)
+        return F.struct(X.strip(part(3)).alias("url"), F.lit(None).cast("string").alias("path"), X.strip(F.regexp_replace(x, head, "")).alias("text"), source_page(X.strip(part(1))).alias("page_type"), F.right(part(2), F.lit(1)).cast("int").alias("tier"))
 
-    found = F.filter(F.concat(F.transform(pages, of_page), F.transform(sources, of_source)), lambda s: s["text"] != "")
+    pages = F.transform(F.transform(whole_marks(page, PAGE_HEAD), of_page), lambda s: F.struct(s["url"].alias("url"), s["path"].alias("path"), s["text"].alias("text"), s["page_type"].alias("page_type"), U.tier(s["page_type"]).alias("tier")))
+    sources = F.transform(whole_marks(source, SOURCE_HEAD), of_source)
+    found = F.filter(F.concat(pages, sources), lambda s: s["text"] != "")
     whole = F.array(F.struct(F.lit("").alias("url"), F.lit(None).cast("string").alias("path"), content.alias("text"), F.lit("homepage").alias("page_type"), F.lit(3).alias("tier")))
-    return F.when(F.size(found) > 0, found).when(X.strip(content) != "", whole)
+    return X.let(found, lambda f: F.when(F.size(f) > 0, f).when(X.strip(content) != "", whole))
 
 
 def segments(blobs: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -86,31 +91,49 @@ def _first_claims(found: DataFrame, key: str, *fields: str) -> DataFrame:
     return found.groupBy(key, "name").agg(F.min(F.struct("seg_no", "nth", *fields)).alias("x")).select(key, "name", *[f"x.{f}" for f in fields])
 
 
+def _told(text: Column) -> Column:
+    """Names with a title below them and what stands within WITHIN characters after it."""
+    pattern = spark_pattern(HEADED).replace("(?i)", "", 1) + rf"(?=([\s\S]{{0,{WITHIN}}}))"
+    return F.arrays_zip(*[_all(text, pattern, k).alias(n) for k, n in enumerate(("name", "title", "after"), 1)])
+
+
+def _portfolio(after: Column) -> Column:
+    return X.strip(F.regexp_extract(after, spark_pattern(PORTFOLIO).replace("|$)", r"|\z)"), 1))
+
+
+def _beside(text: Column) -> Column:
+    """Names right beside or above a title."""
+    pattern = "(?m)" + spark_pattern(BESIDE).replace("(?i)", "", 1)
+    return F.arrays_zip(*[_all(text, pattern, k).alias(n) for k, n in enumerate(("name", "title"), 1)])
+
+
 def narrated_leaders(parts: DataFrame, key: str) -> DataFrame:
     """key, name, title, portfolio, url: a heading, a title below it and what its holder leads within WITHIN characters.
 
     A name counts once for each key: where it first stands with a portfolio.
     """
-    pattern = spark_pattern(HEADED).replace("(?i)", "", 1) + rf"(?=([\s\S]{{0,{WITHIN}}}))"
-    each = F.arrays_zip(*[_all(F.col("text"), pattern, k).alias(n) for k, n in enumerate(("name", "title", "after"), 1)])
-    rows = parts.where(F.col("text").rlike(r"#\s*\p{Lu}")).select(key, "seg_no", "url", F.posexplode(each).alias("nth", "m"))
-    portfolio = F.regexp_extract("m.after", spark_pattern(PORTFOLIO).replace("|$)", r"|\z)"), 1)
-    found = rows.select(key, "seg_no", "nth", X.strip(F.col("m.name")).alias("name"), X.strip(F.col("m.title")).alias("title"), X.strip(portfolio).alias("portfolio"), "url").where("portfolio <> ''")
+    rows = parts.where(F.col("text").rlike(r"#\s*\p{Lu}")).select(key, "seg_no", "url", F.posexplode(_told(F.col("text"))).alias("nth", "m"))
+    found = rows.select(key, "seg_no", "nth", X.strip(F.col("m.name")).alias("name"), X.strip(F.col("m.title")).alias("title"), _portfolio(F.col("m.after")).alias("portfolio"), "url").where("portfolio <> ''")
     return _first_claims(found, key, "title", "portfolio", "url")
 
 
 def placed_leaders(parts: DataFrame, key: str, taken: DataFrame | None = None) -> DataFrame:
     """key, name, title, url: a person's name right beside or above a title; names in taken (key, name) are left out."""
-    pattern = "(?m)" + spark_pattern(BESIDE).replace("(?i)", "", 1)
-    each = F.arrays_zip(*[_all(F.col("text"), pattern, k).alias(n) for k, n in enumerate(("name", "title"), 1)])
-    rows = parts.select(key, "seg_no", "url", F.posexplode(each).alias("nth", "m"))
+    rows = parts.select(key, "seg_no", "url", F.posexplode(_beside(F.col("text"))).alias("nth", "m"))
     found = rows.select(key, "seg_no", "nth", X.strip(F.col("m.name")).alias("name"), X.strip(F.col("m.title")).alias("title"), "url").where(G.is_person_name(F.col("name")))
     free = found if taken is None else found.join(taken.select(key, "name"), [key, "name"], "left_anti")
     return _first_claims(free, key, "title", "url")
 
 
 def leaders(parts: DataFrame, key: str) -> DataFrame:
-    """key, name, title, portfolio, url, confidence: narrated leaders are sure, those by their place alone are medium."""
-    told = narrated_leaders(parts, key)
-    placed = placed_leaders(parts, key, told)
-    return told.select(key, "name", "title", "portfolio", "url", F.lit("high").alias("confidence")).unionByName(placed.select(key, "name", "title", F.lit("").alias("portfolio"), "url", F.lit("medium").alias("confidence")))
+    """key, name, title, portfolio, url, confidence: narrated leaders are sure, those by their place alone are medium.
+
+    Texts are read once: a name's first claim is the first narrated one, else the first by its place.
+    """
+    claim = lambda place: lambda m: F.struct(F.lit(place).alias("place"), m["name"].alias("name"), m["title"].alias("title"), (m["after"] if place == 0 else F.lit("")).alias("after"))
+    each = F.concat(F.transform(_told(F.col("text")), claim(0)), F.transform(_beside(F.col("text")), claim(1)))
+    rows = parts.select(key, "seg_no", "url", F.posexplode(each).alias("nth", "m"))
+    found = rows.select(key, "seg_no", "nth", "url", "m.place", X.strip(F.col("m.name")).alias("name"), X.strip(F.col("m.title")).alias("title"), F.when(F.col("m.place") == 0, _portfolio(F.col("m.after"))).otherwise("").alias("portfolio"))
+    kept = found.where(F.when(F.col("place") == 0, F.col("portfolio") != "").otherwise(G.is_person_name(F.col("name"))))
+    first = kept.groupBy(key, "name").agg(F.min(F.struct("place", "seg_no", "nth", "title", "portfolio", "url")).alias("x"))
+    return first.select(key, "name", "x.title", "x.portfolio", "x.url", F.when(F.col("x.place") == 0, "high").otherwise("medium").alias("confidence"))

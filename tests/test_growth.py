@@ -51,3 +51,25 @@ def test_parts_of_one_nation(spark, tmp_path):
     spark.createDataFrame([(10 * i, 3, "blue" if i > 9 else "red") for i in range(N)], "p_partkey int, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     rows, most = most_rows(registry.REGISTRY["SORT_9_best_two"][0](spark, str(tmp_path)))
     assert sorted(map(tuple, rows)) == sorted((i, p, r) for i in range(N) for p, r in zip((100, 110) if i % 2 else (0, 10), (1, 2))) and most < 4 * N
+
+
+def patterns_in_plan(df, words):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [plan.count(w) for w in words]
+
+
+def test_dear_patterns_are_read_once(spark):
+    """Each trigger stands in the plan once, so no text is searched again for each use of what was found."""
+    from pyspark.sql import functions as F
+
+    from granary.functions import extraction as E
+    from granary.operators import segments as P
+
+    texts = spark.createDataFrame([(1, "We offer A1. We offer a1! We provide B2 lines.\nIndustries we serve. Steel. Tin mills.")], "k int, text string")
+    sold, served = texts.select(E.offerings(F.col("text")).alias("x")), texts.select(E.segment_list(F.col("text")).alias("x"))
+    assert sold.first()["x"] == ["B2 lines"] and served.first()["x"] == ["Steel", "Tin mills"]
+    assert patterns_in_plan(sold, ["specialize"]) == [1] and patterns_in_plan(served, ["spanning)"]) == [1]
+    blobs = spark.createDataFrame([(1, "--- PAGE: / ---\n# Anna Lee\nCEO\nAnna Lee heads the Global Team now.\n\nJohn Smith | CFO\nAnna Lee, CEO")], "k int, content string")
+    found = P.leaders(P.segments(blobs, "k"), "k")
+    assert sorted((r["name"], r["title"], r["portfolio"], r["confidence"]) for r in found.collect()) == [("Anna Lee", "CEO", "Global Team now", "high"), ("John Smith", "CFO", "", "medium")]
+    assert patterns_in_plan(found, ["LogicalRDD"]) == [1]
