@@ -62,7 +62,8 @@ def evidence(segments: DataFrame, key: str, patterns=R.PATTERNS) -> DataFrame:
     known = {"page_type", "tier"} <= set(segments.columns)
     typed = segments if known else segments.withColumn("page_type", U.page_type(F.col("path"))).withColumn("tier", U.tier(F.col("page_type")))
     found = typed.select(key, "seg_no", "url", "page_type", "name", "is_vendor", F.col("tier").alias("_tier"), places(F.col("text"), patterns).alias("m"))
-    rows = found.withColumn("m", F.explode("m")).select("*", "m.*").drop("m")
+    # outer, as a plain explode would have the optimizer filter by the array's size, which finds all places once more
+    rows = found.withColumn("m", F.explode_outer("m")).where("m IS NOT NULL").select("*", "m.*").drop("m")
     signal = F.element_at(F.array(*[F.lit(s) for s, _, _ in patterns]), F.col("rule") + 1)
     tier = F.col("_tier")
     w = Window.partitionBy(key, "signal", "url").orderBy("seg_no", "rule", "pos")

@@ -73,3 +73,13 @@ def test_dear_patterns_are_read_once(spark):
     found = P.leaders(P.segments(blobs, "k"), "k")
     assert sorted((r["name"], r["title"], r["portfolio"], r["confidence"]) for r in found.collect()) == [("Anna Lee", "CEO", "Global Team now", "high"), ("John Smith", "CFO", "", "medium")]
     assert patterns_in_plan(found, ["LogicalRDD"]) == [1]
+
+
+def test_places_are_found_once(spark):
+    """No filter on what was found, which would find it once more."""
+    from granary.operators import signals
+
+    texts = spark.createDataFrame([("a", 0, "u", "/x", x, "A", False) for x in ("A new plant. Smart factory!", "nothing", "", None)], "company string, seg_no int, url string, path string, text string, name string, is_vendor boolean")
+    found = signals.evidence(texts, "company")
+    assert sorted((r["signal"], r["pos"]) for r in found.collect()) == [("industry40_initiative", 13), ("new_facility", 2)]
+    assert patterns_in_plan(found, ["EvalPython"]) == [1]
