@@ -121,10 +121,11 @@ def signals(rows: DataFrame, key: str) -> DataFrame:
     """
     w = Window.partitionBy(key)
     of = rows.select("*", F.max(F.col("subject").isin(*R.OWN_SUBJECTS)).over(w).alias("_any"))
-    own = of.where(F.col("subject").isin(*R.OWN_SUBJECTS)).withColumn("is_own", F.lit(True))
-    order = Window.partitionBy(key, "signal").orderBy("seg_no", "rule", "pos")
-    floor = of.where(~F.col("_any") & F.col("subject").isin(*R.FLOOR_SUBJECTS)).withColumn("_n", F.row_number().over(order)).where("_n <= 2").drop("_n").withColumn("is_own", F.lit(False))
-    grouped = own.unionByName(floor).groupBy(key, "signal", "is_own").agg(F.count("*").alias("n"), F.min("tier").alias("best"), F.min_by("quote", F.struct("tier", "seg_no", "rule", "pos")).alias("best_quote"))
+    own, order = F.col("is_own"), Window.partitionBy(key, "signal").orderBy("seg_no", "rule", "pos")
+    # a company has either own quotes or a floor, so that one pass takes both
+    told = of.withColumn("is_own", F.col("subject").isin(*R.OWN_SUBJECTS)).where(own | (~F.col("_any") & F.col("subject").isin(*R.FLOOR_SUBJECTS)))
+    kept = told.withColumn("_n", F.row_number().over(order)).where(own | (F.col("_n") <= 2))
+    grouped = kept.groupBy(key, "signal", "is_own").agg(F.count("*").alias("n"), F.min("tier").alias("best"), F.min_by("quote", F.struct("tier", "seg_no", "rule", "pos")).alias("best_quote"))
     strength = F.when(~F.col("is_own"), "weak").when(F.col("best") == 1, "strong").when(F.col("best") == 2, "moderate").otherwise("weak")
     return grouped.select(key, "signal", strength.alias("strength"), "n", (F.col("is_own") & ((F.col("n") >= 2) | (F.col("best") == 1))).alias("validated"), "is_own", F.col("best").alias("best_tier"), "best_quote")
 

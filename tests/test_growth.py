@@ -83,3 +83,14 @@ def test_places_are_found_once(spark):
     found = signals.evidence(texts, "company")
     assert sorted((r["signal"], r["pos"]) for r in found.collect()) == [("industry40_initiative", 13), ("new_facility", 2)]
     assert patterns_in_plan(found, ["EvalPython"]) == [1]
+
+
+def test_signals_read_their_quotes_once(spark):
+    """Own quotes and the floor come from one pass."""
+    from granary.operators import signals
+
+    rows = [("a", "x", 0, 0, i, f"q{i}", 3 - i % 2, s) for i, s in enumerate(["industry_trend"] * 3 + ["generic_marketing", None])]
+    rows += [("b", s, 0, 0, i, f"q{i}", 2, "company_strategy" if i % 2 else "industry_trend") for i, s in enumerate("xxxyy")] + [("c", "x", 0, 0, 0, "q", 1, "generic_marketing")]
+    got = signals.signals(spark.createDataFrame(rows, "company string, signal string, seg_no int, rule int, pos int, quote string, tier int, subject string"), "company")
+    assert sorted((r["company"], r["signal"], r["n"], r["is_own"], r["best_quote"]) for r in got.collect()) == [("a", "x", 2, False, "q1"), ("b", "x", 1, True, "q1"), ("b", "y", 1, True, "q3")]
+    assert patterns_in_plan(got, ["LogicalRDD"]) == [1]
