@@ -57,22 +57,24 @@ def parsed(content: Column) -> Column:
     bracket = r"\(([^)]+)\)"
 
     def whole_marks(mark, head):
-        """Each mark with its head and what follows, up to the next mark, in one pass."""
-        return _all(content, rf"{mark}{head}[\s\S]*?(?={mark}|\z)", 0)
+        """Each mark with its head, and the stripped text up to the next mark, with a head or not; one cut each, no walk over every place."""
+        heads = _all(content, mark + head, 0)
+        rest = F.filter(F.split(content, mark + head), lambda _, i: i > 0)
+        after = F.transform(rest, lambda x: X.strip(F.get(F.split(x, mark, 2), F.lit(0))))
+        return F.arrays_zip(heads.alias("head"), after.alias("text"))
 
     page, source = "(?i)" + PAGE_MARK, "(?i)" + SOURCE_MARK
 
     def of_page(x):
-        head = X.strip(F.regexp_extract(x, f"^{page}{PAGE_HEAD}", 1))
+        head = X.strip(F.regexp_extract(x["head"], f"^{page}{PAGE_HEAD}", 1))
         has = head.rlike(bracket)
         url = F.when(has, F.regexp_extract(head, bracket, 1)).otherwise(head)
         path = F.when(has, X.strip(F.regexp_extract(head, r"^([\s\S]*?)\([^)]+\)", 1))).otherwise(head)
-        return F.struct(url.alias("url"), path.alias("path"), X.strip(F.regexp_replace(x, f"^{page}{PAGE_HEAD}", "")).alias("text"), U.page_type(path).alias("page_type"))
+        return F.struct(url.alias("url"), path.alias("path"), x["text"].alias("text"), U.page_type(path).alias("page_type"))
 
     def of_source(x):
-        head = f"^{source}{SOURCE_HEAD}"
-        part = lambda k: F.regexp_extract(x, head, k)
-        return F.struct(X.strip(part(3)).alias("url"), F.lit(None).cast("string").alias("path"), X.strip(F.regexp_replace(x, head, "")).alias("text"), source_page(X.strip(part(1))).alias("page_type"), F.right(part(2), F.lit(1)).cast("int").alias("tier"))
+        part = lambda k: F.regexp_extract(x["head"], f"^{source}{SOURCE_HEAD}", k)
+        return F.struct(X.strip(part(3)).alias("url"), F.lit(None).cast("string").alias("path"), x["text"].alias("text"), source_page(X.strip(part(1))).alias("page_type"), F.right(part(2), F.lit(1)).cast("int").alias("tier"))
 
     pages = F.transform(F.transform(whole_marks(page, PAGE_HEAD), of_page), lambda s: F.struct(s["url"].alias("url"), s["path"].alias("path"), s["text"].alias("text"), s["page_type"].alias("page_type"), U.tier(s["page_type"]).alias("tier")))
     sources = F.transform(whole_marks(source, SOURCE_HEAD), of_source)

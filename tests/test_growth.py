@@ -94,3 +94,18 @@ def test_signals_read_their_quotes_once(spark):
     got = signals.signals(spark.createDataFrame(rows, "company string, signal string, seg_no int, rule int, pos int, quote string, tier int, subject string"), "company")
     assert sorted((r["company"], r["signal"], r["n"], r["is_own"], r["best_quote"]) for r in got.collect()) == [("a", "x", 2, False, "q1"), ("b", "x", 1, True, "q1"), ("b", "y", 1, True, "q3")]
     assert patterns_in_plan(got, ["LogicalRDD"]) == [1]
+
+
+def test_texts_are_cut_at_marks_not_walked(spark):
+    """A page ends at the next mark, with a head or not; a head may hold a mark; no place is tried by looking ahead."""
+    from granary.operators import segments as P
+
+    blobs = [
+        "ante --- PAGE: /a (u) ---\none\n--- PAGE: no head\ntwo --- page: /b ---\n\n three ", "--- PAGE: x --- PAGE: /c ---\nfour", "--- PAGE: a ---\nPAGE: /d ---\nfive --- PAGE:",
+        "[SOURCE: jobs | tier1 | v]\n \nsix [source: no head] seven [SOURCE: blog|Tier2|w]", "--- PAGE: / ---\n" + "- " * 100_000 + "[SOURCE:", " \n", None]
+    got = P.segments(spark.createDataFrame(list(enumerate(blobs)), "k int, content string"), "k")
+    rows = sorted((r["k"], r["seg_no"], r["url"], r["path"], r["text"], r["tier"]) for r in got.collect())
+    assert rows == [
+        (0, 0, "u", "/a", "one", 3), (0, 1, "/b", "/b", "three", 3), (1, 0, "x --- PAGE: /c", "x --- PAGE: /c", "four", 3), (2, 0, "a", "a", "PAGE: /d ---\nfive", 3),
+        (3, 0, "v", None, "six", 1), (4, 0, "/", "/", ("- " * 100_000 + "[SOURCE:").strip(), 3)]
+    assert patterns_in_plan(got, ["*?(?="]) == [0]
