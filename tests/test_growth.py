@@ -53,6 +53,20 @@ def test_parts_of_one_nation(spark, tmp_path):
     assert sorted(map(tuple, rows)) == sorted((i, p, r) for i in range(N) for p, r in zip((100, 110) if i % 2 else (0, 10), (1, 2))) and most < 4 * N
 
 
+def test_best_of_all_parts(spark, tmp_path):
+    """Every part is scored, and keys of either provenance count, as a plain scan over all pairs finds them."""
+    customers = [(i, i % 4, ("BUILDING", "MACHINERY", "", None)[i % 5 % 4]) for i in range(60)]
+    parts = [(i, i % 5, ("blue", "mint", "red", "", None)[i // 7 % 5]) for i in range(1, N) if i % 10] + [(N, 3, "zinc")]
+    spark.createDataFrame(customers, "c_custkey int, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(parts, "p_partkey int, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    want = []
+    for c, nation, segment in customers:
+        found = [((nation % 3 == size % 3) + (segment[:1] == name[:1].upper()), key) for key, size, name in parts if size == nation and segment is not None and name is not None]
+        want += [(c, key, r) for r, (s, key) in enumerate(sorted(found, key=lambda x: (-x[0], x[1] % 2, x[1]))[:2], 1) if s]
+    rows, most = most_rows(registry.REGISTRY["SORT_9_best_two_of_all"][0](spark, str(tmp_path)))
+    assert sorted(map(tuple, rows)) == sorted(want) and len(want) > 60 and most < 4 * N
+
+
 def patterns_in_plan(df, words):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     return [plan.count(w) for w in words]
